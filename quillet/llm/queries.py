@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import chat, mixing, simhash, urls
+from quillet.llm import chat, lines, mixing, sampling, simhash, urls
 from quillet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query("op6_weighted_fingerprint")
+def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 SITE_RULES = tuple(urls.Rule.site(v, r) for v, r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
 
 
@@ -99,3 +104,20 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, lanes=1, distance=2, blocks=4)
+
+
+@query(
+    "op10_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    e AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM l),
+    w AS (SELECT doc_id, i, s, lead(s, 1) OVER d AS s1, lead(s, 2) OVER d AS s2 FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY doc_id, i) > 1 AS later FROM w WHERE s2 IS NOT NULL),
+    c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (VALUES (0), (1), (2)) AS o(k) WHERE later)
+    SELECT e.doc_id, count(*)::BIGINT AS n_lines, count(c.i)::BIGINT AS n_removed,
+      coalesce(string_agg(e.s, chr(10) ORDER BY e.i) FILTER (WHERE c.i IS NULL), '') AS text
+    FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id
+    """,
+)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
