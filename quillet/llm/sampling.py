@@ -3,7 +3,7 @@
 Terms are a text's words (runs of bytes other than 0x20 and 0x09-0x0D), weighted by how often they occur. For each of
 ``SAMPLES`` samples a term k of weight S draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its own hash and gets
 ``t = floor(ln S / r + b)`` and ``ln a = ln c - r (t + 1 - b)``; the sample is the (k, t) with the least ``ln a``.
-Gamma draws are quantiles picked by hash bits, 65536 for c and 8192 for r. Two texts agree in a sample with a probability of their generalised Jaccard similarity: sum of least weights over sum
+Two texts agree in a sample with a probability of their generalised Jaccard similarity: sum of least weights over sum
 of greatest. The fingerprint is 16 bits of each sample, in hex; likeness is the share of equal samples.
 
 Term weights come from the sorted hashes of a row's own words, so no (document, word) rows are shuffled. The samples
@@ -17,13 +17,12 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.llm.common import durable, keyed, unkeyed
 
-SAMPLES = 64
+SAMPLES, GROUP = 64, 8
 #: Hash seeds of the samples start here; another value gives other samples.
 SEED = 7919
 
@@ -34,31 +33,21 @@ def word_hashes(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def gamma_quantiles(n: int) -> np.ndarray:
-    """The (i + 1/2) / n quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(70):
-        mid = (low + high) / 2
-        below = -np.expm1(-mid) - mid * np.exp(-mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    """In (0, 1), from some bits of h."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
 
 
-def _array(values: np.ndarray) -> Column:
-    """A constant array; folded once, before the plan runs."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
-
-
-def sample(h: Column, log_s: Column, log_c: Column, r: Column, per_r: Column) -> Column:
+def sample(h: Column, log_s: Column) -> Column:
     """One value to take the minimum of: ln a in the high bits, a mark of (k, t) in the low 16.
 
-    h holds the draws: 16 bits pick c, 13 pick r (both as quantiles of their distribution), 24 are b.
+    h holds the draws: a Gamma(2, 1) variate is minus the logarithm of two uniforms' product.
     """
-    of_r = F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(8191)).cast("int")
-    b = F.shiftrightunsigned(h, 40).cast("double") * F.lit(2.0**-24)
-    t = F.floor(log_s * F.get(per_r, of_r) + b)
-    log_a = F.get(log_c, h.bitwiseAND(F.lit(65535)).cast("int")) - F.get(r, of_r) * (t + F.lit(1.0) - b)
+    log_c = F.log(-F.log(_uniform(h, 0, 11) * _uniform(h, 11, 11)))
+    r = -F.log(_uniform(h, 22, 10) * _uniform(h, 32, 10))
+    b = F.shiftrightunsigned(h, 42) * F.lit(2.0**-22)
+    t = F.floor(log_s / r + b)
+    log_a = log_c - r * (t + F.lit(1.0) - b)
     mark = h.bitwiseXOR(F.shiftrightunsigned(h, 29)).bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit(0xFFFF))
     return F.shiftleft((log_a * F.lit(2.0**32)).cast("long"), 16).bitwiseOR(mark)
 
@@ -72,14 +61,18 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     begun = sorted_words.select(*keys, "hashes", F.when(F.size(hashes) > 0, starts).alias("starts"))
     run = lambda i, j: F.struct(F.get(hashes, i - 1).alias("k"), (F.coalesce(F.get("starts", j + 1), F.size(hashes) + 1) - i).alias("s"))
     runs = begun.select(*keys, F.transform("starts", run).alias("runs"))
-    terms = runs.select(*keys, F.explode_outer("runs").alias("term")).select(*keys, F.col("term.k").alias("k"), F.log(F.col("term.s").cast("double")).alias("log_s"))
-    # The draws are columns of their own, so that each is made once and each sample's code stays small.
-    drawn = terms.select(*keys, "log_s", *[F.when(F.col("k").isNotNull(), F.xxhash64("k", F.lit(SEED + i))).alias(f"h{i}") for i in range(SAMPLES)])
-    c, r = gamma_quantiles(1 << 16), gamma_quantiles(1 << 13)
-    log_c, r, per_r = _array(np.log(c)), _array(r), _array(1 / r)
-    best = drawn.groupBy(*keys).agg(*[F.min(sample(F.col(f"h{i}"), F.col("log_s"), log_c, r, per_r)).alias(f"m{i}") for i in range(SAMPLES)])
-    marks = F.transform(F.array(*[f"m{i}" for i in range(SAMPLES)]), lambda m: F.lpad(F.hex(F.coalesce(m, F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    return best.select(*keys, F.unhex(F.array_join(marks, "")).alias("fingerprint"))
+    # Samples come in groups of GROUP, a row per term and group: the code of one row stays small enough to be compiled.
+    grouped = runs.select(*keys, "runs", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // GROUP - 1))).alias("group"))
+    terms = grouped.select(*keys, "group", F.explode_outer("runs").alias("term"))
+    seed = F.col("group") * GROUP + SEED
+    drawn = terms.select(
+        *keys, "group", F.log(F.col("term.s").cast("double")).alias("log_s"),
+        *[F.when(F.col("term").isNotNull(), F.xxhash64("term.k", seed + i)).alias(f"h{i}") for i in range(GROUP)],
+    )
+    best = drawn.groupBy(*keys, "group").agg(*[F.min(sample(F.col(f"h{i}"), F.col("log_s"))).alias(f"m{i}") for i in range(GROUP)])
+    marks = F.transform(F.array(*[f"m{i}" for i in range(GROUP)]), lambda m: F.lpad(F.hex(F.coalesce(m, F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    parts = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", F.array_join(marks, "").alias("marks")))).alias("parts"))
+    return parts.select(*keys, F.unhex(F.array_join(F.col("parts.marks"), "")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
