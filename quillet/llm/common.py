@@ -94,7 +94,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: equal bytes, equal hash, wherever the range lies."""
+    """A 64-bit hash of each range of bytes (or of 64-bit numbers): equal content, equal hash, wherever it lies."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(buf) + 1)

@@ -21,6 +21,7 @@ one fingerprint and one component, each with its own result row; no rows give no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import durable, keyed, mix64, unkeyed, utf8
+from quillet.llm.common import NULL_ID, durable, keyed, mix64, unkeyed, utf8
 
 SMALL, PIECE = 48, 4096
 #: Eight bytes of 0 or 1 for the eight bits of a byte, the highest bit first.
@@ -209,3 +210,20 @@ def near_duplicates(
     named = distinct.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     out = fps.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
     return unkeyed(unkeyed(out), "component_id")
+
+
+def distance_for(similarity: float, bits: int, spread: float = 1.65) -> int:
+    """Differing bits of shingle sets of that Jaccard similarity, with room for chance (``spread`` deviations: 95%)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """One row of each component: that of its smallest doc_id (of its repeats, the one with the smallest text hash)."""
+    own = docs.columns
+    inner = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    groups = near_duplicates(inner.select("doc_id", "text"), **how)
+    firsts = groups.select(F.coalesce("component_id", F.lit(NULL_ID)).alias("id")).distinct()
+    held = inner.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "row").join(firsts, "id", "left_semi")
+    one = held.groupBy("id").agg(F.min_by("row", "th").alias("row"))
+    return one.select(*[F.col(f"row.`{c}`") for c in own])
