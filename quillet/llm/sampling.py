@@ -17,12 +17,15 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.llm.common import durable, keyed, unkeyed
 
 SAMPLES, GROUP = 64, 8
+#: Quantiles of a draw's distribution that a hash picks from.
+BINS = 512
 #: Hash seeds of the samples start here; another value gives other samples.
 SEED = 7919
 
@@ -33,23 +36,36 @@ def word_hashes(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _uniform(h: Column, shift: int, bits: int) -> Column:
-    """In (0, 1), from some bits of h."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
+def gamma_quantiles(p: np.ndarray) -> np.ndarray:
+    """Of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
+    low, high = np.zeros(len(p)), np.full(len(p), 60.0)
+    for _ in range(70):
+        mid = (low + high) / 2
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def _constant(values: np.ndarray) -> Column:
+    """An array constant, folded before the plan runs."""
+    return F.split(F.lit(",".join(f"{x:.6g}" for x in values)), ",").cast("array<double>")
 
 
 def sample(h: Column, log_s: Column) -> Column:
     """One value to take the minimum of: ln a in the high bits, a mark of (k, t) in the low 16.
 
-    h holds the draws: a Gamma(2, 1) variate is minus the logarithm of two uniforms' product.
+    h holds the draws: 9 bits pick r and 9 pick c, as quantiles; c in its lowest bin, from which nearly all minima come,
+    is picked anew by 9 more bits; 28 bits are b.
     """
-    log_c = F.log(-F.log(_uniform(h, 0, 11) * _uniform(h, 11, 11)))
-    r = -F.log(_uniform(h, 22, 10) * _uniform(h, 32, 10))
-    b = F.shiftrightunsigned(h, 42) * F.lit(2.0**-22)
+    p = (np.arange(BINS) + 0.5) / BINS
+    part = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BINS - 1)).cast("int")
+    r = F.get(_constant(gamma_quantiles(p)), part(0))
+    log_c = F.when(part(9) == 0, F.get(_constant(np.log(gamma_quantiles(p / BINS))), part(18))).otherwise(F.get(_constant(np.log(gamma_quantiles(p))), part(9)))
+    b = F.shiftrightunsigned(h, 36) * F.lit(2.0**-28)
     t = F.floor(log_s / r + b)
     log_a = log_c - r * (t + F.lit(1.0) - b)
     mark = h.bitwiseXOR(F.shiftrightunsigned(h, 29)).bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftleft((log_a * F.lit(2.0**32)).cast("long"), 16).bitwiseOR(mark)
+    return F.shiftleft(F.floor(log_a * F.lit(2.0**32)), 16).bitwiseOR(mark)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
