@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import chat, decontaminate, lines, mixing, quality, sampling, simhash, toxicity, urls
+from quillet.llm import chat, decontaminate, lines, mixing, quality, sampling, simhash, suffixes, toxicity, urls
 from quillet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op6_weighted_fingerprint")
 def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
