@@ -1,10 +1,517 @@
-"""The library's own queries by inventory id, with SQL that says the same."""
+"""The library's own queries by inventory id, with SQL that says the same. Every query reads its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillet.functions import scalar
+from quillet.operators import bcbp, boxes, evaluate, extract, layout, lines, pixels, sensitive, share, store
+from quillet.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Day that stands for today, so that results do not change with the clock.
+AS_OF = "2001-08-01"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- lines, tokens, fields -------------------------------------------------------------------------------------------
+
+_WORDS_SQL = """
+    raw AS (SELECT doc_id, lang, i AS li, unnest(string_split(l, ' ')) AS t, generate_subscripts(string_split(l, ' '), 1) AS k
+            FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    w AS (SELECT doc_id, lang, li, t, row_number() OVER (PARTITION BY doc_id, li ORDER BY k) AS k FROM raw WHERE trim(t, ' ') <> ''),
+    line AS (SELECT doc_id, li, string_agg(t, ' ' ORDER BY k) AS text, count(*) AS n FROM w GROUP BY doc_id, li)"""
+
+
+@query("f1_lines", f"WITH {_WORDS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY li) AS li, text, n AS n_words, 24.0::DOUBLE AS height FROM line")
+def f1_lines(spark, sf_dir):
+    grouped = lines.group_lines(lines.words_of_text(table(spark, sf_dir, "documents")))
+    return grouped.select("doc_id", F.col("li").cast("long").alias("li"), "text", F.size("words").cast("long").alias("n_words"), "height")
+
+
+@query(
+    "k9_sensitive_by_lang",
+    rf"""WITH {_WORDS_SQL},
+    l AS (SELECT doc_id, li, text, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY li), '') AS prev FROM line),
+    f AS (SELECT doc_id, li, regexp_matches(text || chr(10) || prev, '(?i)\b(ff|frequent|flyer|miles?|mileage|member(ship)?|loyalty|skymiles|aadvantage|avios|executive club|flying blue)\b') AS loyal,
+            regexp_matches(text || chr(10) || prev, '(?i)\b(e-?ticket|etkt|tkt|ticket|billet|biglietto|billete|fahrkarte|no\.?|n\.?\s?º|nr\.?|number|serial|#)\b') AS numbered,
+            regexp_matches(text || chr(10) || prev, '(?i)\b(booking|book\.?|ref(erence)?|pnr|confirmation|conf\.?|record|locator|reservation|resa|buchung|codice|code|localizador|prenotazione|dossier)\b') AS referenced FROM l),
+    x AS (SELECT w.*, loyal, numbered, referenced, regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g') AS raw,
+            regexp_matches(regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9.,]+$', '', 'g'), '^[0-9]+[.,]?$') AND NOT regexp_matches(t, '^[0-9]{{1,2}}[:.h][0-9]{{2}}$') AND NOT regexp_matches(t, '^[$€£¥]?[0-9]+[.,][0-9]{{2}}$') AS cont
+          FROM w JOIN f USING (doc_id, li)),
+    y AS (SELECT *, upper(raw) AS tok, k - row_number() OVER (PARTITION BY doc_id, li, cont ORDER BY k) AS island FROM x),
+    s AS (SELECT a.doc_id, a.li, a.lang, a.k, a.island, a.loyal, a.numbered, string_agg(regexp_replace(b.t, '[^0-9]', '', 'g'), '' ORDER BY b.k) AS digits
+          FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.li = b.li AND a.island = b.island AND a.cont AND b.cont AND b.k >= a.k
+          WHERE regexp_matches(a.tok, '^[0-9]{{4,}}$') GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN loyal AND length(digits) >= 6 THEN 'frequent-flyer'
+              WHEN regexp_matches(digits, '^(19|20)[0-9]{{6}}$') THEN NULL WHEN length(digits) >= 8 THEN 'ticket-number'
+              WHEN length(digits) >= 6 AND numbered THEN 'ticket-number' END AS reason FROM s),
+    runs AS (SELECT lang, reason FROM d WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, li, island ORDER BY k) = 1),
+    codes AS (SELECT lang, CASE WHEN regexp_matches(tok, '[0-9]') AND regexp_matches(tok, '[A-Z]') AND NOT (regexp_matches(tok, '^[A-Z]{{2}}[0-9]{{3,4}}$') AND NOT referenced)
+                THEN CASE WHEN loyal THEN 'frequent-flyer' ELSE 'booking-ref' END
+              WHEN regexp_matches(tok, '^[A-Z]{{6}}$') AND referenced AND raw = tok THEN 'booking-ref' END AS reason
+            FROM y WHERE regexp_matches(tok, '^[A-Z0-9]{{5,8}}$') AND NOT regexp_matches(tok, '^[0-9]+$') AND NOT regexp_matches(tok, '^[0-9]{{1,2}}[A-Z]{{3}}[0-9]{{2,4}}$') AND NOT regexp_matches(tok, '^[0-9]{{1,3}}[A-K]$'))
+    SELECT lang, reason, count(*) AS n FROM (SELECT * FROM runs UNION ALL SELECT * FROM codes WHERE reason IS NOT NULL) GROUP BY ALL""",
+)
+def k9_sensitive_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = sensitive.find_sensitive(lines.words_of_text(docs))
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "reason").agg(F.count("*").alias("n"))
+
+
+_PLACE = lambda c: F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.pmod(c * m + a, F.lit(26)) + 1).cast("int"), F.lit(1)) for m, a in ((1, 0), (7, 3), (11, 5))])
+_PLACE_SQL = lambda c: " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (({c} * {m} + {a}) % 26 + 1)::INT, 1)" for m, a in ((1, 0), (7, 3), (11, 5)))
+
+
+def _passes(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.upper(F.substring(F.md5(key.cast("string").cast("binary")), 1, 6)).alias("pnr"), _PLACE(F.col("c_nationkey")).alias("origin"), _PLACE(F.col("c_nationkey") + 1 + key % 20).alias("destination"),
+        F.when(key % 3 == 0, "BA").when(key % 3 == 1, "QX").otherwise("LH").alias("carrier"), (key % 9998 + 1).alias("flight"), F.concat((key % 60 + 1).cast("string"), F.substring(F.lit("ABCDEFGHK"), (key % 9 + 1).cast("int"), F.lit(1))).alias("seat"), "c_name",
+    )
+
+
+_PASSES_SQL = f"""p AS (SELECT o_orderkey, o_orderdate::DATE AS day, upper(substr(md5(o_orderkey::VARCHAR), 1, 6)) AS pnr, {_PLACE_SQL("c_nationkey")} AS origin, {_PLACE_SQL("(c_nationkey + 1 + o_orderkey % 20)")} AS destination,
+    CASE o_orderkey % 3 WHEN 0 THEN 'BA' WHEN 1 THEN 'QX' ELSE 'LH' END AS carrier, o_orderkey % 9998 + 1 AS flight, (o_orderkey % 60 + 1)::VARCHAR || substr('ABCDEFGHK', (o_orderkey % 9 + 1)::INT, 1) AS seat, c_name
+    FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _encoded(p: DataFrame) -> Column:
+    c = F.col
+    return bcbp.encode(c("c_name"), c("pnr"), c("origin"), c("destination"), c("carrier"), c("flight"), F.dayofyear("day"), F.lit("Y"), c("seat"), c("o_orderkey") % 9999)
+
+
+@query(
+    "k1_pass_round_trip",
+    f"""WITH {_PASSES_SQL} SELECT o_orderkey, trim(substr(c_name, 1, 20)) AS name, pnr, origin AS "from", destination AS "to", carrier, flight::VARCHAR AS flight, dayofyear(day)::INT AS julian, 'Y' AS cabin, seat, 1 AS n_legs FROM p""",
+)
+def k1_pass_round_trip(spark, sf_dir):
+    p = _passes(spark, sf_dir)
+    read = p.select("o_orderkey", bcbp.decode(_encoded(p)).alias("pass")).select("o_orderkey", "pass.name", F.get("pass.legs", 0).alias("leg"), F.size("pass.legs").alias("n_legs"))
+    return read.select("o_orderkey", "name", "leg.*", "n_legs")
+
+
+@query(
+    "k2_day_of_year",
+    """WITH d AS (SELECT o_orderkey, dayofyear(o_orderdate) AS day FROM orders),
+    c AS (SELECT o_orderkey, day, make_date((2001 - b)::INT, 1, 1) + (day - 1)::INT AS v, 2001 - b AS y FROM d, range(0, 10) AS r(b))
+    SELECT o_orderkey, strftime(max(v), '%Y-%m-%d') AS date FROM c WHERE v <= DATE '2001-09-30' AND (day <> 366 OR (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) GROUP BY o_orderkey""",
+)
+def k2_day_of_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.julian_date(F.dayofyear("o_orderdate"), AS_OF).alias("date"))
+
+
+@query(
+    "k3_find_date",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""",
+)
+def k3_find_date(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    shapes = ["yyyy-MM-dd", "dd/MM/yyyy", "ddMMMyy", "d MMMM yyyy", "MMM d, yyyy", "dd.MM.yy"]
+    text = F.lit("no date: 31/02/1999, gate 12-5")
+    for k, shape in reversed(list(enumerate(shapes))):
+        text = F.when(F.col("o_orderkey") % 7 == k, F.concat(F.lit("01/01/2099 order "), F.col("o_orderkey"), F.lit(" on "), F.date_format("d", shape), F.lit(" at 10:35"))).otherwise(text)
+    return o.select("o_orderkey", extract.find_date(text, AS_OF).alias("date"))
+
+
+@query(
+    "k4_find_route",
+    f"""WITH {_PASSES_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN origin[1] || lower(origin[2:]) WHEN o_orderkey % 4 = 2 AND origin <> destination THEN origin END AS origin,
+    CASE WHEN o_orderkey % 4 < 2 THEN destination[1] || lower(destination[2:]) WHEN o_orderkey % 4 = 2 AND origin <> destination THEN destination END AS destination FROM p""",
+)
+def k4_find_route(spark, sf_dir):
+    p = _passes(spark, sf_dir)
+    key, at, to = F.col("o_orderkey") % 4, F.col("origin"), F.col("destination")
+    page = (
+        F.when(key == 0, F.array(F.lit("x1"), F.concat(at, F.lit(" → "), to)))
+        .when(key == 1, F.array(F.lit("Partenza / From"), F.lit('"1'), at, F.lit("Arrivo / To"), to))
+        .when(key == 2, F.array(F.concat(F.lit("1 "), at, F.lit(" .. "), to)))
+        .otherwise(F.array(F.lit("12:30"), F.lit("no route")))
+    )
+    return p.select("o_orderkey", extract.find_route(page).alias("r")).select("o_orderkey", "r.origin", "r.destination")
+
+
+@query(
+    "k5_find_seat",
+    f"""WITH {_PASSES_SQL} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN seat WHEN 1 THEN 'Sec C, Row J, Seat ' || (o_orderkey % 60 + 1) WHEN 2 THEN 'Coach 7, seat ' || (o_orderkey % 60 + 1) ELSE '' END AS seat FROM p""",
+)
+def k5_find_seat(spark, sf_dir):
+    p = _passes(spark, sf_dir)
+    key, n = F.col("o_orderkey") % 4, (F.col("o_orderkey") % 60 + 1).cast("string")
+    text = F.when(key == 0, F.concat(F.lit("GATE 4\nSEAT "), F.col("seat"))).when(key == 1, F.concat(F.lit("SEC C ROW J SEAT "), n)).when(key == 2, F.concat(F.lit("Carrozza / Posto\n7 / "), n, F.lit("\n"))).otherwise(F.lit("no place 12"))
+    return p.select("o_orderkey", extract.find_seat(text).alias("seat"))
+
+
+_HITS = lambda p: f"len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b({p})\\b', 0), lambda x: lower(x))))"
+_KIND_SQL = {k: _HITS(v.replace("(?:", "(")) for k, v in extract.vocab.KIND_WORDS.items()}
+
+
+@query(
+    "k6_kind_vote",
+    f"""WITH h AS (SELECT doc_id, text, {", ".join(f"{v} AS {k}" for k, v in _KIND_SQL.items())} FROM documents),
+    g AS (SELECT *, greatest(flight, train, subway, event) AS top FROM h),
+    k AS (SELECT *, CASE WHEN top = 0 THEN 'other' WHEN flight = top THEN 'flight' WHEN train = top THEN 'train' WHEN subway = top THEN 'subway' ELSE 'event' END AS kind FROM g)
+    SELECT doc_id, CASE WHEN kind <> 'flight' AND regexp_matches(text, '(?i)\\bbus\\b|autobus|busfahr|ônibus') THEN 'other' ELSE kind END AS kind, top::BIGINT AS hits FROM k""",
+)
+def k6_kind_vote(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", extract.vote_kind(F.col("text")).alias("v")).select("doc_id", "v.kind", F.col("v.hits").cast("long").alias("hits"))
+
+
+@query(
+    "k8_parse_tickets",
+    f"""WITH {_PASSES_SQL} SELECT o_orderkey AS doc_id, 'flight' AS type, origin, destination, strftime(day, '%Y-%m-%d') AS date,
+      CASE carrier WHEN 'BA' THEN 'British Airways' WHEN 'LH' THEN 'Lufthansa' ELSE 'Northwind Air' END AS carrier, seat, carrier || ' ' || flight AS title,
+      CASE carrier WHEN 'QX' THEN 0.93 ELSE 1.0 END::DOUBLE AS confidence, CASE carrier WHEN 'QX' THEN 'text' ELSE 'barcode' END AS carrier_from
+    FROM p WHERE day > DATE '2000-09-30'""",
+)
+def k8_parse_tickets(spark, sf_dir):
+    p = _passes(spark, sf_dir).where(F.col("day") > F.lit("2000-09-30").cast("date"))  # within a year of AS_OF, so that a day of the year says it all
+    line = lambda i, t: F.struct(F.lit(i).alias("li"), t.alias("text"), F.lit(24.0).alias("height"), F.lit(95.0).alias("conf"))
+    page = F.array(line(1, F.lit("NORTHWIND AIR BOARDING PASS")), line(2, F.lit("FROM")), line(3, F.col("c_name")))
+    pages = p.select(F.col("o_orderkey").alias("doc_id"), page.alias("lines"), F.array(F.lit("no pass"), _encoded(p)).alias("barcodes"))
+    out = extract.parse_tickets(pages, AS_OF)
+    return out.select("doc_id", *[f"fields.{n}" for n in ("type", "origin", "destination", "date", "carrier", "seat", "title")], "confidence", F.element_at("sources", F.lit("carrier")).alias("carrier_from"))
+
+
+@query(
+    "e10_known_secrets",
+    f"""WITH {_PASSES_SQL}, w AS (SELECT o_orderkey AS doc_id, pnr AS secret, unnest([pnr, 'x' || substr(pnr, 2), substr(pnr, 1, 5), '/' || lower(pnr) || '99', 'xy' || substr(pnr, 3), 'ABCD']) AS text FROM p),
+    n AS (SELECT doc_id, text, upper(secret) AS s, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS t FROM w)
+    SELECT doc_id, text FROM n WHERE length(t) >= 5 AND (levenshtein(t, s) <= 1 OR (length(t) > length(s) AND contains(t, s)))""",
+)
+def e10_known_secrets(spark, sf_dir):
+    p = _passes(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.col("pnr").alias("secret"))
+    s = F.col("secret")
+    texts = F.array(s, F.concat(F.lit("x"), F.substring(s, 2, 9)), F.substring(s, 1, 5), F.concat(F.lit("/"), F.lower(s), F.lit("99")), F.concat(F.lit("xy"), F.substring(s, 3, 9)), F.lit("ABCD"))
+    return sensitive.find_known(p.select("doc_id", F.explode(texts).alias("text")), p).select("doc_id", "text")
+
+
+@query(
+    "c5_user_wins",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Mine' ELSE o_orderpriority END AS title, o_orderstatus AS carrier,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'user' ELSE 'text' END AS title_from, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_text FROM orders""",
+)
+def c5_user_wins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    fields = lambda title: F.struct(*[(F.col("o_orderstatus") if n == "carrier" else title if n == "title" else F.lit("")).alias(n) for n in extract.NAMES])
+    touched = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))
+    sources = F.create_map(F.lit("title"), F.lit("text"), F.lit("carrier"), F.lit("text"))
+    out = o.select("o_orderkey", extract.user_wins(fields(F.col("o_orderpriority")), fields(F.lit("Mine")), touched).alias("f"), extract.mark_user(sources, touched).alias("s"))
+    n_text = F.size(F.filter(F.map_values("s"), lambda v: v == "text")).cast("long")
+    return out.select("o_orderkey", "f.title", "f.carrier", F.element_at("s", F.lit("title")).alias("title_from"), n_text.alias("n_text"))
+
+
+# ---- store and publishing --------------------------------------------------------------------------------------------
+
+
+def _contents(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    z = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    placements = o.select(F.col("o_custkey").alias("collage_id"), F.col("o_orderkey").alias("ticket_id"), z.alias("z"))
+    tickets = o.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("id"))
+    return store.collage_contents(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), placements, tickets)
+
+
+@query(
+    "e2_collage_contents",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS z FROM orders)
+    SELECT c_custkey AS id, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY z), '') AS ids
+    FROM customer LEFT JOIN o ON c_custkey = o_custkey AND o_totalprice > 100000 GROUP BY c_custkey""",
+)
+def e2_collage_contents(spark, sf_dir):
+    return _contents(spark, sf_dir).select("id", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda i: i["ticket_id"].cast("string")), ",").alias("ids"))
+
+
+def _shares(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A manifest per source with the hashes of its texts, and the stored assets: those of labelled documents, and strays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    ref = F.struct("hash", F.lit(1).alias("w"), F.lit(1).alias("h"))
+    ticket = F.struct(F.struct(ref.getField("hash").alias("hash")).alias("image"), F.lit(None).cast("struct<hash:string>").alias("photo"))
+    packed = docs.groupBy("source").agg(F.collect_list(ticket).alias("tickets"))
+    shares = packed.select(F.col("source").alias("token"), F.struct("tickets").alias("m"))
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    stored = docs.join(labels, "doc_id", "left_semi").select(F.col("source").alias("token"), "hash")
+    strays = labels.select(F.lit("src0").alias("token"), F.sha2(F.col("doc_id").cast("string").cast("binary"), 256).alias("hash"))
+    return shares, stored.unionByName(strays).distinct()
+
+
+_SHARES_SQL = """d AS (SELECT doc_id, source AS token, sha256(text) AS hash FROM documents),
+    a AS (SELECT token, hash FROM d WHERE doc_id IN (SELECT doc_id FROM labels) UNION SELECT 'src0', sha256(doc_id::VARCHAR) FROM labels)"""
+
+
+@query("e5_missing_assets", f"WITH {_SHARES_SQL} SELECT DISTINCT token, hash FROM d ANTI JOIN a USING (token, hash)")
+def e5_missing_assets(spark, sf_dir):
+    return share.missing_assets(*_shares(spark, sf_dir)).select("token", "hash")
+
+
+@query("e6_drop_unreferenced", f"WITH {_SHARES_SQL} SELECT token, hash FROM a SEMI JOIN d USING (token, hash)")
+def e6_drop_unreferenced(spark, sf_dir):
+    return share.drop_unreferenced(*_shares(spark, sf_dir)).select("token", "hash")
+
+
+@query("e7_orphans", "SELECT 'tickets' AS what, count(*) AS n FROM orders WHERE o_custkey % 2 = 1 UNION ALL SELECT 'placements', count(*) FROM orders WHERE o_custkey % 2 = 1 UNION ALL SELECT 'collages', count(*) FROM customer WHERE c_custkey % 2 = 1")
+def e7_orphans(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    collages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    placements = o.select(F.col("o_custkey").alias("collage_id"), F.col("o_orderkey").alias("ticket_id"))
+    left = store.remove_collage(collages, placements, o.select(F.col("o_orderkey").alias("id")), collages.where("id % 2 = 0"))
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in zip(("collages", "placements", "tickets"), left, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("p8_insert_new", "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents SEMI JOIN labels USING (doc_id)) GROUP BY sha256(text)")
+def p8_insert_new(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    stored = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return share.insert_new(docs, stored, ["hash"], "doc_id").select("doc_id", "hash")
+
+
+@query("b1_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey - 1, 'new' FROM orders WHERE o_orderkey % 50 = 0")
+def b1_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    edit = old.where("o_orderkey % 5 = 0")
+    new = edit.select("o_orderkey", F.lit("stale").alias("o_orderstatus"), F.lit(1).alias("seq")).unionByName(edit.select("o_orderkey", F.lit("new").alias("o_orderstatus"), F.lit(2).alias("seq")))
+    new = new.unionByName(old.where("o_orderkey % 50 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"), F.lit(1).alias("seq")))
+    return store.upsert(old, new, ["o_orderkey"])
+
+
+@query("b10_latest", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
+def b10_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticket_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("version"))
+    return store.latest_versions(e).select(F.col("ticket_id").alias("user_id"), F.col("kind").alias("event_type"), F.col("version").alias("event_id"))
+
+
+@query("d5_recent_trip", "SELECT o_custkey, bool_or(o_orderdate::DATE > DATE '2001-07-18' AND o_orderdate::DATE <= DATE '2001-08-02') AS recent FROM orders GROUP BY o_custkey")
+def d5_recent_trip(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(store.recent_trip(F.col("o_orderdate").cast("date"), AS_OF).alias("recent"))
+
+
+@query(
+    "d1_manifest_faults",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'title' END, CASE WHEN o_orderkey % 13 = 0 THEN 'ticket id' END, CASE WHEN o_orderkey % 5 = 0 THEN 'type' END,
+      CASE WHEN o_orderkey % 17 = 0 THEN 'image' END, CASE WHEN o_totalprice / 100 > 1500 THEN 'x' END, CASE WHEN o_orderkey % 7 = 0 THEN 'scale' END) AS faults FROM orders""",
+)
+def d1_manifest_faults(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    id_ = F.when(key % 13 == 0, "bad id").otherwise(F.concat(F.lit("ticket"), key))
+    fields = F.struct(F.when(key % 5 == 0, "boat").otherwise("train").alias("type"), *[F.lit("").alias(n) for n in ("title", "origin", "destination", "date", "carrier", "seat")])
+    hash_ = F.when(key % 17 == 0, "zz").otherwise(F.sha2(key.cast("string").cast("binary"), 256))
+    ticket = F.struct(id_.alias("id"), fields.alias("fields"), F.lit("").alias("note"), F.struct(hash_.alias("hash"), F.lit(10).alias("w"), F.lit(10).alias("h")).alias("image"))
+    place = F.struct(F.concat(F.lit("ticket"), key).alias("ticketId"), (F.col("o_totalprice") / 100).alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("rotation"), F.when(key % 7 == 0, 9.0).otherwise(1.0).alias("scale"), F.lit(1).alias("z"))
+    body = F.to_json(F.struct(F.array(ticket).alias("tickets"), F.array(place).alias("placements")))
+    return o.select("o_orderkey", F.array_join(share.manifest_faults(F.when(key % 11 == 0, "").otherwise("t"), share.read_manifest(body)), ",").alias("faults"))
+
+
+@query(
+    "j36_client_keys",
+    f"""SELECT DISTINCT user_id, 'share:' || substr(sha256(unhex('{bytes(b ^ 0x5C for b in b"dev-only".ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b"dev-only".ljust(64, bytes(1))).hex()}') || encode(user_id::VARCHAR)))), 1, 32) AS key FROM events""",
+)
+def j36_client_keys(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", scalar.client_key("dev-only", "share", F.col("user_id").cast("string")).alias("key"))
+
+
+@query("j35_event_props", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
+def j35_event_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# ---- events ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "n3_admission",
+    """WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT event_type, event_id, rn, true AS admitted, [us] AS kept FROM e WHERE rn = 1
+      UNION ALL
+      SELECT event_type, event_id, rn, len(old) < 5, CASE WHEN len(old) < 5 THEN list_append(old, us) ELSE old END
+      FROM (SELECT e.event_type, e.event_id, e.rn, e.us, list_filter(r.kept, lambda t: t > e.us - 3600000000) AS old FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1))
+    SELECT event_type, event_id, admitted FROM r""",
+)
+def n3_admission(spark, sf_dir):
+    return live.admit(table(spark, sf_dir, "events"), "event_type", "ts", 5, 60).select("event_type", "event_id", "admitted")
+
+
+@query(
+    "f2_trailing_count",
+    """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events""",
+)
+def f2_trailing_count(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    hour = Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_599_999_999, 0)
+    return e.select("event_id", F.count("*").over(hour).alias("n"))
+
+
+@query(
+    "n5_debounced",
+    """WITH d AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER u) >= 21600000000, true)::INT AS opens FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM d)
+    SELECT user_id, count(*) AS edits, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, s""",
+)
+def n5_debounced(spark, sf_dir):
+    out = live.debounced(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 6 * 3600)
+    return out.select("user_id", "edits", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+@query(
+    "g3_streaks",
+    """WITH d AS (SELECT *, coalesce(event_type <> lag(event_type) OVER u, true)::INT AS new FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM d)
+    SELECT event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS streak FROM s""",
+)
+def g3_streaks(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("before", F.lag("event_type").over(order))
+    return live.streaks(e, "user_id", "ts", F.col("event_type") == F.col("before")).select("event_id", F.col("streak").cast("long").alias("streak"))
+
+
+# ---- boxes, layout, pixels -------------------------------------------------------------------------------------------
+
+_ASPECT = lambda: F.col("p_size") / 20.0 + 0.3
+
+
+@query(
+    "l1_bounds",
+    """WITH b AS (SELECT p_partkey, 300.0 * (0.5 + p_partkey % 5 / 4.0) AS w, p_size / 20.0 + 0.3 AS a, radians((p_partkey % 41 - 20)::DOUBLE) AS r FROM part),
+    s AS (SELECT p_partkey, abs(w * cos(r)) + abs(w * a * sin(r)) AS bw, abs(w * sin(r)) + abs(w * a * cos(r)) AS bh FROM b)
+    SELECT p_partkey, round(500 - bw / 2, 6) AS x0, round(400 - bh / 2, 6) AS y0, round(500 + bw / 2, 6) AS x1, round(400 + bh / 2, 6) AS y1 FROM s""",
+)
+def l1_bounds(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    b = boxes.bounds(F.lit(500.0), F.lit(400.0), (F.col("p_partkey") % 41 - 20).cast("double"), F.lit(0.5) + F.col("p_partkey") % 5 / 4.0, _ASPECT())
+    return p.select("p_partkey", b.alias("b")).select("p_partkey", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(
+    "e9_overlaps",
+    """WITH b AS (SELECT p_brand, p_partkey, (p_partkey * 37 % 1000)::DOUBLE AS x, (p_partkey * 91 % 700)::DOUBLE AS y, 60.0 + p_size AS w, 40.0 AS h FROM part),
+    o AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / least(a.w * a.h, b.w * b.h) AS share
+      FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h)
+    SELECT p_brand, a, b FROM o WHERE share > 0.3""",
+)
+def e9_overlaps(spark, sf_dir):
+    key = F.col("p_partkey")
+    box = F.struct((key * 37 % 1000).cast("double").alias("x"), (key * 91 % 700).cast("double").alias("y"), (F.lit(60.0) + F.col("p_size")).alias("w"), F.lit(40.0).alias("h"))
+    b = table(spark, sf_dir, "part").select("p_brand", key.alias("id"), box.alias("box"))
+    return boxes.overlapping_pairs(b, b, "p_brand", 0.3).where("a < b").select("p_brand", "a", "b")
+
+
+@query(
+    "l9_polygon_area",
+    """SELECT p_partkey, round((100 + p_size) * (50.0 + p_partkey % 30), 4) AS area, 90.0::DOUBLE AS angle, round((p_partkey % 9) / sqrt(pow(100 + p_size, 2) + pow(50.0 + p_partkey % 30, 2)), 6) AS error FROM part""",
+)
+def l9_polygon_area(spark, sf_dir):
+    """L9, L10, F16, H7 of a turned rectangle whose corners come in any order."""
+    w, h, r = F.col("p_size") + 100.0, F.col("p_partkey") % 30 + 50.0, F.radians((F.col("p_partkey") % 80 - 40).cast("double"))
+    at = lambda x, y, s: F.struct((x * F.cos(r) - y * F.sin(r) + s).alias("x"), (x * F.sin(r) + y * F.cos(r)).alias("y"))
+    quad = lambda s: [at(F.lit(0.0), F.lit(0.0), s), at(w, F.lit(0.0), s), at(w, h, s), at(F.lit(0.0), h, s)]
+    p = table(spark, sf_dir, "part").withColumns({"q": F.array(*[quad(F.lit(0.0))[i] for i in (2, 0, 3, 1)]), "m": F.array(*quad((F.col("p_partkey") % 9).cast("double")))})
+    p = p.withColumn("o", boxes.order_quad(F.col("q")))
+    return p.select("p_partkey", F.round(boxes.polygon_area(F.col("o")), 4).alias("area"), F.round(F.array_max(boxes.interior_angles(F.col("o"))), 6).alias("angle"), F.round(boxes.quad_error(F.col("o"), F.col("m")), 6).alias("error"))
+
+
+@query(
+    "l11_quad_iou",
+    """WITH q AS (SELECT p_partkey, (p_partkey % 40)::DOUBLE AS dx, 100.0 + p_size AS w, 60.0 AS h FROM part),
+    g AS (SELECT p_partkey, dx, w, h, (i + 0.5) / 20 * (w + dx) AS x FROM q, range(0, 20) AS r(i)),
+    c AS (SELECT p_partkey, count(*) FILTER (WHERE x <= w AND x >= dx) AS common, count(*) AS n FROM g WHERE x <= w OR x >= dx GROUP BY p_partkey)
+    SELECT p_partkey, round(common / n, 9) AS iou FROM c""",
+)
+def l11_quad_iou(spark, sf_dir):
+    w = F.col("p_size") + 100.0
+    at = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    box = lambda x: F.array(at(x, 0.0), at(x + w, 0.0), at(x + w, 60.0), at(x, 60.0))
+    quads = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), box(F.lit(0.0)).alias("found"), box((F.col("p_partkey") % 40).cast("double")).alias("truth"))
+    return evaluate.score_quads(quads, 20).select(F.col("id").alias("p_partkey"), F.round("iou", 9).alias("iou"))
+
+
+@query(
+    "q3_arrange",
+    """WITH RECURSIVE i AS (SELECT o_custkey, o_orderkey, 150.0::DOUBLE / (0.3 + (o_orderkey % 19) / 10.0)::DOUBLE AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey::VARCHAR) AS rn FROM orders),
+    r AS (SELECT o_custkey, o_orderkey, rn, w, 0 AS row, 36.0::DOUBLE + w / 2 AS x, 36.0::DOUBLE + w + 28 AS e FROM i WHERE rn = 1
+      UNION ALL SELECT i.o_custkey, i.o_orderkey, i.rn, i.w, CASE WHEN r.e + i.w > 964 THEN row + 1 ELSE row END, CASE WHEN r.e + i.w > 964 THEN 36 ELSE r.e END + i.w / 2, CASE WHEN r.e + i.w > 964 THEN 36 ELSE r.e END + i.w + 28
+      FROM r JOIN i ON i.o_custkey = r.o_custkey AND i.rn = r.rn + 1),
+    t AS (SELECT *, x + (928 - (max(e) OVER (PARTITION BY o_custkey, row) - 64)) / 2 AS cx, least(w / 300, 1.3) AS scale FROM r),
+    h AS (SELECT o_custkey, row, max(scale * 300 * (150.0 / w)) AS tall FROM t GROUP BY ALL),
+    y AS (SELECT o_custkey, row, 36 + coalesce(sum(tall + 28) OVER (PARTITION BY o_custkey ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + tall / 2 AS y FROM h)
+    SELECT o_custkey, o_orderkey::VARCHAR AS ticket_id, round(cx, 6) AS x, round(y, 6) AS y, CASE WHEN rn % 2 = 0 THEN 1.2 ELSE -1.2 END::DOUBLE AS rotation, round(scale, 6) AS scale, rn::BIGINT AS z FROM t JOIN y USING (o_custkey, row)""",
+)
+def q3_arrange(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    items = o.select("o_custkey", F.col("o_orderkey").cast("string").alias("ticket_id"), (F.lit(0.3) + F.col("o_orderkey") % 19 / 10.0).alias("aspect"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    out = layout.arrange(items, "o_custkey")
+    return out.select("o_custkey", "ticket_id", *[F.round(c, 6).alias(c) for c in ("x", "y")], "rotation", F.round("scale", 6).alias("scale"), F.col("z").cast("long").alias("z"))
+
+
+@query("q2_auto_place")
+def q2_auto_place(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    items = s.select("s_nationkey", F.col("s_name").alias("ticket_id"), (F.lit(0.3) + F.col("s_suppkey") % 17 / 10.0).alias("aspect"), F.col("s_suppkey").alias("ord"))
+    return layout.auto_place(items, "s_nationkey")
+
+
+@query(
+    "f10_histogram_cut",
+    """WITH c AS (SELECT l_returnflag AS g, l_quantity::INT AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+    r AS (SELECT g, v, sum(n) OVER (PARTITION BY g ORDER BY v) AS up, sum(n) OVER (PARTITION BY g ORDER BY v DESC) AS down, sum(n) OVER (PARTITION BY g) AS t FROM c)
+    SELECT g, min(v) FILTER (WHERE up > t * 0.02) AS lo, max(v) FILTER (WHERE down > t * 0.02) AS hi, min(v) FILTER (WHERE up * 2 >= t) AS median FROM r GROUP BY g""",
+)
+def f10_histogram_cut(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("int").alias("v"))
+    return pixels.histogram_cut(v, "g", "v").join(pixels.histogram_median(v, "g", "v"), "g")
+
+
+@query(
+    "f12_cell_means",
+    """WITH p AS (SELECT label AS img, vec_id // 8 AS cy, (i - 1) // 8 AS cx, floor(abs(embedding[i]::DOUBLE) * 400) AS v, i * 4 - 1 AS a FROM (SELECT label, vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))
+    SELECT img, cy::BIGINT AS cy, cx::BIGINT AS cx, round(sum(v * a) / sum(a), 6) AS r FROM p GROUP BY ALL""",
+)
+def f12_cell_means(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("img"), F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    v = F.floor(F.abs(F.col("v").cast("double")) * 400)
+    p = e.select("img", "x", "y", *[v.alias(c) for c in "rgb"], (F.col("x") * 4 + 3).alias("a"))
+    return pixels.cell_means(p, "img", 8).select("img", "cy", "cx", F.round("r", 6).alias("r"))
+
+
+@query(
+    "m9_stripy",
+    """WITH p AS (SELECT vec_id, i, floor(abs(embedding[i]::DOUBLE) * 400) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+    m AS (SELECT *, (min(v) OVER w + max(v) OVER w) / 2 AS mid, max(v) OVER w - min(v) OVER w AS span FROM p WINDOW w AS (PARTITION BY vec_id)),
+    f AS (SELECT vec_id, span, (v > mid) <> (lag(v) OVER (PARTITION BY vec_id ORDER BY i) > mid) AS flip FROM m)
+    SELECT vec_id, bool_and(span >= 50) AND count(*) FILTER (WHERE flip) / 64.0 > 0.12 AS stripy FROM f GROUP BY vec_id""",
+)
+def m9_stripy(spark, sf_dir):
+    scan = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 400))
+    return table(spark, sf_dir, "embeddings").select("vec_id", pixels.stripy(F.array(scan)).alias("stripy"))
+
+
+@query(
+    "f15_summary",
+    """WITH r AS (SELECT o_orderpriority AS kind, (o_orderkey % 100) / 100.0 AS iou, o_totalprice AS ms, o_orderkey % 10 AS leaks FROM orders),
+    l AS (SELECT kind, count(*) AS n, avg((iou >= 0.9)::INT) AS iou_90, avg(iou) AS mean_iou, list_sort(list(ms)) AS s, max(ms) AS max_ms, count(*) FILTER (WHERE leaks = 0) AS clean FROM r GROUP BY kind)
+    SELECT kind, n, round(iou_90, 9) AS iou_90, round(mean_iou, 9) AS mean_iou, s[len(s) // 2 + 1] AS median_ms, max_ms, clean FROM l""",
+)
+def f15_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    r = o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 100 / 100.0).alias("iou"), F.col("o_totalprice").alias("ms"), (F.col("o_orderkey") % 10).alias("leaks"))
+    return evaluate.summary(r, "kind").withColumns({c: F.round(c, 9) for c in ("iou_90", "mean_iou")})
