@@ -136,8 +136,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     pick = lambda side: F.max(F.when(F.col("side") == side, F.col("fingerprint")))
     rows = durable(signed.groupBy("doc_id", "next_id", "n_chars", "edited_sha256").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
     following = rows.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    out = rows.join(following, "next_id").select(
-        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
-    return unkeyed(out)
+    # The hex columns come last: inside a lambda a name can mean an alias of the same select.
+    near = rows.join(following, "next_id").select(
+        "*", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
+    )
+    shown = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return unkeyed(near.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next"))
