@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillet.functions.scalar import let
 from quillet.schemas import BOX
 
 #: Board units: its width, and the width of an item at scale 1.
@@ -147,11 +148,6 @@ def quad_error(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, distance), F.lit(0.0), lambda s, d: s + d) / 4 / diagonal
 
 
-def let(value: Column, then) -> Column:
-    """``then`` of a value that is worked out once: a lambda's variable, where a plain expression would be copied."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _edges(q: Column) -> Column:
     return F.zip_with(q, _next(q), lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
 

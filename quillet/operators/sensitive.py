@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet import vocab
-from quillet.functions.scalar import B, E, alnum_upper, near_secret, strip_edges, word
+from quillet.functions.scalar import B, E, alnum_upper, let, near_secret, strip_edges, word
 from quillet.operators.lines import group_lines, union_box, with_previous
 
 #: A run of numbers stops once it has so many digits; so it has as many words at most.
@@ -38,32 +38,34 @@ def find_sensitive(words: DataFrame) -> DataFrame:
     lines = with_previous(group_lines(words))
     here = lambda p: F.col("text").rlike(p)
     near = lambda p: F.col("text").rlike(p) | F.col("prev").rlike(p)
-    lines = lines.select("doc_id", "li", "words", near(_LOYALTY).alias("loyal"), here(_LOYALTY).alias("loyal_here"), near(_NUMBERED).alias("numbered"), near(_REFERENCE).alias("referenced"))
+    # Labels are looked up once a line: bound to a variable, so that a pushed filter cannot copy them into the words' lambda.
+    labels = F.struct(near(_LOYALTY).alias("loyal"), here(_LOYALTY).alias("loyal_here"), near(_NUMBERED).alias("numbered"), near(_REFERENCE).alias("referenced"))
 
-    def flag(w: Column, k: Column) -> Column:
-        raw = strip_edges(w["text"])
-        tok = F.upper(raw)
-        run = _run(F.col("words"), k + 1)
+    def number(run: Column, k: Column, label: Column) -> Column:
         n = F.length(run["digits"])
         dated = (n == 8) & run["digits"].rlike(vocab.DATE_SHAPE)
-        number = F.when(F.col("loyal") & (n >= 6), "frequent-flyer").when((n >= 8) & ~dated, "ticket-number").when((n >= 6) & F.col("numbered") & ~dated, "ticket-number")
+        reason = F.when(label["loyal"] & (n >= 6), "frequent-flyer").when((n >= 8) & ~dated, "ticket-number").when((n >= 6) & label["numbered"] & ~dated, "ticket-number")
+        return F.struct(reason.alias("reason"), (k + 1).alias("first"), (k + run["n"]).alias("last"))
+
+    def flag(w: Column, k: Column, label: Column) -> Column:
+        return let(strip_edges(w["text"]), lambda raw: F.when(F.length(raw) >= 4, let(F.upper(raw), lambda tok: of(raw, tok, k, label))))
+
+    def of(raw: Column, tok: Column, k: Column, label: Column) -> Column:
         code = tok.rlike("^[A-Z0-9]{5,8}$") & ~tok.rlike(vocab.DATE_SHAPE) & ~tok.rlike(vocab.SEAT_SHAPE) & ~tok.rlike(vocab.TIME_SHAPE)
-        flown = tok.rlike("^[A-Z]{2}[0-9]{3,4}$") & ~F.col("referenced")
-        mixed = code & tok.rlike("[0-9]") & tok.rlike("[A-Z]") & ~flown
-        letters = code & tok.rlike("^[A-Z]{6}$") & F.col("referenced") & (raw == tok)
-        following = F.coalesce(F.get("words", k + 1)["text"], F.lit(""))
-        prefix = F.col("loyal_here") & following.rlike("^[0-9]{6,}$")
+        flown = tok.rlike("^[A-Z]{2}[0-9]{3,4}$") & ~label["referenced"]
+        mixed = tok.rlike("[0-9]") & code & tok.rlike("[A-Z]") & ~flown
+        letters = label["referenced"] & (raw == tok) & tok.rlike("^[A-Z]{6}$") & code
+        prefix = label["loyal_here"] & F.coalesce(F.get("words", k + 1)["text"], F.lit("")).rlike("^[0-9]{6,}$")
         found = lambda reason, size: F.struct(reason.alias("reason"), (k + 1).alias("first"), (k + size).alias("last"))
-        digits = tok.rlike("^[0-9]+$")
         return (
-            F.when(F.length(tok) < 4, None)
-            .when(digits, found(number, run["n"]))
-            .when(mixed, found(F.when(F.col("loyal"), "frequent-flyer").otherwise("booking-ref"), F.lit(1)))
+            F.when(tok.rlike("^[0-9]+$"), let(_run(F.col("words"), k + 1), lambda run: number(run, k, label)))
+            .when(mixed, found(F.when(label["loyal"], "frequent-flyer").otherwise("booking-ref"), F.lit(1)))
             .when(letters, found(F.lit("booking-ref"), F.lit(1)))
             .when(prefix, found(F.lit("frequent-flyer"), F.lit(2)))
         )
 
-    flagged = lines.withColumn("flags", F.filter(F.transform("words", flag), lambda f: f["reason"].isNotNull()))
+    flags = let(labels, lambda label: F.filter(F.transform("words", lambda w, k: flag(w, k, label)), lambda f: f["reason"].isNotNull()))
+    flagged = lines.withColumn("flags", flags)
     none = F.array().cast("array<struct<reason:string,first:int,last:int>>")
     take = lambda a, f: F.when((F.size(a) == 0) | (f["first"] > F.coalesce(F.get(a, F.size(a) - 1)["last"], F.lit(0))), F.concat(a, F.array(f))).otherwise(a)
     kept = flagged.where(F.size("flags") > 0).select("doc_id", "li", "words", F.explode(F.aggregate("flags", none, take)).alias("f"))

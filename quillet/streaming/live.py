@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillet.operators.boxes import quad_error
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 #: A detection counts from this score; corners within this error stand still; so many still frames fire.
 LEAST_SCORE, STILL_ERROR, STILL_FRAMES = 0.3, 0.015, 6
 
@@ -111,4 +112,4 @@ def debounced(edits: DataFrame, key: str, at: str, seconds: float = 2.5) -> Data
 def intake(spark: SparkSession, folder: str, done: str | None = None) -> DataFrame:
     """A4, A5: files put into a folder, each once; taken files are archived or deleted."""
     clean = {"cleanSource": "archive", "sourceArchiveDir": done} if done else {"cleanSource": "delete"}
-    return spark.readStream.format("binaryFile").options(**clean).load(folder)
+    return spark.readStream.format("binaryFile").schema(FILES).options(**clean).load(folder)
