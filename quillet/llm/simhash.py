@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillet.llm.common import NULL_ID, durable, keyed, mix64, unkeyed, utf8
 
-SMALL, PIECE = 48, 4096
+SMALL, PIECE = 8, 4096
 #: Eight bytes of 0 or 1 for the eight bits of a byte, the highest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64)[:, 0]
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
