@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -34,6 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver find shuffles that no plan refers to any more, so that Spark's cleaner removes their files now and
+    not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(df: DataFrame, name: str = "doc_id") -> DataFrame:
     """With a key that is never null: null becomes NULL_ID."""
     return df.withColumn(name, F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import NULL_ID, _power_tables, durable, mix64, slices, unkeyed, utf8
+from quillet.llm.common import NULL_ID, _power_tables, durable, mix64, release, slices, unkeyed, utf8
 
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # bytes before an anchor, and after its gram
@@ -305,8 +305,10 @@ def covered(held: DataFrame) -> DataFrame:
     rows = anchor_rows(held)
     several = durable(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     known = durable(rows.join(several, "anchor", "left_semi"))
+    release(held.sparkSession)
     # The first of each column comes from one row: the same merges choose them all.
     classes = durable(known.groupBy("anchor", "about").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "at")]))
+    release(held.sparkSession)
     # An anchor with one class has nothing to compare: all its surroundings agree, so all their strings are repeated.
     sole = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
     per = sole.where("classes > 1").select("anchor", F.ceil(F.col("classes") / SHARD_CLASSES).cast("long").alias("shards"), "classes")
@@ -315,11 +317,13 @@ def covered(held: DataFrame) -> DataFrame:
     cut = cut_classes(held, classes.join(per.select("anchor", "shards"), "anchor"))
     part = F.when(F.col("shards") > 1, F.pmod("about", "shards")).otherwise(F.lit(0))
     cut = cut.withColumn("shard", F.when(F.col("shards") > 1, F.xxhash64("anchor", part)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(int(total) // SHARD_CLASSES + 1))))
-    spans = cut.where("shards = 1").groupBy("shard").applyInPandas(repeated_inside, _SPAN)
+    # Many small shards compress to little, which must not bring them together in a few tasks.
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = cut.where("shards = 1").repartition(parts, "shard").groupBy("shard").applyInPandas(repeated_inside, _SPAN)
     if dealt:
-        strings = cut.where("shards > 1").groupBy("shard").applyInPandas(sorted_strings, "run long, anchor long, about long, place int, string long, weight long")
-        parts = int(dealt) * (REACH + 1) // MERGE_ROWS + 1
-        merged = strings.groupBy(F.pmod("string", F.lit(parts)).alias("part")).applyInPandas(merge_runs, _SPAN)
+        strings = cut.where("shards > 1").repartition(parts, "shard").groupBy("shard").applyInPandas(sorted_strings, "run long, anchor long, about long, place int, string long, weight long")
+        merges = int(dealt) * (REACH + 1) // MERGE_ROWS + 1
+        merged = strings.groupBy(F.pmod("string", F.lit(merges)).alias("part")).applyInPandas(merge_runs, _SPAN)
         spans = spans.unionByName(merged)
     whole = alone.select("id", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("from"), (F.col("at") + GRAM + REACH).alias("to"))
     found = known.join(spans, ["anchor", "about"]).select("id", "th", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
