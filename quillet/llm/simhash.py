@@ -218,12 +218,15 @@ def distance_for(similarity: float, bits: int, spread: float = 1.65) -> int:
     return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (of its repeats, the one with the smallest text hash)."""
+def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of texts of that Jaccard similarity (see ``similar``): that of its smallest doc_id (of its
+    repeats, the one with the smallest text hash)."""
+    from quillet.llm import similar
+
     own = docs.columns
-    inner = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
-    groups = near_duplicates(inner.select("doc_id", "text"), **how)
-    firsts = groups.select(F.coalesce("component_id", F.lit(NULL_ID)).alias("id")).distinct()
-    held = inner.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "row").join(firsts, "id", "left_semi")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
+    inner = docs.select(key, F.xxhash64("text").alias("th"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    firsts = similar.firsts(inner.select("id", "th", "text"), shingle, similarity).select("id").distinct()
+    held = inner.select("id", "th", "row").join(firsts, "id", "left_semi")
     one = held.groupBy("id").agg(F.min_by("row", "th").alias("row"))
     return one.select(*[F.col(f"row.`{c}`") for c in own])
