@@ -44,3 +44,31 @@ def kept_of(spark, pairs):
 def test_all_pairs_at_the_threshold_are_found(spark):
     pairs = pairs_at(random.Random(1), 0.8, 0.85, 300)
     assert kept_of(spark, pairs) == {2 * k for k in range(300)}
+
+
+def test_pairs_below_the_threshold_stay(spark):
+    pairs = pairs_at(random.Random(2), 0.70, 0.78, 200)
+    assert len(kept_of(spark, pairs)) == 400
+
+
+def test_components_are_those_of_brute_force(spark, monkeypatch):
+    from quillet.llm import similar
+
+    rng = random.Random(3)
+    texts = ["", None, "one", "One", "a b c d e", "a b c d e f", "a b c d e a b c d e"]
+    for _ in range(4):  # drifting copies: some alike, some not, in blocks of all sizes
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(40):
+            if rng.random() < 0.5:
+                w[rng.randrange(100)] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: rng.randrange(85, 101)]))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and alike(texts[i] or "", texts[j] or "") >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    for small, members in ((8, 4096), (3, 5)):
+        monkeypatch.setattr(similar, "SMALL", small)
+        monkeypatch.setattr(similar, "MEMBERS", members)
+        assert {r["doc_id"] for r in simhash.keep_first(docs_of(spark, enumerate(texts)), **corpus_pipeline.NEAR).collect()} == set(root)
