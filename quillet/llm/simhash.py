@@ -220,13 +220,13 @@ def distance_for(similarity: float, bits: int, spread: float = 1.65) -> int:
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of texts of that Jaccard similarity (see ``similar``): that of its smallest doc_id (of its
-    repeats, the one with the smallest text hash)."""
+    repeats, the one with the smallest text hash). Rows are told apart by doc_id and text: only like texts of an id merge."""
     from quillet.llm import similar
 
     own = docs.columns
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
     inner = docs.select(key, F.xxhash64("text").alias("th"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
-    firsts = similar.firsts(inner.select("id", "th", "text"), shingle, similarity).select("id").distinct()
-    held = inner.select("id", "th", "row").join(firsts, "id", "left_semi")
-    one = held.groupBy("id").agg(F.min_by("row", "th").alias("row"))
+    firsts = similar.firsts(inner.select("id", "th", "text"), shingle, similarity)
+    held = inner.select("id", "th", "row").join(firsts, ["id", "th"], "left_semi")
+    one = held.groupBy("id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return one.select(*[F.col(f"row.`{c}`") for c in own])

@@ -72,3 +72,11 @@ def test_components_are_those_of_brute_force(spark, monkeypatch):
         monkeypatch.setattr(similar, "SMALL", small)
         monkeypatch.setattr(similar, "MEMBERS", members)
         assert {r["doc_id"] for r in simhash.keep_first(docs_of(spark, enumerate(texts)), **corpus_pipeline.NEAR).collect()} == set(root)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    pairs = pairs_at(random.Random(4), 0.9, 0.95, 12)
+    rows = [(None, a) for a, _ in pairs[:6]] + [(7, a) for a, _ in pairs[6:]]
+    near = [(100 + k, b) for k, (_, b) in enumerate(pairs)]  # each near one of the texts above, none near each other
+    got = simhash.keep_first(docs_of(spark, rows + near + rows[:2] + rows[-2:]), **corpus_pipeline.NEAR).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((i or 0, t) for i, t in rows)
