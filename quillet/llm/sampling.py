@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from quillet.llm.common import durable, keyed, unkeyed
 
 SAMPLES, GROUP = 64, 8
-#: Quantiles of a draw's distribution that a hash picks from.
-BINS = 512
+#: Quantiles of a draw's distribution that a hash picks from; of the last ``OUTER``, more bits pick anew, level by level.
+BINS, OUTER, LEVELS = 512, 8, 4
 #: Hash seeds of the samples start here; another value gives other samples.
 SEED = 7919
 
@@ -51,16 +51,31 @@ def _constant(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{x:.6g}" for x in values)), ",").cast("array<double>")
 
 
+def tails() -> np.ndarray:
+    """By level and bin, the share of the distribution that lies beyond: ``LEVELS`` times ``BINS``, each level the outer end of the one before."""
+    inside = 1 - (np.arange(BINS) + 0.5) / BINS
+    return np.concatenate([inside * (OUTER / BINS) ** k for k in range(LEVELS)])
+
+
+def _place(bits: list[Column]) -> Column:
+    """The place in ``tails()`` that the bins of each level say."""
+    place = F.lit(BINS * (LEVELS - 1)) + bits[-1]
+    for k in reversed(range(LEVELS - 1)):
+        place = F.when(bits[k] < BINS - OUTER, F.lit(BINS * k) + bits[k]).otherwise(place)
+    return place
+
+
 def sample(h: Column, log_s: Column) -> Column:
     """One value to take the minimum of: ln a in the high bits, a mark of (k, t) in the low 16.
 
-    h holds the draws: 9 bits pick r and 9 pick c, as quantiles; c in its lowest bin, from which nearly all minima come,
-    is picked anew by 9 more bits; 28 bits are b.
+    h holds the draws: 9 bits pick r and 9 pick c, as quantiles; 28 bits are b. The minima of long texts come from large r
+    and small c, so those ends are picked anew by bits of a second hash, down to shares of 4e-9.
     """
-    p = (np.arange(BINS) + 0.5) / BINS
-    part = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BINS - 1)).cast("int")
-    r = F.get(_constant(gamma_quantiles(p)), part(0))
-    log_c = F.when(part(9) == 0, F.get(_constant(np.log(gamma_quantiles(p / BINS))), part(18))).otherwise(F.get(_constant(np.log(gamma_quantiles(p))), part(9)))
+    beyond = tails()
+    part = lambda x, shift: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(BINS - 1)).cast("int")
+    more = F.xxhash64(h)
+    r = F.get(_constant(gamma_quantiles(1 - beyond)), _place([part(h, 0), *[part(more, 9 * k) for k in range(LEVELS - 1)]]))
+    log_c = F.get(_constant(np.log(gamma_quantiles(beyond))), _place([BINS - 1 - part(h, 9), *[part(more, 9 * k + 27) for k in range(LEVELS - 1)]]))
     b = F.shiftrightunsigned(h, 36) * F.lit(2.0**-28)
     t = F.floor(log_s / r + b)
     log_a = log_c - r * (t + F.lit(1.0) - b)
