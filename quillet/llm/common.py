@@ -65,8 +65,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(buf: np.ndarray, at: np.ndarray, most: int = 4 << 20):
-    """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes each (one row at least)."""
+def slices(buf: np.ndarray, at: np.ndarray, most: int = 1 << 20):
+    """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes each (one row at least): what a worker holds at once."""
     row, n = 0, len(at) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
