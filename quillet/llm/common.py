@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +21,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
+#: Set while a cut point is written: Spark then removes the shuffle files of that job when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may fall back to a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share: ``spark.checkpoint.dir`` or what the session set already. Only a
+    local master may fall back to a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not context.master.startswith("local[") and context.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="quillet-checkpoint-")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
 
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver find shuffles that no plan refers to any more, so that Spark's cleaner removes their files now and
-    not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the folder that all executors share."""
+    _shared(df.sparkSession)
+    with _short_lived_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under that setting
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a Parquet table in the shared folder, for a value that only the block needs: it is deleted after it."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
+    with _short_lived_shuffles(spark):
+        df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keyed(df: DataFrame, name: str = "doc_id") -> DataFrame:

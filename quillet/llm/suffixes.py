@@ -3,22 +3,25 @@
 Equal strings of ``LENGTH`` bytes hold the same anchor at the same place: of the hashes of all ``GRAM``-byte strings
 inside, the least one (its first place, and last place of ties alike). So a repeated string lies within ``REACH`` bytes
 of an anchor that occurs twice, and the exact work needs only the surroundings of such anchors. That choice of places
-loses nothing; the suffix arrays then decide:
-
-1. Anchors of every document, one scan. Surroundings that agree as a whole (two hashes) are one class with its count, so
-   a group of copies costs one row per class, aggregated on the map side.
-2. Classes of anchors that have several fetch their bytes: one occurrence each, cut from the documents. (The one class
-   of an anchor that occurs in two places is repeated as a whole: there is nothing to compare it with.)
-3. Classes are dealt to shards by anchor; an anchor with more than ``SHARD_CLASSES`` classes is dealt to several. A shard
-   sorts all suffixes of its surroundings: a suffix array by Larsson-Sadakane refinement, common prefixes of neighbours by
-   Kasai's rule. Suffixes that share 200 bytes and stand at the same place about the same anchor are one string; if it
-   occurs twice, it is repeated.
-4. Strings of anchors that were dealt to several shards meet again: each shard sends its sorted runs, and a task per
-   anchor part looks the strings of the others up by binary search.
-5. Repeated starts become covered spans per class, go back to all occurrences, and are merged per document.
-
-The shuffles carry anchors (about one per 76 bytes, pre-aggregated), surroundings of repeated anchors only, and the texts
-once by doc_id. A shard holds a bounded number of classes; no task gathers a group of copies.
+loses nothing:
+
+1. Anchors of every document, one scan; those that occur once go. Occurrences whose surroundings agree as a whole (128
+   bits of hashes) are one class, aggregated on the map side. A class with several occurrences is repeated as a whole.
+2. The other classes of an anchor, one occurrence each, are cut from their documents in ``BLOCKS`` pieces, by where
+   strings start. All strings of a piece hold its core; pieces whose core (128-bit digest) no other piece of the anchor
+   has hold no repeated string and go. Pieces with one core are a group; groups are dealt to shards, and a group of more
+   than ``SHARD_PIECES`` is dealt to several.
+3. A shard sorts all suffixes of its pieces: a suffix array by Larsson-Sadakane refinement, common prefixes of neighbours
+   by Kasai's rule. Suffixes that share 200 bytes and stand at the same place of a group are one string; if it occurs
+   twice, it is repeated.
+4. Groups that were dealt to several shards meet again: a shard sends one row per distinct string, a 128-bit digest and,
+   if the shard has met the string once only, where; the sorted runs are merged, and each string is looked up by binary
+   search.
+5. Repeated strings become covered spans of documents, merged per document.
+
+Equality is taken from bytes inside a shard and from 128 bits of hashes elsewhere: two unlike strings among 10^15 agree
+with a probability of about 1e-9. No shard, merging task or row holds more than a bounded number of pieces; no task
+gathers a group of copies. What steps hand on is a table in the shared folder, deleted after its last use.
 
 Defined results: a null text is empty: zero bytes, nothing removed; texts shorter than ``LENGTH`` bytes stay whole; of rows
 that repeat a doc_id each is a document of its own (its place among equal ids by text hash; exact repeats are copies, so
@@ -32,28 +35,34 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import NULL_ID, _power_tables, durable, mix64, release, slices, unkeyed, utf8
+from quillet.llm.common import NULL_ID, _power_tables, durable, kept, mix64, slices, unkeyed, utf8
 
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM  # bytes before an anchor, and after its gram
-SHARD_CLASSES = 1024
-#: Strings that a merging task looks up, about.
-MERGE_ROWS = 200_000
+#: Ranges of string starts about an anchor, from REACH bytes before it to the anchor itself.
+BLOCKS = 4
+WIDTH = -(-(REACH + 1) // BLOCKS)
+#: Pieces that a shard sorts at once, and strings that a merging task looks up at once, about.
+SHARD_PIECES, MERGE_ROWS = 1024, 200_000
 
 
-def rolling(buf: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """A hash of each ``size``-byte string of the buffer."""
-    if len(buf) < size:
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(buf) + 1)
+def prefix_sums(buf: np.ndarray, salt: int) -> np.ndarray:
+    """Of the bytes, each as a 64-bit number of its own, times powers of an odd base."""
+    up, _ = _power_tables(len(buf) + 1)
+    each = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * salt))
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1 + salt)) * up[: len(buf)], out=total[1:])
-    return mix64((total[size:] - total[:-size]) * down[: len(buf) - size + 1])
+    np.cumsum(each[buf] * up[: len(buf)], out=total[1:])
+    return total
+
+
+def hash_ranges(total: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges of bytes that the prefix sums belong to: equal content, equal hash."""
+    _, down = _power_tables(len(total))
+    return mix64((total[high] - total[low]) * down[low])
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -209,125 +218,169 @@ def _starts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), body.alias("body"))
 
 
+_CLASS = ["anchor", "about", "more"]
+
+
 def anchor_rows(held: DataFrame) -> DataFrame:
-    """anchor, about (hash of the surroundings), id, th, at (place of the anchor): one row per anchor."""
+    """anchor, about and more (hashes of the surroundings), id, th, at (place of the anchor): one row per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
-            for first, _, buf, at in slices(*utf8(batch.column("body")), most=1 << 20):
+            for first, _, buf, at in slices(*utf8(batch.column("body"))):
                 if len(buf) < LENGTH:
                     continue
-                grams = rolling(buf, GRAM)
-                up, down = _power_tables(len(buf) + 1)
-                total = np.zeros(len(buf) + 1, np.uint64)
-                np.cumsum((buf.astype(np.uint64) + np.uint64(77)) * up[: len(buf)], out=total[1:])
+                start = np.arange(len(buf) - GRAM + 1)
+                grams = hash_ranges(prefix_sums(buf, 0), start, start + GRAM)
                 place = anchors(grams, REACH + 1)  # windows over two documents add places, and take none away
                 row = np.searchsorted(at, place, "right") - 1
                 own = (place + GRAM <= at[row + 1]) & (at[row + 1] - at[row] >= LENGTH)
                 place, row = place[own], row[own]
                 low, high = np.maximum(place - REACH, at[row]), np.minimum(place + GRAM + REACH, at[row + 1])
-                about = mix64((total[high] - total[low]) * down[low] + mix64((place - low).astype(np.uint64) * np.uint64(4096) + (high - low).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[place].view(np.int64)), pa.array(about.view(np.int64)), pa.array(ids[first + row]), pa.array(ths[first + row]), pa.array((place - at[row]).astype(np.int32))],
-                    ["anchor", "about", "id", "th", "at"],
-                )
-
-    return held.mapInArrow(run, "anchor long, about long, id long, th long, at int")
-
+                shape = mix64(((place - low) * 4096 + (high - low)).astype(np.uint64))
+                about = [hash_ranges(prefix_sums(buf, salt), low, high) ^ shape for salt in (1, 2)]
+                columns = [grams[place].view(np.int64), *(x.view(np.int64) for x in about), ids[first + row], ths[first + row], (place - at[row]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*_CLASS, "id", "th", "at"])
+
+    return held.mapInArrow(run, "anchor long, about long, more long, id long, th long, at int")
+
+
+def cut_pieces(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pieces of the classes (anchor, n, id, th, at): a, b (digest of anchor, block and core), n, id, th, start (of the
+    piece in its document), skip (places of the block before it), bytes."""
+    lists = classes.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "n", "at")).alias("all"))
+    found = held.join(lists, ["id", "th"]).select("id", "th", "body", F.col("all.anchor").alias("anchor"), F.col("all.n").alias("n"), F.col("all.at").alias("at"))
+
+    def cut(body: bytes, anchor: int, at: int) -> Iterator[tuple[bytes, int, int, bytes]]:
+        low, high = max(at - REACH, 0), min(at + LENGTH, len(body))
+        for block in range(BLOCKS):
+            first = at - REACH + block * WIDTH
+            last = min(first + WIDTH - 1, at)
+            if max(first, low) + LENGTH <= high and last >= low:
+                start, core = max(first, low), body[last : first + LENGTH]
+                key = hashlib.blake2b(core, digest_size=16, key=f"{anchor} {block}".encode()).digest()
+                yield key, start, start - first, body[start : min(last + LENGTH, high)]
 
-def cut_classes(held: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted classes (anchor, about, n, shards, id, th, at) with their bytes and the anchor's place in them."""
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "about", "n", "shards", "at")).alias("all"))
-    found = held.join(lists, ["id", "th"]).select("body", F.inline("all"))
-    low = F.greatest(F.col("at") - REACH, F.lit(0))
-    return found.select("anchor", "about", "n", "shards", F.substring("body", low + 1, F.col("at") - low + GRAM + REACH).alias("bytes"), (F.col("at") - low).alias("lead"))
-
-
-_SPAN = "anchor long, about long, from int, to int"
-
-
-def _spans(about: np.ndarray, anchor: np.ndarray, piece: np.ndarray, place: np.ndarray, lead: np.ndarray) -> dict[str, np.ndarray]:
-    """Repeated starts as covered runs per class, counted from the anchor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                body = batch.column("body")[row].as_py()
+                about = [batch.column(c)[row].values.to_pylist() for c in ("anchor", "n", "at")]
+                made = [(n, *x) for anchor, n, at in zip(*about, strict=True) for x in cut(body, anchor, at)]
+                if made:
+                    n, keys, start, skip, pieces = zip(*made, strict=True)
+                    key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                    same = [pa.repeat(batch.column(c)[row], len(made)) for c in ("id", "th")]
+                    numbers = [pa.array(n, pa.int64()), *same, pa.array(start, pa.int32()), pa.array(skip, pa.int32()), pa.array(pieces, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *numbers], ["a", "b", "n", "id", "th", "start", "skip", "bytes"])
+
+    return found.mapInArrow(run, "a long, b long, n long, id long, th long, start int, skip int, bytes binary")
+
+
+def stretches(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[pa.Table]:
+    """Whole groups of rows that agree in ``names``, of sorted batches: about ``most`` rows at a time."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rest = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        opens = np.flatnonzero(np.any([np.diff(rest.column(n).to_numpy()) != 0 for n in names], axis=0)) + 1
+        at = 0
+        while (k := int(np.searchsorted(opens, at + most))) < len(opens):
+            yield rest.slice(at, int(opens[k]) - at)
+            at = int(opens[k])
+        rest = rest.slice(at)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+_FOUND = "a long, b long, weight long, id long, th long, from int, to int"
+
+
+def _found(a: np.ndarray, b: np.ndarray, weight: np.ndarray, of: pa.Table, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    doc = [of.column(c).to_numpy()[row] for c in ("id", "th")]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, weight, *doc, low.astype(np.int32), high.astype(np.int32))], ["a", "b", "weight", "id", "th", "from", "to"])
+
+
+def sort_shard(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of one shard: the covered spans of what it can tell is repeated (weight 0); of groups that are dealt to several
+    shards, a row per distinct string with its digest (weight 1: met once, and where; 2: met several times)."""
+    column = lambda c: rows.column(c).to_numpy()
+    key = np.stack([column(c) for c in ("a", "b", "part")])
+    group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
+    start, n, shards = column("start"), column("n"), column("shards")
+    pieces = rows.column("bytes").to_pylist()
+    piece, place, string, weight = shard_strings(pieces, -column("skip").astype(np.int64), group, n)
     order = np.lexsort((place, piece))
-    piece, place = piece[order], place[order]
-    new = np.ones(len(piece), bool)
-    new[1:] = (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + LENGTH)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(piece)) - 1
-    p = piece[first] if len(piece) else piece
-    return {"anchor": anchor[p], "about": about[p], "from": (place[first] - lead[p]).astype(np.int32), "to": (place[last] + LENGTH - lead[p]).astype(np.int32)}
-
-
-def sort_shard(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Of one shard's classes: their anchors, hashes and leads, then (class, place, string, weight) of their strings."""
-    pdf = pdf.sort_values(["anchor", "about"], kind="stable")
-    names, number = np.unique(pdf["anchor"].to_numpy(), return_inverse=True)
-    lead = pdf["lead"].to_numpy(np.int64)
-    return names[number], pdf["about"].to_numpy(), lead, *shard_strings(pdf["bytes"].tolist(), lead, number, pdf["n"].to_numpy(np.float64))
-
-
-def repeated_inside(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans of a shard that holds whole anchors."""
-    anchor, about, lead, piece, place, string, weight = sort_shard(pdf)
-    twice = weight[string] > 1
-    return pd.DataFrame(_spans(about, anchor, piece[twice], place[twice], lead))
-
-
-def sorted_strings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The strings of a shard that holds a part of an anchor's classes, in order, each with its weight in the shard."""
-    anchor, about, lead, piece, place, string, weight = sort_shard(pdf)
-    raw = pdf.sort_values(["anchor", "about"], kind="stable")["bytes"].tolist()
-    digest = [hashlib.blake2b(raw[p][a : a + LENGTH], digest_size=8).digest() for p, a in zip(piece.tolist(), place.tolist(), strict=True)]
-    s = np.frombuffer(b"".join(digest), "<u8")
-    near = place - lead[piece]
-    s = mix64(s ^ mix64(anchor[piece].view(np.uint64) + near.astype(np.uint64)))
-    frame = {"run": int(pdf["shard"].iloc[0]), "anchor": anchor[piece], "about": about[piece], "place": near.astype(np.int32), "string": s.view(np.int64), "weight": weight[string]}
-    return pd.DataFrame(frame).sort_values("string", kind="stable")
-
-
-def merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans of the strings that several shards' sorted runs, or one, hold more than once; found by binary search."""
-    string = pdf["string"].to_numpy()
-    total = np.zeros(len(pdf), np.int64)
-    for _, rows in pdf.groupby("run", sort=False):
-        run = rows.drop_duplicates("string").sort_values("string")  # a run comes sorted, but the exchange may mix batches
-        at, first = run["string"].to_numpy(), run["weight"].to_numpy()
-        place = np.minimum(np.searchsorted(at, string), len(at) - 1)
-        total += np.where(at[place] == string, first[place], 0)
-    twice = total > 1
-    out = pdf[twice]
-    return pd.DataFrame({"anchor": out["anchor"], "about": out["about"], "from": out["place"], "to": out["place"] + LENGTH}).astype({"from": "int32", "to": "int32"})
+    piece, place, string = piece[order], place[order], string[order]
+    once, twice = n[piece] == 1, weight[string] > 1
+    # Neighbouring starts make one span.
+    p, q = piece[once & twice], place[once & twice]
+    opens = np.ones(len(p), bool)
+    opens[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1] + 1)
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(p))[: len(first)] - 1
+    low = start[p[first]] + q[first]
+    spread = mix64(low.astype(np.uint64) + column("th")[p[first]].view(np.uint64)).view(np.int64)
+    yield _found(spread, np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), rows, p[first], low, start[p[last]] + q[last] + LENGTH)
+    # Of strings that were met more than once (a repeated class counts as such), one stands for all.
+    several = shards[piece] > 1
+    shown = np.zeros(len(piece), bool)
+    shown[np.unique(string, return_index=True)[1]] = True
+    send = np.flatnonzero(several & shown)
+    if len(send):
+        p, q = piece[send], place[send]
+        skip = column("skip")
+        digest = [hashlib.blake2b(pieces[i][k : k + LENGTH], digest_size=16, key=b"%d %d %d" % (*key[:2, i], k + skip[i])).digest() for i, k in zip(p.tolist(), q.tolist(), strict=True)]
+        two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+        yield _found(two[:, 0], two[:, 1], np.minimum(weight[string[send]], 2), rows, p, start[p] + q, start[p] + q + LENGTH)
+
+
+def merge_runs(rows: pa.Table) -> pa.Table:
+    """Spans, and the strings (sorted by digest) whose weights over all runs make them repeated, found by binary search."""
+    a, b, weight = (rows.column(c).to_numpy() for c in ("a", "b", "weight"))
+    low, high = np.searchsorted(a, a, "left"), np.searchsorted(a, a, "right")
+    total = np.concatenate([[0], np.cumsum(weight)])
+    met = total[high] - total[low]
+    for k in np.flatnonzero(b != b[low]):  # half of the digest agrees, the whole does not
+        for j in range(low[k], high[k]):
+            met[j] = weight[low[k] : high[k]][b[low[k] : high[k]] == b[j]].sum()
+    return rows.filter(pa.array((weight == 0) | ((weight == 1) & (met > 1)))).select(["id", "th", "from", "to"]).combine_chunks()
+
+
+def spans_of_pieces(pieces: DataFrame) -> DataFrame:
+    """id, th, from, to: where the strings of the pieces repeat."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = pieces.groupBy("a", "b").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 AND least = 1")
+    groups = groups.select("a", "b", F.ceil(F.col("rows") / SHARD_PIECES).cast("long").alias("shards"))
+    dealt = pieces.join(groups, ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("id", "th", "start"), "shards"))
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches(batches, ["a", "b", "part"], SHARD_PIECES):
+            yield from sort_shard(rows)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches(batches, ["a"], MERGE_ROWS):
+            yield from merge_runs(rows).to_batches()
+
+    # Many small shards compress to little, which must not bring them together in a few tasks: hence the number of parts.
+    found = dealt.repartition(parts, "a", "b", "part").sortWithinPartitions("a", "b", "part").mapInArrow(sort, _FOUND)
+    runs = found.repartition(parts, "a").sortWithinPartitions("a", "b")
+    return runs.mapInArrow(merge, "id long, th long, from int, to int")
 
 
 def covered(held: DataFrame) -> DataFrame:
     """id, th, spans: where the texts of ``held`` (id, th, body) repeat, as (from, to) of bytes."""
     rows = anchor_rows(held)
-    several = durable(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    known = durable(rows.join(several, "anchor", "left_semi"))
-    release(held.sparkSession)
-    # The first of each column comes from one row: the same merges choose them all.
-    classes = durable(known.groupBy("anchor", "about").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "at")]))
-    release(held.sparkSession)
-    # An anchor with one class has nothing to compare: all its surroundings agree, so all their strings are repeated.
-    sole = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
-    per = sole.where("classes > 1").select("anchor", F.ceil(F.col("classes") / SHARD_CLASSES).cast("long").alias("shards"), "classes")
-    alone = known.join(sole.where("classes = 1").select("anchor"), "anchor", "left_semi")
-    total, dealt = per.agg(F.coalesce(F.sum("classes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("shards") > 1, F.col("classes"))), F.lit(0))).collect()[0]
-    cut = cut_classes(held, classes.join(per.select("anchor", "shards"), "anchor"))
-    part = F.when(F.col("shards") > 1, F.pmod("about", "shards")).otherwise(F.lit(0))
-    cut = cut.withColumn("shard", F.when(F.col("shards") > 1, F.xxhash64("anchor", part)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(int(total) // SHARD_CLASSES + 1))))
-    # Many small shards compress to little, which must not bring them together in a few tasks.
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = cut.where("shards = 1").repartition(parts, "shard").groupBy("shard").applyInPandas(repeated_inside, _SPAN)
-    if dealt:
-        strings = cut.where("shards > 1").repartition(parts, "shard").groupBy("shard").applyInPandas(sorted_strings, "run long, anchor long, about long, place int, string long, weight long")
-        merges = int(dealt) * (REACH + 1) // MERGE_ROWS + 1
-        merged = strings.groupBy(F.pmod("string", F.lit(merges)).alias("part")).applyInPandas(merge_runs, _SPAN)
-        spans = spans.unionByName(merged)
-    whole = alone.select("id", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("from"), (F.col("at") + GRAM + REACH).alias("to"))
-    found = known.join(spans, ["anchor", "about"]).select("id", "th", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
-    return found.unionByName(whole).groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    several = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    with kept(rows.join(several, "anchor", "left_semi")) as known:
+        # The first of each column comes from one row: the same merges choose them all.
+        classes = known.groupBy(*_CLASS).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "at")])
+        unlike = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("anchor")
+        with kept(cut_pieces(held, classes.join(unlike, "anchor", "left_semi").select("anchor", "n", "id", "th", "at"))) as pieces:
+            whole = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi")
+            whole = whole.select("id", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("from"), (F.col("at") + LENGTH).alias("to"))
+            spans = spans_of_pieces(pieces).unionByName(whole)
+            return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

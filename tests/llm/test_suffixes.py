@@ -64,10 +64,10 @@ def test_anchors_are_those_of_each_window():
         assert set(suffixes.anchors(h, w).tolist()) == want
 
 
-@pytest.mark.parametrize("shard", [2048, 4])
+@pytest.mark.parametrize("shard", [1024, 2])
 def test_dedup(spark, monkeypatch, shard):
-    monkeypatch.setattr(suffixes, "SHARD_CLASSES", shard)
-    monkeypatch.setattr(suffixes, "MERGE_ROWS", 500)
+    monkeypatch.setattr(suffixes, "SHARD_PIECES", shard)
+    monkeypatch.setattr(suffixes, "MERGE_ROWS", 50)
     rows = [(k, t) for k, t in enumerate(texts(random.Random(7)))] + [(None, "no id " * 60)]
     got = suffixes.dedup(spark.createDataFrame([(i, t, "b", 1, 2) for i, t in rows], DOCS)).drop("kept").collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain(rows), key=str)
