@@ -8,9 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillet import vocab
+from quillet.vocab import B, E
 
-#: Word boundaries of ASCII words, beside a word character.
-B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 FOLD = ("áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 
 
@@ -34,7 +33,10 @@ def fold_accents(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Rules and runs of space out; a shouted line in title case, place codes kept."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[|_~=*]+", " "), r"\s+", " "))
+    return let(F.trim(F.regexp_replace(F.regexp_replace(text, r"[|_~=*]+", " "), r"\s+", " ")), _unshouted)
+
+
+def _unshouted(plain: Column) -> Column:
     up = lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))).otherwise(p)
     title = F.array_join(F.transform(F.split(F.lower(plain), r"(?<![a-z0-9_])(?=[a-z])"), up), "")
     for code in vocab.PLACE_CODES:
@@ -69,9 +71,13 @@ def near_secret(word: Column, secret: Column) -> Column:
 
 def iso_date(y: Column, m: Column, d: Column) -> Column:
     """Calendar check; two-digit years turn at 70; null if impossible."""
-    year = F.when(y < 100, y + F.when(y > 70, 1900).otherwise(2000)).otherwise(y)
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(year.between(1950, 2100) & m.between(1, 12) & d.between(1, 31), F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "yyyy-MM-dd"))
+    year = let(y, lambda y: F.when(y < 100, y + F.when(y > 70, 1900).otherwise(2000)).otherwise(y))
+
+    def checked(v: Column) -> Column:
+        text = F.concat_ws("-", F.lpad(v["y"].cast("string"), 4, "0"), F.lpad(v["m"].cast("string"), 2, "0"), F.lpad(v["d"].cast("string"), 2, "0"))
+        return F.when(v["y"].between(1950, 2100) & v["m"].between(1, 12) & v["d"].between(1, 31), F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "yyyy-MM-dd"))
+
+    return let(F.struct(year.alias("y"), m.alias("m"), d.alias("d")), checked)
 
 
 def month_number(name: Column) -> Column:

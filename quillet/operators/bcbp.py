@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillet import vocab
-from quillet.functions.scalar import drop_zeros, filled, hex_prefix
+from quillet.functions.scalar import drop_zeros, filled, hex_prefix, let
 from quillet.schemas import LEG
 
 LEG_CHARS, FIRST_LEG = 37, 24
@@ -17,7 +17,10 @@ def decode(raw: Column) -> Column:
 
     A leg that is short ends the text; a leg with bad airports or day ends it too, with the legs before it.
     """
-    s = F.regexp_replace(raw, r"\r?\n", "")
+    return let(F.regexp_replace(raw, r"\r?\n", ""), _decode)
+
+
+def _decode(s: Column) -> Column:
     good = (F.length(s) >= 60) & F.substring(s, 1, 1).eqNullSafe(F.lit("M")) & F.substring(s, 2, 1).rlike("^[1-4]$")
     cut = lambda p, a, n: F.substring(s, p + a, F.lit(n))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet import vocab
-from quillet.functions.scalar import B, E, as_date, filled, fold_accents, half_up, iso_date, julian_date, month_number, tidy, word
+from quillet.functions.scalar import B, E, as_date, filled, fold_accents, half_up, iso_date, julian_date, let, month_number, tidy, word
 from quillet.operators import bcbp
 
 _MARK = "\u0001"
@@ -25,15 +25,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(pieces, empty, step, lambda state: state["found"])
 
 
-_YMD = rf"{B}(?:20\d{{2}}|19\d{{2}})[-./]\d{{1,2}}[-./]\d{{1,2}}{E}"
-_DMY = rf"{B}\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}}){E}"
-_DAY_MONTH = rf"{B}\d{{1,2}}\s?[A-Za-z]{{3,9}}\.?\s?(?:\d{{4}}|\d{{2}}){E}"
-_MONTH_DAY = rf"{B}[A-Za-z]{{3,9}}\.?\s\d{{1,2}},?\s\d{{4}}{E}"
-
-
 def find_date(text: Column, as_of) -> Column:
     """K3: the first possible date in the text that is at most 400 days after as_of; empty if none."""
-    t = fold_accents(text)
+    return let(fold_accents(text), lambda t: _first_date(t, as_of))
+
+
+def _first_date(t: Column, as_of) -> Column:
     number = lambda x, p, g: filled(F.regexp_extract(x, p, g)).cast("int")
 
     def ymd(x: Column) -> Column:
@@ -53,7 +50,7 @@ def find_date(text: Column, as_of) -> Column:
         p = r"^([A-Za-z]+)\.?\s(\d{1,2}),?\s(\d{4})$"
         return iso_date(number(x, p, 3), month_number(F.regexp_extract(x, p, 1)), number(x, p, 2))
 
-    families = ((_YMD, ymd), (_DMY, dmy), (_DAY_MONTH, day_month), (_MONTH_DAY, month_day))
+    families = ((vocab.YMD, ymd), (vocab.DMY, dmy), (vocab.DAY_MONTH, day_month), (vocab.MONTH_DAY, month_day))
 
     def candidates(family: int, pattern: str, read) -> Column:
         return F.transform(matches(t, pattern), lambda m: F.struct(m["at"].alias("at"), F.lit(family).alias("family"), read(m["text"]).alias("v")))
@@ -71,22 +68,20 @@ def kind_hits(text: Column) -> dict[str, Column]:
 
 def vote_kind(text: Column) -> Column:
     """K6: struct(kind, hits); the earlier kind wins ties, a bus makes anything but a flight other."""
-    by = kind_hits(text)
-    top = F.greatest(*by.values())
-    kind = F.lit("other")
-    for name in reversed(list(by)):
-        kind = F.when((by[name] == top) & (top > 0), name).otherwise(kind)
-    bus = text.rlike(rf"(?iu){B}bus{E}|autobus|busfahr|ônibus") & (kind != "flight")
-    return F.struct(F.when(bus, "other").otherwise(kind).alias("kind"), top.alias("hits"))
+
+    def vote(by: Column) -> Column:
+        top = F.array_max(by)
+        kind = F.when(top == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, vocab.KIND_WORDS)), F.array_position(by, top).cast("int")))
+        bus = (kind != "flight") & text.rlike(vocab.BUS)
+        return F.struct(F.when(bus, "other").otherwise(kind).alias("kind"), top.alias("hits"))
+
+    return let(F.array(*kind_hits(text).values()), vote)
 
 
 def find_seat(text: Column) -> Column:
     """K5: section, row and seat; coach and seat in columns; coach and seat; a plain seat."""
-    sec = rf"(?is){B}sec(?:tion)?\.?\s*([A-Z0-9]{{1,4}}){E}.*?{B}row\s*([A-Z0-9]{{1,3}}){E}.*?{B}seat\s*([A-Z0-9]{{1,4}}){E}"
-    head = rf"(?i){B}(?:carrozza|coach|wagen|voiture|car){E}\s*/\s*(?:posto|seat|platz|place){E}"
-    below = r"(?:^|\n)\s*(\d{1,2})\s*/\s*(\d{1,3}[A-Z]?)\s*(?:\n|\z)"
-    coach = rf"(?i){B}(?:coach|carrozza|wagen|voiture|car){E}[^\n\d]{{0,24}}(\d{{1,2}})\s*[/,]?\s*(?:seat|posto|platz|place)?\s*[:.]?\s*(\d{{1,3}}[A-Z]?){E}"
-    near, after = rf"(?i){B}seat{E}[^\n\dA-Z]{{0,6}}(\d{{1,3}}[A-K]){E}", rf"(?i){B}seat{E}\s*\n?\s*(\d{{1,3}}[A-K]){E}"
+    sec, head, below, coach = vocab.SECTION_ROW_SEAT, vocab.COACH_SEAT_HEAD, vocab.COACH_SEAT_BELOW, vocab.COACH_SEAT
+    near, after = vocab.SEAT_NEAR, vocab.SEAT_AFTER
     get = lambda p, g: F.regexp_extract(text, p, g)
     return (
         F.when(text.rlike(sec), F.format_string("Sec %s, Row %s, Seat %s", get(sec, 1), get(sec, 2), get(sec, 3)))
@@ -100,32 +95,44 @@ def find_seat(text: Column) -> Column:
 
 def find_route(lines: Column) -> Column:
     """K4: struct(origin, destination) or null, of an array of line texts: an arrow, labelled lines, two place codes."""
-    all_text = F.array_join(lines, "\n")
     clean = lambda s: tidy(F.regexp_replace(s, r"^[^A-Za-z0-9]+|[^A-Za-z0-9.)]+\z", ""))
     pair = lambda a, b: F.struct(a.alias("origin"), b.alias("destination"))
-    arrow = rf"(?i)(?:^|\n)\s*([A-Za-z][A-Za-z .'()-]{{1,30}}?)\s*(?:→|->|=>|>|—|–|{B}to{E})\s*([A-Za-z][A-Za-z .'()-]{{1,30}})\s*(?:\n|\z)"
-    hit = F.regexp_extract(all_text, arrow, 0)
-    by_arrow = F.when((hit != "") & ~hit.rlike(word("seat|gate|date|time")), pair(clean(F.regexp_extract(all_text, arrow, 1)), clean(F.regexp_extract(all_text, arrow, 2))))
+    group = lambda s, p, g: F.regexp_extract(s, p, g)
+
+    def by_arrow(hit: Column) -> Column:
+        return F.when((hit != "") & ~hit.rlike(word(vocab.NO_ROUTE)), pair(clean(group(hit, vocab.ARROW, 1)), clean(group(hit, vocab.ARROW, 2))))
+
+    def by_code(hit: Column) -> Column:
+        one, two = group(hit, vocab.CODE_PAIR, 1), group(hit, vocab.CODE_PAIR, 2)
+        return F.when((hit != "") & (one != two) & ~one.rlike(f"^(?:{vocab.NOT_A_CODE})$"), pair(one, two))
+
+    def head(line: Column, i: Column) -> Column:
+        said = lambda label, words: label["a"].rlike(f"(?i)^(?:{words})$") | label["b"].rlike(f"(?i)^(?:{words})$")
+        label = lambda t: F.struct(t.alias("t"), group(t, vocab.LABELLED, 1).alias("a"), group(t, vocab.LABELLED, 2).alias("b"))
+        flags = lambda l: F.struct(i.alias("i"), l["t"].alias("t"), said(l, vocab.FROM).alias("from"), said(l, vocab.TO).alias("to"))
+        return let(let(F.trim(line), label), flags)
+
+    def place(t: Column) -> Column:
+        return t.rlike("[A-Za-z]{3}") & (F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= F.length(F.regexp_replace(t, r"\s", "")) * 0.6)
+
+    def valued(h: Column) -> Column:
+        below = F.get(F.filter(F.transform(F.slice(lines, h["i"] + 2, F.lit(3)), lambda x: F.trim(x)), place), 0)
+        value = F.coalesce(filled(F.trim(group(h["t"], vocab.LABELLED, 3))), below, F.lit(""))
+        return F.struct(h["i"].alias("i"), value.alias("value"), h["from"].alias("from"), h["to"].alias("to"))
 
-    label = r"^([A-Za-z]+)(?:\s*/\s*([A-Za-z]+))?\s*[:.]?\s*(.*)\z"
-    place = lambda t: t.rlike("[A-Za-z]{3}") & (F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= F.length(F.regexp_replace(t, r"\s", "")) * 0.6)
+    def ends(rows: Column) -> Column:
+        start = F.get(F.filter(rows, lambda r: r["from"]), 0)
 
-    def read(line: Column, i: Column) -> Column:
-        t = F.trim(line)
-        below = F.get(F.filter(F.transform(F.slice(lines, i + 2, F.lit(3)), lambda x: F.trim(x)), place), 0)
-        value = F.coalesce(filled(F.trim(F.regexp_extract(t, label, 3))), below, F.lit(""))
-        said = lambda words: F.regexp_extract(t, label, 1).rlike(f"(?i)^(?:{words})$") | F.regexp_extract(t, label, 2).rlike(f"(?i)^(?:{words})$")
-        return F.struct(i.alias("i"), value.alias("value"), said(vocab.FROM).alias("from"), said(vocab.TO).alias("to"))
+        def with_start(s: Column) -> Column:
+            end = F.get(F.filter(rows, lambda r: r["to"] & ~(r["from"] & (r["i"] <= F.coalesce(s["i"], F.lit(2**30))))), 0)
+            return let(end, lambda e: F.when(s.isNotNull() & e.isNotNull(), pair(clean(s["value"]), clean(e["value"]))))
 
-    rows = F.filter(F.transform(lines, read), lambda r: (r["from"] | r["to"]) & (r["value"] != ""))
-    start = F.get(F.filter(rows, lambda r: r["from"]), 0)
-    end = F.get(F.filter(rows, lambda r: r["to"] & ~(r["from"] & (r["i"] <= F.coalesce(start["i"], F.lit(2**30))))), 0)
-    by_label = F.when(start.isNotNull() & end.isNotNull(), pair(clean(start["value"]), clean(end["value"])))
+        return let(start, with_start)
 
-    codes = rf"{B}([A-Z]{{3}}){E}[^A-Z\n]{{0,12}}{B}([A-Z]{{3}}){E}"
-    one, two = F.regexp_extract(all_text, codes, 1), F.regexp_extract(all_text, codes, 2)
-    by_code = F.when((one != "") & (one != two) & ~one.rlike(f"^(?:{vocab.NOT_A_CODE})$"), pair(one, two))
-    return F.coalesce(by_arrow, by_label, by_code)
+    heads = F.filter(F.transform(lines, head), lambda h: h["from"] | h["to"])
+    by_label = let(F.filter(F.transform(heads, valued), lambda r: r["value"] != ""), ends)
+    found = lambda t: F.coalesce(let(group(t, vocab.ARROW, 0), by_arrow), by_label, let(group(t, vocab.CODE_PAIR, 0), by_code))
+    return let(F.array_join(lines, "\n"), found)
 
 
 def confidence(fields: Column, sources: Column) -> Column:
@@ -163,15 +170,15 @@ def parse_tickets(pages: DataFrame, as_of) -> DataFrame:
     text_of = lambda l: l["text"]
     in_route = lambda t: F.exists(F.array("origin", "destination"), lambda p: (p != "") & F.contains(F.lower(t), F.lower(p)))
     sure = lambda l: (l["conf"] >= 75) & text_of(l).rlike("[A-Za-z]{3,}") & ~F.trim(text_of(l)).rlike(f"(?i)^(?:{vocab.BOILERPLATE})$")
-    shown = lambda l: text_of(l).rlike("[A-Za-z]{3}") & (F.length(text_of(l)) <= 40) & ~in_route(text_of(l)) & ~text_of(l).rlike(rf"(?i)^(?:from|to|date|time|seat|gate|flight){E}") & ~F.trim(text_of(l)).rlike(r"^[A-Za-z]+\s*/\s*[A-Za-z]+$")
+    shown = lambda l: text_of(l).rlike("[A-Za-z]{3}") & (F.length(text_of(l)) <= 40) & ~in_route(text_of(l)) & ~text_of(l).rlike(rf"(?i)^(?:{vocab.NO_TITLE}){E}") & ~F.trim(text_of(l)).rlike(r"^[A-Za-z]+\s*/\s*[A-Za-z]+$")
     tall = F.array_sort(F.transform(F.filter("lines", shown), lambda l: F.struct((-l["height"]).alias("down"), l["li"].alias("li"), l["text"].alias("text"), l["conf"].alias("conf"))))
     r = r.withColumn("tall", tall)
     venue = F.get(F.filter("lines", lambda l: text_of(l).rlike(word(vocab.VENUE))), 0)
     brand = F.get(F.filter("lines", lambda l: text_of(l).rlike(word(vocab.BRAND)) & (F.length(text_of(l)) <= 40)), 0)
     r = r.withColumns({"venue": venue, "brand": brand})
-    act = F.get(F.filter("tall", lambda l: ~l["li"].eqNullSafe(F.col("venue.li")) & sure(l) & ~text_of(l).rlike(word("admit|presents|ticket|no refunds?|general"))), 0)
+    act = F.get(F.filter("tall", lambda l: ~l["li"].eqNullSafe(F.col("venue.li")) & sure(l) & ~text_of(l).rlike(word(vocab.NO_ACT))), 0)
     solid = F.get(F.filter("tall", lambda l: sure(l) & (l["conf"] >= 80) & text_of(l).rlike("[A-Za-z]{4,}") & ~text_of(l).rlike(r"\d{2}")), 0)
-    flight = rf"{B}([A-Z]{{2}}|[A-Z]\d|\d[A-Z])\s?0*(\d{{2,4}}){E}"
+    flight = vocab.FLIGHT_NUMBER
     flown = F.when((F.col("type") == "flight") & (F.regexp_extract("text", flight, 0) != ""), F.concat_ws(" ", F.regexp_extract("text", flight, 1), F.regexp_extract("text", flight, 2)))
     event = F.col("type") == "event"
     branded = tidy(F.regexp_replace(F.col("brand.text"), rf"(?i)\s*{B}(?:{vocab.BRAND_TAIL}){E}.*\z", ""))

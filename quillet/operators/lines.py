@@ -11,9 +11,10 @@ from quillet.functions.scalar import upper_median
 def words_of_text(docs: DataFrame, text: str = "text", conf: float = 95.0) -> DataFrame:
     """Synthetic words of plain text: lines at line ends, words at spaces; boxes by character counts.
 
-    x advances by 12 per character plus 10 a word, y by 40 a line; words are 24 high.
+    x advances by 12 per character plus 10 a word, y by 40 a line; words are 24 high. The texts are dealt by document
+    before they come apart, so that windows and groups by document or line move no words.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("li", "line_text"))
+    lines = docs.select("doc_id", F.col(text).alias("text")).repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line_text"))
     sized = lines.select("doc_id", "li", F.split("line_text", " ").alias("ws"))
     # Width before each word: characters and gaps so far, from the joined prefix of the line.
     at = F.transform("ws", lambda w, k: F.struct(w.alias("text"), k.alias("k"), F.length(w).alias("n")))
@@ -34,7 +35,8 @@ def readable(words: DataFrame, least: float = 20.0) -> DataFrame:
 def group_lines(words: DataFrame) -> DataFrame:
     """doc_id, li (order of first appearance), line, text, height (upper median), words sorted by x.
 
-    One shuffle by document: lines are numbered by the first of their words.
+    Lines are numbered by the first of their words. Words that are dealt by document already, as ``words_of_text`` does,
+    are not moved again.
     """
     part = words.where(F.trim("text") != "")
     entry = F.struct("x", "ord", "text", "conf", "y", "w", "h")

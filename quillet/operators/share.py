@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet import vocab
+from quillet.functions.scalar import let
 from quillet.schemas import MANIFEST
 
 # Longest texts of a shared ticket.
@@ -23,6 +24,10 @@ def _asset_ok(a: Column) -> Column:
 
 def manifest_faults(title: Column, m: Column) -> Column:
     """Array of what is wrong, empty if nothing; the first three are what a caller is told (H9)."""
+    return let(m, lambda m: _faults(title, m))
+
+
+def _faults(title: Column, m: Column) -> Column:
     true = lambda c: F.coalesce(c, F.lit(False))
     every = lambda field, ok: F.forall(m[field], lambda x: true(ok(x)))
     checks = {
