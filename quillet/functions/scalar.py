@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +11,21 @@ from pyspark.sql import functions as F
 from quillet import vocab
 from quillet.vocab import B, E
 
-FOLD = ("áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+#: What NFD parts from its base letter.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folds() -> tuple[str, str]:
+    """Every letter that NFD makes of one base letter and marks, and the bases; then the marks, which go."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(m in MARKS for m in parts[1:]):
+            pairs[chr(code)] = parts[0]
+    return "".join(pairs) + MARKS, "".join(pairs.values())
+
+
+FOLD = _folds()
 
 
 def word(pattern: str, flags: str = "(?i)") -> str:
@@ -27,7 +42,7 @@ def as_date(day: str | dt.date | Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Base letters for accented ones."""
+    """Base letters for accented Latin, Greek and Cyrillic ones, composed or not: NFD without its marks."""
     return F.translate(text, *FOLD)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,11 @@ def pad(box: Column, share: float = 0.35, width: float | None = None, height: fl
 
 
 def blur_pad(box: Column, reason: Column, width: Column, height: Column) -> Column:
-    """8% of the short side for codes, 40% of the height for text; inside the image."""
+    """8% of the short side for codes, 40% of the height for text; whole pixels, inside the image."""
     p = F.when(reason == "barcode", F.least(box["w"], box["h"]) * 0.08).otherwise(box["h"] * 0.4)
-    x, y = F.greatest(F.lit(0.0), box["x"] - p), F.greatest(F.lit(0.0), box["y"] - p)
-    return F.struct(x.alias("x"), y.alias("y"), (F.least(width, box["x"] + box["w"] + p) - x).alias("w"), (F.least(height, box["y"] + box["h"] + p) - y).alias("h"))
+    low = lambda c: F.greatest(F.lit(0.0), F.floor(box[c] - p).cast("double"))
+    high = lambda c, size, most: F.least(most.cast("double"), F.ceil(box[c] + box[size] + p).cast("double"))
+    return F.struct(low("x").alias("x"), low("y").alias("y"), (high("x", "w", width) - low("x")).alias("w"), (high("y", "h", height) - low("y")).alias("h"))
 
 
 def manual_box_ok(box: Column) -> Column:
@@ -65,15 +67,23 @@ def manual_box_ok(box: Column) -> Column:
     return (box["w"] > 8) & (box["h"] > 8)
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, least: float, cell: float = 128.0) -> DataFrame:
     """Pairs of boxes (key, id, box) of one document that overlap by more than ``least`` of the smaller one.
 
-    Equality on the key makes it a hash or sort-merge join; the interval conditions are its residual.
+    Boxes meet by key and grid cell, so that a key with many boxes does not meet itself as a whole. A pair is found in each
+    cell that both reach into, and kept in the one that holds the upper left corner of what they share.
     """
-    a, b = left.select(key, F.col("id").alias("a"), F.col("box").alias("box_a")), right.select(key, F.col("id").alias("b"), F.col("box").alias("box_b"))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        box = F.col("box")
+        span = lambda c, size: F.sequence(F.floor(box[c] / cell), F.floor((box[c] + box[size]) / cell))
+        rows = df.select(key, F.col("id").alias(side), box.alias(f"box_{side}"), F.explode(span("x", "w")).alias("cx"), span("y", "h").alias("ys"))
+        return rows.select(key, side, f"box_{side}", "cx", F.explode("ys").alias("cy"))
+
     x, y = F.col("box_a"), F.col("box_b")
     meet = (x["x"] < y["x"] + y["w"]) & (y["x"] < x["x"] + x["w"]) & (x["y"] < y["y"] + y["h"]) & (y["y"] < x["y"] + x["h"])
-    return a.join(b, key).where(meet & (overlap_ratio(x, y) > least))
+    home = (F.floor(F.greatest(x["x"], y["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(x["y"], y["y"]) / cell) == F.col("cy"))
+    return dealt(left, "a").join(dealt(right, "b"), [key, "cx", "cy"]).where(meet & home & (overlap_ratio(x, y) > least)).drop("cx", "cy")
 
 
 def first_come(boxes: Column, most: float = 0.6) -> Column:
@@ -161,21 +171,53 @@ def inside_quad(q: Column, x: Column, y: Column) -> Column:
     return let(_edges(q), lambda e: _inside(e, x, y))
 
 
+def _oriented(q: Column) -> Column:
+    """Edges, turned so that the inside lies at their positive side."""
+    around = F.aggregate(F.zip_with(q, _next(q), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, c: s + c)
+    way = F.when(around < 0, -1.0).otherwise(1.0)
+    turned = lambda w: F.transform(_edges(q), lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), (e["dx"] * w).alias("dx"), (e["dy"] * w).alias("dy")))
+    return let(way, turned)
+
+
+def _reach(edges: Column, x: Column) -> Column:
+    """struct(lo, hi): the y of a convex polygon at x; lo above hi where there are none."""
+    bound = lambda e: e["y"] + e["dy"] * (x - e["x"]) / e["dx"]
+    low = F.array_max(F.transform(F.filter(edges, lambda e: e["dx"] > 0), bound))
+    high = F.array_min(F.transform(F.filter(edges, lambda e: e["dx"] < 0), bound))
+    out = F.exists(edges, lambda e: (e["dx"] == 0) & (e["dy"] * (x - e["x"]) > 0))
+    return F.struct(F.when(out, math.inf).otherwise(F.coalesce(low, F.lit(math.inf))).alias("lo"), F.coalesce(high, F.lit(-math.inf)).alias("hi"))
+
+
 def quad_iou(a: Column, b: Column, n: int = 160) -> Column:
-    """Over a grid of n x n points of the common bounds; the grid is an array of the row, not a join."""
+    """Over a grid of n x n points of the common bounds, of convex quads.
+
+    A column of the grid meets a convex quad in one run of points, so a row costs n columns, not n x n points.
+    """
     both = F.concat(a, b)
     frame = F.struct(
-        F.array_min(both["x"]).alias("x0"), F.array_max(both["x"]).alias("x1"), F.array_min(both["y"]).alias("y0"), F.array_max(both["y"]).alias("y1"), _edges(a).alias("a"), _edges(b).alias("b")
+        F.array_min(both["x"]).alias("x0"), F.array_max(both["x"]).alias("x1"), F.array_min(both["y"]).alias("y0"), F.array_max(both["y"]).alias("y1"), _oriented(a).alias("a"), _oriented(b).alias("b")
     )
 
     def share(f: Column) -> Column:
-        def at(k: Column) -> Column:
-            x = f["x0"] + (F.floor(k / n) + 0.5) / n * (f["x1"] - f["x0"])
-            y = f["y0"] + (k % n + 0.5) / n * (f["y1"] - f["y0"])
-            return F.struct(_inside(f["a"], x, y).alias("a"), _inside(f["b"], x, y).alias("b"))
-
-        hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), at), lambda p: p["a"] | p["b"])
-        return let(hits, lambda h: F.when(F.size(h) > 0, F.size(F.filter(h, lambda p: p["a"] & p["b"])) / F.size(h)).otherwise(0.0))
+        place = lambda y: (y - f["y0"]) / (f["y1"] - f["y0"]) * n - 0.5
+
+        def points(lo: Column, hi: Column) -> Column:
+            first, last = F.ceil(F.greatest(place(lo), F.lit(0.0))), F.floor(F.least(place(hi), F.lit(n - 1.0)))
+            return F.when(lo > hi, 0).otherwise(F.greatest(F.lit(0), last - first + 1))
+
+        def column(k: Column) -> Column:
+            x = f["x0"] + (k + 0.5) / n * (f["x1"] - f["x0"])
+            counted = lambda r: F.struct(
+                points(F.greatest(r["a"]["lo"], r["b"]["lo"]), F.least(r["a"]["hi"], r["b"]["hi"])).alias("common"), (points(r["a"]["lo"], r["a"]["hi"]) + points(r["b"]["lo"], r["b"]["hi"])).alias("each")
+            )
+            return let(F.struct(_reach(f["a"], x).alias("a"), _reach(f["b"], x).alias("b")), counted)
+
+        total = F.aggregate(
+            F.transform(F.sequence(F.lit(0), F.lit(n - 1)), column),
+            F.struct(F.lit(0).cast("long").alias("common"), F.lit(0).cast("long").alias("each")),
+            lambda s, c: F.struct((s["common"] + c["common"]).alias("common"), (s["each"] + c["each"]).alias("each")),
+        )
+        return let(total, lambda t: F.when(t["each"] > 0, t["common"] / (t["each"] - t["common"])).otherwise(0.0))
 
     return let(frame, share)
 
@@ -203,5 +245,3 @@ def board_height(bottom: Column, least: float = 700.0) -> Column:
 def fit_zoom(x0: Column, y0: Column, x1: Column, y1: Column, width: float, height: float, fit: float) -> Column:
     """F8: aggregate: zoom that shows all items with a margin of 30, at most 2.2 times the given fit."""
     return F.least(F.lit(width) / (F.max(x1) - F.min(x0) + 60), F.lit(height) / (F.max(y1) - F.min(y0) + 60), F.lit(2.2 * fit))
-
-

@@ -105,9 +105,35 @@ def ingest_assets(uploads: DataFrame, shares: DataFrame, assets: DataFrame) -> D
 
 
 def insert_new(rows: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """On conflict do nothing: the first row of each key that is not stored; counts move before rows do."""
-    first = rows.groupBy(*keys).agg(F.min(order).alias(order))
-    return rows.join(first, [*keys, order], "left_semi").join(stored.select(*keys), keys, "left_anti")
+    """On conflict do nothing: one row of each key that is not stored, the first by ``order`` and then by its text; the
+    others are dropped on the map side."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.groupBy(*keys).agg(F.min_by(row, F.struct(order, F.to_json(row))).alias("row"))
+    return first.select(*[F.col(f"row.`{c}`") for c in rows.columns]).join(stored.select(*keys), keys, "left_anti")
+
+
+def publish(shares: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The shares after the requests, and what each request came to.
+
+    ``requests``: id, token (null for a first one), owner_hash, title, manifest, seq, fresh (a token not in use). A request
+    for a known token of its owner replaces title and manifest, the last by ``seq``; one for a token that is gone, or that
+    has none, adds a share under its fresh token; one for another owner's token is refused (403) and changes nothing.
+    """
+    held = shares.select("token", F.col("owner_hash").alias("holder"), F.col("created_at").alias("born"))
+    met = requests.join(held, "token", "left")
+    known = F.col("holder").isNotNull()
+    status = F.when(known & ~F.col("holder").eqNullSafe(F.col("owner_hash")), 403).when(known, 200).otherwise(201)
+    outcome = met.select("id", status.alias("status"), F.when(known, F.col("token")).otherwise(F.col("fresh")).alias("used"), "owner_hash", "title", "manifest", "seq", "born")
+    done = outcome.where("status <> 403")
+    last = done.groupBy(F.col("used").alias("token")).agg(F.max_by(F.struct("owner_hash", "title", "manifest", "born"), F.struct("seq", "id")).alias("r"))
+    new = last.select("token", "r.owner_hash", "r.title", "r.manifest", F.coalesce("r.born", now).alias("created_at"), now.alias("updated_at"))
+    return shares.join(new.select("token"), "token", "left_anti").unionByName(new.select(*shares.columns)), outcome.select("id", "status", F.when(F.col("status") != 403, F.col("used")).alias("token"))
+
+
+def add_event(events: DataFrame, key: str, now: Column) -> DataFrame:
+    """The events with one more row."""
+    one = events.sparkSession.range(1).select(F.lit(key).alias("key"), now.alias("at"))
+    return events.unionByName(one.select(*events.columns))
 
 
 def delete_shares(shares: DataFrame, assets: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
-"""Owner-side tables: lookups, upserts, joins, cascades, migrations."""
+"""Owner-side tables: lookups, upserts, joins, cascades, migrations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions.scalar import as_date, filled
@@ -21,14 +21,35 @@ def newest_first(collages: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """B1, B2: new rows replace old ones of their key, the last new row (by ``seq`` if there is one) wins.
+    """B1: new rows replace old ones of their key. Of new rows with one key the last wins: by ``seq`` if there is one, then
+    by the row's text, so that reruns agree; the rest are dropped on the map side.
 
     Old rows without a new one keep their place by an anti-join: only keys of the new side are compared.
     """
-    if "seq" in new.columns:
-        last = Window.partitionBy(*keys).orderBy(F.desc("seq"))
-        new = new.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "seq")
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    order = [F.col("seq")] if "seq" in new.columns else []
+    row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+    last = new.groupBy(*keys).agg(F.max_by(row, F.struct(*order, F.to_json(row))).alias("row"))
+    last = last.select(*[F.col(f"row.`{c}`") for c in new.columns if c != "seq"])
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+def put_placements(collages: DataFrame, placements: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """B2: the collages, touched where they get a placement, and the placements with the new ones (collage_id, ticket_id,
+    ..., seq) in place of old ones."""
+    hit = new.select(F.col("collage_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    touched = collages.join(hit, "id", "left").withColumn("updated_at", F.when(F.col("hit"), now).otherwise(F.col("updated_at"))).select(*collages.columns)
+    return touched, upsert(placements, new, ["collage_id", "ticket_id"])
+
+
+def plain_placements(placements: DataFrame) -> DataFrame:
+    """As they are shared, without the collage's id."""
+    return placements.drop("collage_id")
+
+
+def aspects(placements: DataFrame, tickets: DataFrame, default: float = 0.4) -> DataFrame:
+    """Placements with the aspect of their ticket (id, aspect), ``default`` if it is not known."""
+    known = tickets.select(F.col("id").alias("ticket_id"), "aspect")
+    return placements.join(known, "ticket_id", "left").withColumn("aspect", F.coalesce("aspect", F.lit(default)))
 
 
 def latest_versions(images: DataFrame) -> DataFrame:
@@ -73,7 +94,7 @@ def recent_trip(dates: Column, as_of) -> Column:
 
 
 def placed_tickets(placements: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Placements with their tickets; dangling ones drop out."""
+    """Placements with their tickets; dangling ones drop out."""
     return placements.join(tickets.withColumnRenamed("id", "ticket_id"), "ticket_id")
 
 
@@ -81,7 +102,7 @@ def collage_contents(collages: DataFrame, placements: DataFrame, tickets: DataFr
     """Every collage with its ticket ids in layer order; empty ones with an empty list."""
     inside = placements.join(tickets.select(F.col("id").alias("ticket_id")), "ticket_id", "left_semi")
     lists = inside.groupBy("collage_id").agg(F.array_sort(F.collect_list(F.struct("z", "ticket_id"))).alias("items"))
-    return collages.join(lists.withColumnRenamed("collage_id", "id"), "id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<z:int,ticket_id:string>>")))
+    return collages.join(lists.withColumnRenamed("collage_id", "id"), "id", "left").withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
 
 
 def publishable(placements: DataFrame, tickets: DataFrame, images: DataFrame) -> DataFrame:

@@ -109,11 +109,14 @@ def k1_pass_round_trip(spark, sf_dir):
     return read.select("o_orderkey", "name", "leg.*", "n_legs")
 
 
+_JULIAN_SQL = """d AS (SELECT o_orderkey, dayofyear(o_orderdate) AS day FROM orders),
+    c AS (SELECT o_orderkey, day, make_date((2001 - b)::INT, 1, 1) + (day - 1)::INT AS v, 2001 - b AS y FROM d, range(0, 10) AS r(b)),
+    j AS (SELECT o_orderkey, strftime(max(v), '%Y-%m-%d') AS date FROM c WHERE v <= DATE '2001-09-30' AND (day <> 366 OR (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) GROUP BY o_orderkey)"""
+
+
 @query(
     "k2_day_of_year",
-    """WITH d AS (SELECT o_orderkey, dayofyear(o_orderdate) AS day FROM orders),
-    c AS (SELECT o_orderkey, day, make_date((2001 - b)::INT, 1, 1) + (day - 1)::INT AS v, 2001 - b AS y FROM d, range(0, 10) AS r(b))
-    SELECT o_orderkey, strftime(max(v), '%Y-%m-%d') AS date FROM c WHERE v <= DATE '2001-09-30' AND (day <> 366 OR (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) GROUP BY o_orderkey""",
+    f"WITH {_JULIAN_SQL} SELECT o_orderkey, date FROM j",
 )
 def k2_day_of_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalar.julian_date(F.dayofyear("o_orderdate"), AS_OF).alias("date"))
@@ -178,10 +181,10 @@ def k6_kind_vote(spark, sf_dir):
 
 @query(
     "k8_parse_tickets",
-    f"""WITH {_PASSES_SQL} SELECT o_orderkey AS doc_id, 'flight' AS type, origin, destination, strftime(day, '%Y-%m-%d') AS date,
+    f"""WITH {_PASSES_SQL}, {_JULIAN_SQL} SELECT o_orderkey AS doc_id, 'flight' AS type, origin, destination, date,
       CASE carrier WHEN 'BA' THEN 'British Airways' WHEN 'LH' THEN 'Lufthansa' ELSE 'Northwind Air' END AS carrier, seat, carrier || ' ' || flight AS title,
       CASE carrier WHEN 'QX' THEN 0.93 ELSE 1.0 END::DOUBLE AS confidence, CASE carrier WHEN 'QX' THEN 'text' ELSE 'barcode' END AS carrier_from
-    FROM p WHERE day > DATE '2000-09-30'""",
+    FROM p JOIN j USING (o_orderkey)""",
 )
 def k8_parse_tickets(spark, sf_dir):
     p = _passes(spark, sf_dir)
@@ -357,9 +360,7 @@ def n3_admission(spark, sf_dir):
     """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events""",
 )
 def f2_trailing_count(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    hour = Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_599_999_999, 0)
-    return e.select("event_id", F.count("*").over(hour).alias("n"))
+    return live.trailing_count(table(spark, sf_dir, "events"), "event_type", "ts", 3600).select("event_id", "n")
 
 
 @query(
@@ -433,7 +434,7 @@ def l9_polygon_area(spark, sf_dir):
 @query(
     "l11_quad_iou",
     """WITH q AS (SELECT p_partkey, (p_partkey % 40)::DOUBLE AS dx, 100.0 + p_size AS w, 60.0 AS h FROM part),
-    g AS (SELECT p_partkey, dx, w, h, (i + 0.5) / 20 * (w + dx) AS x FROM q, range(0, 20) AS r(i)),
+    g AS (SELECT p_partkey, dx, w, h, (i + 0.5) / 160 * (w + dx) AS x FROM q, range(0, 160) AS r(i)),
     c AS (SELECT p_partkey, count(*) FILTER (WHERE x <= w AND x >= dx) AS common, count(*) AS n FROM g WHERE x <= w OR x >= dx GROUP BY p_partkey)
     SELECT p_partkey, round(common / n, 9) AS iou FROM c""",
 )
@@ -442,7 +443,7 @@ def l11_quad_iou(spark, sf_dir):
     at = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
     box = lambda x: F.array(at(x, 0.0), at(x + w, 0.0), at(x + w, 60.0), at(x, 60.0))
     quads = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), box(F.lit(0.0)).alias("found"), box((F.col("p_partkey") % 40).cast("double")).alias("truth"))
-    return evaluate.score_quads(quads, 20).select(F.col("id").alias("p_partkey"), F.round("iou", 9).alias("iou"))
+    return evaluate.score_quads(quads).select(F.col("id").alias("p_partkey"), F.round("iou", 9).alias("iou"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 BOX = "struct<x:double,y:double,w:double,h:double>"
 FIELDS = "struct<type:string,title:string,origin:string,destination:string,date:string,carrier:string,seat:string>"
 OCR_WORDS = "doc_id long, ord int, text string, conf double, line int, x double, y double, w double, h double"
-BARCODES = "doc_id long, format string, text string, corners array<struct<x:double,y:double>>"
+BARCODES = "doc_id long, ord int, is_valid boolean, format string, text string, corners array<struct<x:double,y:double>>"
 LEG = "struct<pnr:string,from:string,to:string,carrier:string,flight:string,julian:int,cabin:string,seat:string>"
 ASSET = "struct<hash:string,w:int,h:int>"
 MANIFEST = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.schemas import BARCODES, OCR_WORDS
@@ -19,16 +19,18 @@ def files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return found.withColumn("mode", file_mode(F.col("path"), F.lit(""))).orderBy("path")
 
 
-def ocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """Words that a reader has left as JSON lines."""
-    return spark.read.schema(OCR_WORDS).json(path)
+def ocr_words(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
+    """Words that a reader has left as JSON lines; boxes are divided by the ``scale`` at which it read."""
+    words = spark.read.schema(OCR_WORDS).json(path)
+    return words.withColumns({c: F.col(c) / scale for c in ("x", "y", "w", "h")})
 
 
 def barcodes(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
-    """Decoded symbols with text, at most ``most`` of a document (by text)."""
-    read = spark.read.schema(BARCODES).json(path).where("text IS NOT NULL AND text <> ''")
-    packed = read.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("text", "format", "corners"))), 1, most).alias("all"))
-    return packed.select("doc_id", F.inline("all"))
+    """Valid decoded symbols, the first ``most`` of a document in the order in which they were decoded (``ord``),
+    so that whoever takes the first takes the decoder's first."""
+    read = spark.read.schema(BARCODES).json(path).where("coalesce(is_valid, true) AND text IS NOT NULL AND text <> ''")
+    order = Window.partitionBy("doc_id").orderBy("ord", "text")
+    return read.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn", "is_valid")
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:

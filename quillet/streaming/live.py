@@ -1,13 +1,14 @@
 """Streams and their batch forms: still streaks (N1, N2, G3), rate limits (N3, N4, F2), debounce (N5), intake (A4, A5).
 
 The batch forms take a bounded table; the stream forms keep the same state per key with transformWithState and drop it by
-time to live. Both fold one key's events in time order, so their results agree.
+timers in event time. Both fold one key's events in time order, so their results agree on events that come in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,33 +55,108 @@ def prune(events: DataFrame, at: str, now: Column, days: int = 1) -> DataFrame:
     return events.where(F.col(at) >= now - F.make_dt_interval(F.lit(days)))
 
 
+def trailing_count(events: DataFrame, key: str, at: str, seconds: int, bucket_seconds: int | None = None) -> DataFrame:
+    """the events with ``n``, how many of their key lie in the ``seconds`` up to each (the start is out).
+
+    Time is cut in buckets, of 24 spans if not said: an event is counted in its bucket, and again in the next one if it
+    reaches into it, so that a hot key is many groups and 1/24 more rows.
+    """
+    span = seconds * 1_000_000
+    size = bucket_seconds * 1_000_000 if bucket_seconds else 24 * span
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    own = F.floor(us / size)
+    reached = F.sequence(own, F.floor((us + span - 1) / size))
+    dealt = events.withColumn("_us", us).withColumn("_bucket", F.explode(reached))
+    near = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(1 - span, 0)
+    counted = dealt.withColumn("n", F.count("*").over(near)).where(F.col("_bucket") == F.floor(F.col("_us") / size))
+    return counted.drop("_us", "_bucket")
+
+
 class Limiter(StatefulProcessor):
-    """N3 as a stream: rows (key, at) in, (key, at, admitted) out; the state lives as long as the window."""
+    """N3 as a stream: rows (key, at) in, (key, at, admitted) out. The state is the last admitted times, and a timer in event
+    time drops it once no event that the watermark lets through can lie within its window."""
 
     def __init__(self, limit: int, minutes: int) -> None:
-        self.limit, self.span = limit, minutes * 60.0
+        self.limit, self.span = limit, minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "at double", ttlDurationMs=int(self.span * 1000))
+        self.handle = handle
+        self.kept = handle.getListState("kept", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [r[0] for r in self.kept.get()]
-        out = []
-        for at in sorted(t for pdf in rows for t in pdf["at"]):
-            now = at.timestamp()
-            kept = [t for t in kept if t > now - self.span]
-            ok = len(kept) < self.limit
-            kept += [now] if ok else []
-            out.append((key[0], at, ok))
+        times = sorted(t for pdf in rows for t in pdf["at"])
+        admitted = []
+        for at in times:
+            us = at.value // 1000
+            kept = [t for t in kept if t > us - self.span]
+            admitted.append(len(kept) < self.limit)
+            if admitted[-1]:
+                kept.append(us)
         self.kept.put([(t,) for t in kept])
-        yield pd.DataFrame(out, columns=["key", "at", "admitted"])
+        if kept:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((max(kept) + self.span) // 1000 + 1)
+        yield pd.DataFrame({"key": key[0], "at": times, "admitted": admitted})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(events: DataFrame, limit: int, minutes: int, late: str = "0 seconds") -> DataFrame:
+    """A stream of (key, at) with what was admitted; events later than ``late`` behind the newest are dropped."""
+    return events.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Limiter(limit, minutes), "key string, at timestamp, admitted boolean", "Append", "EventTime")
+
+
+class StillStreak(StatefulProcessor):
+    """N1, N2 as a stream: frames in, (camera_id, ts, streak, fires) out; state: the last corners, the streak, whether fired."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "corners array<double>, streak int, fired boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, streak, fired = self.state.get() if self.state.exists() else (None, 0, False)
+        frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        out = []
+        for ts, corners, score in zip(frames["ts"], frames["corners"], frames["score"], strict=True):
+            flat = [float(v) for p in corners for v in (p["x"], p["y"])] if corners is not None and score is not None and score > LEAST_SCORE else None
+            if flat is None:
+                last, streak = None, 0
+            else:
+                streak = streak + 1 if last is not None and corner_error(flat, list(last)) < STILL_ERROR else 0
+                last = flat
+            fires = streak >= STILL_FRAMES and not fired
+            fired = fired or fires
+            out.append((key[0], ts, streak, fires))
+        self.state.update((last, streak, fired))
+        yield pd.DataFrame(out, columns=["camera_id", "ts", "streak", "fires"])
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(events: DataFrame, limit: int, minutes: int) -> DataFrame:
-    return events.groupBy("key").transformWithStateInPandas(Limiter(limit, minutes), "key string, at timestamp, admitted boolean", "Append", "ProcessingTime")
+def corner_error(one: list[float], other: list[float]) -> float:
+    """F16 of flat corners (x, y, x, y, ...): mean distance over the longer diagonal."""
+    a, b = np.reshape(one, (-1, 2)), np.reshape(other, (-1, 2))
+    diagonal = max(np.hypot(*(q[0] - q[2])) for q in (a, b))
+    return float(np.hypot(*(a - b).T).mean() / diagonal) if diagonal else 0.0
+
+
+def still_stream(frames: DataFrame) -> DataFrame:
+    """A stream of frames (camera_id, ts, corners, score) with the streak they end, and where a camera fires."""
+    return frames.groupBy("camera_id").transformWithStateInPandas(StillStreak(), "camera_id string, ts timestamp, streak int, fires boolean", "Append", "None")
+
+
+def merge_late(events: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """Key and the fields after all events (key, seq, kind, and a column per field): a field that a user has edited holds
+    the last edit, whenever results come; any other holds the last result. Null says that an event leaves a field alone."""
+    last = lambda name, kind: F.max_by(F.when(F.col("kind") == kind, F.col(name)), F.when((F.col("kind") == kind) & F.col(name).isNotNull(), F.col("seq")))
+    return events.groupBy(key).agg(*[F.coalesce(last(n, "edit"), last(n, "result")).alias(n) for n in names])
 
 
 def still_frames(frames: DataFrame) -> DataFrame:

@@ -47,7 +47,10 @@ def test_placer_keeps_its_rules(spark):
     aspects = [0.4, 0.55, 0.7, 1.6, 0.35, 1.3, 0.5, 0.9]
     items = spark.createDataFrame([("b", f"t{k}", aspects[k % 8], k) for k in range(40)], "board string, ticket_id string, aspect double, ord int")
     got = layout.auto_place(items, "board").collect()
-    around = [layout._around(r["x"], r["y"], r["rotation"], r["scale"], aspects[int(r["ticket_id"][1:]) % 8]) for r in got]
+    around = []
+    for r in got:
+        half = layout.half_size(r["rotation"], r["scale"], aspects[int(r["ticket_id"][1:]) % 8])
+        around.append((r["x"] - half[0], r["y"] - half[1], r["x"] + half[0], r["y"] + half[1]))
     assert all(0 < abs(r["rotation"]) <= 7 for r in got) and all(a[0] >= 0 and a[2] <= 1000 and a[1] >= 0 for a in around)
     for i, a in enumerate(around):
         for b in around[:i]:
