@@ -1,19 +1,18 @@
 """Suffix-array dedup: every byte inside a 200-byte string that also starts elsewhere goes.
 
-Equal strings of ``LENGTH`` bytes hold the same anchor at the same place: of the hashes of all ``GRAM``-byte strings
-inside, the least one (its first place, and last place of ties alike). So a repeated string lies within ``REACH`` bytes
-of an anchor that occurs twice, and the exact work needs only the surroundings of such anchors. That choice of places
-loses nothing:
-
-1. Anchors of every document, one scan; those that occur once go. Occurrences whose surroundings agree as a whole (128
-   bits of hashes) are one class, aggregated on the map side. A class with several occurrences is repeated as a whole.
-2. The other classes of an anchor, one occurrence each, are cut from their documents in ``BLOCKS`` pieces, by where
-   strings start. All strings of a piece hold its core; pieces whose core (128-bit digest) no other piece of the anchor
-   has hold no repeated string and go. Pieces with one core are a group; groups are dealt to shards, and a group of more
-   than ``SHARD_PIECES`` is dealt to several.
-3. A shard sorts all suffixes of its pieces: a suffix array by Larsson-Sadakane refinement, common prefixes of neighbours
-   by Kasai's rule. Suffixes that share 200 bytes and stand at the same place of a group are one string; if it occurs
-   twice, it is repeated.
+Each string of ``LENGTH`` bytes belongs to one anchor: of the hashes of all ``GRAM``-byte strings inside, the first least
+one. Equal strings have the same anchor at the same place, so only strings of one anchor need comparing, and an anchor
+that occurs once has no repeated string. That choice loses nothing:
+
+1. Anchors of every document with the range of strings that belong to each, one scan; anchors that occur once go.
+   Occurrences whose ranges agree as a whole (128 bits of hashes) are one class, aggregated on the map side. A class with
+   several occurrences is repeated as a whole.
+2. The other classes of an anchor, one occurrence each, are cut in up to ``BLOCKS`` pieces by where strings start. All
+   strings of a piece hold its core. Pieces with one core are a group; a piece that is alone in its group has no repeated
+   string, and one that agrees as a whole with another (128 bits) is repeated as a whole. What is left fetches its bytes.
+3. Groups are dealt to shards, one with more than ``SHARD_PIECES`` pieces to several. A shard sorts all suffixes of its
+   pieces: a suffix array by Larsson-Sadakane refinement, common prefixes of neighbours by Kasai's rule. Suffixes that
+   share 200 bytes and stand at the same place of a group are one string; if it occurs twice, it is repeated.
 4. Groups that were dealt to several shards meet again: a shard sends one row per distinct string, a 128-bit digest and,
    if the shard has met the string once only, where; the sorted runs are merged, and each string is looked up by binary
    search.
@@ -36,16 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import NULL_ID, _power_tables, durable, kept, mix64, slices, unkeyed, utf8
 
 LENGTH, GRAM = 200, 50
-REACH = LENGTH - GRAM  # bytes before an anchor, and after its gram
-#: Ranges of string starts about an anchor, from REACH bytes before it to the anchor itself.
-BLOCKS = 4
-WIDTH = -(-(REACH + 1) // BLOCKS)
+#: A string of an anchor starts at one of so many places, at the anchor itself last; they are cut in BLOCKS ranges.
+PLACES, BLOCKS = LENGTH - GRAM + 1, 3
+WIDTH = -(-PLACES // BLOCKS)
 #: Pieces that a shard sorts at once, and strings that a merging task looks up at once, about.
 SHARD_PIECES, MERGE_ROWS = 1024, 200_000
 
@@ -65,29 +64,19 @@ def hash_ranges(total: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return mix64((total[high] - total[low]) * down[low])
 
 
-def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places that are the least of some ``window`` hashes in a row; all of equal least ones."""
+def owners(hashes: np.ndarray, window: int) -> np.ndarray:
+    """By window of ``window`` hashes in a row: the place of the first least one, as 32 bits of the hash tell."""
     n = len(hashes)
     if n < window:
         return np.zeros(0, np.int64)
-    # Least of each window from prefix and suffix minima of blocks of ``window``.
+    # Least of each window from prefix and suffix minima of blocks of ``window``; the place goes along in the low bits.
     full = -(-n // window) * window
     padded = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = hashes
+    padded[:n] = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     blocks = padded.reshape(-1, window)
     ahead = np.minimum.accumulate(blocks, 1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
-    least = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
-    # A place is chosen if a window over it has its hash as the least: as the greatest least of the windows over it.
-    m = len(least)
-    full = -(-(m + 2 * (window - 1)) // window) * window
-    padded = np.zeros(full, np.uint64)
-    padded[window - 1 : window - 1 + m] = least
-    blocks = padded.reshape(-1, window)
-    ahead = np.maximum.accumulate(blocks, 1).reshape(-1)
-    behind = np.maximum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
-    most = np.maximum(behind[:n], ahead[window - 1 : window - 1 + n])
-    return np.flatnonzero(hashes == most)
+    return (np.minimum(behind[: n - window + 1], ahead[window - 1 : n]) & np.uint64(2**32 - 1)).astype(np.int64)
 
 
 def _order(high: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
@@ -222,7 +211,8 @@ _CLASS = ["anchor", "about", "more"]
 
 
 def anchor_rows(held: DataFrame) -> DataFrame:
-    """anchor, about and more (hashes of the surroundings), id, th, at (place of the anchor): one row per anchor."""
+    """anchor, about and more (hashes of the range of strings), id, th, start (of the first string), starts (how many), lead
+    (places from the first string to the anchor): one row per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,49 +222,60 @@ def anchor_rows(held: DataFrame) -> DataFrame:
                     continue
                 start = np.arange(len(buf) - GRAM + 1)
                 grams = hash_ranges(prefix_sums(buf, 0), start, start + GRAM)
-                place = anchors(grams, REACH + 1)  # windows over two documents add places, and take none away
-                row = np.searchsorted(at, place, "right") - 1
-                own = (place + GRAM <= at[row + 1]) & (at[row + 1] - at[row] >= LENGTH)
-                place, row = place[own], row[own]
-                low, high = np.maximum(place - REACH, at[row]), np.minimum(place + GRAM + REACH, at[row + 1])
-                shape = mix64(((place - low) * 4096 + (high - low)).astype(np.uint64))
-                about = [hash_ranges(prefix_sums(buf, salt), low, high) ^ shape for salt in (1, 2)]
-                columns = [grams[place].view(np.int64), *(x.view(np.int64) for x in about), ids[first + row], ths[first + row], (place - at[row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*_CLASS, "id", "th", "at"])
-
-    return held.mapInArrow(run, "anchor long, about long, more long, id long, th long, at int")
-
-
-def cut_pieces(held: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pieces of the classes (anchor, n, id, th, at): a, b (digest of anchor, block and core), n, id, th, start (of the
-    piece in its document), skip (places of the block before it), bytes."""
-    lists = classes.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "n", "at")).alias("all"))
-    found = held.join(lists, ["id", "th"]).select("id", "th", "body", F.col("all.anchor").alias("anchor"), F.col("all.n").alias("n"), F.col("all.at").alias("at"))
-
-    def cut(body: bytes, anchor: int, at: int) -> Iterator[tuple[bytes, int, int, bytes]]:
-        low, high = max(at - REACH, 0), min(at + LENGTH, len(body))
-        for block in range(BLOCKS):
-            first = at - REACH + block * WIDTH
-            last = min(first + WIDTH - 1, at)
-            if max(first, low) + LENGTH <= high and last >= low:
-                start, core = max(first, low), body[last : first + LENGTH]
-                key = hashlib.blake2b(core, digest_size=16, key=f"{anchor} {block}".encode()).digest()
-                yield key, start, start - first, body[start : min(last + LENGTH, high)]
+                owner = owners(grams, PLACES)
+                row = np.searchsorted(at, np.arange(len(owner)), "right") - 1
+                whole = np.arange(len(owner)) + LENGTH <= at[row + 1]  # no string crosses documents
+                owner, place, row = owner[whole], np.flatnonzero(whole), row[whole]
+                opens = np.flatnonzero(np.diff(owner, prepend=-1))
+                count = np.diff(opens, append=len(owner))
+                low, row, anchor = place[opens], row[opens], owner[opens]
+                shape = mix64(((anchor - low) * 4096 + count).astype(np.uint64))
+                about = [hash_ranges(prefix_sums(buf, salt), low, low + count - 1 + LENGTH) ^ shape for salt in (1, 2)]
+                numbers = (grams[anchor].view(np.int64), *(x.view(np.int64) for x in about), ids[first + row], ths[first + row])
+                shorts = (count.astype(np.int16), (anchor - low).astype(np.int16))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*numbers, (low - at[row]).astype(np.int32), *shorts)], [*_CLASS, "id", "th", "start", "starts", "lead"])
+
+    return held.mapInArrow(run, "anchor long, about long, more long, id long, th long, start int, starts short, lead short")
+
+
+def piece_keys(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pieces of the classes (anchor, n, id, th, start, starts, lead): group (hash of anchor, block and core), a, b
+    (digest of the whole piece and its place), n, id, th, start (of the piece in its document), size, skip (places of the
+    block before it)."""
+    names = ("anchor", "n", "start", "starts", "lead")
+    lists = classes.groupBy("id", "th").agg(F.collect_list(F.struct(*names)).alias("all"))
+    found = held.join(lists, ["id", "th"]).select("id", "th", "body", *[F.col(f"all.{c}").alias(c) for c in names])
+    whole, core = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+
+    def cut(body: bytes, anchor: int, n: int, start: int, starts: int, lead: int) -> Iterator[tuple]:
+        at = start + lead  # of the anchor
+        for block in range((PLACES - 1 - lead) // WIDTH, (PLACES - 1 - lead + starts - 1) // WIDTH + 1):
+            first = at - (PLACES - 1) + block * WIDTH
+            low, high = max(first, start), min(first + WIDTH, start + starts) - 1
+            key = core(b"%d %d " % (anchor, block) + body[first + WIDTH - 1 : first + LENGTH])
+            yield key - 2**63, whole(b"%d %d " % (key, low - first) + body[low : high + LENGTH]), n, low, high + LENGTH - low, low - first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 body = batch.column("body")[row].as_py()
-                about = [batch.column(c)[row].values.to_pylist() for c in ("anchor", "n", "at")]
-                made = [(n, *x) for anchor, n, at in zip(*about, strict=True) for x in cut(body, anchor, at)]
-                if made:
-                    n, keys, start, skip, pieces = zip(*made, strict=True)
-                    key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                    same = [pa.repeat(batch.column(c)[row], len(made)) for c in ("id", "th")]
-                    numbers = [pa.array(n, pa.int64()), *same, pa.array(start, pa.int32()), pa.array(skip, pa.int32()), pa.array(pieces, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *numbers], ["a", "b", "n", "id", "th", "start", "skip", "bytes"])
+                about = [batch.column(c)[row].values.to_pylist() for c in names]
+                group, digests, *rest = zip(*(x for each in zip(*about, strict=True) for x in cut(body, *each)), strict=True)
+                two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                same = [pa.repeat(batch.column(c)[row], len(group)) for c in ("id", "th")]
+                numbers = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int32(), pa.int16(), pa.int16()), strict=True)]
+                columns = [pa.array(group, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), numbers[0], *same, *numbers[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "a", "b", "n", "id", "th", "start", "size", "skip"])
+
+    return found.mapInArrow(run, "group long, a long, b long, n long, id long, th long, start int, size short, skip short")
+
 
-    return found.mapInArrow(run, "a long, b long, n long, id long, th long, start int, skip int, bytes binary")
+def fetch(held: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The pieces (id, th, start, size, and what else they carry) with their bytes."""
+    rest = [c for c in pieces.columns if c not in ("id", "th")]
+    lists = pieces.groupBy("id", "th").agg(F.collect_list(F.struct(*rest)).alias("all"))
+    found = held.join(lists, ["id", "th"]).select("id", "th", "body", F.inline("all"))
+    return found.select("id", "th", *rest, F.substring("body", F.col("start") + 1, F.col("size").cast("int")).alias("bytes"))
 
 
 def stretches(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[pa.Table]:
@@ -305,7 +306,7 @@ def sort_shard(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """Of one shard: the covered spans of what it can tell is repeated (weight 0); of groups that are dealt to several
     shards, a row per distinct string with its digest (weight 1: met once, and where; 2: met several times)."""
     column = lambda c: rows.column(c).to_numpy()
-    key = np.stack([column(c) for c in ("a", "b", "part")])
+    key = np.stack([column(c) for c in ("group", "part")])
     group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
     start, n, shards = column("start"), column("n"), column("shards")
     pieces = rows.column("bytes").to_pylist()
@@ -330,7 +331,7 @@ def sort_shard(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     if len(send):
         p, q = piece[send], place[send]
         skip = column("skip")
-        digest = [hashlib.blake2b(pieces[i][k : k + LENGTH], digest_size=16, key=b"%d %d %d" % (*key[:2, i], k + skip[i])).digest() for i, k in zip(p.tolist(), q.tolist(), strict=True)]
+        digest = [hashlib.blake2b(pieces[i][k : k + LENGTH], digest_size=16, key=b"%d %d" % (key[0, i], k + skip[i])).digest() for i, k in zip(p.tolist(), q.tolist(), strict=True)]
         two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
         yield _found(two[:, 0], two[:, 1], np.minimum(weight[string[send]], 2), rows, p, start[p] + q, start[p] + q + LENGTH)
 
@@ -348,14 +349,12 @@ def merge_runs(rows: pa.Table) -> pa.Table:
 
 
 def spans_of_pieces(pieces: DataFrame) -> DataFrame:
-    """id, th, from, to: where the strings of the pieces repeat."""
+    """id, th, from, to: where the strings of the pieces (group, shards, n, id, th, start, skip, bytes) repeat."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = pieces.groupBy("a", "b").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 AND least = 1")
-    groups = groups.select("a", "b", F.ceil(F.col("rows") / SHARD_PIECES).cast("long").alias("shards"))
-    dealt = pieces.join(groups, ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("id", "th", "start"), "shards"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "th", "start"), "shards"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in stretches(batches, ["a", "b", "part"], SHARD_PIECES):
+        for rows in stretches(batches, ["group", "part"], SHARD_PIECES):
             yield from sort_shard(rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +362,7 @@ def spans_of_pieces(pieces: DataFrame) -> DataFrame:
             yield from merge_runs(rows).to_batches()
 
     # Many small shards compress to little, which must not bring them together in a few tasks: hence the number of parts.
-    found = dealt.repartition(parts, "a", "b", "part").sortWithinPartitions("a", "b", "part").mapInArrow(sort, _FOUND)
+    found = dealt.repartition(parts, "group", "part").sortWithinPartitions("group", "part").mapInArrow(sort, _FOUND)
     runs = found.repartition(parts, "a").sortWithinPartitions("a", "b")
     return runs.mapInArrow(merge, "id long, th long, from int, to int")
 
@@ -372,15 +371,20 @@ def covered(held: DataFrame) -> DataFrame:
     """id, th, spans: where the texts of ``held`` (id, th, body) repeat, as (from, to) of bytes."""
     rows = anchor_rows(held)
     several = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    one = lambda names: [F.first(c).alias(c) for c in names]  # noqa: E731 - of one row: the same merges choose them all
     with kept(rows.join(several, "anchor", "left_semi")) as known:
-        # The first of each column comes from one row: the same merges choose them all.
-        classes = known.groupBy(*_CLASS).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "at")])
+        classes = known.groupBy(*_CLASS).agg(F.count("*").alias("n"), *one(("id", "th", "start", "starts", "lead")))
         unlike = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("anchor")
-        with kept(cut_pieces(held, classes.join(unlike, "anchor", "left_semi").select("anchor", "n", "id", "th", "at"))) as pieces:
-            whole = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi")
-            whole = whole.select("id", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("from"), (F.col("at") + LENGTH).alias("to"))
-            spans = spans_of_pieces(pieces).unionByName(whole)
-            return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+        with kept(piece_keys(held, classes.join(unlike, "anchor", "left_semi").drop("about", "more"))) as keys:
+            wholes = keys.groupBy("group", "a", "b").agg(F.sum("n").alias("n"), *one(("id", "th", "start", "size", "skip")))
+            groups = wholes.groupBy("group").agg(F.count("*").alias("pieces"), F.min("n").alias("least")).where("pieces > 1 AND least = 1")
+            groups = groups.select("group", F.ceil(F.col("pieces") / SHARD_PIECES).cast("long").alias("shards"))
+            with kept(fetch(held, wholes.drop("a", "b").join(groups, "group"))) as pieces:
+                end = lambda size: (F.col("start") + size).alias("to")
+                alike = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("starts") + LENGTH - 1))
+                twice = keys.where("n = 1").join(wholes.where("n > 1").select("group", "a", "b"), ["group", "a", "b"], "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("size")))
+                spans = spans_of_pieces(pieces).unionByName(alike).unionByName(twice)
+                return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
