@@ -83,6 +83,52 @@ def test_knapsack_is_best():
         assert (take * lengths).sum() == max(s for s in sums if s <= budget)
 
 
+def plain_targets(sizes, weights, factor, most):
+    """Shares by weight; whoever is above its cap is set to it, and the rest is shared again."""
+    full, total = {}, factor * sum(sizes)
+    while True:
+        left, open_ = total - sum(full.values()), [k for k in range(len(sizes)) if k not in full]
+        share = {k: left * weights[k] / sum(weights[j] for j in open_) for k in open_}
+        over = [k for k in open_ if share[k] > most * sizes[k]]
+        if not over:
+            return [full.get(k, share.get(k)) for k in range(len(sizes))]
+        full |= {k: most * sizes[k] for k in over}
+
+
+def test_fit_counts_of_many_lengths():
+    rng = np.random.default_rng(3)
+    for n, top in ((5, 9), (4000, 20_000), (300, 1_000_000), (1, 7)):
+        lengths = np.unique(rng.integers(0, top, n))
+        counts = rng.integers(1, 50, len(lengths))
+        total = int((lengths * counts).sum())
+        for budget in (0, 1, total // 7, total // 2, total - 1, total, total + 5):
+            take = mixing.fit_counts(lengths, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) <= max(0, budget)
+            if n > 100 and budget not in (1, total - 1):  # with so many lengths the budget is met to the word, and no length is favoured
+                assert int((take * lengths).sum()) == min(budget, total)
+                if 0 < budget < total:
+                    half = len(lengths) // 2
+                    share = [(take[k] * lengths[k]).sum() / max(1, (counts[k] * lengths[k]).sum()) for k in (slice(0, half), slice(half, None))]
+                    assert abs(share[0] - share[1]) < 0.02
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {"".join(rng.choice("aBé𝄞z") for _ in range(5)): rng.choice((0, 3, 50, 1000, 100_000)) for _ in range(200)} | {None: 77}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows, (3, 1, 2), 1.5, 2.0).collect()}
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None]
+    want = plain_targets([sizes[n] for n in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)
+    assert all(abs(got[n] - t) < 1e-6 * max(1, t) for n, t in zip(names, want, strict=True))
+
+
+def test_mix_deals_a_hot_length(spark):
+    rows = [(i if i % 3 else None, f"w{i} x y", "hot") for i in range(3000)] + [(9000 + i, "a b", None) for i in range(5)]
+    out = mixing.mix(docs_of(spark, rows)).collect()
+    hot = [r["taken"] for r in out if r["source"] == "hot"]
+    assert len(out) == len(rows) and set(hot) <= {3, 6} and abs(sum(hot) - out[0]["target"]) <= 3 or out[0]["source"] is None
+
+
 def test_mix(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["a", "b", "b", "b", "b", None])) for i in range(600)]
@@ -94,7 +140,7 @@ def test_mix(spark):
     for r in rows:
         size[r[2]] = size.get(r[2], 0) + len((r[1] or "").split())
     names = sorted([x for x in size if x is not None]) + [None]
-    want = mixing.water_fill(np.array([size[n] for n in names]), np.array([3.0, 1, 2, 3]), 1.5 * sum(size.values()), 2)
+    want = np.array(plain_targets([size[n] for n in names], [3, 1, 2, 3], 1.5, 2))
     for n, t in zip(names, want):
         mine = [r for r in out if r["source"] == n]
         assert all(abs(r["target"] - t) < 1e-6 and r["source_size"] == size[n] for r in mine)
