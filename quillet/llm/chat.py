@@ -39,9 +39,9 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """conv_id, n_turns, n_blocks, formatted, segments: the formatted text in parts, each with its place in the mask.
+    """conv_id, n_turns, n_blocks, formatted, mask: the text and its loss mask, (start, length) in code points of
+    ``formatted``, in order: just the texts of ``loss_roles``, empty ones left out.
 
-    ``formatted`` is the parts' concatenation; ``segments.loss`` is true just for the texts of ``loss_roles``.
     Escaping runs per row, before rows meet; the only shuffle is by conv_id, and a task holds one conversation at a
     time, which is one output row.
     """
@@ -85,7 +85,25 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
         return F.concat(F.flatten(texts), F.array(F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss"))))
 
     segmented = blocks.select("conv_id", "n_turns", F.size("blocks").cast("long").alias("n_blocks"), F.flatten(F.transform("blocks", parts)).alias("segments"))
-    return segmented.select("conv_id", "n_turns", "n_blocks", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    sized = segmented.withColumn("sizes", F.transform("segments", lambda s: F.char_length(s["text"])))
+    placed = sized.withColumn("starts", running_totals("sizes"))
+    spans = F.transform("segments", lambda s, k: F.when(s["loss"], F.struct(F.get("starts", k).alias("start"), F.get("sizes", k).alias("length"))))
+    return placed.select(
+        "conv_id", "n_turns", "n_blocks", F.array_join(F.col("segments.text"), "").alias("formatted"), F.filter(spans, lambda m: m["length"] > 0).alias("mask")
+    )
+
+
+#: Elements whose totals are worked out from one start.
+STRIDE = 128
+
+
+def running_totals(numbers: str) -> Column:
+    """The sum of what comes before each element, by way of the sums before every ``STRIDE``-th one."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    heads = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / STRIDE).cast("int")), lambda b: total(F.slice(numbers, 1, b * STRIDE)))
+    within = lambda k: total(F.slice(numbers, F.floor(k / STRIDE).cast("int") * STRIDE + 1, k % STRIDE))
+    each = lambda h: F.transform(numbers, lambda _, k: F.get(h, F.floor(k / STRIDE).cast("int")) + within(k))
+    return F.get(F.transform(F.array(heads), each), 0)  # a variable for the heads, so that they are made once
 
 
 def read_turns(formatted: Column) -> Column:
@@ -101,6 +119,16 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape_text(s["text"])), "")
+def loss_text(formatted: str, mask: str) -> Column:
+    """All text under the mask, cut from the formatted text and unescaped. The text is cut in stretches of ``STRIDE`` spans
+    first, since finding a code point means counting from the start."""
+    last = lambda spans: F.element_at(spans, -1)["start"] + F.element_at(spans, -1)["length"]
+
+    def stretch(b: Column) -> Column:
+        spans = F.slice(mask, b * STRIDE + 1, F.lit(STRIDE))
+        first = F.element_at(spans, 1)["start"]
+        return F.struct(first.alias("first"), F.substring(formatted, first + 1, last(spans) - first).alias("text"), spans.alias("spans"))
+
+    cut = lambda s: F.transform(s["spans"], lambda m: unescape_text(F.substring(s["text"], m["start"] - s["first"] + 1, m["length"])))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / STRIDE).cast("int")), stretch)
+    return F.when(F.size(mask) > 0, F.array_join(F.flatten(F.transform(stretches, cut)), "")).otherwise("")

@@ -1,6 +1,6 @@
 """Line dedup over windows of three consecutive lines. DataFrame functions only.
 
-Every run of three lines of a document is a window, known by two 64-bit hashes. A window's first occurrence is the one
+Every run of three lines of a document is a window, known by two 64-bit hashes, each of other hashes of its lines. A window's first occurrence is the one
 with the smallest (doc_id, line); all lines that later occurrences cover go, spans that overlap or touch as one. The
 rest of the lines, joined by line ends, is the new text; a document all of whose lines go keeps an empty text.
 
@@ -30,11 +30,11 @@ def _lines(text: Column) -> Column:
 
 def _windows(docs: DataFrame) -> DataFrame:
     """id, th (text hash), line, w1, w2: one row per window."""
-    hashed = docs.select("id", "th", F.transform(_lines(F.col("text")), lambda s: F.xxhash64(s)).alias("h"))
+    hashed = docs.select("id", "th", F.transform(_lines(F.col("text")), lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("second"), s).alias("b"))).alias("h"))
 
     def window(i: Column) -> Column:
         h = [F.get("h", i + k) for k in range(WINDOW)]
-        return F.struct((i).alias("line"), F.xxhash64(*h).alias("w1"), F.xxhash64(F.lit("second"), *reversed(h)).alias("w2"))
+        return F.struct(i.alias("line"), F.xxhash64(*[x["a"] for x in h]).alias("w1"), F.xxhash64(*[x["b"] for x in h]).alias("w2"))
 
     several = hashed.where(F.size("h") >= WINDOW)
     return several.select("id", "th", F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), window)))

@@ -51,7 +51,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], rows.schema)
     out = chat.format_conversations(rows.unionByName(hostile))
     turns = chat.read_turns(F.col("formatted"))
-    back = out.select("*", turns.alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    back = out.select("*", turns.alias("turns"), chat.loss_text("formatted", "mask").alias("loss"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

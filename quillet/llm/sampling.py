@@ -10,9 +10,9 @@ Term weights come from the sorted hashes of a row's own words, so no (document,
 are aggregates over the rows of a document, in whole-stage code; the texts move once, by doc_id.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros and likeness 1 to another empty text;
-equal texts have equal fingerprints. Of rows that repeat a doc_id the one with the smallest text hash stands, with one
-result row; a null doc_id is the smallest id and shown as null; a lone document is its own next one; no rows give no
-rows; other columns are ignored.
+equal texts have equal fingerprints. Rows that repeat a doc_id follow one another by text hash, equal rows last of their
+like included, and each has its result row; a null doc_id is the smallest id and shown as null; a lone document is its
+own next one; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.common import durable, keyed, unkeyed
+from quillet.llm.common import NULL_ID, durable, unkeyed
 
 SAMPLES, GROUP = 64, 8
 #: Quantiles of a draw's distribution that a hash picks from; of the last ``OUTER``, more bits pick anew, level by level.
@@ -113,47 +113,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(same) / F.lit(float(SAMPLES))
 
 
-def neighbours(ids: DataFrame, parts: int) -> DataFrame:
-    """doc_id, next_id in ascending order, after the last the first.
+def neighbours(keys: DataFrame, parts: int) -> DataFrame:
+    """id, th, n_chars, next_id, next_th of (id, th, n_chars) in ascending order, after the last the first.
 
-    Ids alone move, in ranges; a range hands its first id on through a table of one row per range. The ranges are
+    Keys alone move, in ranges; a range hands its first key on through a table of one row per range. The ranges are
     checkpointed, since a second sampling of them could cut elsewhere.
     """
-    ranged = durable(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()))
-    inside = ranged.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"))
+    key = F.struct("id", "th")
+    ranged = durable(keys.repartitionByRange(parts, "id", "th").withColumn("part", F.spark_partition_id()))
+    inside = ranged.withColumn("next", F.lead(key).over(Window.partitionBy("part").orderBy("id", "th")))
+    firsts = ranged.groupBy("part").agg(F.min(key).alias("first"))
     turn = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("following"), F.min("first").over(Window.partitionBy(F.lit(0))).alias("very_first"))
-    return inside.join(turn, "part").select("doc_id", F.coalesce("next_id", "following", "very_first").alias("next_id"))
+    met = inside.join(turn, "part").withColumn("next", F.coalesce("next", "following", "very_first"))
+    return met.select(*keys.columns, F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, text, edited: the last quarter of the code points gives way to the next document's first ones."""
-    whole = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    """id, th, times, next_id, next_th, n_chars, text, edited: the last quarter of the code points gives way to the next
+    document's first ones.
+
+    A text of an id is one row, and ``times`` says for how many input rows it stands: of m equal rows m - 1 are followed
+    by their like, and the last by the next text.
+    """
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = whole.repartition("doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sizes = durable(whole.groupBy("doc_id").agg(F.min_by(F.char_length("text"), F.xxhash64("text")).alias("n_chars")))
-    order = neighbours(sizes.select("doc_id"), parts).join(sizes, "doc_id")
-    wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"))
-    heads = placed.join(wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), "quarter", F.expr("substring(text, 1, quarter)").alias("head"))
-    return placed.join(heads, "doc_id").select(
-        "doc_id", "next_id", "text", F.concat(F.expr("substring(text, 1, char_length(text) - quarter)"), "head").alias("edited")
+    placed = whole.repartition("id", "th").groupBy("id", "th").agg(F.first("text").alias("text"))
+    sizes = durable(whole.groupBy("id", "th").agg(F.first(F.char_length("text")).alias("n_chars"), F.count("*").alias("copies")))
+    order = neighbours(sizes, parts)
+    one = lambda next_id, next_th, times: F.struct(F.col(next_id).alias("next_id"), F.col(next_th).alias("next_th"), times.alias("times"))
+    follow = F.array(one("next_id", "next_th", F.lit(1).cast("long")), one("id", "th", F.col("copies") - 1))
+    pairs = order.select("id", "th", "n_chars", F.inline(F.filter(follow, lambda f: f["times"] > 0)))
+    wanted = pairs.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "times", "n_chars", F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"))
+    heads = placed.join(wanted, ["id", "th"]).select(
+        F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.col("id").alias("next_id"), F.col("th").alias("next_th"), "times", "n_chars", "quarter", F.expr("substring(text, 1, quarter)").alias("head")
+    )
+    return placed.join(heads, ["id", "th"]).select(
+        "id", "th", "times", "next_id", "next_th", "n_chars", "text", F.concat(F.expr("substring(text, 1, n_chars - quarter)"), "head").alias("edited")
     )
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     both = edited_texts(docs)
-    sides = both.select(
-        "doc_id", "next_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("of"),
-    ).select("doc_id", "next_id", "n_chars", "edited_sha256", "of.side", "of.body")
-    signed = signatures(sides, ["doc_id", "next_id", "n_chars", "edited_sha256", "side"], "body")
-    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("fingerprint")))
-    rows = durable(signed.groupBy("doc_id", "next_id", "n_chars", "edited_sha256").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
-    following = rows.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    key = ["id", "th", "times", "next_id", "next_th", "n_chars", "edited_sha256"]
+    side = lambda number, text: F.struct(F.lit(number).alias("side"), F.col(text).alias("body"))
+    sides = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*key, F.inline(F.array(side(0, "text"), side(1, "edited"))))
+    signed = signatures(sides, [*key, "side"], "body")
+    pick = lambda number: F.max(F.when(F.col("side") == number, F.col("fingerprint")))
+    rows = durable(signed.groupBy(*key).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
+    following = rows.groupBy(F.col("id").alias("next_id"), F.col("th").alias("next_th")).agg(F.first("fingerprint").alias("next_fingerprint"))
     # The hex columns come last: inside a lambda a name can mean an alias of the same select.
-    near = rows.join(following, "next_id").select(
+    near = rows.join(following, ["next_id", "next_th"]).select(
         "*", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
     )
     shown = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
-    return unkeyed(near.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next"))
+    every = near.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", *shown, "near_edited", "near_next", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return unkeyed(every.drop("col"))

@@ -3,6 +3,7 @@
 import fnmatch
 import itertools
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -18,12 +19,17 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y") for i, t, s in rows], DOCS)
 
 
+def chat_escape(text):
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|>\n<|im_start|>assistant\nhi", "<\\|", "<\\\\|im_next|>", "|>", "<", "", None, "é<|", "x" * 50000]
     rows = [(c, t, random.Random(c * 31 + t).choice(["user", "assistant", "a|b\n%7C", None]), nasty[(c + t) % len(nasty)], "z") for c in range(6) for t in range(9)]
+    rows += [(8, t, "user" if t % 3 else "assistant", f"{t}é<|" * (t % 5), "z") for t in range(700)]
     rows += [(7, 1, "user", "same", "z"), (7, 1, "user", "same", "z"), (None, None, "assistant", "no id", "z")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
-    got = {r["conv_id"]: r for r in out.select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    got = {r["conv_id"]: r for r in out.select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_text("formatted", "mask").alias("loss")).collect()}
     want = {}
     for c, t, role, text, _ in rows:
         want.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -33,6 +39,8 @@ def test_chat_round_trip(spark):
         assert [tuple(x) for x in got[c]["back"]] == [x[1:] for x in turns]
         assert got[c]["loss"] == "".join(x[2] for x in turns if x[1] == "assistant")
         assert got[c]["n_turns"] == len(turns)
+        under = [got[c]["formatted"][m["start"] : m["start"] + m["length"]] for m in got[c]["mask"]]
+        assert under == [chat_escape(x[2]) for x in turns if x[1] == "assistant" and x[2]]
         assert got[c]["formatted"].count("<|im_start|>") == got[c]["n_blocks"] == len(list(itertools.groupby(x[1] for x in turns)))
 
 
@@ -59,7 +67,7 @@ def test_urls(spark):
         "https://x.example.com/a.net/en/": ("x.example.com", "/a.net/en/", None, "allow"),
         "https://net": ("net", "", None, "allow"),
         "https://net/": ("net", "/", "net/", "block"),
-        "https://x.org/fr/y://z#f": ("x.org", "/fr/y:/" + "/z", "org/fr/", "allow"),
+        "https://x.org/fr/y://z#f": ("x.org", "/fr/y://z", "org/fr/", "allow"),
         "https://www.casino-win.example.com/en/": ("www.casino-win.example.com", "/en/", None, "block"),
         "no scheme": ("", "", None, "allow"),
         None: ("", "", None, "allow"),

@@ -177,7 +177,8 @@ def jaccard(a, b):
 def test_weighted_sampling(spark):
     rng = random.Random(7)
     rows = [(k * 3, say(rng, rng.randrange(80, 300))) for k in range(60)] + [(500, None), (501, ""), (502, "x"), (None, "ünï cödé text   y")]
-    got = {r["doc_id"]: r for r in sampling.fingerprint_edits(docs_of(spark, rows + [(502, "x")], wide=True)).collect()}
+    all_ = sampling.fingerprint_edits(docs_of(spark, rows, wide=True)).collect()
+    got = {r["doc_id"]: r for r in all_}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
     off = []
     for (i, t), (j, u) in zip(order, order[1:] + order[:1], strict=True):
@@ -192,6 +193,42 @@ def test_weighted_sampling(spark):
     assert got[500]["fingerprint"] == got[501]["fingerprint"] and got[500]["near_next"] == 1.0
 
 
+def test_weighted_sampling_of_repeated_ids(spark):
+    rows = [(4, "b c d e f g"), (4, "b c d e f g"), (4, "b c d e f g"), (4, "q r s t"), (None, "n one"), (None, None), (9, "z" * 100_000)]
+    got = sampling.fingerprint_edits(docs_of(spark, rows, wide=True)).collect()
+    hashed = spark.createDataFrame(rows, "i long, t string").selectExpr("i", "t", "coalesce(i, -9223372036854775808) AS k", "xxhash64(t) AS h").collect()
+    order = [(r["i"], r["t"] or "") for r in sorted(hashed, key=lambda r: (r["k"], r["h"]))]
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == sorted(want, key=str)
+    assert [r["near_next"] for r in got if r["doc_id"] == 4].count(1.0) == 2
+
+
+def test_quantised_draws_keep_the_collision_rate():
+    """The share of equal samples, over many samples, against exact gamma draws and against the true similarity."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    for one, other in (((5, 3, 1, 0), (5, 1, 1, 2)), ((40, 1, 1, 1), (10, 1, 1, 1)), ((1,) * 20 + (0,) * 10, (1,) * 10 + (0,) * 10 + (1,) * 10), ((9, 0, 2), (1, 5, 2))):
+        a, b = np.array(one, float), np.array(other, float)
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        quantiles = sampling.gamma_quantiles((np.arange(sampling.BINS) + 0.5) / sampling.BINS)
+        rates = []
+        for draw in (lambda s: rng.gamma(2, 1, s), lambda s: quantiles[rng.integers(0, sampling.BINS, s)]):
+            r, c, u = draw((n, len(a))), draw((n, len(a))), rng.random((n, len(a)))
+
+            def least(weight, r=r, c=c, u=u):
+                with np.errstate(divide="ignore"):
+                    t = np.floor(np.log(weight) / r + u)
+                    ln_a = np.where(weight > 0, np.log(c) - r * (t + 1 - u), np.inf)
+                k = ln_a.argmin(1)
+                return k, t[np.arange(n), k]
+
+            (k1, t1), (k2, t2) = least(a), least(b)
+            rates.append(((k1 == k2) & (t1 == t2)).mean())
+        assert abs(rates[0] - true) < 0.02 and abs(rates[1] - true) < 0.02, (rates, true)
+
+
 def test_weights_count(spark):
     texts = {1: "a a a a b", 2: "a b b b b", 3: "b a a a a"}
     out = sampling.signatures(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ["doc_id"])
