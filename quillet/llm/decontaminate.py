@@ -2,14 +2,17 @@
 
 A text's words become a template: numbers, units after numbers, and names (capitalised words inside a sentence) give way
 to typed placeholders, other words to their hash in lower case. Windows of ``WINDOW`` template words (the whole template
-of a shorter item) are hashed and looked up in the benchmark's hash table. Windows with the same shift against an item
-are one alignment; its slots are the item's placeholders that it covers, and it counts only if equal slot values of the
+of a shorter item) are hashed and looked up in the benchmark's hash table. A window with more placeholders than other
+words says too little by itself: it is hashed with the words that the placeholders stand for. Windows with the same
+shift against an item are one alignment; it goes on to either side as far as the templates agree, placeholders of any
+value included. Its slots are the item's placeholders that it covers, and it counts only if equal slot values of the
 item stand for equal values in the document (``CONSISTENT`` of the slots at least). An item leaks into a document if the
-consistent alignments cover ``COVER`` of its words. So verbatim copies and copies with other numbers, names and units
-are both caught.
+consistent alignments cover ``COVER`` of its words. So verbatim copies of any item are caught, and copies with other
+numbers, names and units of all that have one window of mostly plain words. (An item of numbers and names alone with all
+of them changed is no copy that could be told from any other list.)
 
-The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK_WORDS`` words (by item hash), each block's
-table is sent to the executors, and every document is read once per block. Nothing is shuffled.
+The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_WORDS`` words (by item hash; one item at
+least), each block's table is sent to the executors, and every document is read once per block. Nothing is shuffled.
 
 Defined results: a null text is empty; an item with fewer than ``LEAST_WORDS`` words never leaks; items that repeat an
 id or a text are items of their own; a row with a null doc_id or item_id is judged like others; repeated document rows
@@ -103,15 +106,18 @@ def template(buf: np.ndarray, at: np.ndarray) -> Template:
 
 
 def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window of ``size`` words inside a row, at least half of them (and one) no slots."""
+    """First word and hash of each window of ``size`` words inside a row; of their templates, or of the words themselves if
+    more than half are slots."""
     n = len(t.value)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - size + 1)
     slots = np.concatenate([[0], np.cumsum(t.slot)])
     plain = size - (slots[at + size] - slots[at])
-    at = at[(t.row[at] == t.row[at + size - 1]) & (plain * 2 >= size) & (plain > 0)]
-    return at, mix64(range_hashes(mix64(t.value), at, at + size) + np.uint64(size))
+    inside = t.row[at] == t.row[at + size - 1]
+    by_template, by_words = at[inside & (plain * 2 >= size)], at[inside & (plain * 2 < size)]
+    hashes = [mix64(range_hashes(mix64(v), k, k + size) + np.uint64(salt + size)) for v, k, salt in ((t.value, by_template, 0), (t.surface, by_words, 4096))]
+    return np.concatenate([by_template, by_words]), np.concatenate(hashes)
 
 
 class Items:
@@ -135,6 +141,16 @@ class Items:
         self.filter = np.zeros(1 << 22, bool)  # by the low bits of the hashes; a bound on memory, not on matches
         self.filter[self.hash & np.uint64(len(self.filter) - 1)] = True
 
+    def alignment(self, item: int, met: set[int], t: Template, row: int, shift: int) -> set[int]:
+        """The item's words of the windows that were met, and those before and after them as far as the templates agree."""
+        low, high = int(self.t.first[item]), int(self.t.first[item + 1])
+        low, high = max(low, int(t.first[row]) - shift), min(high, int(t.first[row + 1]) - shift)
+        agree = self.t.value[low:high] == t.value[low + shift : high + shift]
+        runs = np.cumsum(~agree)
+        at = np.fromiter(met, np.int64) - low
+        reached = np.unique(runs[at[agree[at]]])
+        return met | set((low + np.flatnonzero(agree & np.isin(runs, reached))).tolist())
+
     def leaks(self, buf: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words covered, slots, slots with another value) of every leak in a batch of texts."""
         if len(self.hash) == 0:
@@ -154,7 +170,8 @@ class Items:
         out = []
         for (row, item), shifts in sorted(hits.items()):
             covered, n_slots, changed = set(), 0, 0
-            for shift, places in sorted(shifts.items()):
+            for shift, met in sorted(shifts.items()):
+                places = self.alignment(item, met, t, row, shift)
                 meaning: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
                 slots = [p for p in places if self.t.slot[p]]
                 for p in slots:

@@ -8,7 +8,8 @@ says how well a model of a fixed size is fitted.
 A document's log weight is the sum over its features of log p(target) - log p(raw).
 
 Gumbel top-k: each document adds a Gumbel draw, seeded by its id, to its log weight, and the k largest sums stay; that
-samples k documents without replacement in proportion to their weights. k is the number of documents whose weight
+samples k documents without replacement in proportion to their weights. Weights of long texts differ by many nats, where
+the draw seldom turns the order; it decides among short ones and those near the k-th. k is the number of documents whose weight
 passes the threshold that parts the labelled ones best, unless a share is given.
 
 What moves: bucket counts of partitions (at most BUCKETS a partition), then histograms of keys; the k-th key is found by
@@ -37,6 +38,9 @@ MOST_LABELLED = 20_000
 BORROWED = 32
 #: Keys are kept as whole numbers of this part of a nat, so that sums agree on every machine.
 STEP = 1e-6
+#: The feature of a token after itself. Hashed like other pairs, each repeated token would be a pair that no model has
+#: seen: of the labelled documents held out, 22 of 304 bad ones stayed at sf0.1 (2 with it), 173 of 1387 of the larger
+#: check table (none with it), and as many good ones.
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -90,6 +94,12 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + smooth * prior) / (target.sum() + smooth)) - np.log(prior)
 
 
+def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A Gumbel draw of each id."""
+    h = mix64(ids.view(np.uint64) + np.uint64(seed))
+    return -np.log(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53))
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, columns: list[str]) -> DataFrame:
     """The given columns, then log_weight and key (log weight plus Gumbel draw) in steps, from one scan."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
@@ -99,10 +109,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, columns: list[str]) ->
         for whole in batches:
             buf, at = utf8(whole.column("body"))
             weights = np.concatenate([np.zeros(0), *[log_weights(shared.value, b, a) for _, _, b, a in slices(buf, at)]])
-            h = mix64(whole.column("id").to_numpy().view(np.uint64) + np.uint64(seed))
-            gumbel = -np.log(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53))
             log_weight = np.rint(weights / STEP).astype(np.int64)
-            key = log_weight + np.rint(gumbel / STEP).astype(np.int64)
+            key = log_weight + np.rint(gumbel(whole.column("id").to_numpy(), seed) / STEP).astype(np.int64)
             yield pa.RecordBatch.from_arrays([whole.column("row"), pa.array(log_weight), pa.array(key)], ["row", "log_weight", "key"])
 
     schema = T.StructType([inner.schema["row"], T.StructField("log_weight", T.LongType()), T.StructField("key", T.LongType())])

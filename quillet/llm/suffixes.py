@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -368,23 +369,32 @@ def spans_of_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def covered(held: DataFrame) -> DataFrame:
-    """id, th, spans: where the texts of ``held`` (id, th, body) repeat, as (from, to) of bytes."""
-    rows = anchor_rows(held)
-    several = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    """id, th, spans: where the texts of ``held`` (id, th, body) repeat, as (from, to) of bytes.
+
+    Keys that are looked up are tables of their own, so that each join has its own exchange on both sides and adaptive
+    execution can split a hot anchor or group.
+    """
     one = lambda names: [F.first(c).alias(c) for c in names]  # noqa: E731 - of one row: the same merges choose them all
-    with kept(rows.join(several, "anchor", "left_semi")) as known:
+    end = lambda size: (F.col("start") + size).alias("to")
+    with ExitStack() as stack:
+        keep = lambda df: stack.enter_context(kept(df))
+        rows = anchor_rows(held)
+        several = keep(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+        known = keep(rows.join(several, "anchor", "left_semi"))
+
         classes = known.groupBy(*_CLASS).agg(F.count("*").alias("n"), *one(("id", "th", "start", "starts", "lead")))
-        unlike = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("anchor")
-        with kept(piece_keys(held, classes.join(unlike, "anchor", "left_semi").drop("about", "more"))) as keys:
-            wholes = keys.groupBy("group", "a", "b").agg(F.sum("n").alias("n"), *one(("id", "th", "start", "size", "skip")))
-            groups = wholes.groupBy("group").agg(F.count("*").alias("pieces"), F.min("n").alias("least")).where("pieces > 1 AND least = 1")
-            groups = groups.select("group", F.ceil(F.col("pieces") / SHARD_PIECES).cast("long").alias("shards"))
-            with kept(fetch(held, wholes.drop("a", "b").join(groups, "group"))) as pieces:
-                end = lambda size: (F.col("start") + size).alias("to")
-                alike = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("starts") + LENGTH - 1))
-                twice = keys.where("n = 1").join(wholes.where("n > 1").select("group", "a", "b"), ["group", "a", "b"], "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("size")))
-                spans = spans_of_pieces(pieces).unionByName(alike).unionByName(twice)
-                return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+        unlike = keep(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("anchor"))
+        keys = keep(piece_keys(held, classes.join(unlike, "anchor", "left_semi").drop("about", "more")))
+
+        wholes = keys.groupBy("group", "a", "b").agg(F.sum("n").alias("n"), *one(("id", "th", "start", "size", "skip")))
+        groups = wholes.groupBy("group").agg(F.count("*").alias("pieces"), F.min("n").alias("least")).where("pieces > 1 AND least = 1")
+        groups = keep(groups.select("group", F.ceil(F.col("pieces") / SHARD_PIECES).cast("long").alias("shards")))
+        pieces = keep(fetch(held, wholes.drop("a", "b").join(groups, "group")))
+
+        alike = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("starts") + LENGTH - 1))
+        twice = keys.where("n = 1").join(wholes.where("n > 1").select("group", "a", "b"), ["group", "a", "b"], "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("size")))
+        spans = spans_of_pieces(pieces).unionByName(alike).unionByName(twice)
+        return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
