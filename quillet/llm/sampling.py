@@ -7,7 +7,8 @@ Two texts agree in a sample with a probability of their generalised Jaccard simi
 of greatest. The fingerprint is 16 bits of each sample, in hex; likeness is the share of equal samples.
 
 Term weights come from the sorted hashes of a row's own words, so no (document, word) rows are shuffled. The samples
-are aggregates over the rows of a document, in whole-stage code; the texts move once, by doc_id.
+are aggregates over the rows of a document, in whole-stage code; the texts move once, by doc_id. A text and its edited
+text are sampled together: a term with one weight in both is drawn once.
 
 Defined results: a null text is empty; an empty text has the fingerprint of zeros and likeness 1 to another empty text;
 equal texts have equal fingerprints. Rows that repeat a doc_id follow one another by text hash, equal rows last of their
@@ -30,10 +31,10 @@ BINS, OUTER, LEVELS = 512, 8, 4
 SEED = 7919
 
 
-def word_hashes(text: Column) -> Column:
-    """Sorted hashes of a text's words, repeats included."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+def word_hashes(text: Column, side: int) -> Column:
+    """Hashes of a text's words, repeats included; the lowest bit says which side the text is."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
 
 
 def gamma_quantiles(p: np.ndarray) -> np.ndarray:
@@ -83,27 +84,47 @@ def sample(h: Column, log_s: Column) -> Column:
     return F.shiftleft(F.floor(log_a * F.lit(2.0**32)), 16).bitwiseOR(mark)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, fingerprint: SAMPLES x 16 bits, binary; one row per distinct keys. Texts without words give zeros."""
-    sorted_words = texts.select(*keys, word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("hashes"))
-    # A run of equal hashes starts where the value changes. The starts are a column: inside a lambda they would be made anew.
+def terms(texts: DataFrame, keys: list[str], sides: tuple[str, ...]) -> DataFrame:
+    """keys, terms: array of (k, s, sides): the terms of one or two texts with their weights; a term with one weight in both
+    texts stands once, with both bits of ``sides`` set."""
+    tagged = F.concat(*[word_hashes(F.col(c), k) for k, c in enumerate(sides)])
+    sorted_words = texts.select(*keys, F.sort_array(tagged).alias("hashes"))
+    # A run of equal hashes starts where the value changes. Starts and runs are columns: inside a lambda they would be made anew.
     hashes = F.col("hashes")
     starts = F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: (i == 1) | (F.get(hashes, i - 1) != F.get(hashes, i - 2)))
     begun = sorted_words.select(*keys, "hashes", F.when(F.size(hashes) > 0, starts).alias("starts"))
-    run = lambda i, j: F.struct(F.get(hashes, i - 1).alias("k"), (F.coalesce(F.get("starts", j + 1), F.size(hashes) + 1) - i).alias("s"))
+    run = lambda i, j: F.struct(F.get(hashes, i - 1).alias("h"), (F.coalesce(F.get("starts", j + 1), F.size(hashes) + 1) - i).alias("s"))
     runs = begun.select(*keys, F.transform("starts", run).alias("runs"))
+
+    def term(r: Column, j: Column) -> Column:
+        second = r["h"].bitwiseAND(F.lit(1)) == 1
+        like = lambda other: F.coalesce((other["h"].bitwiseXOR(r["h"]) == 1) & (other["s"] == r["s"]), F.lit(False))
+        both, done = ~second & like(F.get("runs", j + 1)), second & like(F.get("runs", j - 1))
+        of = F.when(both, 3).when(done, 0).when(second, 2).otherwise(1)
+        return F.struct(r["h"].bitwiseAND(F.lit(-2)).alias("k"), r["s"].alias("s"), of.alias("sides"))
+
+    return runs.select(*keys, F.filter(F.transform("runs", term), lambda t: t["sides"] > 0).alias("terms"))
+
+
+def signatures(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("text",)) -> DataFrame:
+    """keys, then a fingerprint of each side's text: SAMPLES x 16 bits, binary; one row per distinct keys. Texts without
+    words give zeros. What two sides have in common is sampled once."""
     # Samples come in groups of GROUP, a row per term and group: the code of one row stays small enough to be compiled.
-    grouped = runs.select(*keys, "runs", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // GROUP - 1))).alias("group"))
-    terms = grouped.select(*keys, "group", F.explode_outer("runs").alias("term"))
+    grouped = terms(texts, keys, sides).select(*keys, "terms", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // GROUP - 1))).alias("group"))
+    single = grouped.select(*keys, "group", F.explode_outer("terms").alias("term"))
     seed = F.col("group") * GROUP + SEED
-    drawn = terms.select(
-        *keys, "group", F.log(F.col("term.s").cast("double")).alias("log_s"),
+    hashed = single.select(
+        *keys, "group", "term.sides", F.log(F.col("term.s").cast("double")).alias("log_s"),
         *[F.when(F.col("term").isNotNull(), F.xxhash64("term.k", seed + i)).alias(f"h{i}") for i in range(GROUP)],
     )
-    best = drawn.groupBy(*keys, "group").agg(*[F.min(sample(F.col(f"h{i}"), F.col("log_s"))).alias(f"m{i}") for i in range(GROUP)])
-    marks = F.transform(F.array(*[f"m{i}" for i in range(GROUP)]), lambda m: F.lpad(F.hex(F.coalesce(m, F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    parts = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", F.array_join(marks, "").alias("marks")))).alias("parts"))
-    return parts.select(*keys, F.unhex(F.array_join(F.col("parts.marks"), "")).alias("fingerprint"))
+    drawn = hashed.select(*keys, "group", "sides", *[sample(F.col(f"h{i}"), F.col("log_s")).alias(f"v{i}") for i in range(GROUP)])
+    of = lambda k, i: F.min(F.when(F.col("sides").bitwiseAND(F.lit(1 << k)) > 0, F.col(f"v{i}")))
+    best = drawn.groupBy(*keys, "group").agg(*[of(k, i).alias(f"m{k}_{i}") for k in range(len(sides)) for i in range(GROUP)])
+    mark = lambda m: F.lpad(F.hex(F.coalesce(m, F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0")
+    marks = [F.array_join(F.transform(F.array(*[f"m{k}_{i}" for i in range(GROUP)]), mark), "").alias(f"marks{k}") for k in range(len(sides))]
+    parts = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", *marks))).alias("parts"))
+    names = ["fingerprint", "other_fingerprint"]
+    return parts.select(*keys, *[F.unhex(F.array_join(F.col(f"parts.marks{k}"), "")).alias(names[k]) for k in range(len(sides))])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -156,11 +177,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     both = edited_texts(docs)
     key = ["id", "th", "times", "next_id", "next_th", "n_chars", "edited_sha256"]
-    side = lambda number, text: F.struct(F.lit(number).alias("side"), F.col(text).alias("body"))
-    sides = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*key, F.inline(F.array(side(0, "text"), side(1, "edited"))))
-    signed = signatures(sides, [*key, "side"], "body")
-    pick = lambda number: F.max(F.when(F.col("side") == number, F.col("fingerprint")))
-    rows = durable(signed.groupBy(*key).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
+    whole = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(*key, "text", "edited")
+    rows = durable(signatures(whole, key, ("text", "edited")).withColumnRenamed("other_fingerprint", "edited_fingerprint"))
     following = rows.groupBy(F.col("id").alias("next_id"), F.col("th").alias("next_th")).agg(F.first("fingerprint").alias("next_fingerprint"))
     # The hex columns come last: inside a lambda a name can mean an alias of the same select.
     near = rows.join(following, ["next_id", "next_th"]).select(
