@@ -10,8 +10,9 @@ first, so copies cost one row. Of the distinct fingerprints, those that agree in
 
 * a block with two members gives its pair at once, from the aggregated (count, least, greatest);
 * blocks up to ``SMALL`` members are joined and verified, at most ``SMALL / 2`` candidates a row;
-* larger blocks are dealt into pieces of ``PIECE`` fingerprints, and each pair of pieces is compared as numpy blocks
-  whose links leave the task as a spanning forest: every link is seen, no list of pairs is built.
+* larger blocks are compared as numpy blocks whose links leave the task as a spanning forest: every link is seen, no list
+  of pairs is built. A block of more than ``PIECE`` members comes apart by pigeonholes of its other bits first; what is
+  as large still is dealt into pieces, and each pair of pieces is compared.
 
 Components come from alternating large-star and small-star rounds over the links, each round cut by a checkpoint.
 
@@ -21,7 +22,6 @@ one fingerprint and one component, each with its own result row; no rows give no
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,13 +77,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
     return keyed(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp binary")
 
 
-def block_tables(bits: int, blocks: int | None, tables: int, width: int) -> list[np.ndarray]:
-    """The bit places of each block table: all pairs of equal blocks, or ``tables`` seeded sets of ``width`` places."""
-    if blocks:
-        parts = np.array_split(np.arange(bits), blocks)
-        return [np.concatenate([parts[i], parts[j]]) for i in range(blocks) for j in range(i + 1, blocks)]
-    order = np.random.default_rng(42)
-    return [np.sort(order.choice(bits, width, replace=False)) for _ in range(tables)]
+def block_tables(bits: int, blocks: int) -> list[np.ndarray]:
+    """The bit places of each block table: all pairs of equal blocks."""
+    parts = np.array_split(np.arange(bits), blocks)
+    return [np.concatenate([parts[i], parts[j]]) for i in range(blocks) for j in range(i + 1, blocks)]
 
 
 def _ints(fps: pd.Series, lanes: int) -> np.ndarray:
@@ -91,7 +88,7 @@ def _ints(fps: pd.Series, lanes: int) -> np.ndarray:
 
 
 def _block_rows(distinct: DataFrame, places: list[np.ndarray], lanes: int) -> DataFrame:
-    """key (table and block value), id: one row per distinct fingerprint and table."""
+    """key (table and block value), place (of the table), id: one row per distinct fingerprint and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,9 +101,33 @@ def _block_rows(distinct: DataFrame, places: list[np.ndarray], lanes: int) -> Da
                     for b in p:
                         value = value << np.uint64(1) | bits[:, b]
                     key = mix64(value + np.uint64(t << 57))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(ids), t, np.int16)), pa.array(ids)], ["key", "place", "id"])
 
-    return distinct.select("id", "fp").mapInArrow(run, "key long, id long")
+    return distinct.select("id", "fp").mapInArrow(run, "key long, place short, id long")
+
+
+def _finer_rows(crowded: DataFrame, places: list[np.ndarray], lanes: int, distance: int) -> DataFrame:
+    """key, id of the rows (key, place, id, fp) of large blocks, once more by pigeonholes: of ``distance + 1`` parts of the
+    bits outside a block, two fingerprints within the distance agree in one, so a block comes apart by them."""
+    parts = [np.array_split(np.setdiff1d(np.arange(64 * lanes), p), distance + 1) for p in places]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in range(0, whole.num_rows, 4096):
+                batch = whole.slice(row, 4096)
+                bits = np.unpackbits(_ints(batch.column("fp").to_pylist(), lanes), axis=1)
+                keys, place, ids = (batch.column(c).to_numpy() for c in ("key", "place", "id"))
+                for t in np.unique(place):
+                    mine = place == t
+                    for k, part in enumerate(parts[t]):
+                        value = np.packbits(bits[mine][:, part], axis=1)
+                        value = np.concatenate([value, np.zeros((len(value), -value.shape[1] % 8), np.uint8)], 1).view(np.uint64)
+                        finer = keys[mine].view(np.uint64) + np.uint64(k + 1)
+                        for column in value.T:
+                            finer = mix64(finer) ^ column
+                        yield pa.RecordBatch.from_arrays([pa.array(mix64(finer).view(np.int64)), pa.array(ids[mine])], ["key", "id"])
+
+    return crowded.select("key", "place", "id", "fp").mapInArrow(run, "key long, id long")
 
 
 def _hamming(a: str, b: str, lanes: int) -> Column:
@@ -147,7 +168,7 @@ def links(distinct: DataFrame, places: list[np.ndarray], lanes: int, distance: i
     sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
     sized = durable(sized)
     twos = sized.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = rows.join(sized.where("n > 2").select("key", "n"), "key")
+    more = durable(rows.join(sized.where("n > 2").select("key", "n"), "key"))
     some = more.where(F.col("n") <= SMALL).select("key", "id")
     pairs = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
     pairs = twos.unionByName(pairs).distinct()
@@ -155,12 +176,16 @@ def links(distinct: DataFrame, places: list[np.ndarray], lanes: int, distance: i
     right = distinct.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     near = pairs.join(left, "a").join(right, "b").where(_hamming("fa", "fb", lanes) <= distance).select("a", "b")
 
+    ids = distinct.select("id", "fp")
+    finer = durable(_finer_rows(more.where(F.col("n") > PIECE).join(ids, "id"), places, lanes, distance))
+    counts = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = more.where((F.col("n") > SMALL) & (F.col("n") <= PIECE)).select("key", "id", "n").unionByName(finer.join(counts, "key"))
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    large = more.where(F.col("n") > SMALL).withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    large = crowded.withColumn("pieces", pieces).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     dealt = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
         "key", "id", "mine", F.least("mine", "with").alias("p"), F.greatest("mine", "with").alias("q")
     )
-    dealt = dealt.join(distinct.select("id", "fp"), "id")
+    dealt = dealt.join(ids, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["mine"].to_numpy() == pdf["p"].iloc[0]
@@ -193,31 +218,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, lanes: int = 1, distance: int = 2, blocks: int | None = 4, tables: int = 0, width: int = 0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, distance: int = 2, blocks: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: one row per document row.
 
-    With ``blocks`` the tables are all pairs of blocks, which finds every link up to ``blocks - 2`` bits; else
-    ``tables`` seeded sets of ``width`` bits, which find links by chance, the more surely the nearer they are.
+    The tables are all pairs of blocks, which finds every link up to ``blocks - 2`` bits.
     """
-    if blocks and blocks - 2 < distance:
+    if blocks - 2 < distance:
         raise ValueError("pairs of blocks find links of up to blocks - 2 bits")
     fps = durable(fingerprints(docs, shingle, lanes))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
     distinct = durable(distinct)
-    found = components(links(distinct, block_tables(64 * lanes, blocks, tables, width), lanes, distance))
+    found = components(links(distinct, block_tables(64 * lanes, blocks), lanes, distance))
     named = distinct.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     out = fps.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
     return unkeyed(unkeyed(out), "component_id")
 
 
-def distance_for(similarity: float, bits: int, spread: float = 1.65) -> int:
-    """Differing bits of shingle sets of that Jaccard similarity, with room for chance (``spread`` deviations: 95%)."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
-
-
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of texts of that Jaccard similarity (see ``similar``): that of its smallest doc_id (of its
     repeats, the one with the smallest text hash). Rows are told apart by doc_id and text: only like texts of an id merge."""
