@@ -143,13 +143,19 @@ def rotate_quad(q: Column, turns: int) -> Column:
 
 def order_quad(q: Column) -> Column:
     """Clockwise by angle about the centre; first the edge that points most nearly to the right."""
-    mean = lambda f: F.aggregate(q, F.lit(0.0), lambda s, p: s + p[f]) / 4
-    cx, cy = mean("x"), mean("y")
-    turned = F.transform(q, lambda p, i: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("t"), i.alias("i"), p.alias("p")))
-    clock = F.transform(F.array_sort(turned), lambda s: s["p"])
-    edge = F.transform(clock, lambda a, i: (F.get(clock, (i + 1) % 4)["x"] - a["x"]) / F.coalesce(F.nullif(distance(a, F.get(clock, (i + 1) % 4)), F.lit(0.0)), F.lit(1.0)))
-    first = F.array_position(edge, F.array_max(edge)).cast("int") - 1
-    return F.transform(clock, lambda _, i: F.get(clock, (i + first) % 4))
+    mean = lambda q, f: F.aggregate(q, F.lit(0.0), lambda s, p: s + p[f]) / 4
+
+    def clockwise(c: Column) -> Column:
+        turned = F.transform(c["q"], lambda p, i: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("t"), i.alias("i"), p.alias("p")))
+        return F.transform(F.array_sort(turned), lambda s: s["p"])
+
+    def from_first(clock: Column) -> Column:
+        ahead = lambda i: F.get(clock, (i + 1) % 4)
+        edge = F.transform(clock, lambda a, i: (ahead(i)["x"] - a["x"]) / F.coalesce(F.nullif(distance(a, ahead(i)), F.lit(0.0)), F.lit(1.0)))
+        first = let(edge, lambda e: F.array_position(e, F.array_max(e)).cast("int") - 1)
+        return let(first, lambda k: F.transform(clock, lambda _, i: F.get(clock, (i + k) % 4)))
+
+    return let(let(F.struct(q.alias("q"), mean(q, "x").alias("x"), mean(q, "y").alias("y")), clockwise), from_first)
 
 
 def quad_error(a: Column, b: Column) -> Column:

@@ -2,57 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet import vocab
 from quillet.functions import scalar
 from quillet.operators import bcbp, boxes, evaluate, extract, layout, lines, pixels, sensitive, share, store
+from quillet.plans.base import AS_OF, ORACLE_SQL, PASSES_SQL, QUERIES, WORDS_SQL, encoded, passes, query, table
 from quillet.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-#: Day that stands for today, so that results do not change with the clock.
-AS_OF = "2001-08-01"
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- lines, tokens, fields -------------------------------------------------------------------------------------------
 
-_WORDS_SQL = """
-    raw AS (SELECT doc_id, lang, i AS li, unnest(string_split(l, ' ')) AS t, generate_subscripts(string_split(l, ' '), 1) AS k
-            FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-    w AS (SELECT doc_id, lang, li, t, row_number() OVER (PARTITION BY doc_id, li ORDER BY k) AS k FROM raw WHERE trim(t, ' ') <> ''),
-    line AS (SELECT doc_id, li, string_agg(t, ' ' ORDER BY k) AS text, count(*) AS n FROM w GROUP BY doc_id, li)"""
-
-
-@query("f1_lines", f"WITH {_WORDS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY li) AS li, text, n AS n_words, 24.0::DOUBLE AS height FROM line")
+@query("f1_lines", f"WITH {WORDS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY li) AS li, text, n AS n_words, 24.0::DOUBLE AS height FROM line")
 def f1_lines(spark, sf_dir):
     grouped = lines.group_lines(lines.words_of_text(table(spark, sf_dir, "documents")))
     return grouped.select("doc_id", F.col("li").cast("long").alias("li"), "text", F.size("words").cast("long").alias("n_words"), "height")
 
 
+_plain = lambda pattern: pattern.replace("(?:", "(")
+
+
 @query(
     "k9_sensitive_by_lang",
-    rf"""WITH {_WORDS_SQL},
+    rf"""WITH {WORDS_SQL},
     l AS (SELECT doc_id, li, text, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY li), '') AS prev FROM line),
-    f AS (SELECT doc_id, li, regexp_matches(text || chr(10) || prev, '(?i)\b(ff|frequent|flyer|miles?|mileage|member(ship)?|loyalty|skymiles|aadvantage|avios|executive club|flying blue)\b') AS loyal,
-            regexp_matches(text || chr(10) || prev, '(?i)\b(e-?ticket|etkt|tkt|ticket|billet|biglietto|billete|fahrkarte|no\.?|n\.?\s?º|nr\.?|number|serial|#)\b') AS numbered,
-            regexp_matches(text || chr(10) || prev, '(?i)\b(booking|book\.?|ref(erence)?|pnr|confirmation|conf\.?|record|locator|reservation|resa|buchung|codice|code|localizador|prenotazione|dossier)\b') AS referenced FROM l),
+    f AS (SELECT doc_id, li, regexp_matches(text || chr(10) || prev, '(?i)\b({_plain(vocab.LOYALTY)})\b') AS loyal,
+            regexp_matches(text || chr(10) || prev, '(?i)\b({_plain(vocab.NUMBERED)}|n\.?\s?º|#)\b') AS numbered,
+            regexp_matches(text || chr(10) || prev, '(?i)\b({_plain(vocab.REFERENCE)})\b') AS referenced FROM l),
     x AS (SELECT w.*, loyal, numbered, referenced, regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g') AS raw,
             regexp_matches(regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9.,]+$', '', 'g'), '^[0-9]+[.,]?$') AND NOT regexp_matches(t, '^[0-9]{{1,2}}[:.h][0-9]{{2}}$') AND NOT regexp_matches(t, '^[$€£¥]?[0-9]+[.,][0-9]{{2}}$') AS cont
           FROM w JOIN f USING (doc_id, li)),
@@ -76,36 +52,13 @@ def k9_sensitive_by_lang(spark, sf_dir):
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "reason").agg(F.count("*").alias("n"))
 
 
-_PLACE = lambda c: F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.pmod(c * m + a, F.lit(26)) + 1).cast("int"), F.lit(1)) for m, a in ((1, 0), (7, 3), (11, 5))])
-_PLACE_SQL = lambda c: " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (({c} * {m} + {a}) % 26 + 1)::INT, 1)" for m, a in ((1, 0), (7, 3), (11, 5)))
-
-
-def _passes(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    key = F.col("o_orderkey")
-    return o.select(
-        "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.upper(F.substring(F.md5(key.cast("string").cast("binary")), 1, 6)).alias("pnr"), _PLACE(F.col("c_nationkey")).alias("origin"), _PLACE(F.col("c_nationkey") + 1 + key % 20).alias("destination"),
-        F.when(key % 3 == 0, "BA").when(key % 3 == 1, "QX").otherwise("LH").alias("carrier"), (key % 9998 + 1).alias("flight"), F.concat((key % 60 + 1).cast("string"), F.substring(F.lit("ABCDEFGHK"), (key % 9 + 1).cast("int"), F.lit(1))).alias("seat"), "c_name",
-    )
-
-
-_PASSES_SQL = f"""p AS (SELECT o_orderkey, o_orderdate::DATE AS day, upper(substr(md5(o_orderkey::VARCHAR), 1, 6)) AS pnr, {_PLACE_SQL("c_nationkey")} AS origin, {_PLACE_SQL("(c_nationkey + 1 + o_orderkey % 20)")} AS destination,
-    CASE o_orderkey % 3 WHEN 0 THEN 'BA' WHEN 1 THEN 'QX' ELSE 'LH' END AS carrier, o_orderkey % 9998 + 1 AS flight, (o_orderkey % 60 + 1)::VARCHAR || substr('ABCDEFGHK', (o_orderkey % 9 + 1)::INT, 1) AS seat, c_name
-    FROM orders JOIN customer ON o_custkey = c_custkey)"""
-
-
-def _encoded(p: DataFrame) -> Column:
-    c = F.col
-    return bcbp.encode(c("c_name"), c("pnr"), c("origin"), c("destination"), c("carrier"), c("flight"), F.dayofyear("day"), F.lit("Y"), c("seat"), c("o_orderkey") % 9999)
-
-
 @query(
     "k1_pass_round_trip",
-    f"""WITH {_PASSES_SQL} SELECT o_orderkey, trim(substr(c_name, 1, 20)) AS name, pnr, origin AS "from", destination AS "to", carrier, flight::VARCHAR AS flight, dayofyear(day)::INT AS julian, 'Y' AS cabin, seat, 1 AS n_legs FROM p""",
+    f"""WITH {PASSES_SQL} SELECT o_orderkey, trim(substr(c_name, 1, 20)) AS name, pnr, origin AS "from", destination AS "to", carrier, flight::VARCHAR AS flight, dayofyear(day)::INT AS julian, 'Y' AS cabin, seat, 1 AS n_legs FROM p""",
 )
 def k1_pass_round_trip(spark, sf_dir):
-    p = _passes(spark, sf_dir)
-    read = p.select("o_orderkey", bcbp.decode(_encoded(p)).alias("pass")).select("o_orderkey", "pass.name", F.get("pass.legs", 0).alias("leg"), F.size("pass.legs").alias("n_legs"))
+    p = passes(spark, sf_dir)
+    read = p.select("o_orderkey", bcbp.decode(encoded(p)).alias("pass")).select("o_orderkey", "pass.name", F.get("pass.legs", 0).alias("leg"), F.size("pass.legs").alias("n_legs"))
     return read.select("o_orderkey", "name", "leg.*", "n_legs")
 
 
@@ -137,11 +90,11 @@ def k3_find_date(spark, sf_dir):
 
 @query(
     "k4_find_route",
-    f"""WITH {_PASSES_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN origin[1] || lower(origin[2:]) WHEN o_orderkey % 4 = 2 AND origin <> destination THEN origin END AS origin,
+    f"""WITH {PASSES_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN origin[1] || lower(origin[2:]) WHEN o_orderkey % 4 = 2 AND origin <> destination THEN origin END AS origin,
     CASE WHEN o_orderkey % 4 < 2 THEN destination[1] || lower(destination[2:]) WHEN o_orderkey % 4 = 2 AND origin <> destination THEN destination END AS destination FROM p""",
 )
 def k4_find_route(spark, sf_dir):
-    p = _passes(spark, sf_dir)
+    p = passes(spark, sf_dir)
     key, at, to = F.col("o_orderkey") % 4, F.col("origin"), F.col("destination")
     page = (
         F.when(key == 0, F.array(F.lit("x1"), F.concat(at, F.lit(" → "), to)))
@@ -154,17 +107,17 @@ def k4_find_route(spark, sf_dir):
 
 @query(
     "k5_find_seat",
-    f"""WITH {_PASSES_SQL} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN seat WHEN 1 THEN 'Sec C, Row J, Seat ' || (o_orderkey % 60 + 1) WHEN 2 THEN 'Coach 7, seat ' || (o_orderkey % 60 + 1) ELSE '' END AS seat FROM p""",
+    f"""WITH {PASSES_SQL} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN seat WHEN 1 THEN 'Sec C, Row J, Seat ' || (o_orderkey % 60 + 1) WHEN 2 THEN 'Coach 7, seat ' || (o_orderkey % 60 + 1) ELSE '' END AS seat FROM p""",
 )
 def k5_find_seat(spark, sf_dir):
-    p = _passes(spark, sf_dir)
+    p = passes(spark, sf_dir)
     key, n = F.col("o_orderkey") % 4, (F.col("o_orderkey") % 60 + 1).cast("string")
     text = F.when(key == 0, F.concat(F.lit("GATE 4\nSEAT "), F.col("seat"))).when(key == 1, F.concat(F.lit("SEC C ROW J SEAT "), n)).when(key == 2, F.concat(F.lit("Carrozza / Posto\n7 / "), n, F.lit("\n"))).otherwise(F.lit("no place 12"))
     return p.select("o_orderkey", extract.find_seat(text).alias("seat"))
 
 
 _HITS = lambda p: f"len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b({p})\\b', 0), lambda x: lower(x))))"
-_KIND_SQL = {k: _HITS(v.replace("(?:", "(")) for k, v in extract.vocab.KIND_WORDS.items()}
+_KIND_SQL = {k: _HITS(_plain(v)) for k, v in vocab.KIND_WORDS.items()}
 
 
 @query(
@@ -181,28 +134,28 @@ def k6_kind_vote(spark, sf_dir):
 
 @query(
     "k8_parse_tickets",
-    f"""WITH {_PASSES_SQL}, {_JULIAN_SQL} SELECT o_orderkey AS doc_id, 'flight' AS type, origin, destination, date,
+    f"""WITH {PASSES_SQL}, {_JULIAN_SQL} SELECT o_orderkey AS doc_id, 'flight' AS type, origin, destination, date,
       CASE carrier WHEN 'BA' THEN 'British Airways' WHEN 'LH' THEN 'Lufthansa' ELSE 'Northwind Air' END AS carrier, seat, carrier || ' ' || flight AS title,
       CASE carrier WHEN 'QX' THEN 0.93 ELSE 1.0 END::DOUBLE AS confidence, CASE carrier WHEN 'QX' THEN 'text' ELSE 'barcode' END AS carrier_from
     FROM p JOIN j USING (o_orderkey)""",
 )
 def k8_parse_tickets(spark, sf_dir):
-    p = _passes(spark, sf_dir)
+    p = passes(spark, sf_dir)
     line = lambda i, t: F.struct(F.lit(i).alias("li"), t.alias("text"), F.lit(24.0).alias("height"), F.lit(95.0).alias("conf"))
     page = F.array(line(1, F.lit("NORTHWIND AIR BOARDING PASS")), line(2, F.lit("FROM")), line(3, F.col("c_name")))
-    pages = p.select(F.col("o_orderkey").alias("doc_id"), page.alias("lines"), F.array(F.lit("no pass"), _encoded(p)).alias("barcodes"))
+    pages = p.select(F.col("o_orderkey").alias("doc_id"), page.alias("lines"), F.array(F.lit("no pass"), encoded(p)).alias("barcodes"))
     out = extract.parse_tickets(pages, AS_OF)
     return out.select("doc_id", *[f"fields.{n}" for n in ("type", "origin", "destination", "date", "carrier", "seat", "title")], "confidence", F.element_at("sources", F.lit("carrier")).alias("carrier_from"))
 
 
 @query(
     "e10_known_secrets",
-    f"""WITH {_PASSES_SQL}, w AS (SELECT o_orderkey AS doc_id, pnr AS secret, unnest([pnr, 'x' || substr(pnr, 2), substr(pnr, 1, 5), '/' || lower(pnr) || '99', 'xy' || substr(pnr, 3), 'ABCD']) AS text FROM p),
+    f"""WITH {PASSES_SQL}, w AS (SELECT o_orderkey AS doc_id, pnr AS secret, unnest([pnr, 'x' || substr(pnr, 2), substr(pnr, 1, 5), '/' || lower(pnr) || '99', 'xy' || substr(pnr, 3), 'ABCD']) AS text FROM p),
     n AS (SELECT doc_id, text, upper(secret) AS s, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS t FROM w)
     SELECT doc_id, text FROM n WHERE length(t) >= 5 AND (levenshtein(t, s) <= 1 OR (length(t) > length(s) AND contains(t, s)))""",
 )
 def e10_known_secrets(spark, sf_dir):
-    p = _passes(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.col("pnr").alias("secret"))
+    p = passes(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.col("pnr").alias("secret"))
     s = F.col("secret")
     texts = F.array(s, F.concat(F.lit("x"), F.substring(s, 2, 9)), F.substring(s, 1, 5), F.concat(F.lit("/"), F.lower(s), F.lit("99")), F.concat(F.lit("xy"), F.substring(s, 3, 9)), F.lit("ABCD"))
     return sensitive.find_known(p.select("doc_id", F.explode(texts).alias("text")), p).select("doc_id", "text")
@@ -516,3 +469,7 @@ def f15_summary(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     r = o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 100 / 100.0).alias("iou"), F.col("o_totalprice").alias("ms"), (F.col("o_orderkey") % 10).alias("leaks"))
     return evaluate.summary(r, "kind").withColumns({c: F.round(c, 9) for c in ("iou_90", "mean_iou")})
+
+
+# Further queries register themselves.
+from quillet.plans import board, publish, texts  # noqa: E402, F401

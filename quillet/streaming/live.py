@@ -159,8 +159,8 @@ def merge_late(events: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame
     return events.groupBy(key).agg(*[F.coalesce(last(n, "edit"), last(n, "result")).alias(n) for n in names])
 
 
-def still_frames(frames: DataFrame) -> DataFrame:
-    """camera_id, ts, streak, fires. A frame within STILL_ERROR of the one before goes on with the streak; a
+def still_frames(frames: DataFrame, *also: str) -> DataFrame:
+    """camera_id, ts, what else is asked for, streak, fires. A frame within STILL_ERROR of the one before goes on with the streak; a
     moved or missed one starts it again; the camera fires at the first frame that makes STILL_FRAMES."""
     order = Window.partitionBy("camera_id").orderBy("ts")
     seen = F.coalesce(F.col("score") > LEAST_SCORE, F.lit(False))
@@ -169,7 +169,7 @@ def still_frames(frames: DataFrame) -> DataFrame:
     islands = marked.withColumn("on", goes_on).withColumn("island", F.sum((~F.col("on")).cast("int")).over(order))
     streak = islands.withColumn("streak", F.when(F.col("seen"), F.row_number().over(Window.partitionBy("camera_id", "island").orderBy("ts")) - 1).otherwise(0))
     hit = streak.withColumn("hit", (F.col("streak") >= STILL_FRAMES).cast("int"))
-    return hit.select("camera_id", "ts", "streak", ((F.col("hit") == 1) & (F.sum("hit").over(order) == 1)).alias("fires"))
+    return hit.select("camera_id", "ts", *also, "streak", ((F.col("hit") == 1) & (F.sum("hit").over(order) == 1)).alias("fires"))
 
 
 def streaks(events: DataFrame, key: str, at: str, same: Column) -> DataFrame:
