@@ -4,6 +4,8 @@ import datetime as dt
 import hashlib
 import json
 import math
+import os
+import random
 
 import numpy as np
 import pytest
@@ -229,3 +231,134 @@ def test_registry_names():
     from quillet.plans import registry
 
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) >= 35
+
+
+# ---- ties, streams and sources of the second round -------------------------------------------------------------------
+
+
+def test_last_row_wins_by_a_total_order(spark):
+    placements = spark.createDataFrame([("c", "t", 1)], "collage_id string, ticket_id string, z int")
+    new = [("c", "t", 7, 2), ("c", "t", 9, 2), ("c", "t", 8, 2), ("c", "u", 1, None), ("c", "t", 99, 1)]
+    for rows in (new, new[::-1]):
+        frame = spark.createDataFrame(rows, "collage_id string, ticket_id string, z int, seq int")
+        got = sorted(map(tuple, store.upsert(placements, frame.repartition(3), ["collage_id", "ticket_id"]).collect()))
+        assert got == [("c", "t", 9), ("c", "u", 1)]
+        plain = sorted(map(tuple, store.upsert(placements, frame.drop("seq"), ["collage_id", "ticket_id"]).collect()))
+        assert plain == [("c", "t", 9), ("c", "u", 1)]  # by its text: a brace sorts after a nine
+    ties = spark.createDataFrame([("h", 1, "b"), ("h", 1, "a"), ("h", 2, "0"), ("k", 5, "x")], "hash string, at int, name string")
+    stored = spark.createDataFrame([("k",)], "hash string")
+    assert [tuple(r) for r in share.insert_new(ties, stored, ["hash"], "at").collect()] == [("h", 1, "a")]
+
+
+def test_empty_collages_keep_the_type_of_ids(spark):
+    placements = spark.createDataFrame([(1, 10, 1)], "collage_id long, ticket_id long, z int")
+    out = store.collage_contents(spark.createDataFrame([(1,), (2,)], "id long"), placements, spark.createDataFrame([(10,)], "id long"))
+    assert dict(out.dtypes)["items"] == "array<struct<z:int,ticket_id:bigint>>"
+    assert {r["id"]: [i["ticket_id"] for i in r["items"]] for r in out.collect()} == {1: [10], 2: []}
+
+
+def test_symbols_in_the_order_of_the_decoder(spark, tmp_path):
+    rows = [{"doc_id": 1, "ord": k, "text": t, "is_valid": v} for k, (t, v) in enumerate([("z", True), ("a", False), ("", True), ("m", None), ("a", True), ("q", True), ("b", True), ("c", True), ("d", True)])]
+    (tmp_path / "codes.json").write_text("\n".join(json.dumps(r) for r in rows))
+    got = sorted(((r["ord"], r["text"]) for r in readers.barcodes(spark, str(tmp_path / "codes.json"), 5).collect()))
+    assert got == [(0, "z"), (3, "m"), (4, "a"), (5, "q"), (6, "b")]
+    (tmp_path / "words.json").write_text(json.dumps({"doc_id": 1, "ord": 0, "text": "x", "conf": 90.0, "line": 1, "x": 30.0, "y": 60.0, "w": 15.0, "h": 9.0}))
+    word = readers.ocr_words(spark, str(tmp_path / "words.json"), 1.5).collect()[0]
+    assert (word["x"], word["y"], word["w"], word["h"]) == (20, 40, 10, 6)
+    items = spark.createDataFrame([("a", 0), ("b", 2)], "ticket string, leaks int")
+    assert readers.write_report(items.groupBy().count(), items, str(tmp_path / "report")) == 1
+    assert readers.write_report(items.groupBy().count(), items.where("leaks = 0"), str(tmp_path / "clean")) == 0
+
+
+def streamed(spark, tmp_path, rows, schema, transform, batches=3):
+    """All rows of a stream whose files come one after the other."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    step = -(-len(rows) // batches)
+    for k in range(batches):
+        spark.createDataFrame(rows[k * step : (k + 1) * step], schema).coalesce(1).write.mode("append").parquet(str(folder / f"b{k}"))
+        os.utime(next((folder / f"b{k}").glob("*.parquet")), (1_700_000_000 + k, 1_700_000_000 + k))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = transform(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_limiter_as_a_stream_agrees_with_the_batch(spark, tmp_path):
+    rng = random.Random(3)
+    at, rows = dt.datetime(2026, 1, 1), []
+    for k in range(160):
+        # Bursts, lulls shorter than the window, and one that is longer, as after an outage.
+        at += dt.timedelta(seconds=rng.choice((1, 5, 200, 900)), milliseconds=k) if k != 90 else dt.timedelta(hours=5)
+        rows.append((rng.choice("ab"), at, k))
+    batch = live.admit(spark.createDataFrame(rows, "key string, at timestamp, event_id long"), "key", "at", 4, 60)
+    want = sorted((r["key"], r["at"], r["admitted"]) for r in batch.collect())
+    got = streamed(spark, tmp_path, [(k, t) for k, t, _ in rows], "key string, at timestamp", lambda s: live.limit_stream(s, 4, 60), 5)
+    assert sorted((r["key"], r["at"], r["admitted"]) for r in got.collect()) == want and not all(w[2] for w in want)
+
+
+def test_still_streak_as_a_stream_agrees_with_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows, shift = [], 0.0
+    for k in range(120):
+        shift += rng.choice((0.0,) * 9 + (40.0,))
+        corners = [(shift + x + rng.random() * 0.1, y) for x, y in ((0.0, 0.0), (100.0, 0.0), (100.0, 50.0), (0.0, 50.0))]
+        rows.append((rng.choice("ab"), dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=120 * k), None if k % 31 == 30 else corners, 0.1 if k % 23 == 0 else 0.9))
+    schema = f"camera_id string, ts timestamp, corners {POINT}, score double"
+    want = sorted(map(tuple, live.still_frames(spark.createDataFrame(rows, schema)).collect()))
+    got = sorted(map(tuple, streamed(spark, tmp_path, rows, schema, live.still_stream, 4).collect()))
+    assert got == want and sum(r[3] for r in got) == 2
+
+
+def test_trailing_counts_in_buckets(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), k, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=rng.randrange(0, 9000))) for k in range(400)]
+    events = spark.createDataFrame(rows, "key string, event_id long, at timestamp")
+    want = {k: sum(o == key and dt.timedelta(0) <= t - u < dt.timedelta(seconds=600) for o, _, u in rows) for key, k, t in rows}
+    for bucket in (None, 600, 1000):
+        assert {r["event_id"]: r["n"] for r in live.trailing_count(events, "key", "at", 600, bucket).collect()} == want
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice((rng.random() * 1e6, 5.0, -3.0))) for g in ("a", "b", None) for _ in range(501)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("nan", None)]
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    got = {r["g"]: r["median"] for r in evaluate.upper_medians(spark.createDataFrame(rows, "g string, v double"), "g", "v", bins=8).collect()}
+    assert got == {g: sorted(v)[len(v) // 2] for g, v in want.items()}
+
+
+def test_overlaps_by_cells(spark):
+    rng = random.Random(7)
+    rows = [("k", k, (rng.uniform(-50, 400), rng.uniform(-50, 300), rng.uniform(1, 300), rng.uniform(1, 90))) for k in range(120)]
+    frame = spark.createDataFrame(rows, "k string, id int, box struct<x:double,y:double,w:double,h:double>")
+
+    def share_of(a, b):
+        w, h = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+        return w * h / min(a[2] * a[3], b[2] * b[3])
+
+    want = {(i, j) for _, i, a in rows for _, j, b in rows if i < j and share_of(a, b) > 0.3}
+    for cell in (40.0, 128.0, 1000.0):
+        assert sorted(tuple(r) for r in boxes.overlapping_pairs(frame, frame, "k", 0.3, cell).where("a < b").select("a", "b").collect()) == sorted(want)
+
+
+def test_draws_are_those_of_a_counter(spark):
+    def plain(seed, n):
+        state = 0
+        for c in seed:
+            state = (31 * state + ord(c)) % 2**32
+        out = []
+        for _ in range(n):
+            state = (state + 0x6D2B79F5) % 2**32
+            t = (state ^ state >> 15) * (1 | state) % 2**32
+            t = (t + ((t ^ t >> 7) * (61 | t)) % 2**32) % 2**32 ^ t
+            out.append((t ^ t >> 14) / 2**32)
+        return out
+
+    for seed in ("", "a", "demo:boarding", "é–x" * 9):
+        assert layout.draws(seed, 0, 50).tolist() == plain(seed, 50) and layout.draws(seed, 20, 30).tolist() == plain(seed, 50)[20:]
+    noise = pixels.grain(3, 50_000)
+    assert abs(noise.mean() - 0.5) < 0.01 and abs(noise.std() - 12**-0.5) < 0.01 and (noise != pixels.grain(4, 50_000)).all()
