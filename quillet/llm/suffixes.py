@@ -391,8 +391,10 @@ def covered(held: DataFrame) -> DataFrame:
         groups = keep(groups.select("group", F.ceil(F.col("pieces") / SHARD_PIECES).cast("long").alias("shards")))
         pieces = keep(fetch(held, wholes.drop("a", "b").join(groups, "group")))
 
-        alike = known.join(classes.where("n > 1").select(*_CLASS), _CLASS, "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("starts") + LENGTH - 1))
-        twice = keys.where("n = 1").join(wholes.where("n > 1").select("group", "a", "b"), ["group", "a", "b"], "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("size")))
+        same_class = keep(classes.where("n > 1").select(*_CLASS))
+        same_piece = keep(wholes.where("n > 1").select("group", "a", "b"))
+        alike = known.join(same_class, _CLASS, "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("starts") + LENGTH - 1))
+        twice = keys.where("n = 1").join(same_piece, ["group", "a", "b"], "left_semi").select("id", "th", F.col("start").alias("from"), end(F.col("size")))
         spans = spans_of_pieces(pieces).unionByName(alike).unionByName(twice)
         return durable(spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
 
