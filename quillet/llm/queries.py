@@ -86,7 +86,22 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-@query("op5_suffix_dedup")
+@query(
+    "op5_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    s AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+    r AS (SELECT doc_id, i FROM s SEMI JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)),
+    o AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true)::INT AS opens FROM r),
+    g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+    u AS (SELECT doc_id, run, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY ALL),
+    k AS (SELECT doc_id, run, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 0) + 1 AS a, lo - 1 AS z FROM u
+          UNION ALL SELECT d.doc_id, 1000000000, coalesce(max(hi), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id)
+    SELECT d.doc_id, any_value(octet_length(b))::BIGINT AS n_bytes, any_value(octet_length(b))::BIGINT - sum(z - a + 1)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+      sha256(unhex(string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY run))) AS kept_sha256
+    FROM d JOIN k USING (doc_id) GROUP BY d.doc_id
+    """,
+)
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -96,6 +111,18 @@ def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "edited_text_digests",
+    """WITH o AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM o)
+    SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t[1:length(t) - length(t) // 4] || u[1:length(t) // 4]) AS edited_sha256 FROM n""",
+)
+def edited_text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that op6 fingerprints besides the documents' own."""
+    texts = sampling.edited_texts(table(spark, sf_dir, "documents"))
+    return texts.select(F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 SITE_RULES = tuple(urls.Rule.site(v, r) for v, r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
 
 
