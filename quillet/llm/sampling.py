@@ -117,9 +117,11 @@ def signatures(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("tex
         *keys, "group", "term.sides", F.log(F.col("term.s").cast("double")).alias("log_s"),
         *[F.when(F.col("term").isNotNull(), F.xxhash64("term.k", seed + i)).alias(f"h{i}") for i in range(GROUP)],
     )
-    drawn = hashed.select(*keys, "group", "sides", *[sample(F.col(f"h{i}"), F.col("log_s")).alias(f"v{i}") for i in range(GROUP)])
+    # Each sample is the argument of an aggregate, which Spark compiles to a method of its own; one method for all of a
+    # row's would be too large for the JVM to compile. So the least of each kind of term comes first, then that of a side.
+    least = hashed.groupBy(*keys, "group", "sides").agg(*[F.min(sample(F.col(f"h{i}"), F.col("log_s"))).alias(f"v{i}") for i in range(GROUP)])
     of = lambda k, i: F.min(F.when(F.col("sides").bitwiseAND(F.lit(1 << k)) > 0, F.col(f"v{i}")))
-    best = drawn.groupBy(*keys, "group").agg(*[of(k, i).alias(f"m{k}_{i}") for k in range(len(sides)) for i in range(GROUP)])
+    best = least.groupBy(*keys, "group").agg(*[of(k, i).alias(f"m{k}_{i}") for k in range(len(sides)) for i in range(GROUP)])
     mark = lambda m: F.lpad(F.hex(F.coalesce(m, F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0")
     marks = [F.array_join(F.transform(F.array(*[f"m{k}_{i}" for i in range(GROUP)]), mark), "").alias(f"marks{k}") for k in range(len(sides))]
     parts = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", *marks))).alias("parts"))
