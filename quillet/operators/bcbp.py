@@ -32,14 +32,19 @@ def _decode(s: Column) -> Column:
         )
 
     def step(state: Column, _: Column) -> Column:
-        p, now = state["p"], leg(state["p"])
-        long_enough = F.length(s) >= p + LEG_CHARS - 1
-        fine = now["from"].rlike("^[A-Z]{3}$") & now["to"].rlike("^[A-Z]{3}$") & now["julian"].between(1, 366)
-        use = state["open"] & long_enough & fine
-        return F.struct(
-            F.when(use, p + LEG_CHARS + hex_prefix(cut(p, 35, 2))).otherwise(p).alias("p"), use.alias("open"),
-            F.when(use, F.concat(state["legs"], F.array(now))).otherwise(state["legs"]).alias("legs"),
-        )
+        p = state["p"]
+
+        def move(use: Column, now: Column) -> Column:
+            return F.struct(
+                F.when(use, p + LEG_CHARS + hex_prefix(cut(p, 35, 2))).otherwise(p).alias("p"), use.alias("open"),
+                F.when(use, F.concat(state["legs"], F.array(now))).otherwise(state["legs"]).alias("legs"),
+            )
+
+        def judge(now: Column) -> Column:
+            fine = now["from"].rlike("^[A-Z]{3}$") & now["to"].rlike("^[A-Z]{3}$") & now["julian"].between(1, 366)
+            return let(state["open"] & (F.length(s) >= p + LEG_CHARS - 1) & fine, lambda use: move(use, now))
+
+        return let(leg(p), judge)
 
     start = F.struct(F.lit(FIRST_LEG).alias("p"), F.lit(True).alias("open"), F.array().cast(f"array<{LEG}>").alias("legs"))
     count = F.coalesce(filled(F.regexp_extract(s, "^M([1-4])", 1)).cast("int"), F.lit(1))
