@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import chat, decontaminate, lines, mixing, quality, sampling, simhash, suffixes, toxicity, urls
+from quillet.llm import chat, decontaminate, lines, mixing, quality, runs, sampling, simhash, suffixes, toxicity, trie, urls
 from quillet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,68 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII string: its bytes, each with eight steps of one bit after it."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295, list_reduce({steps}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b::BIGINT) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT))"
+
+
+@query(
+    "op11_periodic_runs",
+    f"""
+    WITH o AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+    p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+    d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM p),
+    e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+    m AS (SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+          FROM e AS x JOIN e AS y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+    s AS (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM m GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+    r AS (SELECT doc_id, s, l, min(q) AS q FROM s GROUP BY doc_id, s, l),
+    g AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t, arg_max({{'s': s, 'l': l, 'q': q}}, [l, -s, -q]) AS b FROM r GROUP BY doc_id),
+    k AS (SELECT e.doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM e ANTI JOIN r ON e.doc_id = r.doc_id AND e.i >= r.s + r.q AND e.i < r.s + r.l GROUP BY e.doc_id)
+    SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+      sha256(coalesce(g.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents"), rewrite=runs.repeated_tail)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("r", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("r.start")).alias("start"),
+        F.col("r.length").alias("length"),
+        (-F.col("r.period")).alias("period"),
+        F.floor(1000 * F.col("r.length") / -F.col("r.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(md5(coalesce(role, '')) || coalesce(text, ''))) AS i,
+            md5(md5(coalesce(role, '')) || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+          FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT c, c - c % 20 AS base, {_crc32("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+    b AS (SELECT k.c, i, t, w FROM k JOIN o ON o.c = k.base AND i <= h UNION ALL SELECT k.c, i, t, w FROM k JOIN o ON o.c = k.c AND i > h),
+    p AS (SELECT c, row_number() OVER v AS d, string_agg(t, '') OVER v AS n, w FROM b WINDOW v AS (PARTITION BY c ORDER BY i) UNION ALL SELECT c, 0, '', 0 FROM k),
+    z AS (SELECT n, min(c) AS c, any_value(d) AS d, count(*) AS m, any_value(w) AS w FROM p GROUP BY n),
+    l AS (SELECT n AS parent, count(*) AS kids FROM (SELECT left(n, length(n) - 32) AS n FROM z WHERE n <> '') GROUP BY n),
+    s AS (SELECT x.n, count(*) FILTER (WHERE l.kids IS NULL) AS leaves, sum((z.m - 1) * z.w) AS saved
+          FROM (SELECT DISTINCT x.n, y.n AS u FROM p AS x JOIN p AS y ON x.c = y.c AND y.d >= x.d) AS x JOIN z ON z.n = x.u LEFT JOIN l ON l.parent = x.u GROUP BY x.n),
+    e AS (SELECT n, string_agg(c::VARCHAR, ',' ORDER BY c) AS t FROM (SELECT c, max_by(n, d) AS n FROM p GROUP BY c) GROUP BY n)
+    SELECT z.c AS conv_id, z.d::BIGINT AS depth, u.c AS parent_conv_id, z.m::BIGINT AS n_convs, coalesce(l.kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+      saved::BIGINT AS saved_tokens, sha256(coalesce(e.t, '')) AS ends_sha256
+    FROM z JOIN s USING (n) LEFT JOIN l ON l.parent = z.n LEFT JOIN e ON e.n = z.n LEFT JOIN z AS u ON z.n <> '' AND u.n = left(z.n, length(z.n) - 32)
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
