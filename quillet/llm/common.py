@@ -164,3 +164,22 @@ def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
     return starts, ends, np.searchsorted(at, starts, "right") - 1
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are no ASCII white space, and each run's row; no run crosses rows."""
+    if len(buf) == 0:
+        return (np.zeros(0, np.int64),) * 3
+    solid = ~SPACE[buf]
+    opens, closes = solid.copy(), solid.copy()
+    cuts = at[:-1][(at[:-1] < len(buf)) & (at[:-1] > 0)]
+    inside = np.ones(len(buf), bool)
+    inside[cuts] = False
+    opens[1:] &= ~(solid[:-1] & inside[1:])
+    closes[:-1] &= ~(solid[1:] & inside[1:])
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(at, starts, "right") - 1

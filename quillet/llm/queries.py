@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import chat, decontaminate, lines, mixing, quality, runs, sampling, simhash, suffixes, toxicity, trie, urls
+from quillet.llm import chat, decontaminate, lines, mixing, quality, runs, sampling, simhash, substrings, suffixes, toxicity, trie, urls
 from quillet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = trie.prefix_trie(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query(
+    "op13_substring_dedup",
+    """
+    WITH o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM o WHERE len(w) >= 50)),
+    f AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM s JOIN f USING (h) WHERE doc_id > least),
+    e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM o),
+    k AS (SELECT e.doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+    SELECT o.doc_id, len(o.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+    FROM o LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
