@@ -472,4 +472,4 @@ def f15_summary(spark, sf_dir):
 
 
 # Further queries register themselves.
-from quillet.plans import board, publish, texts  # noqa: E402, F401
+from quillet.plans import board, publish, shapes, texts  # noqa: E402, F401
