@@ -7,7 +7,7 @@ known by (group, y, x0), a component by its first run in reading order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.operators.components import components, cut_lineage
@@ -15,11 +15,11 @@ from quillet.operators.components import components, cut_lineage
 CELL = 64
 
 
-def mask_runs(mask: DataFrame, group: str) -> DataFrame:
-    """Runs of a mask without repeated pixels."""
+def mask_runs(mask: DataFrame, group: str, *sums: Column) -> DataFrame:
+    """Runs of a mask without repeated pixels, and sums over the pixels of each."""
     line = Window.partitionBy(group, "y").orderBy("x")
-    placed = mask.select(group, "y", "x", (F.col("x") - F.row_number().over(line)).alias("island"))
-    return placed.groupBy(group, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+    placed = mask.withColumn("island", F.col("x") - F.row_number().over(line))
+    return placed.groupBy(group, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), *sums).drop("island")
 
 
 def joined_runs(runs: DataFrame, group: str) -> DataFrame:
@@ -51,13 +51,13 @@ def touching(runs: DataFrame, group: str, reach: int, *also: str) -> DataFrame:
     return met.where(F.floor(F.greatest(F.col("a0") - reach, F.col("b0")) / CELL) == F.col("cell")).drop("cell")  # of all cells the first
 
 
-def labelled(runs: DataFrame, group: str, reach: int = 1) -> DataFrame:
-    """The runs with the line and column (ly, lx) of the first run of their component."""
+def labelled(runs: DataFrame, group: str, reach: int = 1, *also: str) -> DataFrame:
+    """The runs, and ``also`` of them, with the line and column (ly, lx) of the first run of their component."""
     at = lambda y, x: F.struct(F.col(group).alias("g"), y.alias("y"), F.col(x).alias("x"))
     links = touching(runs, group, reach).select(at(F.col("y"), "a0").alias("a"), at(F.col("y") + 1, "b0").alias("b"))
     found = components(links)
     named = runs.withColumn("node", at(F.col("y"), "x0")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.select(group, "y", "x0", "x1", F.col("root.y").alias("ly"), F.col("root.x").alias("lx"))
+    return named.select(group, "y", "x0", "x1", *also, F.col("root.y").alias("ly"), F.col("root.x").alias("lx"))
 
 
 def filled(runs: DataFrame, group: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.operators import regions
+from quillet.operators import codes, regions
 from quillet.plans.base import query
 from quillet.plans.board import _PIXELS_SQL, _pixels
 
@@ -50,3 +50,104 @@ def m16_blobs(spark, sf_dir):
 )
 def h10_largest(spark, sf_dir):
     return regions.largest(_cells(spark, sf_dir), "img")
+
+
+#: Pictures of two pixels a value: bars, a block of modules, or text by label, on grey paper with grain.
+_PICTURES_SQL = f"""{_PIXELS_SQL}, pic AS MATERIALIZED (SELECT img, x, y, CASE WHEN img % 3 = 0 AND x BETWEEN 8 AND 71 AND y BETWEEN 12 AND 43 THEN CASE WHEN f < 128 THEN 15 ELSE 235 END
+      WHEN img % 3 = 1 AND x BETWEEN 60 AND 107 AND y BETWEEN 20 AND 67 THEN CASE WHEN ((x - 60) // 3 + (y - 20) // 8) % 2 = 1 THEN 20 ELSE 240 END
+      WHEN img % 3 = 2 AND x BETWEEN 10 AND 89 AND y BETWEEN 20 AND 59 THEN CASE WHEN v < 128 THEN 20 ELSE 230 END ELSE 200 + v % 12 END AS v
+    FROM (SELECT p.img, 2 * p.x + i AS x, 2 * p.y + j AS y, p.v, q.v AS f FROM p JOIN p AS q ON q.img = p.img AND q.x = p.x AND q.y = 0, range(2) AS a(i), range(2) AS b(j))),
+    fr AS MATERIALIZED (SELECT img, max(x) + 1 AS wide, max(y) + 1 AS tall FROM pic GROUP BY img)"""
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    p = _pixels(spark, sf_dir)
+    top = p.where("y = 0").select("img", "x", F.col("v").alias("f"))
+    twice = lambda c: F.explode(F.array(2 * F.col(c), 2 * F.col(c) + 1)).alias(c)
+    large = p.join(top, ["img", "x"]).select("img", twice("x"), "y", "v", "f").select("img", "x", twice("y"), "v", "f")
+    x, y, v, kind = F.col("x"), F.col("y"), F.col("v"), F.col("img") % 3
+    module = (F.floor((x - 60) / 3) + F.floor((y - 20) / 8)) % 2 == 1
+    ink = F.when((kind == 0) & x.between(8, 71) & y.between(12, 43), F.when(F.col("f") < 128, 15).otherwise(235))
+    ink = ink.when((kind == 1) & x.between(60, 107) & y.between(20, 67), F.when(module, 20).otherwise(240))
+    ink = ink.when((kind == 2) & x.between(10, 89) & y.between(20, 59), F.when(v < 128, 20).otherwise(230)).otherwise(200 + v % 12)
+    return large.select("img", "x", "y", ink.alias("v"))
+
+
+def _gradients_sql(source: str, side: int, middle: int, mirror: bool) -> str:
+    l, r = ("coalesce(lag({0}) OVER {1}, lead({0}) OVER {1}, {0})", "coalesce(lead({0}) OVER {1}, lag({0}) OVER {1}, {0})") if mirror else ("coalesce(lag({0}) OVER {1}, {0})", "coalesce(lead({0}) OVER {1}, {0})")  # noqa: E741
+    at = lambda f, v, w: f.format(v, w)
+    return f"""gl AS (SELECT img, x, y, v, {at(r, "v", "wx")} - {at(l, "v", "wx")} AS d, {side} * ({at(l, "v", "wx")} + {at(r, "v", "wx")}) + {middle} * v AS s FROM {source} WINDOW wx AS (PARTITION BY img, y ORDER BY x)),
+    gr AS MATERIALIZED (SELECT img, x, y, {side} * ({at(l, "d", "wy")} + {at(r, "d", "wy")}) + {middle} * d AS gx, {at(r, "s", "wy")} - {at(l, "s", "wy")} AS gy FROM gl WINDOW wy AS (PARTITION BY img, x ORDER BY y))"""
+
+
+def _box_sums_sql(source: str, value: str, reach: str) -> str:
+    """bs (img, x, y, sum): sums over squares, mirrored at the border."""
+    mirror = lambda c, size: f"({size} - 1 - abs({size} - 1 - abs({c})))"
+    return f"""bh AS MATERIALIZED (SELECT a.img, a.x, a.y, sum(b.{value}) AS sum FROM (SELECT *, unnest(range(-{reach}, {reach} + 1)) AS i FROM {source} JOIN fr USING (img)) AS a JOIN {source} AS b ON b.img = a.img AND b.y = a.y AND b.x = {mirror("a.x + a.i", "a.wide")} GROUP BY ALL),
+    bs AS MATERIALIZED (SELECT a.img, a.x, a.y, sum(b.sum) AS sum FROM (SELECT *, unnest(range(-{reach}, {reach} + 1)) AS i FROM bh JOIN fr USING (img)) AS a JOIN bh AS b ON b.img = a.img AND b.x = a.x AND b.y = {mirror("a.y + a.i", "a.tall")} GROUP BY ALL)"""
+
+
+def _morphed_sql(source: str, steps: tuple[tuple[str, str, str], ...]) -> str:
+    """mo (img, x, y, on) after running maxima and minima over rows of the frame's sizes."""
+    out = []
+    for k, (along, f, reach) in enumerate(steps):
+        other = "y" if along == "x" else "x"
+        out.append(f"mo{k} AS MATERIALIZED (SELECT img, x, y, {f}(lit) OVER (PARTITION BY img, {other} ORDER BY {along} RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS lit FROM {f'mo{k - 1}' if k else source})")
+    return ",\n    ".join(out)
+
+
+_IN_U = "JOIN pic ON pic.img = z.img AND pic.x >= z.x AND pic.x < z.x + z.w AND pic.y >= z.y AND pic.y < z.y + z.h"
+
+
+@query(
+    "m7_bars",
+    f"""WITH RECURSIVE {_PICTURES_SQL}, {_gradients_sql("pic", 3, 10, True)},
+    df AS MATERIALIZED (SELECT img, x, y, greatest(least(abs(gx), 255) - least(abs(gy), 255), 0) AS d FROM gr), {_box_sums_sql("df", "d", "4")},
+    me AS MATERIALIZED (SELECT img, x, y, round_even(sum / 81.0, 0)::INT AS v FROM bs),
+    hi AS (SELECT img, v, sum(count(*)) OVER (PARTITION BY img ORDER BY v) AS n1, sum(sum(v)) OVER (PARTITION BY img ORDER BY v) AS s1, sum(count(*)) OVER (PARTITION BY img) AS n, sum(sum(v)) OVER (PARTITION BY img) AS s FROM me GROUP BY img, v),
+    ot AS (SELECT img, arg_max(v, (CASE WHEN n1 < n THEN pow(s1::DOUBLE * n - s::DOUBLE * n1, 2) / (n1::DOUBLE * (n - n1)) ELSE 0 END, -v)) AS cut FROM hi GROUP BY img),
+    on0 AS (SELECT img, x, y, (v > cut)::INT AS lit FROM me JOIN ot USING (img)),
+    {_morphed_sql("on0", (("x", "max", "10"), ("y", "max", "3"), ("y", "min", "3"), ("x", "min", "10"), ("x", "min", "4"), ("y", "min", "4"), ("y", "max", "4"), ("x", "max", "4")))},
+    m AS MATERIALIZED (SELECT img, x, y FROM mo7 WHERE lit = 1), {OUTLINES_SQL},
+    z AS MATERIALIZED (SELECT u.* FROM u JOIN fr USING (img) WHERE area / (w * h) > 0.55 AND w * h >= wide * tall * 0.006 AND w >= wide * 0.08 AND h >= 14),
+    li AS (SELECT z.img, z.l, pic.x, pic.y, pic.v FROM z {_IN_U} WHERE pic.y IN (floor(z.y + z.h * 0.3 + 0.5), floor(z.y + z.h * 0.5 + 0.5), floor(z.y + z.h * 0.7 + 0.5))),
+    mi AS (SELECT *, (min(v) OVER w3 + max(v) OVER w3) / 2 AS mid, max(v) OVER w3 - min(v) OVER w3 AS span FROM li WINDOW w3 AS (PARTITION BY img, l, y)),
+    fl AS (SELECT img, l, y, span, (v > mid) <> (lag(v) OVER (PARTITION BY img, l, y ORDER BY x) > mid) AS flip FROM mi),
+    st AS (SELECT img, l FROM (SELECT img, l, y, count(*) FILTER (WHERE flip) / count(*) AS flips FROM fl WHERE span >= 50 GROUP BY img, l, y) GROUP BY img, l HAVING avg(flips) > 0.12),
+    co AS (SELECT z.img, z.l, z.x AS zx, z.y AS zy, z.w, z.h, pic.x, pic.y, abs(lead(v) OVER (PARTITION BY z.img, z.l, pic.y ORDER BY pic.x) - v) AS dx, abs(lead(v) OVER (PARTITION BY z.img, z.l, pic.x ORDER BY pic.y) - v) AS dy FROM z {_IN_U}),
+    ch AS (SELECT img, l FROM co WHERE x >= floor(zx + w * 0.02 + 0.5) AND x < floor(zx + w * 0.98 + 0.5) - 1 AND y >= floor(zy + h * 0.15 + 0.5) AND y < floor(zy + h * 0.85 + 0.5) - 1 GROUP BY img, l HAVING sum(dx) > 0 AND sum(dy) / sum(dx) < 0.35)
+    SELECT z.img, x, y, w, h, st.l IS NOT NULL AND ch.l IS NOT NULL AS bars FROM z LEFT JOIN st ON st.img = z.img AND st.l = z.l LEFT JOIN ch ON ch.img = z.img AND ch.l = z.l""",
+)
+def m7_bars(spark, sf_dir):
+    """All blocks of the size of a code, and which of them are one."""
+    pictures = codes.cut_lineage(_pictures(spark, sf_dir))
+    sized = codes.cut_lineage(codes.bar_blocks(pictures, "img"))
+    found = codes.checked_bars(pictures, sized, "img").withColumn("bars", F.lit(True))
+    return sized.join(found, ["img", "x", "y", "w", "h"], "left").withColumn("bars", F.coalesce("bars", F.lit(False)))
+
+
+@query(
+    "m8_blocks",
+    f"""WITH RECURSIVE {_PICTURES_SQL}, {_gradients_sql("pic", 1, 2, False)},
+    ma AS MATERIALIZED (SELECT *, abs(gx) + abs(gy) AS m FROM gr),
+    nb AS (SELECT a.*, coalesce(max(b.m) FILTER (WHERE b.x = a.x - 1 AND b.y = a.y), 0) AS l, coalesce(max(b.m) FILTER (WHERE b.x = a.x + 1 AND b.y = a.y), 0) AS r, coalesce(max(b.m) FILTER (WHERE b.x = a.x AND b.y = a.y - 1), 0) AS u, coalesce(max(b.m) FILTER (WHERE b.x = a.x AND b.y = a.y + 1), 0) AS d,
+             coalesce(max(b.m) FILTER (WHERE b.x = a.x - 1 AND b.y = a.y - 1), 0) AS lu, coalesce(max(b.m) FILTER (WHERE b.x = a.x + 1 AND b.y = a.y - 1), 0) AS ru, coalesce(max(b.m) FILTER (WHERE b.x = a.x - 1 AND b.y = a.y + 1), 0) AS ld, coalesce(max(b.m) FILTER (WHERE b.x = a.x + 1 AND b.y = a.y + 1), 0) AS rd
+           FROM (SELECT *, unnest([-1, 0, 1]) AS i FROM (SELECT *, unnest([-1, 0, 1]) AS j FROM ma WHERE m > 60)) AS a LEFT JOIN ma AS b ON b.img = a.img AND b.x = a.x + a.i AND b.y = a.y + a.j GROUP BY a.img, a.x, a.y, a.gx, a.gy, a.m, a.i, a.j),
+    nn AS (SELECT img, x, y, gx, gy, m, max(l) AS l, max(r) AS r, max(u) AS u, max(d) AS d, max(lu) AS lu, max(ru) AS ru, max(ld) AS ld, max(rd) AS rd FROM nb GROUP BY img, x, y, gx, gy, m),
+    cr AS MATERIALIZED (SELECT img, x, y, m FROM nn WHERE CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN m > l AND m >= r WHEN abs(gy) * 32768 > abs(gx) * (13573 + 65536) THEN m > u AND m >= d WHEN (gx < 0) = (gy < 0) THEN m > lu AND m > rd ELSE m > ru AND m > ld END),
+    ed AS (SELECT img, x, y FROM cr WHERE m > 160 UNION SELECT cr.img, cr.x, cr.y FROM ed JOIN cr ON cr.img = ed.img AND abs(cr.x - ed.x) <= 1 AND abs(cr.y - ed.y) <= 1),
+    em AS MATERIALIZED (SELECT * FROM ed),
+    df AS MATERIALIZED (SELECT pic.img, pic.x, pic.y, (em.x IS NOT NULL)::INT AS d FROM pic LEFT JOIN em ON em.img = pic.img AND em.x = pic.x AND em.y = pic.y), {_box_sums_sql("df", "d", "4")},
+    on0 AS (SELECT img, x, y, (round_even(255 * sum / 81.0, 0) > 71)::INT AS lit FROM bs),
+    {_morphed_sql("on0", (("x", "max", "4"), ("y", "max", "4"), ("y", "min", "4"), ("x", "min", "4")))},
+    m AS MATERIALIZED (SELECT img, x, y FROM mo3 WHERE lit = 1), {OUTLINES_SQL},
+    z AS MATERIALIZED (SELECT u.* FROM u JOIN fr USING (img) WHERE area / (w * h) > 0.55 AND w / h BETWEEN 0.6 AND 1.65 AND w * h >= wide * tall * 0.008 AND least(w, h) >= 40),
+    gd AS (SELECT z.img, z.l, pic.x - z.x AS x, pic.y - z.y AS y, v, min(v) OVER w2 AS lo, max(v) OVER w2 AS hi FROM z {_IN_U} WHERE (pic.x - z.x) % 2 = 0 AND (pic.y - z.y) % 2 = 0 WINDOW w2 AS (PARTITION BY z.img, z.l)),
+    li AS (SELECT *, v > (lo + hi) / 2 AS lit FROM gd),
+    fl AS (SELECT *, lag(lit) OVER (PARTITION BY img, l, y ORDER BY x) AS side, coalesce(lag(lit) OVER (PARTITION BY img, l, x ORDER BY y), lit) AS above FROM li),
+    bl AS (SELECT img, l FROM fl WHERE side IS NOT NULL GROUP BY img, l HAVING any_value(hi - lo) >= 80 AND avg((NOT lit)::INT) > 0.25 AND avg((NOT lit)::INT) < 0.75 AND avg((lit <> side)::INT) > 0.12 AND avg((lit <> above)::INT) > 0.12),
+    de AS (SELECT z.img, z.l, count(*) AS n FROM z JOIN em ON em.img = z.img AND em.x >= z.x AND em.x < z.x + z.w AND em.y >= z.y AND em.y < z.y + z.h GROUP BY z.img, z.l)
+    SELECT z.img, x, y, w, h, round(coalesce(n, 0) / (w * h), 9) AS density FROM z JOIN bl ON bl.img = z.img AND bl.l = z.l LEFT JOIN de ON de.img = z.img AND de.l = z.l""",
+)
+def m8_blocks(spark, sf_dir):
+    return codes.block_regions(_pictures(spark, sf_dir), "img").withColumn("density", F.round("density", 9))
