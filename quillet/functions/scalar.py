@@ -37,6 +37,11 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units, as limits on texts count them: two for what lies beyond the basic plane."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def as_date(day: str | dt.date | Column) -> Column:
     return day if isinstance(day, Column) else F.lit(str(day)).cast("date")
 

@@ -21,7 +21,7 @@ def decode(raw: Column) -> Column:
 
 
 def _decode(s: Column) -> Column:
-    good = (F.length(s) >= 60) & F.substring(s, 1, 1).eqNullSafe(F.lit("M")) & F.substring(s, 2, 1).rlike("^[1-4]$")
+    good = (F.length(s) >= 60) & F.substring(s, 1, 1).eqNullSafe(F.lit("M")) & F.substring(s, 2, 1).rlike(r"^[1-4]\z")
     cut = lambda p, a, n: F.substring(s, p + a, F.lit(n))
 
     def leg(p: Column) -> Column:
@@ -41,7 +41,7 @@ def _decode(s: Column) -> Column:
             )
 
         def judge(now: Column) -> Column:
-            fine = now["from"].rlike("^[A-Z]{3}$") & now["to"].rlike("^[A-Z]{3}$") & now["julian"].between(1, 366)
+            fine = now["from"].rlike(r"^[A-Z]{3}\z") & now["to"].rlike(r"^[A-Z]{3}\z") & now["julian"].between(1, 366)
             return let(state["open"] & (F.length(s) >= p + LEG_CHARS - 1) & fine, lambda use: move(use, now))
 
         return let(leg(p), judge)

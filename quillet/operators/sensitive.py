@@ -22,7 +22,7 @@ def _run(words: Column, i: Column) -> Column:
     def step(s: Column, w: Column) -> Column:
         t = w["text"]
         core = F.regexp_replace(t, r"^[^A-Za-z0-9]+|[^A-Za-z0-9.,]+$", "")
-        fits = s["open"] & core.rlike(r"^[0-9]+[.,]?$") & ~t.rlike(vocab.TIME_SHAPE) & ~t.rlike(vocab.MONEY_SHAPE)
+        fits = s["open"] & core.rlike(r"^[0-9]+[.,]?\z") & ~t.rlike(vocab.TIME_SHAPE) & ~t.rlike(vocab.MONEY_SHAPE)
         digits = F.when(fits, F.concat(s["digits"], F.regexp_replace(t, "[^0-9]", ""))).otherwise(s["digits"])
         return F.struct((s["n"] + fits.cast("int")).alias("n"), digits.alias("digits"), (fits & (F.length(digits) < RUN_DIGITS)).alias("open"))
 
@@ -51,14 +51,14 @@ def find_sensitive(words: DataFrame) -> DataFrame:
         return let(strip_edges(w["text"]), lambda raw: F.when(F.length(raw) >= 4, let(F.upper(raw), lambda tok: of(raw, tok, k, label))))
 
     def of(raw: Column, tok: Column, k: Column, label: Column) -> Column:
-        code = tok.rlike("^[A-Z0-9]{5,8}$") & ~tok.rlike(vocab.DATE_SHAPE) & ~tok.rlike(vocab.SEAT_SHAPE) & ~tok.rlike(vocab.TIME_SHAPE)
-        flown = tok.rlike("^[A-Z]{2}[0-9]{3,4}$") & ~label["referenced"]
+        code = tok.rlike(r"^[A-Z0-9]{5,8}\z") & ~tok.rlike(vocab.DATE_SHAPE) & ~tok.rlike(vocab.SEAT_SHAPE) & ~tok.rlike(vocab.TIME_SHAPE)
+        flown = tok.rlike(r"^[A-Z]{2}[0-9]{3,4}\z") & ~label["referenced"]
         mixed = tok.rlike("[0-9]") & code & tok.rlike("[A-Z]") & ~flown
-        letters = label["referenced"] & (raw == tok) & tok.rlike("^[A-Z]{6}$") & code
-        prefix = label["loyal_here"] & F.coalesce(F.get("words", k + 1)["text"], F.lit("")).rlike("^[0-9]{6,}$")
+        letters = label["referenced"] & (raw == tok) & tok.rlike(r"^[A-Z]{6}\z") & code
+        prefix = label["loyal_here"] & F.coalesce(F.get("words", k + 1)["text"], F.lit("")).rlike(r"^[0-9]{6,}\z")
         found = lambda reason, size: F.struct(reason.alias("reason"), (k + 1).alias("first"), (k + size).alias("last"))
         return (
-            F.when(tok.rlike("^[0-9]+$"), let(_run(F.col("words"), k + 1), lambda run: number(run, k, label)))
+            F.when(tok.rlike(r"^[0-9]+\z"), let(_run(F.col("words"), k + 1), lambda run: number(run, k, label)))
             .when(mixed, found(F.when(label["loyal"], "frequent-flyer").otherwise("booking-ref"), F.lit(1)))
             .when(letters, found(F.lit("booking-ref"), F.lit(1)))
             .when(prefix, found(F.lit("frequent-flyer"), F.lit(2)))

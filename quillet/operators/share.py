@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet import vocab
-from quillet.functions.scalar import let
+from quillet.functions.scalar import let, utf16_length
 from quillet.schemas import MANIFEST
 
 # Longest texts of a shared ticket.
@@ -14,8 +14,9 @@ LONGEST = {"title": 120, "origin": 120, "destination": 120, "carrier": 120, "sea
 
 
 def read_manifest(text: Column) -> Column:
-    """Null for what is no JSON."""
-    return F.from_json(text, MANIFEST)
+    """Null for what is no JSON; ``asked`` says of each ticket whether it names a photo, be it null."""
+    named = F.transform(F.from_json(text, "struct<tickets:array<map<string,string>>>")["tickets"], lambda t: F.map_contains_key(t, "photo"))
+    return let(F.from_json(text, MANIFEST), lambda m: F.when(m.isNotNull(), F.struct(m["tickets"].alias("tickets"), m["placements"].alias("placements"), named.alias("asked"))))
 
 
 def _asset_ok(a: Column) -> Column:
@@ -31,15 +32,15 @@ def _faults(title: Column, m: Column) -> Column:
     true = lambda c: F.coalesce(c, F.lit(False))
     every = lambda field, ok: F.forall(m[field], lambda x: true(ok(x)))
     checks = {
-        "title": F.length(title).between(1, 120),
+        "title": utf16_length(title).between(1, 120),
         "tickets": F.size(m["tickets"]) <= vocab.MOST_ITEMS,
         "placements": F.size(m["placements"]) <= vocab.MOST_ITEMS,
         "ticket id": every("tickets", lambda t: t["id"].rlike(vocab.ID_SHAPE)),
         "type": every("tickets", lambda t: t["fields"]["type"].isin(*vocab.KINDS)),
-        "date": every("tickets", lambda t: (t["fields"]["date"] == "") | t["fields"]["date"].rlike(r"^\d{4}-\d{2}-\d{2}$")),
-        "note": every("tickets", lambda t: F.length(t["note"]) <= 600),
+        "date": every("tickets", lambda t: (t["fields"]["date"] == "") | t["fields"]["date"].rlike(r"^\d{4}-\d{2}-\d{2}\z")),
+        "note": every("tickets", lambda t: utf16_length(t["note"]) <= 600),
         "image": every("tickets", lambda t: _asset_ok(t["image"])),
-        "photo": every("tickets", lambda t: t["photo"].isNull() | _asset_ok(t["photo"])),
+        "photo": every("tickets", lambda t: t["photo"].isNull() | _asset_ok(t["photo"])) & F.forall(m["asked"], lambda x: true(x)),
         "placement id": every("placements", lambda p: p["ticketId"].rlike(vocab.ID_SHAPE)),
         "x": every("placements", lambda p: p["x"].between(-500, 1500)),
         "y": every("placements", lambda p: p["y"].between(-500, 50000)),
@@ -54,7 +55,7 @@ def _faults(title: Column, m: Column) -> Column:
 
 
 def _short(name: str, most: int):
-    return lambda t: F.length(t["fields"][name]) <= most
+    return lambda t: utf16_length(t["fields"][name]) <= most
 
 
 def is_token(token: Column) -> Column:
@@ -64,12 +65,12 @@ def is_token(token: Column) -> Column:
 
 def owner_matches(secret: Column, owner_hash: Column) -> Column:
     """D3."""
-    return F.coalesce(F.length(secret).between(20, 100) & (F.sha2(secret.cast("binary"), 256) == owner_hash), F.lit(False))
+    return F.coalesce(utf16_length(secret).between(20, 100) & (F.sha2(secret.cast("binary"), 256) == owner_hash), F.lit(False))
 
 
 def share_status(ready: Column, secret: Column, admitted: Column, faults: Column) -> Column:
     """Outcome of publishing, in the order of the checks."""
-    return F.when(~ready, 503).when(secret.isNull() | (F.length(secret) < 20) | (F.length(secret) > 100), 401).when(~admitted, 429).when(F.size(faults) > 0, 400).otherwise(200)
+    return F.when(~ready, 503).when(secret.isNull() | ~utf16_length(secret).between(20, 100), 401).when(~admitted, 429).when(F.size(faults) > 0, 400).otherwise(200)
 
 
 def asset_status(known: Column, owner: Column, size: Column, hash_ok: Column, referenced: Column) -> Column:

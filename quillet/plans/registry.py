@@ -263,19 +263,36 @@ def d5_recent_trip(spark, sf_dir):
 
 @query(
     "d1_manifest_faults",
-    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'title' END, CASE WHEN o_orderkey % 13 = 0 THEN 'ticket id' END, CASE WHEN o_orderkey % 5 = 0 THEN 'type' END,
-      CASE WHEN o_orderkey % 17 = 0 THEN 'image' END, CASE WHEN o_totalprice / 100 > 1500 THEN 'x' END, CASE WHEN o_orderkey % 7 = 0 THEN 'scale' END) AS faults FROM orders""",
+    """WITH c AS (SELECT o_orderkey, ['title', 'ticket id', 'type', 'date', 'note', 'image', 'photo', 'photo', 'placement id', 'x', 'y', 'rotation', 'scale', 'z', 'field title', 'field origin', 'field destination', 'field carrier', 'field seat', 'date', 'image', 'ticket id', 'title'] AS names FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 1 THEN 'tickets,' ELSE '' END || CASE WHEN o_orderkey % 997 = 2 THEN 'placements,' ELSE '' END || coalesce(names[o_orderkey % 25 + 1], '') AS faults FROM c""",
 )
 def d1_manifest_faults(spark, sf_dir):
+    """Each check broken in turn, some in two ways: a line end behind a date, a hash or an id, a photo that is not named, a
+    title of 61 characters of two units each. Two orders in 25 have no fault."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    id_ = F.when(key % 13 == 0, "bad id").otherwise(F.concat(F.lit("ticket"), key))
-    fields = F.struct(F.when(key % 5 == 0, "boat").otherwise("train").alias("type"), *[F.lit("").alias(n) for n in ("title", "origin", "destination", "date", "carrier", "seat")])
-    hash_ = F.when(key % 17 == 0, "zz").otherwise(F.sha2(key.cast("string").cast("binary"), 256))
-    ticket = F.struct(id_.alias("id"), fields.alias("fields"), F.lit("").alias("note"), F.struct(hash_.alias("hash"), F.lit(10).alias("w"), F.lit(10).alias("h")).alias("image"))
-    place = F.struct(F.concat(F.lit("ticket"), key).alias("ticketId"), (F.col("o_totalprice") / 100).alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("rotation"), F.when(key % 7 == 0, 9.0).otherwise(1.0).alias("scale"), F.lit(1).alias("z"))
-    body = F.to_json(F.struct(F.array(ticket).alias("tickets"), F.array(place).alias("placements")))
-    return o.select("o_orderkey", F.array_join(share.manifest_faults(F.when(key % 11 == 0, "").otherwise("t"), share.read_manifest(body)), ",").alias("faults"))
+    kind = key % 25
+    broken = lambda k, wrong, right: F.when(kind == k, wrong).otherwise(right)
+    good_id = F.concat(F.lit("ticket"), key)
+    id_ = broken(1, F.lit("bad id"), broken(21, F.concat(good_id, F.lit("\n")), good_id))
+    empty = F.lit("")
+    long = lambda k, n: broken(k, F.repeat(F.lit("x"), F.lit(n + 1)), empty)
+    date = broken(3, F.lit("2026-1-1"), broken(19, F.lit("2026-01-01\n"), F.lit("2026-01-01")))
+    fields = F.struct(broken(2, F.lit("boat"), F.lit("train")).alias("type"), long(14, 120).alias("title"), long(15, 120).alias("origin"), long(16, 120).alias("destination"), date.alias("date"), long(17, 120).alias("carrier"), long(18, 60).alias("seat"))
+    good = F.sha2(key.cast("string").cast("binary"), 256)
+    asset = lambda h: F.struct(h.alias("hash"), F.lit(10).alias("w"), F.lit(10).alias("h"))
+    image = asset(broken(5, F.lit("zz"), broken(20, F.concat(good, F.lit("\n")), good)))
+    ticket = F.struct(id_.alias("id"), fields.alias("fields"), long(4, 600).alias("note"), image.alias("image"), asset(broken(6, F.lit("zz"), good)).alias("photo"))
+    number = lambda k, wrong, right: broken(k, F.lit(wrong), F.lit(right))
+    place = F.struct(broken(8, F.lit("no"), good_id).alias("ticketId"), *[number(k, wrong, 1.0).alias(n) for k, n, wrong in ((9, "x", 1500.5), (10, "y", -501.0), (11, "rotation", 361.0), (12, "scale", 0.05))], number(13, 100001, 1).alias("z"))
+    many = lambda what, r: F.array_repeat(what, F.when(key % 997 == r, 301).otherwise(1))
+    body = F.to_json(F.struct(many(ticket, 1).alias("tickets"), many(place, 2).alias("placements")))
+    body = broken(7, F.replace(body, F.lit('"photo"'), F.lit('"picture"')), body)
+    title = broken(0, empty, broken(22, F.repeat(F.lit("\U0001f3ab"), F.lit(61)), F.lit("t")))
+    faults = share.manifest_faults(title, share.read_manifest(body))
+    first = F.array_join(F.filter(faults, lambda f: f.isin("tickets", "placements")), ",")
+    rest = F.array_join(F.filter(faults, lambda f: ~f.isin("tickets", "placements")), ",")
+    return o.select("o_orderkey", F.concat(first, F.when(first != "", ",").otherwise(""), rest).alias("faults"))
 
 
 @query(
@@ -308,6 +325,23 @@ def n3_admission(spark, sf_dir):
     return live.admit(table(spark, sf_dir, "events"), "event_type", "ts", 5, 60).select("event_type", "event_id", "admitted")
 
 
+@query(
+    "n3_nullable_keys",
+    """WITH RECURSIVE k AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL WHEN user_id % 10 < 4 THEN 1152921504606846976 + user_id ELSE user_id END AS client, event_id, epoch_us(ts) AS us FROM events),
+    e AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY client NULLS FIRST) AS c, row_number() OVER (PARTITION BY client ORDER BY us, event_id) AS rn FROM k),
+    r AS (SELECT c, event_id, rn, true AS admitted, [us] AS kept FROM e WHERE rn = 1
+      UNION ALL
+      SELECT c, event_id, rn, len(old) < 2, CASE WHEN len(old) < 2 THEN list_append(old, us) ELSE old END
+      FROM (SELECT e.c, e.event_id, e.rn, e.us, list_filter(r.kept, lambda t: t > e.us - 10800000000) AS old FROM r JOIN e ON e.c = r.c AND e.rn = r.rn + 1))
+    SELECT e.client, e.event_id, admitted FROM r JOIN e USING (c, rn)""",
+)
+def n3_nullable_keys(spark, sf_dir):
+    """Clients that are null, or beyond what a float holds."""
+    user = F.col("user_id")
+    client = F.when(user % 10 == 0, F.lit(None)).when(user % 10 < 4, F.lit(1152921504606846976) + user).otherwise(user)
+    return live.admit(table(spark, sf_dir, "events").withColumn("client", client), "client", "ts", 2, 180).select("client", "event_id", "admitted")
+
+
 @query(
     "f2_trailing_count",
     """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events""",

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillet.operators.boxes import quad_error
 
@@ -21,33 +23,54 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 LEAST_SCORE, STILL_ERROR, STILL_FRAMES = 0.3, 0.015, 6
 
 
+def _same(a, b) -> bool:
+    """Of keys: null is null and not-a-number is itself."""
+    return a is b or a == b or (a != a and b != b)
+
+
+def stretches(events: DataFrame, key: str, at: str, micros: int) -> DataFrame:
+    """The events with ``us`` and ``stretch``: per key, time is cut wherever nothing happens for ``micros`` or longer.
+
+    Such a gap lies between two filled buckets of that width, so that the cuts come from the first and last time of each
+    key's buckets, a map-side sum, and not from a sort of all its events.
+    """
+    placed = events.withColumn("us", F.unix_micros(F.col(at).cast("timestamp")))
+    placed = placed.withColumn("bucket", F.floor(F.col("us") / micros))
+    filled = placed.groupBy(F.col(key).alias("k"), F.col("bucket").alias("b")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    order = Window.partitionBy("k").orderBy("b")
+    cut = F.when(F.coalesce(F.col("first") - F.lag("last").over(order) >= micros, F.lit(True)), F.col("b"))
+    cuts = filled.withColumn("cut", cut).select("k", "b", F.last("cut", ignorenulls=True).over(order).alias("stretch"))
+    met = placed.join(cuts, placed[key].eqNullSafe(cuts["k"]) & (placed["bucket"] == cuts["b"]))
+    return met.drop("k", "b", "bucket")
+
+
 def admit(events: DataFrame, key: str, at: str, limit: int, minutes: int) -> DataFrame:
     """Key, at, event_id, admitted. An event is admitted if fewer than ``limit`` admitted ones lie within the window
     before it (later than at - minutes). Denied ones are not recorded, so this is a fold, not a count over a range.
 
-    The state is the last ``limit`` admitted times, whatever the number of events. A key's events are sorted by the
-    shuffle, not in memory, and stream through the fold batch by batch.
+    A pause as long as the window empties the state, so a key's events are cut there and only what lies between two pauses
+    is one fold, sorted by the shuffle, with the last ``limit`` admitted times as its state. Keys go through Arrow as they
+    are; events without a key are those of one client.
     """
     span = minutes * 60 * 1_000_000
-    micros = events.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), "event_id")
-    ranged = micros.repartition("k").sortWithinPartitions("k", "us", "event_id")
+    cut = stretches(events.select(F.col(key).alias("key"), F.col(at).alias("at"), "event_id"), "key", "at", span)
+    ranged = cut.select("key", "stretch", "us", "event_id").repartition("key", "stretch").sortWithinPartitions("key", "stretch", "us", "event_id")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = object(), []
-        for pdf in batches:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, recent = None, None, []
+        for batch in batches:
             said = []
-            for k, us in zip(pdf["k"].tolist(), pdf["us"].tolist(), strict=True):
-                if k != now:
-                    now, kept = k, []
-                kept = [t for t in kept if t > us - span]
-                said.append(len(kept) < limit)
+            for k, s, us in zip(*(batch.column(c).to_pylist() for c in ("key", "stretch", "us")), strict=True):
+                if s != part or not _same(k, now):
+                    now, part, recent = k, s, []
+                recent = [t for t in recent if t > us - span]
+                said.append(len(recent) < limit)
                 if said[-1]:
-                    kept.append(us)
-            yield pdf.assign(admitted=said)
+                    recent.append(us)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], [*batch.schema.names, "admitted"])
 
-    kind = micros.schema["k"].dataType.simpleString()
-    out = ranged.mapInPandas(fold, f"k {kind}, us long, event_id long, admitted boolean")
-    return out.select(F.col("k").alias(key), F.timestamp_micros("us").alias(at), "event_id", "admitted")
+    out = ranged.mapInArrow(fold, StructType([*ranged.schema.fields, StructField("admitted", BooleanType())]))
+    return out.select(F.col("key").alias(key), F.timestamp_micros("us").alias(at), "event_id", "admitted")
 
 
 def prune(events: DataFrame, at: str, now: Column, days: int = 1) -> DataFrame:
@@ -109,8 +132,12 @@ class Limiter(StatefulProcessor):
 
 
 def limit_stream(events: DataFrame, limit: int, minutes: int, late: str = "0 seconds") -> DataFrame:
-    """A stream of (key, at) with what was admitted; events later than ``late`` behind the newest are dropped."""
-    return events.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Limiter(limit, minutes), "key string, at timestamp, admitted boolean", "Append", "EventTime")
+    """A stream of (key, at) with what was admitted; events later than ``late`` behind the newest are dropped. Keys of any
+    type go as text with a mark for null, since rows of a group come as pandas, which turns long keys into floats."""
+    kind = events.schema["key"].dataType
+    said = events.withWatermark("at", late).select(F.when(F.col("key").isNull(), "").otherwise(F.concat(F.lit("="), F.col("key").cast("string"))).alias("key"), "at")
+    out = said.groupBy("key").transformWithStateInPandas(Limiter(limit, minutes), "key string, at timestamp, admitted boolean", "Append", "EventTime")
+    return out.withColumn("key", F.when(F.col("key") != "", F.expr("substring(key, 2)").cast(kind)))
 
 
 class StillStreak(StatefulProcessor):

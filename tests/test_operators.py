@@ -138,6 +138,10 @@ def test_manifests(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", share.manifest_faults(F.lit("t"), share.read_manifest(F.col("t"))).alias("f")).collect()
     got = {r["k"]: r["f"] for r in rows}
     assert got[0] == [] and got[1] == ["ticket id"] and got[2] == ["note"] and got[3] and got[4] == ["image"] and "ticket id" in got[5]
+    for odd in (manifest(id="ticket1\n"), manifest(image={"hash": "0" * 64 + "\n", "w": 1, "h": 1}), manifest().replace('"photo"', '"picture"'), manifest(note="\U0001f3ab" * 301)):
+        faults = spark.createDataFrame([(odd,)], "t string").select(share.manifest_faults(F.lit("t"), share.read_manifest(F.col("t"))).alias("f")).first()["f"]
+        assert len(faults) == 1
+    assert not one(spark, share.is_token(F.lit("a" * 22 + "\n")))
     assert one(spark, share.is_token(F.lit("a" * 22))) and not one(spark, share.is_token(F.lit("a" * 21)))
     secret = "s" * 24
     assert one(spark, share.owner_matches(F.lit(secret), F.lit(hashlib.sha256(secret.encode()).hexdigest()))) and not one(spark, share.owner_matches(F.lit(None).cast("string"), F.lit("x")))
@@ -165,6 +169,26 @@ def test_limiter(spark):
     assert [k for k, ok in got.items() if not ok] == [30, 31] or sorted(k for k, ok in got.items() if not ok) == [30, 31]
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_limiter_of_any_key(spark, tmp_path, kind):
+    start = dt.datetime(2026, 1, 1)
+    names = {"long": [None, 2**60 + 1, 2**60, -3], "string": [None, "", "=", "a\n"], "double": [None, float("nan"), 0.1, 1e300]}[kind]
+    rows = sorted([(k, n * 3 + j, start + dt.timedelta(seconds=40 * n + 7 * (n // 12) ** 3)) for n in range(60) for j, k in enumerate(names)], key=lambda r: r[1])
+    batch = live.admit(spark.createDataFrame(rows, f"key {kind}, event_id long, at timestamp").repartition(3), "key", "at", 2, 2)
+    got = sorted((repr(r["key"]), r["at"], r["event_id"], r["admitted"]) for r in batch.collect())
+    want = []
+    for k in names:
+        kept = []
+        for i, t in sorted((r[1], r[2]) for r in rows if r[0] is k):
+            kept = [x for x in kept if x > t - dt.timedelta(minutes=2)]
+            want.append((repr(k), t, i, len(kept) < 2))
+            kept += [t] if len(kept) < 2 else []
+    assert got == sorted(want) and len({w[3] for w in want}) == 2
+    if kind != "double":
+        live_rows = streamed(spark, tmp_path, [(k, t) for k, _, t in rows], f"key {kind}, at timestamp", lambda s: live.limit_stream(s, 2, 2), 4)
+        assert sorted((repr(r["key"]), r["at"], r["admitted"]) for r in live_rows.collect()) == sorted((k, t, ok) for k, t, _, ok in want)
+
+
 def test_still_frames(spark):
     start = dt.datetime(2026, 1, 1)
     at = lambda dx: [(dx, 0.0), (100.0 + dx, 0.0), (100.0 + dx, 100.0), (dx, 100.0)]
