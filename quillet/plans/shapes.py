@@ -1,12 +1,15 @@
-"""Queries of masks and code regions (H10, M7, M8, M16): embeddings as images, a label's vectors one below the other."""
+"""Queries of masks, code regions, quads and flattened items (H10, M2-M4, M6-M8, M13, M16): embeddings as images, a label's
+vectors one below the other."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.operators import codes, regions
-from quillet.plans.base import query
+from quillet.operators import boxes, codes, quads, regions, warp
+from quillet.plans.base import query, table
 from quillet.plans.board import _PIXELS_SQL, _pixels
 
 #: From a mask m (img, x, y): runs r, gaps g, gaps that the outside reaches o, runs without holes f with the place l of the
@@ -151,3 +154,126 @@ def m7_bars(spark, sf_dir):
 )
 def m8_blocks(spark, sf_dir):
     return codes.block_regions(_pictures(spark, sf_dir), "img").withColumn("density", F.round("density", 9))
+
+
+def _point(x, y):
+    return quads.point(F.lit(x) if isinstance(x, (int, float)) else x, F.lit(y) if isinstance(y, (int, float)) else y)
+
+
+@query(
+    "m2_quads",
+    """WITH p AS (SELECT p_partkey AS id, 40.0 + p_size AS w, 30.0 + p_partkey % 23 AS h, (p_partkey % 9)::DOUBLE AS t FROM part)
+    SELECT id, CASE id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS corners, CASE WHEN id % 3 < 2 THEN id % 3 = 1 END AS fallback,
+      CASE id % 3 WHEN 0 THEN round(h * (w - t), 6) WHEN 1 THEN round(w * h, 6) END AS area FROM p""",
+)
+def m2_quads(spark, sf_dir):
+    """Points in any order: skewed quads with points on their sides and inside, right triangles, and lines."""
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(key.alias("id"), (F.lit(40.0) + F.col("p_size")).alias("w"), (F.lit(30.0) + key % 23).alias("h"), (key % 9).cast("double").alias("t"))
+    w, h, t, kind = F.col("w"), F.col("h"), F.col("t"), F.col("id") % 3
+    quad = F.array(_point(w / 2, t / 2), _point(w - t, h + t), _point(w / 2, h / 2), _point(0, 0), _point(t / 2, h / 2), _point(t, h), _point(w, t))
+    line = F.array(_point(w, t), _point(0, 0), _point(w / 2, t / 2))
+    points = F.when(kind == 0, quad).when(kind == 1, F.array(_point(w, 0), _point(0, 0), _point(0, h), _point(w / 2, h / 2))).otherwise(line)
+    found = p.select("id", quads.convex_hull(points).alias("hull")).withColumn("q", quads.quad_from_hull(F.col("hull")))
+    return found.select("id", F.size("hull").alias("corners"), F.col("q.fallback").alias("fallback"), F.round(boxes.polygon_area(F.col("q.quad")), 6).alias("area"))
+
+
+def _snap_sql(k: int, band: int) -> str:
+    """sn{k}: quads (img, x0..x3, y0..y3) and support after a pass over those of sn{k-1}."""
+    corner = lambda c: f"CASE side WHEN 0 THEN {c}0 WHEN 1 THEN {c}1 WHEN 2 THEN {c}2 ELSE {c}3 END"
+    after = lambda c: f"CASE side WHEN 0 THEN {c}1 WHEN 1 THEN {c}2 WHEN 2 THEN {c}3 ELSE {c}0 END"
+    cross = lambda a, b: f"(a{a}.ux * a{b}.uy - a{a}.uy * a{b}.ux)"
+    step = lambda a, b: f"((a{b}.x - a{a}.x) * a{b}.uy - (a{b}.y - a{a}.y) * a{b}.ux) / {cross(a, b)}"
+    met = lambda c, a, b: f"CASE WHEN abs({cross(a, b)}) < 1e-6 THEN q.{c}{b} ELSE a{a}.{c} + a{a}.u{c} * {step(a, b)} END"
+    new = ", ".join(f"{met(c, (i + 3) % 4, i)} AS n{c}{i}" for i in range(4) for c in "xy")
+    far = ", ".join(f"sqrt(pow(nx{i} - x{i}, 2) + pow(ny{i} - y{i}, 2))" for i in range(4))
+    return f"""sd{k} AS (SELECT *, {corner("x")} AS ax, {corner("y")} AS ay, {after("x")} AS bx, {after("y")} AS by_ FROM (SELECT *, unnest([0, 1, 2, 3]) AS side FROM sn{k - 1})),
+    sl{k} AS (SELECT *, (bx - ax) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS ux, (by_ - ay) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS uy, greatest(10, floor(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) / 4 + 0.5)) AS steps FROM sd{k}),
+    ss{k} AS (SELECT * FROM (SELECT *, unnest(range(1, steps::BIGINT)) AS s FROM sl{k}) WHERE s / steps BETWEEN 0.08 AND 0.92),
+    so{k} AS (SELECT img, side, s, o, ax + (bx - ax) * (s / steps) - uy * o AS px, ay + (by_ - ay) * (s / steps) + ux * o AS py FROM (SELECT *, unnest(range(-{band}, {band} + 1)) AS o FROM ss{k})),
+    sh{k} AS (SELECT so{k}.img, side, s, arg_min({{'px': px, 'py': py, 'o': o}}, abs(o) * 2 - (o > 0)::INT) AS h FROM so{k} JOIN eg ON eg.img = so{k}.img AND eg.x = floor(px) AND eg.y = floor(py) GROUP BY so{k}.img, side, s),
+    sf{k} AS (SELECT img, side, count(*) AS n, count(*) FILTER (WHERE abs(h.o) <= 2) AS near, avg(h.px) AS mx, avg(h.py) AS my, atan2(2 * covar_pop(h.px, h.py), var_pop(h.px) - var_pop(h.py)) / 2 AS a FROM sh{k} GROUP BY img, side),
+    sc{k} AS (SELECT img, side, count(*) AS looked FROM ss{k} GROUP BY img, side),
+    sg{k} AS (SELECT l.img, l.side, looked, coalesce(near, 0) AS near, CASE WHEN n >= 6 THEN mx ELSE ax END AS x, CASE WHEN n >= 6 THEN my ELSE ay END AS y,
+      CASE WHEN n >= 6 THEN cos(a) * CASE WHEN cos(a) * ux + sin(a) * uy < 0 THEN -1 ELSE 1 END ELSE ux END AS ux, CASE WHEN n >= 6 THEN sin(a) * CASE WHEN cos(a) * ux + sin(a) * uy < 0 THEN -1 ELSE 1 END ELSE uy END AS uy
+      FROM sl{k} AS l LEFT JOIN sf{k} AS f ON f.img = l.img AND f.side = l.side LEFT JOIN sc{k} AS c ON c.img = l.img AND c.side = l.side),
+    sq{k} AS (SELECT q.*, {new}, (a0.near + a1.near + a2.near + a3.near) / (a0.looked + a1.looked + a2.looked + a3.looked) AS sup FROM (SELECT img, x0, y0, x1, y1, x2, y2, x3, y3 FROM sn{k - 1}) AS q {" ".join(f"JOIN sg{k} AS a{i} ON a{i}.img = q.img AND a{i}.side = {i}" for i in range(4))}),
+    sn{k} AS MATERIALIZED (SELECT img, {", ".join(f"CASE WHEN greatest({far}) < {band} * 2.5 THEN n{c}{i} ELSE {c}{i} END AS {c}{i}" for i in range(4) for c in "xy")}, sup FROM sq{k})"""
+
+
+@query(
+    "m3_snapped",
+    f"""WITH {_PIXELS_SQL}, eg AS MATERIALIZED (SELECT img, x, y FROM p WHERE v % 41 = 0 OR ((x BETWEEN 10 AND 50 AND (y = 6 OR y = 36) OR y BETWEEN 6 AND 36 AND (x = 10 OR x = 50)) AND v % 5 > 0)),
+    sn0 AS (SELECT img, 10.0 + img % 4 AS x0, 3.0 + img % 5 AS y0, 47.0 + img % 3 AS x1, 8.0 AS y1, 52.0 AS x2, 34.0 + img % 4 AS y2, 7.0 + img % 6 AS x3, 38.0 AS y3 FROM (SELECT DISTINCT img FROM p)), {_snap_sql(1, 14)}, {_snap_sql(2, 6)}
+    SELECT img, {", ".join(f"round({c}{i}, 6) AS {c}{i}" for i in range(4) for c in "xy")}, round(sup, 9) AS support FROM sn2""",
+)
+def m3_snapped(spark, sf_dir):
+    """A rectangle with gaps among stray pixels, and a rough quad per image."""
+    p = _pixels(spark, sf_dir)
+    x, y, v = F.col("x"), F.col("y"), F.col("v")
+    side = (x.between(10, 50) & y.isin(6, 36)) | (y.between(6, 36) & x.isin(10, 50))
+    edges = p.where((v % 41 == 0) | (side & (v % 5 > 0))).select("img", "x", "y")
+    k = F.col("img")
+    rough = F.array(_point(k % 4 + 10, k % 5 + 3), _point(k % 3 + 47, 8), _point(52, k % 4 + 34), _point(k % 6 + 7, 38))
+    found = quads.snapped(p.select("img").distinct().select("img", k.alias("id"), rough.alias("quad")), edges, "img", "id")
+    return found.select("img", *[F.round(F.get("quad", i)[c], 6).alias(f"{c}{i}") for i in range(4) for c in "xy"], F.round("support", 9).alias("support"))
+
+
+_CORNERS = {"x0": "6 + img % 5", "y0": "4.5", "x1": "50.25", "y1": "8 + img % 3", "x2": "57 + img % 9", "y2": "37", "x3": "2", "y3": "33 + img % 4"}
+
+
+@query(
+    "m4_flattened",
+    f"""WITH {_PIXELS_SQL}, fr AS (SELECT img, max(x) + 1 AS wide, max(y) + 1 AS tall FROM p GROUP BY img), q0 AS (SELECT img, wide, tall, {", ".join(f"({e})::DOUBLE AS {c}" for c, e in _CORNERS.items())} FROM fr),
+    q1 AS (SELECT *, floor((sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) + sqrt(pow(x2 - x3, 2) + pow(y2 - y3, 2))) / 2 + 0.5)::INT AS w, floor((sqrt(pow(x3 - x0, 2) + pow(y3 - y0, 2)) + sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) / 2 + 0.5)::INT AS h,
+      x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS dx3, y1 - y2 AS dy1, y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS dy3 FROM q0),
+    q2 AS (SELECT *, greatest(floor(w * 0.05 + 0.5), floor(h * 0.05 + 0.5))::INT AS m, (dx3 * dy2 - dx2 * dy3) / (dx1 * dy2 - dx2 * dy1) AS g, (dx1 * dy3 - dx3 * dy1) / (dx1 * dy2 - dx2 * dy1) AS k FROM q1),
+    c AS (SELECT *, (x - m) / w::DOUBLE AS u, (y - m) / h::DOUBLE AS v FROM (SELECT *, unnest(range(h + 2 * m)) AS y FROM (SELECT *, unnest(range(w + 2 * m)) AS x FROM q2))),
+    d AS (SELECT img, x, y, wide, tall, ((x1 - x0 + g * x1) * u + (x3 - x0 + k * x3) * v + x0) / (g * u + k * v + 1) AS sx, ((y1 - y0 + g * y1) * u + (y3 - y0 + k * y3) * v + y0) / (g * u + k * v + 1) AS sy FROM c),
+    e AS (SELECT *, sx - floor(sx) AS tx, sy - floor(sy) AS ty, unnest([-1, 0, 1, 2]) AS i FROM d), f AS (SELECT *, unnest([-1, 0, 1, 2]) AS j, abs(tx - i) AS ax FROM e), t AS (SELECT *, abs(ty - j) AS ay FROM f),
+    n AS (SELECT t.img, t.x, t.y, sum({{wx}} * {{wy}} * p.v) AS v FROM t JOIN p ON p.img = t.img AND p.x = least(greatest(floor(sx)::INT + i, 0), wide - 1) AND p.y = least(greatest(floor(sy)::INT + j, 0), tall - 1) GROUP BY t.img, t.x, t.y)
+    SELECT img, x, y, least(greatest(floor(round(v, 9) + 0.5), 0), 255)::INT AS v FROM n""".replace("{wx}", "(CASE WHEN ax <= 1 THEN (1.25 * ax - 2.25) * ax * ax + 1 ELSE ((-0.75 * ax + 3.75) * ax - 6) * ax + 3 END)").replace("{wy}", "(CASE WHEN ay <= 1 THEN (1.25 * ay - 2.25) * ay * ay + 1 ELSE ((-0.75 * ay + 3.75) * ay - 6) * ay + 3 END)"),
+)
+def m4_flattened(spark, sf_dir):
+    """A skewed quad of each image."""
+    p = _pixels(spark, sf_dir)
+    at = [F.expr(f"cast({e} AS double)") for e in _CORNERS.values()]
+    quad = F.array(*[quads.point(at[2 * k], at[2 * k + 1]) for k in range(4)])
+    return warp.flattened(p.select("img").distinct().select("img", F.col("img").alias("id"), quad.alias("quad")), p, "img", "id", ("v",)).select(F.col("id").alias("img"), "x", "y", "v")
+
+
+_SOFT = [math.exp(-(k * k) / 0.98) for k in range(-2, 3)]
+_SOFT_SQL = "[" + ", ".join(f"{w / sum(_SOFT)!r}::DOUBLE" for w in _SOFT) + "]"
+
+
+@query(
+    "m6_cards",
+    f"""WITH {_PIXELS_SQL}, i AS (SELECT img, 5.0 + img % 3 AS l, 4.0 AS t, 40.0 + img AS w, 30.0 AS h, 30 * (0.08 + img % 4 / 20.0) AS radius FROM (SELECT DISTINCT img FROM p)), r AS (SELECT *, floor(greatest(1, least(radius, w / 2, h / 2)) + 0.5) AS r FROM i),
+    n AS (SELECT img, x, y, v, a.i, b.j, x + a.i AS ax, y + b.j AS ay FROM p, range(-2, 3) AS a(i), range(-2, 3) AS b(j)),
+    s AS (SELECT img, x, y, any_value(v) AS v, sum(CASE WHEN pow(greatest(l + r - ax, ax - (l + w - r), 0), 2) + pow(greatest(t + r - ay, ay - (t + h - r), 0), 2) <= r * r THEN {_SOFT_SQL}[i + 3] * {_SOFT_SQL}[j + 3] ELSE 0 END) AS a FROM n JOIN r USING (img) GROUP BY img, x, y),
+    f AS (SELECT img, x, y, v, floor(round(255 * a, 9) + 0.5)::INT AS a FROM s), b AS (SELECT img, min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1 FROM f WHERE a > 0 GROUP BY img)
+    SELECT img, x - greatest(x0, 0) AS x, y - greatest(y0, 0) AS y, CASE WHEN a = 0 THEN 255 ELSE v END AS r, a FROM f JOIN b USING (img) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
+)
+def m6_cards(spark, sf_dir):
+    """Cards with corners of 8% to 23% by image."""
+    p = _pixels(spark, sf_dir).select("img", "x", "y", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b"))
+    items = p.select("img").distinct().select("img", (F.col("img") % 3 + 5).alias("left"), F.lit(4).alias("top"), (F.col("img") + 40).alias("w"), F.lit(30).alias("h"))
+    cards = [warp.rounded_card(p.where(F.col("img") % 4 == k), items, "img", 0.08 + k / 20) for k in range(4)]
+    every = cards[0]
+    for card in cards[1:]:
+        every = every.unionByName(card)
+    return every.select("img", "x", "y", "r", "a")
+
+
+@query(
+    "m13_put_back",
+    f"""WITH {_PIXELS_SQL} SELECT img, x, y, CASE WHEN x BETWEEN 9 AND 18 AND y BETWEEN 8 AND 8 + img THEN 16 WHEN x BETWEEN 4 AND 11 AND y BETWEEN 3 AND 14 THEN 9 ELSE v END AS r,
+      CASE WHEN x BETWEEN 9 AND 18 AND y BETWEEN 8 AND 8 + img THEN 200 WHEN x BETWEEN 4 AND 11 AND y BETWEEN 3 AND 14 THEN 255 ELSE 254 END AS a FROM p""",
+)
+def m13_put_back(spark, sf_dir):
+    """Two regions an image, the second over the first."""
+    p = _pixels(spark, sf_dir)
+    part = lambda id_, left, top, w, h, rgba: F.struct(*[F.lit(v).cast("int").alias(n) if isinstance(v, int) else v.cast("int").alias(n) for n, v in (("id", id_), ("left", left), ("top", top), ("width", w), ("height", h))], F.unhex(F.repeat(F.lit(rgba), (F.lit(w) * h).cast("int"))).alias("bytes"))
+    regions_ = p.select("img").distinct().select("img", F.inline(F.array(part(1, 4, 3, 8, F.lit(12), "090909FF"), part(2, 9, 8, 10, F.col("img") + 1, "101010C8"))))
+    out = warp.put_back(p.select("img", "x", "y", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(254).alias("a")), regions_, "img")
+    return out.select("img", "x", "y", "r", "a")
