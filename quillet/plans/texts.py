@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillet.functions import scalar
 from quillet.operators import bcbp, evaluate, lines, scan
 from quillet.plans.base import PASSES_SQL, PLACE, PLACE_SQL, WORDS_SQL, encoded, passes, query, table
-from quillet.streaming import live
+from quillet.streaming import gestures, live
 
 
 @query("j5_folded", "SELECT doc_id, sha256(strip_accents(text)) AS folded FROM documents")
@@ -146,3 +146,31 @@ def n6_late_results(spark, sf_dir):
     rows = item.select("l_orderkey", n.alias("seq"), F.when(n % 3 == 1, "edit").otherwise("result").alias("kind"), F.when(n % 2 == 0, F.col("l_returnflag")).alias("title"), F.concat("l_linestatus", n.cast("string")).alias("seat"))
     first = rows.groupBy("l_orderkey", "seq").agg(F.min(F.struct(F.col("title").isNull().alias("none"), "title", "seat", "kind")).alias("r")).select("l_orderkey", "seq", "r.kind", "r.title", "r.seat")
     return live.merge_late(first, "l_orderkey", ("title", "seat"))
+
+
+@query(
+    "n8_gestures",
+    """WITH e AS (SELECT event_id, 200.0 + event_id % 500 AS x, 100.0 + event_id % 300 AS y, 0.5 + event_id % 5 / 4.0 AS s, (event_id * 7 % 900 - 300)::DOUBLE AS dx, (event_id * 11 % 700 - 400)::DOUBLE AS dy, event_id % 4 AS k, event_id * 13 % 900 AS ms FROM events),
+    d AS (SELECT *, CASE WHEN k = 0 THEN event_id % 5 ELSE dx END AS mx, CASE WHEN k = 0 THEN -(event_id % 4) ELSE dy END AS my FROM e),
+    g AS (SELECT *, sqrt(mx * mx + my * my) >= 6 AS moved FROM d)
+    SELECT event_id, what, round(CASE WHEN moved THEN least(greatest(x + mx, s * -75), s * 75 + 1000) ELSE x END, 6) AS x, round(CASE WHEN moved THEN greatest(y + my, s * -75 * 0.4) ELSE y END, 6) AS y
+    FROM g, (SELECT unnest(['move', 'commit', 'flip']) AS what) WHERE CASE what WHEN 'flip' THEN NOT moved AND ms + 30 < 450 ELSE moved END""",
+)
+def n8_gestures(spark, sf_dir):
+    """Each event puts an item on a board of its own, presses it, moves a little or far, and lets it go."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    small = k % 4 == 0
+    dx, dy = F.when(small, k % 5).otherwise(k * 7 % 900 - 300), F.when(small, -(k % 4)).otherwise(k * 11 % 700 - 400)
+    later = lambda ms: F.timestamp_micros(F.unix_micros("t") + ms * 1000)
+    x, y = F.lit(200.0) + k % 500, F.lit(100.0) + k % 300
+    given = {"board": k.cast("string"), "pointer": F.lit(1), "target": F.lit("t"), "x": x, "y": y}
+
+    def row(seq, kind, at, **more):
+        columns = given | {"seq": F.lit(seq), "kind": F.lit(kind), "ts": at} | more
+        return F.struct(*[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in (part.split() for part in gestures.EVENTS.split(", "))])
+
+    place = row(0, "place", F.col("t"), rotation=F.lit(0.0), scale=F.lit(0.5) + k % 5 / 4.0, aspect=F.lit(0.4), z=F.lit(0))
+    steps = [place, row(1, "down", F.col("t")), row(2, "move", later(F.lit(20)), x=x + dx, y=y + dy), row(3, "up", later(k * 13 % 900 + 30))]
+    moved = gestures.board_moves(e.select(F.inline(F.array(*steps))))
+    return moved.select(F.col("board").cast("long").alias("event_id"), "what", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

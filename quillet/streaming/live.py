@@ -141,16 +141,25 @@ def limit_stream(events: DataFrame, limit: int, minutes: int, late: str = "0 sec
 
 
 class StillStreak(StatefulProcessor):
-    """N1, N2 as a stream: frames in, (camera_id, ts, streak, fires) out; state: the last corners, the streak, whether fired."""
+    """N1, N2 as a stream: frames in, (camera_id, ts, streak, fires) out; state: the last corners, the streak, whether fired,
+    and the last time. Frames fire at once, so one that is older than what its camera has shown already is left out; a timer
+    drops a camera that has shown nothing for ``idle`` minutes, which starts anew then."""
+
+    def __init__(self, idle_minutes: int = 10) -> None:
+        self.idle = idle_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "corners array<double>, streak int, fired boolean")
+        self.handle = handle
+        self.state = handle.getValueState("state", "corners array<double>, streak int, fired boolean, at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, streak, fired = self.state.get() if self.state.exists() else (None, 0, False)
+        last, streak, fired, seen = self.state.get() if self.state.exists() else (None, 0, False, None)
         frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
         out = []
         for ts, corners, score in zip(frames["ts"], frames["corners"], frames["score"], strict=True):
+            if seen is not None and ts < pd.Timestamp(seen):
+                continue
+            seen = ts
             flat = [float(v) for p in corners for v in (p["x"], p["y"])] if corners is not None and score is not None and score > LEAST_SCORE else None
             if flat is None:
                 last, streak = None, 0
@@ -160,9 +169,16 @@ class StillStreak(StatefulProcessor):
             fires = streak >= STILL_FRAMES and not fired
             fired = fired or fires
             out.append((key[0], ts, streak, fires))
-        self.state.update((last, streak, fired))
+        self.state.update((last, streak, fired, seen))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(pd.Timestamp(seen).timestamp() * 1000) + self.idle)
         yield pd.DataFrame(out, columns=["camera_id", "ts", "streak", "fires"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -174,15 +190,65 @@ def corner_error(one: list[float], other: list[float]) -> float:
     return float(np.hypot(*(a - b).T).mean() / diagonal) if diagonal else 0.0
 
 
-def still_stream(frames: DataFrame) -> DataFrame:
+def still_stream(frames: DataFrame, late: str = "1 second", idle_minutes: int = 10) -> DataFrame:
     """A stream of frames (camera_id, ts, corners, score) with the streak they end, and where a camera fires."""
-    return frames.groupBy("camera_id").transformWithStateInPandas(StillStreak(), "camera_id string, ts timestamp, streak int, fires boolean", "Append", "None")
+    marked = frames.withWatermark("ts", late).groupBy("camera_id")
+    return marked.transformWithStateInPandas(StillStreak(idle_minutes), "camera_id string, ts timestamp, streak int, fires boolean", "Append", "EventTime")
+
+
+class LateMerge(StatefulProcessor):
+    """N6 as a stream: events in, the fields as they then are out. State per field: the last edit and the last result by
+    ``seq``, so that the order in which events come does not matter; a timer drops a key once the watermark has passed its
+    last event by ``hours``."""
+
+    def __init__(self, names: tuple[str, ...], hours: int) -> None:
+        self.names, self.hours = names, hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fields = handle.getMapState("fields", "name string, kind string", "seq long, value string")
+        self.last = handle.getValueState("last", "ms long, events long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = {k: v for k, v in self.fields.iterator()} if self.fields.exists() else {}
+        until, events = self.last.get() if self.last.exists() else (0, 0)
+        for pdf in rows:
+            events += len(pdf)
+            until = max(until, int(pdf["at"].max().timestamp() * 1000) + self.hours * 3_600_000)
+            for seq, kind, *values in pdf[["seq", "kind", *self.names]].itertuples(index=False):
+                for name, value in zip(self.names, values, strict=True):
+                    if isinstance(value, str) and (seq, value) > held.get((name, kind), (-(2**63), "")):
+                        held[name, kind] = (seq, value)
+        for k, v in held.items():
+            self.fields.updateValue(k, tuple(v))
+        self.last.update((until, events))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(until)
+        shown = [(held.get((n, "edit")) or held.get((n, "result")) or (0, None))[1] for n in self.names]
+        yield pd.DataFrame([(key[0], events, *shown)], columns=["key", "events", *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.fields.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def merge_stream(events: DataFrame, names: tuple[str, ...], late: str = "1 hour", hours: int = 24) -> DataFrame:
+    """Of a stream (key string, at, seq, kind, and a text per field) the key, how many events it has had, and its fields,
+    whenever a batch brings some; the row of most events is the last."""
+    fields = ", ".join(f"{n} string" for n in names)
+    return events.withWatermark("at", late).groupBy("key").transformWithStateInPandas(LateMerge(names, hours), f"key string, events long, {fields}", "Append", "EventTime")
 
 
 def merge_late(events: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
     """Key and the fields after all events (key, seq, kind, and a column per field): a field that a user has edited holds
-    the last edit, whenever results come; any other holds the last result. Null says that an event leaves a field alone."""
-    last = lambda name, kind: F.max_by(F.when(F.col("kind") == kind, F.col(name)), F.when((F.col("kind") == kind) & F.col(name).isNotNull(), F.col("seq")))
+    the last edit, whenever results come; any other holds the last result. Null says that an event leaves a field alone; of
+    events with one seq the greatest value counts."""
+    last = lambda name, kind: F.max(F.when((F.col("kind") == kind) & F.col(name).isNotNull(), F.struct("seq", name)))[name]
     return events.groupBy(key).agg(*[F.coalesce(last(n, "edit"), last(n, "result")).alias(n) for n in names])
 
 

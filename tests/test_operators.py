@@ -335,6 +335,28 @@ def test_still_streak_as_a_stream_agrees_with_the_batch(spark, tmp_path):
     assert got == want and sum(r[3] for r in got) == 2
 
 
+def test_idle_cameras_start_anew_and_late_frames_stay_out(spark, tmp_path):
+    box = [(x, y) for x, y in ((0.0, 0.0), (100.0, 0.0), (100.0, 50.0), (0.0, 50.0))]
+    at = lambda ms: dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=ms)
+    b = [("b", at(3_600_000 + k), box, 0.9) for k in range(16)]  # their clock expires a
+    frames = [("a", at(120 * k), box, 0.9) for k in range(8)] + b + [("a", at(3_700_000 + 120 * k), box, 0.9) for k in range(7)] + [("b", at(3_600_001), box, 0.9)]
+    got = streamed(spark, tmp_path, frames, f"camera_id string, ts timestamp, corners {POINT}, score double", live.still_stream, 4).collect()
+    assert sorted(r["ts"] for r in got if r["camera_id"] == "a" and r["fires"]) == [at(720), at(3_700_720)]
+    assert sum(r["ts"] == at(3_600_001) for r in got) == 1  # the late one is left out
+
+
+def test_late_results_as_a_stream(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda: rng.choice((None, "x", "y", "", "zz"))
+    rows = [(f"k{rng.randrange(12)}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=rng.randrange(3000)), k, rng.choice(("edit", "result", "result")), text(), text()) for k in range(300)]
+    schema = "key string, at timestamp, seq long, kind string, title string, seat string"
+    want = sorted(map(tuple, live.merge_late(spark.createDataFrame(rows, schema), "key", ("title", "seat")).collect()))
+    rng.shuffle(rows)
+    got = streamed(spark, tmp_path, rows, schema, lambda s: live.merge_stream(s, ("title", "seat"), "2 hours"), 5)
+    last = got.groupBy("key").agg(F.max_by(F.struct("title", "seat"), "events").alias("r"), F.max("events").alias("n"))
+    assert sorted(map(tuple, last.select("key", "r.*").collect())) == want and last.agg(F.sum("n")).first()[0] == 300
+
+
 def test_trailing_counts_in_buckets(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), k, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=rng.randrange(0, 9000))) for k in range(400)]
