@@ -42,6 +42,11 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def whole_text(row: Column) -> Column:
+    """A row as text that tells rows apart: JSON with its null fields."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
 def as_date(day: str | dt.date | Column) -> Column:
     return day if isinstance(day, Column) else F.lit(str(day)).cast("date")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet import vocab
-from quillet.functions.scalar import let, utf16_length
+from quillet.functions.scalar import let, utf16_length, whole_text
 from quillet.schemas import MANIFEST
 
 # Longest texts of a shared ticket.
@@ -106,10 +106,10 @@ def ingest_assets(uploads: DataFrame, shares: DataFrame, assets: DataFrame) -> D
 
 
 def insert_new(rows: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """On conflict do nothing: one row of each key that is not stored, the first by ``order`` and then by its text; the
-    others are dropped on the map side."""
+    """On conflict do nothing: one row of each key that is not stored, the first by ``order`` and then by its text,
+    nulls included; the others are dropped on the map side."""
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    first = rows.groupBy(*keys).agg(F.min_by(row, F.struct(order, F.to_json(row))).alias("row"))
+    first = rows.groupBy(*keys).agg(F.min_by(row, F.struct(F.col(order), whole_text(row))).alias("row"))
     return first.select(*[F.col(f"row.`{c}`") for c in rows.columns]).join(stored.select(*keys), keys, "left_anti")
 
 
@@ -123,7 +123,11 @@ def publish(shares: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFr
     held = shares.select("token", F.col("owner_hash").alias("holder"), F.col("created_at").alias("born"))
     met = requests.join(held, "token", "left")
     known = F.col("holder").isNotNull()
-    status = F.when(known & ~F.col("holder").eqNullSafe(F.col("owner_hash")), 403).when(known, 200).otherwise(201)
+    first = met.where(~known).groupBy("fresh").agg(F.min_by("owner_hash", F.struct("seq", "id")).alias("taker"))
+    taken = first.join(held.select(F.col("token").alias("fresh"), F.lit(True).alias("used_before")), "fresh", "left")
+    met = met.join(taken, "fresh", "left")
+    clash = F.coalesce("used_before", F.lit(False)) | ~F.col("taker").eqNullSafe(F.col("owner_hash"))
+    status = F.when(known & ~F.col("holder").eqNullSafe(F.col("owner_hash")), 403).when(known, 200).when(clash, 403).otherwise(201)
     outcome = met.select("id", status.alias("status"), F.when(known, F.col("token")).otherwise(F.col("fresh")).alias("used"), "owner_hash", "title", "manifest", "seq", "born")
     done = outcome.where("status <> 403")
     last = done.groupBy(F.col("used").alias("token")).agg(F.max_by(F.struct("owner_hash", "title", "manifest", "born"), F.struct("seq", "id")).alias("r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.functions.scalar import as_date, filled
+from quillet.functions.scalar import as_date, filled, whole_text
 
 
 def lookup(table: DataFrame, **key) -> DataFrame:
@@ -28,7 +28,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """
     order = [F.col("seq")] if "seq" in new.columns else []
     row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
-    last = new.groupBy(*keys).agg(F.max_by(row, F.struct(*order, F.to_json(row))).alias("row"))
+    last = new.groupBy(*keys).agg(F.max_by(row, F.struct(*order, whole_text(row))).alias("row"))
     last = last.select(*[F.col(f"row.`{c}`") for c in new.columns if c != "seq"])
     return old.join(last.select(*keys), keys, "left_anti").unionByName(last)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.operators import scan, share, store
+from quillet.operators import metered, scan, share, store
 from quillet.plans.base import query, table
 
 
@@ -160,3 +160,41 @@ def d7_live_boxes(spark, sf_dir):
     removed = F.when(key == 1, F.array(F.lit("b2"))).when(key == 2, F.array(F.lit("b3"), F.lit("b1"))).otherwise(F.array().cast("array<string>"))
     left = scan.live_boxes(F.array(box("b1"), box("b2"), box("b3")), removed)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(left, lambda b: b["id"]), ",").alias("ids"))
+
+
+@query(
+    "b6_outcomes",
+    """WITH r AS (SELECT c_custkey * 2 + s AS id, s AS seq, c_custkey, c_custkey % 3 <> 0 AS known, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 <> 0 THEN 'stranger' ELSE 'own' || c_custkey % 10 END AS owner, 'f' || c_custkey % 90 AS fresh
+      FROM customer, (VALUES (0), (1)) AS v(s) WHERE c_custkey % 2 = 0),
+    t AS (SELECT fresh, arg_min(owner, (seq, id)) AS taker FROM r WHERE NOT known GROUP BY fresh)
+    SELECT id, CASE WHEN known AND owner = 'stranger' THEN 403 WHEN known THEN 200 WHEN owner <> taker THEN 403 ELSE 201 END AS status,
+      CASE WHEN known AND owner <> 'stranger' THEN 't' || c_custkey WHEN NOT known AND owner = taker THEN fresh END AS token FROM r LEFT JOIN t USING (fresh)""",
+)
+def b6_outcomes(spark, sf_dir):
+    """What each request comes to: replaced, added, refused for its owner, refused for a token that another took."""
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    named = lambda m, x: F.concat(F.lit(m), x.cast("string"))
+    none = F.lit("1999-01-01").cast("timestamp")
+    shares = c.where("c_custkey % 3 <> 0").select(named("t", key).alias("token"), named("own", key % 10).alias("owner_hash"), F.lit("old").alias("title"), F.lit("{}").alias("manifest"), none.alias("created_at"), none.alias("updated_at"))
+    owner = F.when((key % 5 == 0) & (key % 3 != 0), "stranger").otherwise(named("own", key % 10))
+    seqs = c.where("c_custkey % 2 = 0").withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = seqs.select((key * 2 + F.col("seq")).alias("id"), named("t", key).alias("token"), owner.alias("owner_hash"), F.lit("new").alias("title"), F.lit("{}").alias("manifest"), "seq", named("f", key % 90).alias("fresh"))
+    return share.publish(shares, asked, F.lit("2001-08-01").cast("timestamp"))[1]
+
+
+@query(
+    "f19_stage_figures",
+    """WITH l AS (SELECT string_split(text, chr(10)) AS ls FROM documents), w AS (SELECT unnest(ls) AS t FROM l), k AS (SELECT t FROM w WHERE length(t) >= 40)
+    SELECT 'documents' AS stage, 'rows' AS figure, count(*)::BIGINT AS value FROM documents UNION ALL SELECT 'documents', 'characters', sum(length(text)) FROM documents
+    UNION ALL SELECT 'lines', 'rows', count(*) FROM w UNION ALL SELECT 'long lines', 'rows', count(*) FROM k UNION ALL SELECT 'long lines', 'longest', max(length(t)) FROM k""",
+)
+def f19_stage_figures(spark, sf_dir):
+    """three stages over all documents, counted while their rows pass once."""
+    stages = metered.Stages()
+    docs = stages.metered("documents", table(spark, sf_dir, "documents").select("text"), characters=F.sum(F.char_length("text")))
+    split = stages.metered("lines", docs.select(F.explode(F.split("text", "\n")).alias("t")))
+    kept = stages.metered("long lines", split.where("char_length(t) >= 40"), longest=F.max(F.char_length("t")))
+    with stages.timed("write"):
+        kept.write.format("noop").mode("overwrite").save()
+    return stages.figures(spark)
