@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
-A text's words become a template: numbers, units after numbers, and names (capitalised words inside a sentence) give way
-to typed placeholders, other words to their hash in lower case. Windows of ``WINDOW`` template words (the whole template
+A text's words become a template: numbers in digits or words, units after numbers (of four languages), and names
+(capitalised words inside a sentence, of any script with capitals in two bytes) give way to typed placeholders, other words to their hash in lower case. Windows of ``WINDOW`` template words (the whole template
 of a shorter item) are hashed and looked up in the benchmark's hash table. A window with more placeholders than other
 words says too little by itself: it is hashed with the words that the placeholders stand for. Windows with the same
 shift against an item are one alignment; it goes on to either side as far as the templates agree, placeholders of any
@@ -31,15 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillet.llm.arrays import spread
 from quillet.llm.common import KIND, LOWER, mix64, range_hashes, slices, tokens, utf8
 
 WINDOW, LEAST_WORDS, COVER, CONSISTENT = 8, 4, 0.5, 0.8
 BLOCK_WORDS = 2_000_000
-#: Words that are units after a number.
+#: Pairs of windows, or of words, that are looked at together; one text's windows stay together.
+PAIRS = 1 << 20
+# Words that are units after a number, and words that are numbers (articles left out), of four languages.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours "
     "day days week weeks month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents percent "
-    "mph kmh kph hz khz mhz ghz w kw mw v kv a ma j kj cal kcal k c f bit bits byte bytes kb mb gb tb meter meters metre metres"
+    "mph kmh kph hz khz mhz ghz w kw mw v kv a ma j kj cal kcal k c f bit bits byte bytes kb mb gb tb meter meters metre metres "
+    "sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren pfund prozent liter kilo kilos gramm "
+    "seconde secondes heure heures jour jours semaine semaines mois an ans année années mètre mètres litre litres livre livres centime centimes "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años metro metros litro litros gramo gramos libra libras céntimo céntimos"
+).split()
+NUMERALS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil"
 ).split()
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0xA11CE5, 0xB0B5, 0xCAB1E5))
 
@@ -47,8 +60,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 63]] = True  # line end ! . : ?
-_SMALL = np.zeros(256, bool)
-_SMALL[97:123] = True
+#: Of code points up to U+07FF, all that one or two bytes hold: capital letters and small ones.
+_CAPITAL, _SMALL = (np.array([f(chr(c)) for c in range(0x800)]) for f in (str.isupper, str.islower))
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -57,7 +70,20 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return range_hashes(buf, at[:-1], at[1:])
 
 
-_UNIT_HASHES = np.sort(_hash_words(UNITS))
+_UNIT_HASHES, _NUMERAL_HASHES = (np.unique(_hash_words(x)) for x in (UNITS, NUMERALS))
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _letter(buf: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point that starts at each place, 0 if outside or of three bytes or more, and the place after it."""
+    at = np.minimum(at, len(buf) - 1)
+    one, two = buf[at].astype(np.int64), buf[np.minimum(at + 1, len(buf) - 1)].astype(np.int64)
+    double = (one >= 0xC2) & (one <= 0xDF)
+    point = np.where(one < 0x80, one, np.where(double, ((one & 31) << 6) | (two & 63), 0))
+    return np.where(inside, point, 0), at + 1 + double
 
 
 @dataclass(frozen=True)
@@ -93,14 +119,12 @@ def template(buf: np.ndarray, at: np.ndarray) -> Template:
     stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
     opens = np.ones(n, bool)
     opens[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    head, after = buf[starts], buf[np.minimum(starts + 1, len(buf) - 1)]
-    after = np.where(ends - starts > 1, after, 0)
-    third = np.where(ends - starts > 2, buf[np.minimum(starts + 2, len(buf) - 1)], 0)
-    capital = ((head >= 65) & (head <= 90) & (_SMALL[after] | (after == 0xC3))) | ((head == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (_SMALL[third] | (third == 0xC3)))
-    name = capital & ~opens & ~number
+    head, after = _letter(buf, starts, np.ones(n, bool))
+    number |= _among(surface, _NUMERAL_HASHES)
+    name = _CAPITAL[head] & _SMALL[_letter(buf, after, after < ends)[0]] & ~opens & ~number
     unit = np.zeros(n, bool)
     unit[1:] = number[:-1] & ~number[1:] & (row[1:] == row[:-1])
-    unit &= _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, surface), len(_UNIT_HASHES) - 1)] == surface
+    unit &= _among(surface, _UNIT_HASHES)
     value = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, surface)))
     return Template(value, surface, number | name | unit, row, np.searchsorted(row, np.arange(len(at))))
 
@@ -151,22 +175,70 @@ class Items:
         reached = np.unique(runs[at[agree[at]]])
         return met | set((low + np.flatnonzero(agree & np.isin(runs, reached))).tolist())
 
+    def looked_up(self, t: Template) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By size: the first words of the text's windows that the table has, and where its entries begin, and how many."""
+        out = []
+        for size in self.sizes:
+            start, h = windows(t, size)
+            maybe = self.filter[h & np.uint64(len(self.filter) - 1)]
+            start, h = start[maybe], h[maybe]
+            low = np.searchsorted(self.hash, h, "left")
+            count = np.searchsorted(self.hash, h, "right") - low
+            out.append((size, *(x[count > 0] for x in (start, low, count))))
+        return out
+
+    def agreeing(self, t: Template, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """How many words of each item agree with the text at that shift: no alignment covers more."""
+        low = np.maximum(self.t.first[item], t.first[row] - shift)
+        size = np.maximum(np.minimum(self.t.first[item + 1], t.first[row + 1] - shift) - low, 0)
+        out = np.zeros(len(row), np.int64)
+        total, at = np.cumsum(size), 0
+        while at < len(row):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            of = np.repeat(np.arange(at, end), size[at:end])
+            place = low[of] + spread(size[at:end])
+            out[at:end] = np.bincount(of - at, self.t.value[place] == t.value[place + shift[of]], minlength=end - at)
+            at = end
+        return out
+
+    def promising(self, t: Template, met: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, shift, first word in the item, size) of the windows that met, of the texts and items whose alignments
+        could cover enough of the item: a text that shares no more than a frame with an item goes no further."""
+        sizes = np.concatenate([np.full(int(count.sum()), size) for size, _, _, count in met])
+        k = np.concatenate([np.repeat(start, count) for _, start, _, count in met])
+        j = np.concatenate([np.repeat(low, count) + spread(count) for _, _, low, count in met])
+        fits = self.size[j] == sizes
+        k, j, size = k[fits], j[fits], sizes[fits]
+        row, item, shift, start = t.row[k], self.t.row[self.start[j]], k - self.start[j], self.start[j]
+        order = np.lexsort((shift, item, row))
+        row, item, shift, start, size = (x[order] for x in (row, item, shift, start, size))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+        other = np.ones(len(row), bool)
+        other[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        first = np.flatnonzero(new)
+        bound = self.agreeing(t, row[first], item[first], shift[first])
+        pair = np.cumsum(other) - 1
+        most = np.bincount(pair[first], bound)
+        keep = (most >= COVER * self.words[item[other]])[pair]
+        return list(zip(*(x[keep].tolist() for x in (row, item, shift, start, size)), strict=True))
+
     def leaks(self, buf: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words covered, slots, slots with another value) of every leak in a batch of texts."""
         if len(self.hash) == 0:
             return []
         t = template(buf, at)
         hits: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for size in self.sizes:
-            start, h = windows(t, size)
-            maybe = self.filter[h & np.uint64(len(self.filter) - 1)]
-            start, h = start[maybe], h[maybe]
-            low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                for j in range(int(low[k]), int(high[k])):
-                    if self.size[j] == size:
-                        item = int(self.t.row[self.start[j]])
-                        hits[int(t.row[start[k]]), item][int(start[k]) - int(self.start[j])].update(range(int(self.start[j]), int(self.start[j]) + size))
+        met = self.looked_up(t)
+        pairs = sum(int(count.sum()) for *_, count in met)
+        if pairs == 0:
+            return []
+        if pairs > PAIRS and len(at) > 2:  # a frame that many items share: fewer texts at a time
+            half = len(at) // 2
+            rest = self.leaks(buf[at[half] :], at[half:] - at[half])
+            return self.leaks(buf[: at[half]], at[: half + 1]) + [(row + half, *leak) for row, *leak in rest]
+        for row, item, shift, start, size in self.promising(t, met):
+            hits[row, item][shift].update(range(start, start + size))
         out = []
         for (row, item), shifts in sorted(hits.items()):
             covered, n_slots, changed = set(), 0, 0

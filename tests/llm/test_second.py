@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,38 @@ def test_slots_must_agree(spark):
     assert [r["doc_id"] for r in decontaminate.find_leaks(docs_of(spark, [(1, same), (2, torn)]), bench).collect()] == [1]
 
 
+def test_other_numbers_names_and_units_of_any_language(spark):
+    pairs = [
+        ("If three workers build five walls in two days then how many walls would they build together", "If seven workers build twelve walls in ten days then how many walls would they build together"),
+        ("Wenn Anna drei Stunden lang mit zwölf Freunden spielt und danach fünf Kilo Obst nach Hause trägt", "Wenn Otto vier Minuten lang mit neun Freunden spielt und danach acht Pfund Obst nach Hause trägt"),
+        ("Si le train de Élodie roule pendant trois heures avec douze wagons et revient avant la nuit", "Si le train de Gaston roule pendant neuf jours avec vingt wagons et revient avant la nuit"),
+        ("cuando Lucía compra siete libros por veinte euros y vende tres de ellos a su vecina por la tarde", "cuando Pedro compra once libros por treinta dólares y vende dos de ellos a su vecina por la tarde"),
+        ("когда Анна купила 12 яблок и отдала 5 кг из них своему другу Борису перед тем как уйти", "когда Ольга купила 7 яблок и отдала 9 кг из них своему другу Ивану перед тем как уйти"),
+    ]
+    bench = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "item_id long, text string")
+    docs = [(k, f"before this. {b} and after it") for k, (_, b) in enumerate(pairs)]
+    got = [tuple(r) for r in decontaminate.find_leaks(docs_of(spark, docs), bench).select("doc_id", "item_id").collect()]
+    assert sorted(got) == [(k, k) for k in range(len(pairs))]
+    assert sorted(map(tuple, decontaminate.find_leaks(docs_of(spark, docs), bench).collect())) == sorted(plain_leaks(docs, [(k, a) for k, (a, _) in enumerate(pairs)]))
+
+
+def test_frames_that_many_items_share(spark, monkeypatch):
+    rng = random.Random(15)
+    frame = "answer the following question with yes or no and give a short reason for it"
+    items = [f"{frame} {say(rng, 25)}" for _ in range(3000)]
+    docs = [(k, f"{say(rng, 20)} {frame} {say(rng, 30)}") for k in range(200)] + [(900, f"x {items[7]} y"), (901, f"{say(rng, 5)} {items[2999]}")]
+    block = decontaminate.Items(list(range(3000)), items)
+    raw = [t.encode() for _, t in docs]
+    buf, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    began = time.perf_counter()
+    whole = block.leaks(buf, at)
+    assert time.perf_counter() - began < 60  # some five million pairs of windows
+    assert [(r, i) for r, i, *_ in whole] == [(200, 7), (201, 2999)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 5000)
+    few = decontaminate.Items(list(range(300)), items[:300])
+    assert few.leaks(buf, at) == [leak for leak in whole if leak[1] < 300]
+
+
 def plain_template(text):
     """(type or word, word) of each word: numbers, units after numbers, names inside sentences."""
     out, end, number_before = [], None, False
@@ -63,7 +96,8 @@ def plain_template(text):
         word, low = m.group(), "".join(c.lower() if c < "\u0080" else c for c in m.group())
         opens = end is None or any(c in "\n!.:?" for c in text[end : m.start()])
         number = word[0].isdigit() and all(c.isdigit() or c in ".," for c in word)
-        name = not opens and not number and re.match(r"[A-ZÀ-Þ][a-zÀ-ÿ]", word)
+        number = number or low in decontaminate.NUMERALS
+        name = not opens and not number and word[0].isupper() and word[1:2].islower() and max(word[:2]) < "\u0800"
         kind = "#number" if number else "#unit" if number_before and low in decontaminate.UNITS else "#name" if name else low
         out.append((kind, low))
         end, number_before = m.end(), number
