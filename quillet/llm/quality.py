@@ -73,10 +73,13 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text, quality, toxic of the labelled documents with the smallest id hashes; one label row per id."""
+    """doc_id, text, quality, toxic of the labelled documents with the smallest id hashes: one label row and one text of each id,
+    that with the least hash, so that ``most`` bounds the rows."""
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(few), "doc_id")  # ``most`` rows
+    met = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(few), "doc_id")  # ``most`` rows
+    one_each = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality", "toxic")).alias("r"))
+    return one_each.select("doc_id", "r.text", "r.quality", "r.toxic")
 
 
 def log_weights(ratio: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ def op3_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(docs, toxicity.graded(table(spark, sf_dir, "labels"))))
 
 
 @query("op7_source_mix")

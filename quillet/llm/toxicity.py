@@ -4,12 +4,13 @@ The model is P(severity > k | x) = sigmoid(w . x - threshold_k): one weight vect
 x holds log(1 + count) of indicator words: all words that occur much more often in labelled documents above some grade than
 in those up to it, by a z-score of document frequencies. Expected severity is the sum of P(severity > k) over k.
 
-The fit uses at most ``MOST_LABELLED`` labelled documents, those with the smallest hash of their ids, groups of copies once;
+The fit uses at most ``MOST_LABELLED`` labelled documents, those with the smallest hash of their ids, one row of each id and
+groups of copies once;
 the driver holds their indicator counts only, as (document, word, value). Every document is scored in one scan without a
 shuffle.
 
-Labels say a ``grade`` of 0 or more, if they have such a column. Else they say toxic or not: those are two grades, and
-expected severity is the probability of the upper one.
+Labels say a ``grade`` of 0 or more, if they have such a column; ``graded`` makes three of toxic and quality. Else they say
+toxic or not: those are two grades, and expected severity is the probability of the upper one.
 
 Defined results: a null or empty text has no indicator and scores like any text without one; labelled rows with a null
 label are not used; with labels of one kind only every document has severity 0; rows with a null doc_id and repeated
@@ -75,27 +76,56 @@ def weigh_rows(model: Ordinal, column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id, grade of labels (doc_id, toxic, quality): 0 clean, 1 toxic, 2 toxic and of quality 0."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
+
+
+def pair_sets(column: pa.Array) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its pairs of words; of one word its own."""
+    out = []
+    for _, _, buf, at in slices(*utf8(column)):
+        h, row = words(buf, at)
+        first = np.searchsorted(row, np.arange(len(at)))
+        pair = mix64(h * np.uint64(3) + np.concatenate([h[1:], h[-1:]]))
+        out += [np.unique(pair[a : max(a + 1, b - 1)]) if b > a else pair[:0] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+#: Orders of word pairs in which copies are looked for, and the share of pairs that copies have in common.
+ORDERS, ALIKE = 4, 0.5
+
+
 def unlike(sample: DataFrame) -> DataFrame:
     """text, grade of one document from each group of copies, near ones included: the words of one text that was copied
-    often must not pass for signs of what its copies are labelled. Two documents are alike here if the least hash of
-    their word pairs agrees, by the one or the other of two orders."""
+    often must not pass for signs of what its copies are labelled. In each of ``ORDERS`` orders, documents with one least
+    word pair are held against the first of them, and those that share ``ALIKE`` of all their pairs with it go; documents
+    that have a passage in common only stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [[], []]
-            for _, _, buf, at in slices(*utf8(batch.column("text"))):
-                h, row = words(buf, at)
-                first = np.searchsorted(row, np.arange(len(at)))
-                pair = mix64(h * np.uint64(3) + np.concatenate([h[1:], h[-1:]]))
-                for k, salt in enumerate((0, 0x51ED270B)):
-                    mixed = mix64(pair ^ np.uint64(salt))
-                    least[k] += [int(mixed[a : max(a + 1, b - 1)].min().astype(np.int64)) if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in least)], ["doc_id", "text", "grade", "one", "two"])
-
-    marked = durable(sample.mapInArrow(run, "doc_id long, text string, grade int, one long, two long"))
-    for key in ("one", "two"):
-        marked = marked.groupBy(key).agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "text", "grade", "one", "two")).alias("r")).select("r.doc_id", "r.text", "r.grade", "r.one", "r.two")
-    return durable(marked.select("text", "grade"))
+            sets = pair_sets(batch.column("text"))
+            keys = [[int(mix64(s ^ np.uint64(k * 0x51ED270B)).min().astype(np.int64)) if len(s) else 0 for s in sets] for k in range(ORDERS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in keys)], [*batch.schema.names, *(f"k{k}" for k in range(ORDERS))])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, first = pair_sets(batch.column("text")), pair_sets(batch.column("other"))
+            shared = [len(np.intersect1d(a, b, True)) for a, b in zip(mine, first, strict=True)]
+            other = [x < ALIKE * (len(a) + len(b) - x) for x, a, b in zip(shared, mine, first, strict=True)]
+            yield batch.filter(pa.array(other, pa.bool_()))
+
+    keys = [f"k{k}" for k in range(ORDERS)]
+    kind = "doc_id long, text string, grade int, " + ", ".join(f"{k} long" for k in keys)
+    marked = durable(sample.mapInArrow(least, kind))
+    for key in keys:
+        firsts = marked.groupBy(key).agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "text")).alias("r"), F.count("*").alias("n"))
+        met = marked.join(firsts.select(key, F.col("r.doc_id").alias("first"), F.col("r.text").alias("other"), "n"), key)
+        alone = (F.col("n") == 1) | (F.col("doc_id") == F.col("first"))
+        names = ["doc_id", "text", "grade", *keys]
+        apart = met.where(~alone).select(*names, "other").mapInArrow(check, kind + ", other string")
+        marked = durable(met.where(alone).select(*names).unionByName(apart.select(*names)))
+    return marked.select("text", "grade")
 
 
 def find_indicators(sample: DataFrame) -> np.ndarray:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.llm import decontaminate, lines, quality, sampling, simhash, toxicity
+from quillet.llm import decontaminate, lines, quality, queries, sampling, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: With names that the operators use inside.
@@ -331,6 +331,47 @@ def test_repeated_labelled_rows_count_once(spark):
     assert (once.hashes == often.hashes).all() and np.allclose(once.weights, often.weights)
 
 
+def test_copies_go_and_shared_passages_stay(spark):
+    rng = random.Random(18)
+    licence = say(rng, 40)
+    own = [say(rng, 60) for _ in range(60)]
+    rows = [(k, f"{licence} {t}", k % 2) for k, t in enumerate(own)]  # they share a passage, not more than half
+    rows += [(100 + k, f"{licence} {own[3]} edit{k}", 1) for k in range(15)] + [(200, "", 0), (201, "", 1), (202, "word", 0)]
+    left = toxicity.unlike(spark.createDataFrame(rows, "doc_id long, text string, grade int").repartition(3)).collect()
+    texts = [r["text"] for r in left]
+    assert all(f"{licence} {t}" in texts for k, t in enumerate(own) if k != 3)
+    assert sum(own[3] in t for t in texts) == 1 and texts.count("") == 1 and texts.count("word") == 1
+
+
+def test_toxicity_query_has_three_grades(spark, tmp_path):
+    rng = random.Random(19)
+    rows, labels, truth = [], [], {}
+    for k in range(600):
+        grade = (0, 0, 0, 1, 2)[k % 5]
+        w = say(rng, rng.randrange(10, 60)).split()
+        for _ in range(grade and rng.randrange(2, 4)):
+            w.insert(rng.randrange(len(w)), rng.choice(("idiot", "moron") if grade == 1 else ("scum", "vermin")))
+        rows.append((k, " ".join(w), "en", "s", 0))
+        truth[k] = grade
+        if k % 4:
+            labels.append((k, int(grade < 2), int(grade > 0)))
+    spark.createDataFrame(rows + [(9000, "x", "", "", 0)] * 3, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels + [(9000, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_toxicity"](spark, str(tmp_path)).collect()}
+    held = [k for k in truth if k % 4 == 0]
+    assert np.mean([got[k]["severity"] == truth[k] for k in held]) > 0.95 and all(got[k]["toxic"] == (truth[k] > 0) for k in held)
+    means = [np.mean([got[k]["expected_severity"] for k in held if truth[k] == g]) for g in range(3)]
+    assert means == sorted(means) and means[2] > 1.5
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = docs_of(spark, [(k % 7, f"text {k}") for k in range(100)] + [(None, "x")])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(9)] + [(3, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality.labelled(docs, labels, 5).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 5
+    assert {r["doc_id"] for r in quality.labelled(docs, labels, 50).collect()} == set(range(7))
+
+
 def test_ordinal_fit_orders_thresholds():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(4000, 3))
