@@ -74,6 +74,27 @@ def test_components_are_those_of_brute_force(spark, monkeypatch):
         assert {r["doc_id"] for r in simhash.keep_first(docs_of(spark, enumerate(texts)), **corpus_pipeline.NEAR).collect()} == set(root)
 
 
+def test_a_block_of_like_texts_is_compared_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillet.llm import similar
+
+    rng = random.Random(8)
+    page = [f"w{k}" for k in range(60)]
+    texts = [" ".join(page[:20] + [f"v{k}"] + page[20:]) for k in range(1500)]  # alike in pairs, none equal
+    far = [" ".join(page[:30] + [f"u{k}x{j}" for j in range(20)] + page[30:]) for k in range(30)]
+    sent = []
+    whole = similar._led
+    monkeypatch.setattr(similar, "MEMBERS", 64)
+    monkeypatch.setattr(similar, "_led", lambda *a: sent.append(whole(*a)) or sent[-1])
+    rows = list(enumerate(texts)) + [(5000 + k, t) for k, t in enumerate(far)]
+    rng.shuffle(rows)
+    kept = {r["doc_id"] for r in simhash.keep_first(docs_of(spark, rows), **corpus_pipeline.NEAR).collect()}
+    assert kept == {0} | {5000 + k for k in range(30)}
+    left = sent[0][1].groupBy("key").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in left) < 1500  # of the many blocks of 1500 almost nothing is dealt to pairs of pieces
+
+
 def test_unlike_texts_of_one_id_stay(spark):
     pairs = pairs_at(random.Random(4), 0.9, 0.95, 12)
     rows = [(None, a) for a, _ in pairs[:6]] + [(7, a) for a, _ in pairs[6:]]
