@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.llm import decontaminate, lines, quality, queries, sampling, simhash, toxicity
+from quillet.llm import decontaminate, lines, quality, sampling, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: With names that the operators use inside.
@@ -343,7 +343,7 @@ def test_copies_go_and_shared_passages_stay(spark):
     assert sum(own[3] in t for t in texts) == 1 and texts.count("") == 1 and texts.count("word") == 1
 
 
-def test_toxicity_query_has_three_grades(spark, tmp_path):
+def test_three_grades_of_toxic_and_quality(spark):
     rng = random.Random(19)
     rows, labels, truth = [], [], {}
     for k in range(600):
@@ -355,9 +355,9 @@ def test_toxicity_query_has_three_grades(spark, tmp_path):
         truth[k] = grade
         if k % 4:
             labels.append((k, int(grade < 2), int(grade > 0)))
-    spark.createDataFrame(rows + [(9000, "x", "", "", 0)] * 3, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(labels + [(9000, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r["doc_id"]: r for r in queries.QUERIES["op4_toxicity"](spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame(rows + [(9000, "x", "", "", 0)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    given = spark.createDataFrame(labels + [(9000, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, toxicity.graded(given))).collect()}
     held = [k for k in truth if k % 4 == 0]
     assert np.mean([got[k]["severity"] == truth[k] for k in held]) > 0.95 and all(got[k]["toxic"] == (truth[k] > 0) for k in held)
     means = [np.mean([got[k]["expected_severity"] for k in held if truth[k] == g]) for g in range(3)]
