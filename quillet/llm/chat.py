@@ -100,7 +100,8 @@ STRIDE = 128
 def running_totals(numbers: str) -> Column:
     """The sum of what comes before each element, by way of the sums before every ``STRIDE``-th one."""
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    heads = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / STRIDE).cast("int")), lambda b: total(F.slice(numbers, 1, b * STRIDE)))
+    strides = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / STRIDE).cast("int")), lambda b: total(F.slice(numbers, b * STRIDE + 1, F.lit(STRIDE))))
+    heads = F.aggregate(strides, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
     within = lambda k: total(F.slice(numbers, F.floor(k / STRIDE).cast("int") * STRIDE + 1, k % STRIDE))
     each = lambda h: F.transform(numbers, lambda _, k: F.get(h, F.floor(k / STRIDE).cast("int")) + within(k))
     return F.get(F.transform(F.array(heads), each), 0)  # a variable for the heads, so that they are made once
