@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import NULL_ID, _power_tables, durable, kept, mix64, slices, unkeyed, utf8
+from quillet.llm.common import NULL_ID, _power_tables, durable, kept, mix64, range_hashes, slices, unkeyed, utf8
 
 LENGTH, GRAM = 200, 50
 #: A string of an anchor starts at one of so many places, at the anchor itself last; they are cut in BLOCKS ranges.
@@ -231,7 +231,8 @@ def anchor_rows(held: DataFrame) -> DataFrame:
                 count = np.diff(opens, append=len(owner))
                 low, row, anchor = place[opens], row[opens], owner[opens]
                 shape = mix64(((anchor - low) * 4096 + count).astype(np.uint64))
-                about = [hash_ranges(prefix_sums(buf, salt), low, low + count - 1 + LENGTH) ^ shape for salt in (1, 2)]
+                # One lane over bytes, one over the strings of GRAM bytes: what one sum of powers mixes up, the other does not.
+                about = [hash_ranges(prefix_sums(buf, 1), low, low + count - 1 + LENGTH) ^ shape, range_hashes(grams, low, low + count + LENGTH - GRAM) ^ shape]
                 numbers = (grams[anchor].view(np.int64), *(x.view(np.int64) for x in about), ids[first + row], ths[first + row])
                 shorts = (count.astype(np.int16), (anchor - low).astype(np.int16))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*numbers, (low - at[row]).astype(np.int32), *shorts)], [*_CLASS, "id", "th", "start", "starts", "lead"])
