@@ -6,7 +6,7 @@ repeated window. That choice loses nothing:
 
 1. One scan finds the anchors with the words of the windows that belong to each, a piece. Anchors of one document go.
    Pieces that agree as a whole (128 bits of hashes) are a class, which its least document stands for.
-2. Classes fetch their words and are dealt to shards by anchor, an anchor with more than ``SHARD`` classes to several.
+2. Classes fetch their words and are dealt to shards by anchor, an anchor with more than ``PART`` classes to several.
 3. A shard builds a compressed FM-index of its classes (a wavelet tree over their Burrows-Wheeler transform). Streams go
    backwards through it and find matching statistics: how many words from a place on a smaller document of the shard holds.
    A class's least document is one stream; its copies, which have that document before them, are another. Stretches of
@@ -43,8 +43,8 @@ from quillet.llm.suffixes import owners, stretches
 WINDOW, GRAM = 50, 8
 #: Anchors that a window can have; words of the longest piece.
 PLACES = WINDOW - GRAM + 1
-#: Classes that are indexed together, about.
-SHARD = 2048
+#: Classes that are indexed together, about, and those of one anchor in one part.
+SHARD, PART = 2048, 512
 #: Longer words are hashed by themselves: sums of powers are weak for long words of few letters.
 LONG = 64
 _CLASS = ["anchor", "about", "more"]
@@ -192,7 +192,7 @@ def covered(held: DataFrame) -> DataFrame:
         known = keep(rows.join(several, "anchor", "left_semi"))
         least = F.min(F.struct("id", "th", "start", "starts")).alias("least")
         classes = keep(known.groupBy(*_CLASS).agg(least, F.max("id").alias("hi")).select(*_CLASS, "least.*", (F.col("hi") > F.col("least.id")).alias("copies")))
-        groups = keep(classes.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("shards")))
+        groups = keep(classes.groupBy("anchor").agg(F.ceil(F.count("*") / PART).cast("long").alias("shards")))
         dealt = classes.join(groups, "anchor").withColumn("part", F.pmod(F.xxhash64("about"), "shards"))
         near = fetch(held, dealt).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
         found = keep(near.mapInArrow(search, "kind int, x long, y long, z long, id long, th long, from int, to int"))

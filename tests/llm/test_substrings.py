@@ -51,6 +51,7 @@ def rows(rng):
 @pytest.mark.parametrize("shard", [2048, 3])
 def test_query(spark, tmp_path, monkeypatch, shard):
     monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "PART", min(shard, 512))
     some = rows(random.Random(shard))
     spark.createDataFrame(some, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op13_substring_dedup"](spark, str(tmp_path)).collect()
