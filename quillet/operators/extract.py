@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,10 +158,15 @@ def parse_tickets(pages: DataFrame, as_of) -> DataFrame:
     known = bcbp.carrier_name(leg["carrier"])
     coded = F.col("pass").isNotNull()
     base = base.select(
-        "*", coded.alias("coded"), vote_kind(F.col("text")).alias("vote"), find_date(F.col("text"), as_of).alias("text_date"), find_route(F.col("lines.text")).alias("route"), find_seat(F.col("text")).alias("text_seat"),
-        leg["from"].alias("b_origin"), F.element_at("pass.legs", -1)["to"].alias("b_destination"), filled(julian_date(leg["julian"], as_of)).alias("b_date"),
+        "*", coded.alias("coded"), leg["from"].alias("b_origin"), F.element_at("pass.legs", -1)["to"].alias("b_destination"), filled(julian_date(leg["julian"], as_of)).alias("b_date"),
         known.alias("b_carrier"), F.when(known.isNull(), leg["carrier"]).alias("spare"), F.concat(leg["carrier"], F.lit(" "), leg["flight"]).alias("b_title"), filled(leg["seat"]).alias("b_seat"),
     )
+    # Text is searched only for what the barcode leaves open: rows that a barcode decides do not pay for the rules.
+    open_ = lambda *names: functools.reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
+    base = base.select(
+        "*", F.when(~F.col("coded"), vote_kind(F.col("text"))).alias("vote"), F.when(open_("b_date"), find_date(F.col("text"), as_of)).alias("text_date"),
+        F.when(open_("b_origin", "b_destination"), find_route(F.col("lines.text"))).alias("route"), F.when(open_("b_seat"), find_seat(F.col("text"))).alias("text_seat"),
+    )
     r = base.withColumns(
         {
             "type": F.when(F.col("coded"), "flight").otherwise(F.col("vote.kind")),
@@ -172,10 +179,11 @@ def parse_tickets(pages: DataFrame, as_of) -> DataFrame:
     sure = lambda l: (l["conf"] >= 75) & text_of(l).rlike("[A-Za-z]{3,}") & ~F.trim(text_of(l)).rlike(f"(?i)^(?:{vocab.BOILERPLATE})$")
     shown = lambda l: text_of(l).rlike("[A-Za-z]{3}") & (F.length(text_of(l)) <= 40) & ~in_route(text_of(l)) & ~text_of(l).rlike(rf"(?i)^(?:{vocab.NO_TITLE}){E}") & ~F.trim(text_of(l)).rlike(r"^[A-Za-z]+\s*/\s*[A-Za-z]+$")
     tall = F.array_sort(F.transform(F.filter("lines", shown), lambda l: F.struct((-l["height"]).alias("down"), l["li"].alias("li"), l["text"].alias("text"), l["conf"].alias("conf"))))
-    r = r.withColumn("tall", tall)
+    named = open_("b_title", "b_carrier")  # what is left to find among the lines
+    r = r.withColumn("tall", F.when(named, tall))
     venue = F.get(F.filter("lines", lambda l: text_of(l).rlike(word(vocab.VENUE))), 0)
     brand = F.get(F.filter("lines", lambda l: text_of(l).rlike(word(vocab.BRAND)) & (F.length(text_of(l)) <= 40)), 0)
-    r = r.withColumns({"venue": venue, "brand": brand})
+    r = r.withColumns({"venue": F.when(named, venue), "brand": F.when(open_("b_carrier"), brand)})
     act = F.get(F.filter("tall", lambda l: ~l["li"].eqNullSafe(F.col("venue.li")) & sure(l) & ~text_of(l).rlike(word(vocab.NO_ACT))), 0)
     solid = F.get(F.filter("tall", lambda l: sure(l) & (l["conf"] >= 80) & text_of(l).rlike("[A-Za-z]{4,}") & ~text_of(l).rlike(r"\d{2}")), 0)
     flight = vocab.FLIGHT_NUMBER
@@ -185,7 +193,7 @@ def parse_tickets(pages: DataFrame, as_of) -> DataFrame:
     by_text = F.when(event, tidy(F.col("venue.text"))).when(F.col("brand").isNotNull(), branded).when(F.col("spare").isNull(), tidy(solid["text"]))
     r = r.select(
         "doc_id", "type", "origin", "destination", "coded", "vote", "b_origin", "b_destination", "b_date", "b_carrier", "b_title", "b_seat", "text_date", "text_seat", "spare",
-        filled(by_text).alias("t_carrier"), filled(F.when(event, tidy(act["text"])).otherwise(flown)).alias("t_title"),
+        F.when(open_("b_carrier"), filled(by_text)).alias("t_carrier"), F.when(open_("b_title"), filled(F.when(event, tidy(act["text"])).otherwise(flown))).alias("t_title"),
     )
     pick = lambda b, t: F.coalesce(F.col(b), filled(F.col(t)), F.lit(""))
     fields = F.struct(

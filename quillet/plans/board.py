@@ -177,29 +177,45 @@ def _pixels(spark, sf_dir) -> DataFrame:
     return e.select("img", "y", "x", (F.floor(F.abs(F.col("e").cast("double")) * 400).cast("int") % 256).alias("v"))
 
 
+#: The same images with bars, modules, a slow change of grey, or what they hold, by label, so that every check has both answers.
+_PLANTED_SQL = (
+    _PIXELS_SQL.replace("p AS (", "held AS (")
+    + """, p AS (SELECT o.img, o.y, o.x, CASE o.img % 4 WHEN 0 THEN CASE WHEN q.v % 2 = 0 THEN 15 ELSE 235 END WHEN 1 THEN CASE WHEN (o.x // 3 + o.y // 8) % 2 = 1 THEN 20 ELSE 240 END WHEN 2 THEN 100 + o.x // 8 ELSE o.v END AS v
+    FROM held AS o JOIN held AS q ON q.img = o.img AND q.x = o.x AND q.y = 0)"""
+)
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    p = _pixels(spark, sf_dir)
+    x, y, kind = F.col("x"), F.col("y"), F.col("img") % 4
+    bars, module = F.when(F.col("top") % 2 == 0, 15).otherwise(235), F.when((F.floor(x / 3) + F.floor(y / 8)) % 2 == 1, 20).otherwise(240)
+    ink = F.when(kind == 0, bars).when(kind == 1, module).when(kind == 2, F.lit(100) + F.floor(x / 8)).otherwise(F.col("v"))
+    return p.join(p.where("y = 0").select("img", "x", F.col("v").alias("top")), ["img", "x"]).select("img", "y", "x", ink.cast("int").alias("v"))
+
+
 @query(
     "m10_coherent",
-    f"""WITH {_PIXELS_SQL}, s AS (SELECT *, abs(lead(v) OVER (PARTITION BY img, y ORDER BY x) - v) AS dx, abs(lead(v) OVER (PARTITION BY img, x ORDER BY y) - v) AS dy, max(y) OVER (PARTITION BY img) + 1 AS tall FROM p)
+    f"""WITH {_PLANTED_SQL}, s AS (SELECT *, abs(lead(v) OVER (PARTITION BY img, y ORDER BY x) - v) AS dx, abs(lead(v) OVER (PARTITION BY img, x ORDER BY y) - v) AS dy, max(y) OVER (PARTITION BY img) + 1 AS tall FROM p)
     SELECT img, sum(dx) > 0 AND sum(dy) / sum(dx) < 0.35 AS coherent FROM s WHERE x >= 1 AND x < 62 AND y >= floor(tall * 0.15 + 0.5) AND y < floor(tall * 0.85 + 0.5) - 1 GROUP BY img""",
 )
 def m10_coherent(spark, sf_dir):
-    return pixels.coherent(_pixels(spark, sf_dir), "img")
+    return pixels.coherent(_planted(spark, sf_dir), "img")
 
 
 @query(
     "m11_blocky",
-    f"""WITH {_PIXELS_SQL}, g AS (SELECT *, min(v) OVER (PARTITION BY img) AS lo, max(v) OVER (PARTITION BY img) AS hi FROM p WHERE x % 2 = 0 AND y % 2 = 0),
+    f"""WITH {_PLANTED_SQL}, g AS (SELECT *, min(v) OVER (PARTITION BY img) AS lo, max(v) OVER (PARTITION BY img) AS hi FROM p WHERE x % 2 = 0 AND y % 2 = 0),
     o AS (SELECT *, v > (lo + hi) / 2 AS lit FROM g),
     f AS (SELECT *, lag(lit) OVER (PARTITION BY img, y ORDER BY x) AS l, coalesce(lag(lit) OVER (PARTITION BY img, x ORDER BY y), lit) AS a FROM o)
     SELECT img, any_value(hi - lo) >= 80 AND avg((NOT lit)::INT) > 0.25 AND avg((NOT lit)::INT) < 0.75 AND avg((lit <> l)::INT) > 0.12 AND avg((lit <> a)::INT) > 0.12 AS blocky FROM f WHERE l IS NOT NULL GROUP BY img""",
 )
 def m11_blocky(spark, sf_dir):
-    return pixels.blocky(_pixels(spark, sf_dir), "img")
+    return pixels.blocky(_planted(spark, sf_dir), "img")
 
 
 @query(
     "m9_three_lines",
-    f"""WITH {_PIXELS_SQL}, t AS (SELECT *, max(y) OVER (PARTITION BY img) + 1 AS tall FROM p),
+    f"""WITH {_PLANTED_SQL}, t AS (SELECT *, max(y) OVER (PARTITION BY img) + 1 AS tall FROM p),
     l AS (SELECT img, x, v, y FROM t WHERE y IN (floor(tall * 0.3 + 0.5), floor(tall * 0.5 + 0.5), floor(tall * 0.7 + 0.5))),
     m AS (SELECT *, (min(v) OVER w + max(v) OVER w) / 2 AS mid, max(v) OVER w - min(v) OVER w AS span FROM l WINDOW w AS (PARTITION BY img, y)),
     f AS (SELECT img, y, span, (v > mid) <> (lag(v) OVER (PARTITION BY img, y ORDER BY x) > mid) AS flip FROM m),
@@ -207,7 +223,7 @@ def m11_blocky(spark, sf_dir):
     SELECT img, coalesce(avg(flips) > 0.12, false) AS stripy FROM (SELECT DISTINCT img FROM p) LEFT JOIN r USING (img) GROUP BY img""",
 )
 def m9_three_lines(spark, sf_dir):
-    return pixels.scan_lines(_pixels(spark, sf_dir), "img").select("img", pixels.stripy(F.col("scans")).alias("stripy"))
+    return pixels.scan_lines(_planted(spark, sf_dir), "img").select("img", pixels.stripy(F.col("scans")).alias("stripy"))
 
 
 @query(

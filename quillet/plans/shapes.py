@@ -56,7 +56,7 @@ def h10_largest(spark, sf_dir):
 
 
 #: Pictures of two pixels a value: bars, a block of modules, or text by label, on grey paper with grain.
-_PICTURES_SQL = f"""{_PIXELS_SQL}, pic AS MATERIALIZED (SELECT img, x, y, CASE WHEN img % 3 = 0 AND x BETWEEN 8 AND 71 AND y BETWEEN 12 AND 43 THEN CASE WHEN f < 128 THEN 15 ELSE 235 END
+_PICTURES_SQL = f"""{_PIXELS_SQL}, pic AS MATERIALIZED (SELECT img, x, y, CASE WHEN img % 3 = 0 AND x BETWEEN 8 AND 71 AND y BETWEEN 12 AND 43 THEN CASE WHEN f % 2 = 0 THEN 15 ELSE 235 END
       WHEN img % 3 = 1 AND x BETWEEN 60 AND 107 AND y BETWEEN 20 AND 67 THEN CASE WHEN ((x - 60) // 3 + (y - 20) // 8) % 2 = 1 THEN 20 ELSE 240 END
       WHEN img % 3 = 2 AND x BETWEEN 10 AND 89 AND y BETWEEN 20 AND 59 THEN CASE WHEN v < 128 THEN 20 ELSE 230 END ELSE 200 + v % 12 END AS v
     FROM (SELECT p.img, 2 * p.x + i AS x, 2 * p.y + j AS y, p.v, q.v AS f FROM p JOIN p AS q ON q.img = p.img AND q.x = p.x AND q.y = 0, range(2) AS a(i), range(2) AS b(j))),
@@ -70,7 +70,7 @@ def _pictures(spark, sf_dir) -> DataFrame:
     large = p.join(top, ["img", "x"]).select("img", twice("x"), "y", "v", "f").select("img", "x", twice("y"), "v", "f")
     x, y, v, kind = F.col("x"), F.col("y"), F.col("v"), F.col("img") % 3
     module = (F.floor((x - 60) / 3) + F.floor((y - 20) / 8)) % 2 == 1
-    ink = F.when((kind == 0) & x.between(8, 71) & y.between(12, 43), F.when(F.col("f") < 128, 15).otherwise(235))
+    ink = F.when((kind == 0) & x.between(8, 71) & y.between(12, 43), F.when(F.col("f") % 2 == 0, 15).otherwise(235))
     ink = ink.when((kind == 1) & x.between(60, 107) & y.between(20, 67), F.when(module, 20).otherwise(240))
     ink = ink.when((kind == 2) & x.between(10, 89) & y.between(20, 59), F.when(v < 128, 20).otherwise(230)).otherwise(200 + v % 12)
     return large.select("img", "x", "y", ink.alias("v"))

@@ -366,6 +366,32 @@ def test_trailing_counts_in_buckets(spark):
         assert {r["event_id"]: r["n"] for r in live.trailing_count(events, "key", "at", 600, bucket).collect()} == want
 
 
+def test_quad_overlaps_of_turned_quads(spark):
+    rng = random.Random(11)
+
+    def turned():
+        x, y, w, h, t = rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(5, 50), rng.uniform(5, 50), rng.uniform(0, math.pi)
+        around = [(x + a * math.cos(t) - b * math.sin(t), y + a * math.sin(t) + b * math.cos(t)) for a, b in ((-w, -h), (w, -h), (w * 0.7, h), (-w, h))]
+        return around if rng.random() < 0.5 else around[::-1]
+
+    pairs = [(k, turned(), turned()) for k in range(60)] + [(99, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(20.0, 0.0), (30.0, 0.0), (30.0, 10.0), (20.0, 10.0)])]
+    quad = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(pairs, f"id int, found {quad}, truth {quad}")
+    got = {r["id"]: r["iou"] for r in evaluate.score_quads(df, 40).collect()}
+    same = {r["id"]: r["iou"] for r in df.select("id", boxes.quad_iou(F.col("found"), F.col("truth"), 40).alias("iou")).collect()}
+
+    def inside(q, x, y):
+        side = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(q, q[1:] + q[:1], strict=True)]
+        return min(side) >= 0 or max(side) <= 0
+
+    for k, a, b in pairs:
+        xs, ys = zip(*(a + b), strict=True)
+        points = [(min(xs) + (i + 0.5) / 40 * (max(xs) - min(xs)), min(ys) + (j + 0.5) / 40 * (max(ys) - min(ys))) for i in range(40) for j in range(40)]
+        one, two = [inside(a, *p) for p in points], [inside(b, *p) for p in points]
+        want = sum(map(lambda p, q: p and q, one, two)) / max(1, sum(map(lambda p, q: p or q, one, two)))
+        assert got[k] == pytest.approx(want, abs=1e-9) and same[k] == pytest.approx(want, abs=1e-9)
+
+
 def test_medians_are_exact(spark):
     rng = random.Random(6)
     rows = [(g, rng.choice((rng.random() * 1e6, 5.0, -3.0))) for g in ("a", "b", None) for _ in range(501)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("nan", None)]
