@@ -40,23 +40,27 @@ def gaps(runs: DataFrame, group: str) -> DataFrame:
     return between.where("x0 <= x1")
 
 
-def touching(runs: DataFrame, group: str, reach: int, *also: str) -> DataFrame:
-    """group, y, a0, a1, b0, b1, and ``also`` of the upper run: pairs of runs on lines y and y+1 that share a column, or with
+def touching(runs: DataFrame, group: str, reach: int, *also: str, lower_also: tuple[str, ...] = ()) -> DataFrame:
+    """group, y, a0, a1, b0, b1, ``also`` of the upper run and ``lower_also`` of the lower one, there named b_...: pairs of runs on lines y and y+1 that share a column, or with
     a reach of 1 a corner."""
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
     low, high = F.col("x0") - reach, F.col("x1") + reach
     upper = runs.select(group, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), *also, cells(low, high).alias("cell"))
-    lower = runs.select(group, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), cells(F.col("x0"), F.col("x1")).alias("cell"))
+    lower = runs.select(group, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), *[F.col(c).alias(f"b_{c}") for c in lower_also], cells(F.col("x0"), F.col("x1")).alias("cell"))
     met = upper.join(lower, [group, "y", "cell"]).where((F.col("a0") - reach <= F.col("b1")) & (F.col("a1") + reach >= F.col("b0")))
     return met.where(F.floor(F.greatest(F.col("a0") - reach, F.col("b0")) / CELL) == F.col("cell")).drop("cell")  # of all cells the first
 
 
 def labelled(runs: DataFrame, group: str, reach: int = 1, *also: str) -> DataFrame:
     """The runs, and ``also`` of them, with the line and column (ly, lx) of the first run of their component."""
-    at = lambda y, x: F.struct(F.col(group).alias("g"), y.alias("y"), F.col(x).alias("x"))
-    links = touching(runs, group, reach).select(at(F.col("y"), "a0").alias("a"), at(F.col("y") + 1, "b0").alias("b"))
+    at = lambda y, x: F.struct(F.col(group).alias("g"), F.col(y).alias("y"), F.col(x).alias("x"))
+    # Runs of one extent on lines that follow each other are one node, known by its first line: paths get shorter.
+    same = Window.partitionBy(group, "x0", "x1")
+    placed = runs.withColumn("island", F.col("y") - F.row_number().over(same.orderBy("y")))
+    placed = cut_lineage(placed.withColumn("top", F.min("y").over(Window.partitionBy(group, "x0", "x1", "island"))).drop("island"))
+    links = touching(placed, group, reach, "top", lower_also=("top",)).select(at("top", "a0").alias("a"), at("b_top", "b0").alias("b"))
     found = components(links)
-    named = runs.withColumn("node", at(F.col("y"), "x0")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.withColumn("node", at("top", "x0")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.select(group, "y", "x0", "x1", *also, F.col("root.y").alias("ly"), F.col("root.x").alias("lx"))
 
 
