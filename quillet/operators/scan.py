@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions.scalar import filled, let
 from quillet.operators import bcbp
-from quillet.operators.boxes import first_come, overlap_ratio
+from quillet.operators.boxes import overlap_ratio
 from quillet.schemas import BOX
 
 
@@ -24,10 +24,11 @@ def scan_boxes(found: DataFrame, most: float = 0.6) -> DataFrame:
     more than ``most``. A document's boxes are some dozens."""
     entry = F.struct("rank", "ord", "box", "reason")
     docs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    boxes = first_come(F.transform("all", lambda e: e["box"].cast(BOX)), most)
-    taken = docs.select("doc_id", "all", boxes.alias("kept"))
-    reason = lambda box: F.get(F.filter("all", lambda e: e["box"].cast(BOX) == box), 0)["reason"]
-    return taken.select("doc_id", F.transform("kept", lambda b: F.struct(reason(b).alias("reason"), b.alias("box"))).alias("boxes"))
+    taken = F.array().cast(f"array<struct<reason:string,box:{BOX}>>")
+    mine = lambda e: F.struct(e["reason"].cast("string").alias("reason"), e["box"].cast(BOX).alias("box"))
+    free = lambda kept, e: ~F.exists(kept, lambda t: overlap_ratio(t["box"], e["box"]) > most)
+    kept = F.aggregate("all", taken, lambda kept, e: F.when(free(kept, e), F.concat(kept, F.array(mine(e)))).otherwise(kept))
+    return docs.select("doc_id", kept.alias("boxes"))
 
 
 def words_inside(words: DataFrame, boxes: DataFrame, least: float = 0.7) -> DataFrame:

@@ -11,7 +11,7 @@ from quillet.operators.lines import group_lines, union_box, with_previous
 
 #: A run of numbers stops once it has so many digits; so it has as many words at most.
 RUN_DIGITS = 20
-_NUMBERED = word(vocab.NUMBERED) + rf"|(?i){B}n\.?\s?º(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])#(?=[A-Za-z0-9_])"
+_NUMBERED = word(vocab.NUMBERED) + rf"|(?i){B}{vocab.NUMBER_SIGNS[0]}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){vocab.NUMBER_SIGNS[1]}(?=[A-Za-z0-9_])"
 _REFERENCE, _LOYALTY = word(vocab.REFERENCE), word(vocab.LOYALTY)
 
 
