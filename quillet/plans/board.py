@@ -293,10 +293,18 @@ def m12_grown(spark, sf_dir):
     "SELECT s_nationkey, count(*) AS items, 0::BIGINT AS off_board, 0::BIGINT AS covered, 0::BIGINT AS flat, 0::BIGINT AS layers_missing FROM supplier GROUP BY s_nationkey",
 )
 def q2_rules(spark, sf_dir):
-    """Q1, Q2, Q5: what a placed board must hold: all items on it, none covered by more than 12%, none level, layers from 1."""
+    """Q1, Q2: what a placed board must hold: all items on it, none covered by more than 12%, none level, layers from 1."""
+    items = _suppliers(spark, sf_dir)
+    return _rules(layout.auto_place(items, "s_nationkey"), items)
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    items = s.select("s_nationkey", F.col("s_name").alias("ticket_id"), (F.lit(0.3) + F.col("s_suppkey") % 17 / 10.0).alias("aspect"), F.col("s_suppkey").alias("ord"))
-    placed = layout.auto_place(items, "s_nationkey").join(items.select("ticket_id", "aspect"), "ticket_id")
+    return s.select("s_nationkey", F.col("s_name").alias("ticket_id"), (F.lit(0.3) + F.col("s_suppkey") % 17 / 10.0).alias("aspect"), F.col("s_suppkey").alias("ord"))
+
+
+def _rules(placed: DataFrame, items: DataFrame) -> DataFrame:
+    placed = placed.join(items.select("ticket_id", "aspect"), "ticket_id")
     around = boxes.bounds(F.col("x"), F.col("y"), F.col("rotation"), F.col("scale"), F.col("aspect"))
     b = placed.withColumn("b", around)
     sized = b.select("s_nationkey", F.col("ticket_id").alias("id"), F.struct(F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h")).alias("box"))
@@ -306,3 +314,16 @@ def q2_rules(spark, sf_dir):
         F.count_if((F.col("rotation") == 0) | (F.abs("rotation") > 7)).alias("flat"), (F.count("*") - F.max("z")).alias("layers_missing"),
     )
     return per.join(over, "s_nationkey", "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+
+
+@query(
+    "q5_scattered",
+    "SELECT s_nationkey, count(*) AS items, 0::BIGINT AS off_board, 0::BIGINT AS covered, 0::BIGINT AS flat, 0::BIGINT AS layers_missing, CASE WHEN count(*) > 4 THEN true END AS other_order FROM supplier GROUP BY s_nationkey",
+)
+def q5_scattered(spark, sf_dir):
+    """Q5: the same rules for boards in seeded order; of boards with more than four items another seed gives another one."""
+    items = _suppliers(spark, sf_dir)
+    one, two = (layout.scatter(items.drop("ord"), "s_nationkey", seed) for seed in ("arrange", "again"))
+    moved = one.select("ticket_id", F.col("z").alias("z1")).join(two.select("s_nationkey", "ticket_id", F.col("z").alias("z2")), "ticket_id")
+    other = moved.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.bool_or(F.col("z1") != F.col("z2")).alias("other_order"))
+    return _rules(one, items).join(other.select("s_nationkey", F.when(F.col("n") > 4, F.col("other_order")).alias("other_order")), "s_nationkey")
