@@ -75,33 +75,38 @@ def summary(results: DataFrame, group: str) -> DataFrame:
 def score_quads(quads: DataFrame, n: int = 160) -> DataFrame:
     """Id, iou of (id, found, truth), convex quads: shares of a grid of n x n points of their common bounds.
 
-    A column of the grid meets a quad in one run of points, between the highest and the lowest of its edges: n rows a pair
-    whose edges are plain columns, so that the work is compiled; they are summed where they are made.
+    A column of the grid meets a quad in one run of points, between the highest and the lowest of its edges. The edges are
+    lines in units of the grid, worked out once a pair; n rows a pair take their ends from those, in compiled code, and are
+    summed where they are made.
     """
-    sides = {"f": "found", "t": "truth"}
-    at = {f"{s}{c}{k}": F.get(q, k)[c] for s, q in sides.items() for k in range(4) for c in "xy"}
-    flat = quads.select("id", *[c.alias(n_) for n_, c in at.items()])
-    way = {f"{s}way": F.when(sum((F.col(f"{s}x{k}") * F.col(f"{s}y{(k + 1) % 4}") - F.col(f"{s}x{(k + 1) % 4}") * F.col(f"{s}y{k}") for k in range(4)), F.lit(0.0)) < 0, -1.0).otherwise(1.0) for s in sides}
-    ends = {f"{c}{e}": f(*[f"{s}{c}{k}" for s in sides for k in range(4)]) for c in "xy" for e, f in ((0, F.least), (1, F.greatest))}
-    flat = flat.withColumns(way | ends)
-    grid = flat.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("gx", F.col("x0") + (F.col("k") + 0.5) / n * (F.col("x1") - F.col("x0")))
+    sides, corners = {"f": "found", "t": "truth"}, range(4)
+    flat = quads.select("id", *[F.get(q, k)[c].alias(f"{s}{c}{k}") for s, q in sides.items() for k in corners for c in "xy"])
+    at = lambda s, c, k: F.col(f"{s}{c}{k % 4}")
+    flat = flat.withColumns({f"{c}{e}": f(*[f"{s}{c}{k}" for s in sides for k in corners]) for c in "xy" for e, f in ((0, F.least), (1, F.greatest))})
+    unit = n / (F.col("y1") - F.col("y0"))
+    lines = {}
     for s in sides:
-        low, high, out = [], [], F.lit(False)
-        for k in range(4):
-            x, y = F.col(f"{s}x{k}"), F.col(f"{s}y{k}")
-            dx, dy = (F.col(f"{s}{c}{(k + 1) % 4}") - F.col(f"{s}{c}{k}") for c in "xy")
-            bound = y + dy * (F.col("gx") - x) / dx
-            low.append(F.when(dx * F.col(f"{s}way") > 0, bound))
-            high.append(F.when(dx * F.col(f"{s}way") < 0, bound))
-            out = out | ((dx == 0) & (dy * F.col(f"{s}way") * (F.col("gx") - x) > 0))
-        grid = grid.withColumns({f"{s}lo": F.when(out, math.inf).otherwise(F.coalesce(F.greatest(*low), F.lit(math.inf))), f"{s}hi": F.coalesce(F.least(*high), F.lit(-math.inf))})
-    place = lambda y: (y - F.col("y0")) / (F.col("y1") - F.col("y0")) * n - 0.5
-
-    def points(lo, hi):
-        first, last = F.ceil(F.greatest(place(lo), F.lit(0.0))), F.floor(F.least(place(hi), F.lit(n - 1.0)))
-        return F.when(lo > hi, 0).otherwise(F.greatest(F.lit(0), last - first + 1))
-
-    both = grid.select("id", points(F.greatest("flo", "tlo"), F.least("fhi", "thi")).alias("common"), (points(F.col("flo"), F.col("fhi")) + points(F.col("tlo"), F.col("thi"))).alias("each"))
+        around = sum((at(s, "x", k) * at(s, "y", k + 1) - at(s, "x", k + 1) * at(s, "y", k) for k in corners), F.lit(0.0))
+        for k in corners:
+            dx, dy = at(s, "x", k + 1) - at(s, "x", k), at(s, "y", k + 1) - at(s, "y", k)
+            ahead = F.when(around < 0, -dx).otherwise(dx)
+            slope = dy / F.nullif(dx, F.lit(0.0)) * unit
+            base = (at(s, "y", k) - F.col("y0")) * unit - 0.5 - slope * at(s, "x", k)
+            for end, here in (("lo", ahead > 0), ("hi", ahead < 0)):
+                lines |= {f"{s}{end}m{k}": F.when(here, slope), f"{s}{end}c{k}": F.when(here, base)}
+        lines |= {f"{s}left": F.least(*[at(s, "x", k) for k in corners]), f"{s}right": F.greatest(*[at(s, "x", k) for k in corners])}
+    edges = flat.select("id", "x0", "x1", *[c.alias(name) for name, c in lines.items()])
+    x = F.col("x0") + (F.col("k") + 0.5) / n * (F.col("x1") - F.col("x0"))
+    grid = edges.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("gx", x)
+
+    def bound(s: str, end: str):
+        each = [F.col(f"{s}{end}m{k}") * F.col("gx") + F.col(f"{s}{end}c{k}") for k in corners]
+        met = F.col("gx").between(F.col(f"{s}left"), F.col(f"{s}right"))
+        return F.when(met, F.greatest(*each, F.lit(0.0))).otherwise(float(n)) if end == "lo" else F.when(met, F.least(*each, F.lit(n - 1.0))).otherwise(-1.0)
+
+    ends = grid.select("id", *[bound(s, end).alias(f"{s}{end}") for s in sides for end in ("lo", "hi")])
+    points = lambda lo, hi: F.greatest(F.lit(0), F.floor(hi + 1e-9) - F.ceil(lo - 1e-9) + 1)
+    both = ends.select("id", points(F.greatest("flo", "tlo"), F.least("fhi", "thi")).alias("common"), (points(F.col("flo"), F.col("fhi")) + points(F.col("tlo"), F.col("thi"))).alias("each"))
     total = both.groupBy("id").agg(F.sum("common").alias("common"), F.sum("each").alias("each"))
     return total.select("id", F.when(F.col("each") > 0, F.col("common") / (F.col("each") - F.col("common"))).otherwise(0.0).alias("iou"))
 
