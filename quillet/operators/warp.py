@@ -87,14 +87,23 @@ def soft_alpha(inside, x: Column, y: Column, sigma: float = 0.7) -> Column:
     return F.when(whole, 255).otherwise(F.floor(F.round(255 * part, 9) + 0.5).cast("int"))
 
 
-def rounded_card(pixels: DataFrame, items: DataFrame, group: str, radius: float = CORNER) -> DataFrame:
+def rounded_card(pixels: DataFrame, items: DataFrame, group: str, radius: float | Column = CORNER) -> DataFrame:
     """M6: group, x, y, r, g, b, a: the item (group, left, top, w, h) of each image as a card with soft round corners, cropped
-    to what can be seen and a margin of two; hidden pixels are white (M5)."""
-    met = pixels.join(items.select(group, *[F.col(c).cast("double").alias(c) for c in ("left", "top", "w", "h")]), group)
-    shape = lambda x, y: in_rounded(x, y, F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.least("w", "h") * radius)
+    to what can be seen and a margin of two; hidden pixels are white (M5). A radius may differ by item.
+
+    Items and crops meet the pixels line by line: the size of a table of pixels is known too late to choose the side of a
+    join by it, and an image is as many groups as it has lines.
+    """
+    line = [group, "y"]
+    at = items.select(group, *[F.col(c).cast("double").alias(c) for c in ("left", "top", "w", "h")], (radius if isinstance(radius, Column) else F.lit(radius)).alias("radius"))
+    # Two lines of softness and two of margin lie above and below an item.
+    held = at.withColumn("y", F.explode(F.sequence(F.floor(F.col("top") - 4).cast("int"), F.ceil(F.col("top") + F.col("h") + 4).cast("int"))))
+    met = pixels.join(held.hint("merge"), line)
+    shape = lambda x, y: in_rounded(x, y, F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.least("w", "h") * F.col("radius"))
     shown = met.withColumn("alpha", soft_alpha(shape, F.col("x"), F.col("y")))
     box = shown.where("alpha > 0").groupBy(group).agg((F.min("x") - 2).alias("x0"), (F.max("x") + 2).alias("x1"), (F.min("y") - 2).alias("y0"), (F.max("y") + 2).alias("y1"))
-    cut = shown.join(box, group).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    lines = box.select(group, "x0", "x1", "y0", F.explode(F.sequence("y0", "y1")).alias("y"))
+    cut = shown.join(lines.hint("merge"), line).where("x BETWEEN x0 AND x1")
     left, top = F.greatest(F.col("x0"), F.lit(0)), F.greatest(F.col("y0"), F.lit(0))
     return cut.select(group, (F.col("x") - left).alias("x"), (F.col("y") - top).alias("y"), *[wipe_hidden(F.col(c), F.col("alpha")).alias(c) for c in "rgb"], F.col("alpha").alias("a"))
 

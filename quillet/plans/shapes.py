@@ -258,10 +258,7 @@ def m6_cards(spark, sf_dir):
     """Cards with corners of 8% to 23% by image."""
     p = _pixels(spark, sf_dir).select("img", "x", "y", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b"))
     items = p.select("img").distinct().select("img", (F.col("img") % 3 + 5).alias("left"), F.lit(4).alias("top"), (F.col("img") + 40).alias("w"), F.lit(30).alias("h"))
-    cards = [warp.rounded_card(p.where(F.col("img") % 4 == k), items, "img", 0.08 + k / 20) for k in range(4)]
-    every = cards[0]
-    for card in cards[1:]:
-        every = every.unionByName(card)
+    every = warp.rounded_card(p, items, "img", F.lit(0.08) + F.col("img") % 4 / 20)
     return every.select("img", "x", "y", "r", "a")
 
 
