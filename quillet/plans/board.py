@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.operators import boxes, layout, pixels, scan
+from quillet.operators.components import cut_lineage
 from quillet.plans.base import query, table
 
 _BOX_SQL = "b AS (SELECT p_partkey, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey * 91 % 400)::DOUBLE AS y, 60.0 + p_size AS w, 20.0 + p_partkey % 30 AS h, CASE WHEN p_partkey % 3 = 0 THEN 'barcode' ELSE 'ticket-number' END AS reason FROM part)"
@@ -304,10 +305,12 @@ def _suppliers(spark, sf_dir) -> DataFrame:
 
 
 def _rules(placed: DataFrame, items: DataFrame) -> DataFrame:
-    placed = placed.join(items.select("ticket_id", "aspect"), "ticket_id")
+    # An item is known by its board and layer, which is its place in the order; names may come again.
+    order = Window.partitionBy("s_nationkey").orderBy("ord")
+    placed = cut_lineage(placed).join(items.select("s_nationkey", F.row_number().over(order).alias("z"), "aspect"), ["s_nationkey", "z"])
     around = boxes.bounds(F.col("x"), F.col("y"), F.col("rotation"), F.col("scale"), F.col("aspect"))
     b = placed.withColumn("b", around)
-    sized = b.select("s_nationkey", F.col("ticket_id").alias("id"), F.struct(F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h")).alias("box"))
+    sized = b.select("s_nationkey", F.col("z").alias("id"), F.struct(F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h")).alias("box"))
     over = boxes.overlapping_pairs(sized, sized, "s_nationkey", 0.1200001).where("a < b").groupBy("s_nationkey").agg(F.count("*").alias("covered"))
     per = b.groupBy("s_nationkey").agg(
         F.count("*").alias("items"), F.count_if((F.col("b.x0") < 0) | (F.col("b.x1") > 1000) | (F.col("b.y0") < 0)).alias("off_board"),
@@ -322,8 +325,8 @@ def _rules(placed: DataFrame, items: DataFrame) -> DataFrame:
 )
 def q5_scattered(spark, sf_dir):
     """Q5: the same rules for boards in seeded order; of boards with more than four items another seed gives another one."""
-    items = _suppliers(spark, sf_dir)
-    one, two = (layout.scatter(items.drop("ord"), "s_nationkey", seed) for seed in ("arrange", "again"))
-    moved = one.select("ticket_id", F.col("z").alias("z1")).join(two.select("s_nationkey", "ticket_id", F.col("z").alias("z2")), "ticket_id")
-    other = moved.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.bool_or(F.col("z1") != F.col("z2")).alias("other_order"))
-    return _rules(one, items).join(other.select("s_nationkey", F.when(F.col("n") > 4, F.col("other_order")).alias("other_order")), "s_nationkey")
+    items = _suppliers(spark, sf_dir).drop("ord")
+    one, two = (cut_lineage(layout.scatter(items, "s_nationkey", seed)) for seed in ("arrange", "again"))
+    moved = one.select("s_nationkey", "z", F.col("ticket_id").alias("t1")).join(two.select("s_nationkey", "z", F.col("ticket_id").alias("t2")), ["s_nationkey", "z"])
+    other = moved.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.bool_or(F.col("t1") != F.col("t2")).alias("other_order"))
+    return _rules(one, layout.seeded_order(items, "s_nationkey", "arrange")).join(other.select("s_nationkey", F.when(F.col("n") > 4, F.col("other_order")).alias("other_order")), "s_nationkey")
