@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,20 +71,26 @@ def manual_box_ok(box: Column) -> Column:
 def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, least: float, cell: float = 128.0) -> DataFrame:
     """Pairs of boxes (key, id, box) of one document that overlap by more than ``least`` of the smaller one.
 
-    Boxes meet by key and grid cell, so that a key with many boxes does not meet itself as a whole. A pair is found in each
-    cell that both reach into, and kept in the one that holds the upper left corner of what they share.
+    Boxes meet by key and grid cell, so that a key with many boxes does not meet itself as a whole. A pair is found once, in
+    the cell that holds the upper left corner of what they share: that is a cell where one of the two begins along x and one
+    along y. So four joins by where boxes begin take the place of one of all that lies in a cell, and the smaller the cells
+    are, the nearer are the rows that meet to those that overlap.
     """
 
     def dealt(df: DataFrame, side: str) -> DataFrame:
         box = F.col("box")
-        span = lambda c, size: F.sequence(F.floor(box[c] / cell), F.floor((box[c] + box[size]) / cell))
-        rows = df.select(key, F.col("id").alias(side), box.alias(f"box_{side}"), F.explode(span("x", "w")).alias("cx"), span("y", "h").alias("ys"))
-        return rows.select(key, side, f"box_{side}", "cx", F.explode("ys").alias("cy"))
+        first, last = lambda c: F.floor(box[c] / cell), lambda c, size: F.floor((box[c] + box[size]) / cell)
+        rows = df.select(key, F.col("id").alias(side), box.alias(f"box_{side}"), first("x").alias("fx"), first("y").alias("fy"), F.explode(F.sequence(first("x"), last("x", "w"))).alias("cx"), F.sequence(first("y"), last("y", "h")).alias("ys"))
+        rows = rows.select(key, side, f"box_{side}", "fx", "fy", "cx", F.explode("ys").alias("cy"))
+        return rows.select(key, side, f"box_{side}", "cx", "cy", (F.col("fx") == F.col("cx")).alias(f"x_{side}"), (F.col("fy") == F.col("cy")).alias(f"y_{side}"))
 
     x, y = F.col("box_a"), F.col("box_b")
     meet = (x["x"] < y["x"] + y["w"]) & (y["x"] < x["x"] + x["w"]) & (x["y"] < y["y"] + y["h"]) & (y["y"] < x["y"] + x["h"])
     home = (F.floor(F.greatest(x["x"], y["x"]) / cell) == F.col("cx")) & (F.floor(F.greatest(x["y"], y["y"]) / cell) == F.col("cy"))
-    return dealt(left, "a").join(dealt(right, "b"), [key, "cx", "cy"]).where(meet & home & (overlap_ratio(x, y) > least)).drop("cx", "cy")
+    a, b = dealt(left, "a"), dealt(right, "b")
+    ways = (("x_a AND y_a", "true"), ("NOT (x_a AND y_a)", "x_b AND y_b"), ("x_a AND NOT y_a", "NOT x_b AND y_b"), ("NOT x_a AND y_a", "x_b AND NOT y_b"))
+    met = [a.where(one).drop("x_a", "y_a").join(b.where(other).drop("x_b", "y_b"), [key, "cx", "cy"]) for one, other in ways]
+    return reduce(DataFrame.unionByName, met).where(meet & home & (overlap_ratio(x, y) > least)).drop("cx", "cy")
 
 
 def first_come(boxes: Column, most: float = 0.6) -> Column:
