@@ -75,7 +75,8 @@ def grow_linear(lines: Column, first: Column, last: Column, least: float = 0.75)
     """struct(first, last) of a linear code whose scan line was read somewhere in lines first to last: the code goes on
     at either side while a line (array of samples) repeats the middle line's pattern of dark and light in more than ``least``
     of its samples, by as many lines as the code is long at most."""
-    dark = lambda v: F.transform(v, lambda s: s < (F.array_min(v) + F.array_max(v)) / 2)
+    # A line's threshold is bound, so that it is worked out once a line and not once a sample.
+    dark = lambda v: let((F.array_min(v) + F.array_max(v)) / 2, lambda cut: F.transform(v, lambda s: s < cut))
     middle = dark(F.get(lines, F.floor((first + last) / 2).cast("int")))
     same = lambda v, m: F.size(F.filter(F.zip_with(dark(v), m, lambda a, b: a == b), lambda x: x)) / F.size(m) > least
     agrees = lambda m: F.transform(lines, lambda v: same(v, m))

@@ -29,16 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in a set number of tasks: narrow rows with much work each, whose few files would make few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 PLACE = lambda c: F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.pmod(c * m + a, F.lit(26)) + 1).cast("int"), F.lit(1)) for m, a in ((1, 0), (7, 3), (11, 5))])
 PLACE_SQL = lambda c: " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (({c} * {m} + {a}) % 26 + 1)::INT, 1)" for m, a in ((1, 0), (7, 3), (11, 5)))
 
 
-def passes(spark, sf_dir) -> DataFrame:
+def passes(spark, sf_dir, *also: str) -> DataFrame:
+    """A pass of each order, and ``also`` of the order and its customer."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     return o.select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.upper(F.substring(F.md5(key.cast("string").cast("binary")), 1, 6)).alias("pnr"), PLACE(F.col("c_nationkey")).alias("origin"), PLACE(F.col("c_nationkey") + 1 + key % 20).alias("destination"),
-        F.when(key % 3 == 0, "BA").when(key % 3 == 1, "QX").otherwise("LH").alias("carrier"), (key % 9998 + 1).alias("flight"), F.concat((key % 60 + 1).cast("string"), F.substring(F.lit("ABCDEFGHK"), (key % 9 + 1).cast("int"), F.lit(1))).alias("seat"), "c_name",
+        F.when(key % 3 == 0, "BA").when(key % 3 == 1, "QX").otherwise("LH").alias("carrier"), (key % 9998 + 1).alias("flight"), F.concat((key % 60 + 1).cast("string"), F.substring(F.lit("ABCDEFGHK"), (key % 9 + 1).cast("int"), F.lit(1))).alias("seat"), "c_name", *also,
     )
 
 

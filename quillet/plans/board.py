@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.functions.scalar import let
 from quillet.operators import boxes, layout, pixels, scan
 from quillet.operators.components import cut_lineage
-from quillet.plans.base import query, table
+from quillet.plans.base import query, spread, table
 
 _BOX_SQL = "b AS (SELECT p_partkey, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey * 91 % 400)::DOUBLE AS y, 60.0 + p_size AS w, 20.0 + p_partkey % 30 AS h, CASE WHEN p_partkey % 3 = 0 THEN 'barcode' ELSE 'ticket-number' END AS reason FROM part)"
 
@@ -282,9 +283,9 @@ def m12_grown(spark, sf_dir):
     """Lines of one pattern about line 10, as far as the key says, with its reverse beyond."""
     k = F.col("p_partkey")
     bars = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (i % 2 * 255).cast("double"))
-    blank = F.transform(bars, lambda v: 255.0 - v)
-    lines = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when((i >= 10 - k % 6) & (i <= 10 + k % 4), bars).otherwise(blank))
-    p = table(spark, sf_dir, "part").select("p_partkey", lines.alias("lines"))
+    both = let(bars, lambda b: F.struct(b.alias("bars"), F.transform(b, lambda v: 255.0 - v).alias("blank")))
+    lines = let(both, lambda s: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.when((i >= 10 - k % 6) & (i <= 10 + k % 4), s["bars"]).otherwise(s["blank"])))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", lines.alias("lines"))
     ends = scan.grow_linear(F.col("lines"), F.lit(10), F.lit(10))
     return p.select("p_partkey", ends.alias("e")).select("p_partkey", F.col("e.first").cast("long").alias("first"), F.col("e.last").cast("long").alias("last"))
 
