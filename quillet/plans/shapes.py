@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.operators import boxes, codes, quads, regions, warp
-from quillet.plans.base import query, table
+from quillet.plans.base import query, spread, table
 from quillet.plans.board import _PIXELS_SQL, _pixels
 
 #: From a mask m (img, x, y): runs r, gaps g, gaps that the outside reaches o, runs without holes f with the place l of the
@@ -169,7 +169,7 @@ def _point(x, y):
 def m2_quads(spark, sf_dir):
     """Points in any order: skewed quads with points on their sides and inside, right triangles, and lines."""
     key = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select(key.alias("id"), (F.lit(40.0) + F.col("p_size")).alias("w"), (F.lit(30.0) + key % 23).alias("h"), (key % 9).cast("double").alias("t"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(key.alias("id"), (F.lit(40.0) + F.col("p_size")).alias("w"), (F.lit(30.0) + key % 23).alias("h"), (key % 9).cast("double").alias("t"))
     w, h, t, kind = F.col("w"), F.col("h"), F.col("t"), F.col("id") % 3
     quad = F.array(_point(w / 2, t / 2), _point(w - t, h + t), _point(w / 2, h / 2), _point(0, 0), _point(t / 2, h / 2), _point(t, h), _point(w, t))
     line = F.array(_point(w, t), _point(0, 0), _point(w / 2, t / 2))
