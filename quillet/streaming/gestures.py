@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -148,6 +149,7 @@ def _moves(hands: Hands, events: list[dict]) -> list[tuple]:
 
 
 _NAMES = [part.split()[0] for part in MOVES.split(", ")]
+_TYPES = [{"string": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[part.split()[1]] for part in MOVES.split(", ")]
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:
@@ -160,17 +162,18 @@ def board_moves(events: DataFrame) -> DataFrame:
     """MOVES of a bounded table of EVENTS: the boards' rows come sorted and are folded one after another."""
     near = events.select(*_FIELDS).repartition("board").sortWithinPartitions("board", "ts", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         board, hands = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for e in _rows(pdf):
+            for e in batch.to_pylist():
                 if hands is None or e["board"] != board:
                     board, hands = e["board"], Hands({}, {}, None)
                 out += _moves(hands, [e])
-            yield pd.DataFrame(out, columns=_NAMES)
+            columns = zip(*out, strict=True) if out else [()] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
-    return near.mapInPandas(run, MOVES)
+    return near.mapInArrow(run, MOVES)
 
 
 class BoardHands(StatefulProcessor):
