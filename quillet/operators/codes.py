@@ -1,8 +1,9 @@
 """Code regions from grey pixels alone (M7, M8): filters over lines and columns, masks, blobs, then the checks of M9-M11.
 
 Pixels are a full table (group, x, y, v). A filter goes along lines, then along columns, as windows with a frame: each is
-one shuffle by (group, y) or (group, x), so that an image is as many groups as it has lines. Results equal those of the
-usual image operators on 8-bit values: differences saturate, means are rounded, frames mirror at the border.
+one shuffle by (group, y) or (group, x), so that an image is as many groups as it has lines. What holds for a whole image
+meets its lines before its pixels (``pixels.on_lines``): pixels dealt by image would stay together for all filters that
+follow. Results equal those of the usual image operators on 8-bit values: differences saturate, means are rounded, frames mirror at the border.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ def frames(pixels: DataFrame, group: str) -> DataFrame:
     return pixels.groupBy(group).agg((F.max("x") + 1).alias("wide"), (F.max("y") + 1).alias("tall"))
 
 
+def lines_of(pixels: DataFrame, group: str) -> DataFrame:
+    """group, y."""
+    return pixels.select(group, "y").distinct()
+
+
 def _line(group: str, along: str) -> tuple[list[str], Column]:
     return [group, "y" if along == "x" else "x"], F.col(along)
 
@@ -94,10 +100,11 @@ def bar_mask(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame
     g = gradients(pixels, group, 3, 10, mirror=True)
     size = lambda c: F.least(F.abs(F.col(c)), F.lit(255))
     across, along = ("gy", "gx") if vertical else ("gx", "gy")
-    steps = g.select(group, "x", "y", F.greatest(size(across) - size(along), F.lit(0)).alias("d")).join(frames(pixels, group), group)
+    steps = g.select(group, "x", "y", F.greatest(size(across) - size(along), F.lit(0)).alias("d"))
+    steps = P.on_lines(steps, lines_of(pixels, group), frames(pixels, group), group)
     mean = box_sums(steps, group, "d", F.lit(4)).select(group, "x", "y", F.bround(F.col("sum") / 81).cast("int").alias("m"))
     mean = cut_lineage(mean)
-    on = mean.join(otsu(mean, group, "m"), group).select(group, "x", "y", (F.col("m") > F.col("cut")).cast("int").alias("on"))
+    on = P.on_lines(mean, lines_of(mean, group), otsu(mean, group, "m"), group).select(group, "x", "y", (F.col("m") > F.col("cut")).cast("int").alias("on"))
     x, y = (3, 10) if vertical else (10, 3)
     closed = (("x", F.max, x), ("y", F.max, y), ("y", F.min, y), ("x", F.min, x))
     opened = (("x", F.min, 4), ("y", F.min, 4), ("y", F.max, 4), ("x", F.max, 4))
@@ -105,11 +112,11 @@ def bar_mask(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame
 
 
 def _in_regions(pixels: DataFrame, boxes: DataFrame, group: str) -> DataFrame:
-    """The pixels of each region, under the region as a struct."""
+    """The pixels of each region, under the region as a struct; they meet line by line."""
     region = F.struct(*[F.col(c) for c in (group, "x", "y", "w", "h")]).alias("region")
-    found = pixels.join(boxes.select(group, region), group)
-    x, y, r = F.col("x"), F.col("y"), F.col("region")
-    return found.where((x >= r["x"]) & (x < r["x"] + r["w"]) & (y >= r["y"]) & (y < r["y"] + r["h"])).select("region", "x", "y", "v")
+    lines = boxes.select(group, region, F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
+    x, r = F.col("x"), F.col("region")
+    return pixels.join(lines.hint("shuffle_hash"), [group, "y"]).where((x >= r["x"]) & (x < r["x"] + r["w"])).select("region", "x", "y", "v")
 
 
 def bar_blocks(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame:
@@ -164,7 +171,8 @@ def block_regions(pixels: DataFrame, group: str) -> DataFrame:
     edges = cut_lineage(canny(pixels, group))
     frame = frames(pixels, group)
     size = F.greatest(F.lit(9), F.floor(F.least("wide", "tall") * 0.035 + 0.5).cast("int"))
-    marked = pixels.select(group, "x", "y").join(edges.withColumn("e", F.lit(1)), [group, "x", "y"], "left").join(frame.withColumn("reach", F.floor(size / 2).cast("int")), group)
+    marked = pixels.select(group, "x", "y").join(edges.withColumn("e", F.lit(1)), [group, "x", "y"], "left")
+    marked = P.on_lines(marked, lines_of(pixels, group), frame.withColumn("reach", F.floor(size / 2).cast("int")), group)
     marked = marked.select(group, "x", "y", F.coalesce("e", F.lit(0)).alias("e"), "wide", "tall", "reach")
     side = 2 * F.col("reach") + 1
     dense = box_sums(marked, group, "e", F.col("reach")).withColumn("on", (F.bround(255 * F.col("sum") / (side * side)) > F.floor(F.lit(255 * DENSE))).cast("int"))

@@ -31,12 +31,14 @@ def joined_runs(runs: DataFrame, group: str) -> DataFrame:
 
 
 def gaps(runs: DataFrame, group: str) -> DataFrame:
-    """What lies between the runs, in the box around a group's runs and a margin of one: the first line is all gap."""
+    """What lies between the runs, in the box around a group's runs and a margin of one: the first line is all gap. ``first``
+    is that line."""
     box = runs.groupBy(group).agg((F.min("x0") - 1).alias("lo"), (F.max("x1") + 1).alias("hi"), (F.min("y") - 1).alias("top"), (F.max("y") + 1).alias("bottom"))
-    lines = box.select(group, F.explode(F.sequence("top", "bottom")).alias("y"), "lo", "hi")
-    ends = lines.select(group, "y", F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("x0")).withColumn("x1", F.col("x0"))
-    after = F.lead("x0").over(Window.partitionBy(group, "y").orderBy("x0"))
-    between = runs.select(group, "y", "x0", "x1").unionByName(ends).select(group, "y", (F.col("x1") + 1).alias("x0"), (after - 1).alias("x1"))
+    lines = box.select(group, F.explode(F.sequence("top", "bottom")).alias("y"), F.col("top").alias("first"), "lo", "hi")
+    ends = lines.select(group, "y", "first", F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("x0")).withColumn("x1", F.col("x0"))
+    line = Window.partitionBy(group, "y").orderBy("x0")
+    after, first = F.lead("x0").over(line), F.first("first", ignorenulls=True).over(line)  # an end is the first of its line
+    between = runs.select(group, "y", "x0", "x1").unionByName(ends, True).select(group, "y", (F.col("x1") + 1).alias("x0"), (after - 1).alias("x1"), first.alias("first"))
     return between.where("x0 <= x1")
 
 
@@ -66,9 +68,8 @@ def labelled(runs: DataFrame, group: str, reach: int = 1, *also: str) -> DataFra
 
 def filled(runs: DataFrame, group: str) -> DataFrame:
     """The runs with all holes, and what lies in holes: everything the outside does not reach from side to side."""
-    around = labelled(gaps(runs, group), group, 0)
-    first = runs.groupBy(group).agg((F.min("y") - 1).alias("first"))
-    holes = around.join(first, group).where("ly > first").select(group, "y", "x0", "x1")
+    around = labelled(gaps(runs, group), group, 0, "first")
+    holes = around.where("ly > first").select(group, "y", "x0", "x1")
     return joined_runs(runs.select(group, "y", "x0", "x1").unionByName(holes), group)
 
 
