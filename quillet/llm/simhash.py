@@ -39,7 +39,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _majority(hashes: np.ndarray, lanes: int) -> bytes:
+def majority(hashes: np.ndarray, lanes: int) -> bytes:
     """Big-endian bytes of the fingerprint: per bit, whether over half of the hashes have it."""
     out = []
     for lane in range(lanes):
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, shingle: int = 3, lanes: int = 1) -> bytes:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))]
-    return _majority(np.array(hashes, np.uint64), lanes)
+    return majority(np.array(hashes, np.uint64), lanes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more: MinHash blocks, then an exact check.
+"""Texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more: SimHash, MinHash blocks, an exact check.
+
+Every set has the 64-bit SimHash of ``simhash``. Sets of one fingerprint, and those whose fingerprints pairs of 16-bit
+blocks bring together within ``DISTANCE`` bits, are candidates. Sets of similarity 0.8 differ in some ten bits, which no
+split into blocks finds; for those, MinHash blocks are the way.
 
 Words and shingles are those of ``simhash``, as sets: repeats of a shingle count once, and a shingle stands as its XXH64.
 A text's set gives ``BANDS`` block values of ``ROWS`` minima each. A pair of similarity s shares none of them with a
@@ -28,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.common import durable, mix64, utf8
+from quillet.llm import simhash
 from quillet.llm.simhash import components
 
 BANDS, ROWS = 32, 4
+#: Bits in which fingerprints may differ, and the blocks they are split into.
+DISTANCE, BLOCKS = 2, 4
 SMALL, PIECE, MEMBERS = 8, 1 << 20, 4096
 _DRAWS = np.random.default_rng(42).integers(0, 2**32, (2, BANDS * ROWS, 1), dtype=np.uint32)
 
@@ -70,19 +77,30 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
 
 
 def signatures(texts: DataFrame, shingle: int) -> DataFrame:
-    """id, th, fp (a 128-bit hash of the set), size, bands (none of an empty set) of (id, th, text). No shuffle."""
+    """id, th, fp (a 128-bit hash of the set), sim (its SimHash), size, bands (none of an empty set) of (id, th, text). No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, values = [], [], []
+            fps, sims, sizes, values = [], [], [], []
             for s in _sets(batch.column("text"), shingle):
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sims.append(simhash.majority(s, 1) if len(s) else bytes(8))
                 sizes.append(len(s))
                 values.append(bands(s).tobytes() if len(s) else b"")
-            arrays = [batch.column("id"), batch.column("th"), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "fp", "size", "bands"])
+            arrays = [batch.column("id"), batch.column("th"), pa.array(fps, pa.binary()), pa.array(sims, pa.binary()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "fp", "sim", "size", "bands"])
+
+    return texts.select("id", "th", "text").mapInArrow(run, "id long, th long, fp binary, sim binary, size int, bands binary")
+
 
-    return texts.select("id", "th", "text").mapInArrow(run, "id long, th long, fp binary, size int, bands binary")
+def alike(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes (node, sim) of sets that are not empty whose SimHash fingerprints are equal or linked, enough of them to
+    connect all such."""
+    sims = nodes.where("size > 0").select("node", "sim")
+    distinct = durable(sims.groupBy("sim").agg(F.min("node").alias("id")))
+    same = sims.join(distinct, "sim").where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(distinct.select("id", F.col("sim").alias("fp")), simhash.block_tables(64, BLOCKS), 1, DISTANCE)
+    return near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _block_rows(nodes: DataFrame) -> DataFrame:
@@ -153,7 +171,7 @@ def _led(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """a, b: nodes of at least that similarity, enough of them to connect all that are linked.
 
-    ``nodes`` has node, id, th, size, bands; id and th name the row of ``texts`` that shows the node's text.
+    ``nodes`` has node, id, th, sim, size, bands; id and th name the row of ``texts`` that shows the node's text.
     """
     rows = _block_rows(nodes)
     sized = rows.groupBy("key").agg(
@@ -165,7 +183,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     more = durable(rows.join(sized.where("n > 2").select("key", "n", "total"), "key"))
     some = more.where(F.col("n") <= SMALL).select("key", "node")
     pairs = some.withColumnRenamed("node", "a").join(some.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-    pairs = durable(twos.unionByName(pairs).distinct())
+    pairs = durable(twos.unionByName(pairs).unionByName(alike(nodes)).distinct())
     large = more.where(F.col("n") > SMALL)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
@@ -217,8 +235,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
 def firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """id, th: of each component of linked texts the least pair of id and text hash, of (id, th, text); ids are never null."""
     rows = durable(signatures(texts, shingle))
-    same = rows.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = durable(same.select(F.monotonically_increasing_id().alias("node"), "least.id", "least.th", "size", "bands"))
+    same = rows.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = durable(same.select(F.monotonically_increasing_id().alias("node"), "least.id", "least.th", "sim", "size", "bands"))
     found = components(links(nodes, texts, shingle, similarity))
     named = nodes.select("node", "id", "th").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "th")).alias("least")).select("least.id", "least.th")
