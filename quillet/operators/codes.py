@@ -3,7 +3,7 @@
 Pixels are a full table (group, x, y, v). A filter goes along lines, then along columns, as windows with a frame: each is
 one shuffle by (group, y) or (group, x), so that an image is as many groups as it has lines. What holds for a whole image
 meets its lines before its pixels (``pixels.on_lines``): pixels dealt by image would stay together for all filters that
-follow. Results equal those of the usual image operators on 8-bit values: differences saturate, means are rounded, frames mirror at the border.
+follow. The number of tasks follows the number of pixels (``pixels.dealt``). Results equal those of the usual image operators on 8-bit values: differences saturate, means are rounded, frames mirror at the border.
 """
 
 from __future__ import annotations
@@ -44,11 +44,12 @@ def beside(value: Column, group: str, along: str, mirror: bool) -> tuple[Column,
     return (F.coalesce(before, after, value), F.coalesce(after, before, value)) if mirror else (F.coalesce(before, value), F.coalesce(after, value))
 
 
-def gradients(pixels: DataFrame, group: str, side: int, middle: int, mirror: bool) -> DataFrame:
+def gradients(pixels: DataFrame, group: str, side: int, middle: int, mirror: bool, tasks: int | None = None) -> DataFrame:
     """group, x, y, v, gx, gy: 3 x 3 differences, smoothed across by (side, middle, side)."""
     left, right = beside(F.col("v"), group, "x", mirror)
-    lines = pixels.select(group, "x", "y", "v", left.alias("l"), right.alias("r"))
+    lines = P.dealt(pixels, tasks, group, "y").select(group, "x", "y", "v", left.alias("l"), right.alias("r"))
     lines = lines.select(group, "x", "y", "v", (F.col("r") - F.col("l")).alias("d"), (side * (F.col("l") + F.col("r")) + middle * F.col("v")).alias("s"))
+    lines = P.dealt(lines, tasks, group, "x")
     up, down = beside(F.col("d"), group, "y", mirror)
     above, below = beside(F.col("s"), group, "y", mirror)
     return lines.select(group, "x", "y", "v", (side * (up + down) + middle * F.col("d")).alias("gx"), (below - above).alias("gy"))
@@ -70,9 +71,11 @@ def mirrored(df: DataFrame, size: str, along: str, reach: Column) -> DataFrame:
     return df.withColumn(along, F.explode(F.array_compact(places)))
 
 
-def box_sums(df: DataFrame, group: str, value: str, reach: Column) -> DataFrame:
-    """The rows (with wide, tall) and ``sum``: of ``value`` over the square up to ``reach`` away, mirrored at the border."""
+def box_sums(df: DataFrame, group: str, value: str, reach: Column, tasks: int | None = None) -> DataFrame:
+    """The rows (with wide, tall) and ``sum``: of ``value`` over the square up to ``reach`` away, mirrored at the border. With
+    ``tasks`` the rows come dealt by line."""
     for along, size in (("x", "wide"), ("y", "tall")):
+        df = P.dealt(df, tasks, group, "x") if along == "y" else df
         df = frame_over(mirrored(df, size, along, reach), group, along, reach, F.sum, value if along == "x" else "sum", "sum").where((F.col(along) >= 0) & (F.col(along) < F.col(size)))
     return df
 
@@ -87,9 +90,12 @@ def otsu(values: DataFrame, group: str, value: str) -> DataFrame:
     return ran.select(group, value, F.when(F.col("n1") < F.col("n"), apart).otherwise(0.0).alias("apart")).groupBy(group).agg(F.max_by(value, F.struct(F.col("apart"), -F.col(value))).alias("cut"))
 
 
-def morphed(mask: DataFrame, group: str, steps: tuple[tuple[str, object, object], ...]) -> DataFrame:
-    """A full mask (group, x, y, on as 0 or 1) after running maxima and minima: (along, F.max or F.min, reach)."""
-    for along, f, reach in steps:
+def morphed(mask: DataFrame, group: str, steps: tuple[tuple[str, object, object], ...], tasks: int | None = None) -> DataFrame:
+    """A full mask (group, x, y, on as 0 or 1) after running maxima and minima: (along, F.max or F.min, reach). With ``tasks``
+    the mask comes dealt for the first."""
+    for k, (along, f, reach) in enumerate(steps):
+        if k and along != steps[k - 1][0]:
+            mask = P.dealt(mask, tasks, *_line(group, along)[0])
         mask = frame_over(mask, group, along, reach, f, "on", "on")
     return mask
 
@@ -97,18 +103,20 @@ def morphed(mask: DataFrame, group: str, steps: tuple[tuple[str, object, object]
 def bar_mask(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame:
     """group, x, y of what stands out by steps across the bars and none along them: closed over the gaps between bars, then
     opened so that thin lines go."""
-    g = gradients(pixels, group, 3, 10, mirror=True)
+    tasks = P.tasks_of(pixels)
+    g = gradients(pixels, group, 3, 10, mirror=True, tasks=tasks)
     size = lambda c: F.least(F.abs(F.col(c)), F.lit(255))
     across, along = ("gy", "gx") if vertical else ("gx", "gy")
     steps = g.select(group, "x", "y", F.greatest(size(across) - size(along), F.lit(0)).alias("d"))
-    steps = P.on_lines(steps, lines_of(pixels, group), frames(pixels, group), group)
-    mean = box_sums(steps, group, "d", F.lit(4)).select(group, "x", "y", F.bround(F.col("sum") / 81).cast("int").alias("m"))
+    lines = cut_lineage(lines_of(pixels, group))
+    steps = P.on_lines(P.dealt(steps, tasks, group, "y"), lines, frames(pixels, group), group, tasks)
+    mean = box_sums(steps, group, "d", F.lit(4), tasks).select(group, "x", "y", F.bround(F.col("sum") / 81).cast("int").alias("m"))
     mean = cut_lineage(mean)
-    on = P.on_lines(mean, lines_of(mean, group), otsu(mean, group, "m"), group).select(group, "x", "y", (F.col("m") > F.col("cut")).cast("int").alias("on"))
+    on = P.on_lines(P.dealt(mean, tasks, group, "y"), lines, otsu(mean, group, "m"), group, tasks).select(group, "x", "y", (F.col("m") > F.col("cut")).cast("int").alias("on"))
     x, y = (3, 10) if vertical else (10, 3)
     closed = (("x", F.max, x), ("y", F.max, y), ("y", F.min, y), ("x", F.min, x))
     opened = (("x", F.min, 4), ("y", F.min, 4), ("y", F.max, 4), ("x", F.max, 4))
-    return morphed(on, group, closed + opened).where("on = 1").select(group, "x", "y")
+    return morphed(on, group, closed + opened, tasks).where("on = 1").select(group, "x", "y")
 
 
 def _in_regions(pixels: DataFrame, boxes: DataFrame, group: str) -> DataFrame:
@@ -116,7 +124,9 @@ def _in_regions(pixels: DataFrame, boxes: DataFrame, group: str) -> DataFrame:
     region = F.struct(*[F.col(c) for c in (group, "x", "y", "w", "h")]).alias("region")
     lines = boxes.select(group, region, F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
     x, r = F.col("x"), F.col("region")
-    return pixels.join(lines.hint("shuffle_hash"), [group, "y"]).where((x >= r["x"]) & (x < r["x"] + r["w"])).select("region", "x", "y", "v")
+    tasks = P.tasks_of(pixels)
+    met = P.dealt(pixels, tasks, group, "y").join(P.dealt(lines, tasks, group, "y").hint("shuffle_hash"), [group, "y"])
+    return met.where((x >= r["x"]) & (x < r["x"] + r["w"])).select("region", "x", "y", "v")
 
 
 def bar_blocks(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame:
@@ -131,8 +141,9 @@ def bar_blocks(pixels: DataFrame, group: str, vertical: bool = False) -> DataFra
 def checked_bars(pixels: DataFrame, boxes: DataFrame, group: str, vertical: bool = False) -> DataFrame:
     """The boxes whose lines alternate across the bars (M9) and hardly change along them."""
     held = cut_lineage(_in_regions(pixels, boxes, group))
-    lined = P.scan_lines(held, "region", vertical).where(P.stripy(F.col("scans"))).select("region")
-    return lined.join(P.coherent(held, "region", vertical).where("coherent"), "region").select("region.*")
+    tasks = P.tasks_of(held)
+    lined = P.scan_lines(held, "region", vertical, tasks).where(P.stripy(F.col("scans"))).select("region")
+    return lined.join(P.coherent(held, "region", vertical, tasks).where("coherent"), "region").select("region.*")
 
 
 def bar_regions(pixels: DataFrame, group: str, vertical: bool = False) -> DataFrame:
@@ -143,11 +154,12 @@ def bar_regions(pixels: DataFrame, group: str, vertical: bool = False) -> DataFr
 
 def canny(pixels: DataFrame, group: str, low: int = WEAK_EDGE, high: int = STRONG_EDGE) -> DataFrame:
     """group, x, y of edge pixels: crests of the gradient above ``low`` that connect to one above ``high``."""
-    g = gradients(pixels, group, 1, 2, mirror=False)
-    g = g.select(group, "x", "y", "gx", "gy", (F.abs("gx") + F.abs("gy")).alias("m"))
+    tasks = P.tasks_of(pixels)
+    g = gradients(pixels, group, 1, 2, mirror=False, tasks=tasks)
+    g = P.dealt(g.select(group, "x", "y", "gx", "gy", (F.abs("gx") + F.abs("gy")).alias("m")), tasks, group, "y")
     row, column = Window.partitionBy(group, "y").orderBy("x"), Window.partitionBy(group, "x").orderBy("y")
     g = g.withColumns({"ml": F.coalesce(F.lag("m").over(row), F.lit(0)), "mr": F.coalesce(F.lead("m").over(row), F.lit(0))})
-    g = g.withColumns({f"{c}{way}": F.coalesce(f(c).over(column), F.lit(0)) for c in ("m", "ml", "mr") for way, f in (("u", F.lag), ("d", F.lead))})
+    g = P.dealt(g, tasks, group, "x").withColumns({f"{c}{way}": F.coalesce(f(c).over(column), F.lit(0)) for c in ("m", "ml", "mr") for way, f in (("u", F.lag), ("d", F.lead))})
     ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
     level = ax * 13573  # the tangent of 22.5 degrees in 15 bits; that of 67.5 degrees is two more
     same = (F.col("gx") < 0) == (F.col("gy") < 0)
@@ -158,7 +170,7 @@ def canny(pixels: DataFrame, group: str, low: int = WEAK_EDGE, high: int = STRON
         .otherwise((m > F.col("mru")) & (m > F.col("mld")))
     )
     kept = g.where((m > low) & crest).select(group, "x", "y", (m > high).alias("strong"))
-    runs = cut_lineage(mask_runs(kept, group, F.max("strong").alias("strong")))
+    runs = cut_lineage(mask_runs(P.dealt(kept, tasks, group, "y"), group, F.max("strong").alias("strong")))
     parts = cut_lineage(labelled(runs, group, 1, "strong"))
     held = parts.join(parts.groupBy(group, "ly", "lx").agg(F.max("strong").alias("any")).where("any").drop("any"), [group, "ly", "lx"])
     return held.select(group, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
@@ -169,15 +181,18 @@ def block_regions(pixels: DataFrame, group: str) -> DataFrame:
     about square, large enough, with flips both ways (M11); the density is that of the whole region."""
     pixels = cut_lineage(pixels)
     edges = cut_lineage(canny(pixels, group))
+    tasks = P.tasks_of(pixels)
     frame = frames(pixels, group)
     size = F.greatest(F.lit(9), F.floor(F.least("wide", "tall") * 0.035 + 0.5).cast("int"))
-    marked = pixels.select(group, "x", "y").join(edges.withColumn("e", F.lit(1)), [group, "x", "y"], "left")
-    marked = P.on_lines(marked, lines_of(pixels, group), frame.withColumn("reach", F.floor(size / 2).cast("int")), group)
+    places = (group, "x", "y")
+    marked = P.dealt(pixels.select(*places), tasks, *places).join(P.dealt(edges.withColumn("e", F.lit(1)), tasks, *places), list(places), "left")
+    marked = P.on_lines(P.dealt(marked, tasks, group, "y"), lines_of(pixels, group), frame.withColumn("reach", F.floor(size / 2).cast("int")), group, tasks)
     marked = marked.select(group, "x", "y", F.coalesce("e", F.lit(0)).alias("e"), "wide", "tall", "reach")
     side = 2 * F.col("reach") + 1
-    dense = box_sums(marked, group, "e", F.col("reach")).withColumn("on", (F.bround(255 * F.col("sum") / (side * side)) > F.floor(F.lit(255 * DENSE))).cast("int"))
+    dense = box_sums(marked, group, "e", F.col("reach"), tasks).withColumn("on", (F.bround(255 * F.col("sum") / (side * side)) > F.floor(F.lit(255 * DENSE))).cast("int"))
     reach = F.col("reach")
-    closed = morphed(dense, group, (("x", F.max, reach), ("y", F.max, reach), ("y", F.min, reach), ("x", F.min, reach))).where("on = 1")
+    closing = (("x", F.max, reach), ("y", F.max, reach), ("y", F.min, reach), ("x", F.min, reach))
+    closed = morphed(P.dealt(dense, tasks, group, "y"), group, closing, tasks).where("on = 1")
     found = blobs(mask_runs(closed, group), group).join(frame, group)
     w, h = F.col("w"), F.col("h")
     sized = found.where((w / h >= ASPECTS[0]) & (w / h <= ASPECTS[1]) & (w * h >= F.col("wide") * F.col("tall") * LEAST_BLOCK) & (F.least("w", "h") >= LEAST_SIDE))
@@ -185,7 +200,7 @@ def block_regions(pixels: DataFrame, group: str) -> DataFrame:
     inked = _in_regions(edges.withColumn("v", F.lit(1)), sized, group).groupBy("region").agg(F.count("*").alias("inked"))
     # M11 looks at every second pixel from the region's corner.
     cornered = held.select("region", (F.col("x") - F.col("region.x")).alias("x"), (F.col("y") - F.col("region.y")).alias("y"), "v")
-    found = P.blocky(cornered, "region").where("blocky").join(inked, "region", "left")
+    found = P.blocky(cornered, "region", P.tasks_of(held)).where("blocky").join(inked, "region", "left")
     return found.select("region.*", (F.coalesce("inked", F.lit(0)) / (F.col("region.w") * F.col("region.h"))).alias("density"))
 
 
